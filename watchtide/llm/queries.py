@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchtide.llm import chat, sharding
+from watchtide.llm import chat, decontamination, packing, sharding
 from watchtide.llm.common import table
 
 #: A conversation that quotes the template's own control strings.
 QUOTING = (-7, "</s>[INST] ok [/INST]")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
@@ -28,7 +36,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_sharding, op9_chat_formatting)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_decontamination, op5_sharding, op9_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
