@@ -23,8 +23,10 @@ from watchtide.llm.common import materialize, ranked, text_batches
 from watchtide.llm.tokens import default_path, word_ids
 
 CAPACITY, END_ID = 4096, 1
-#: Groups of large lengths, and the share of a sequence above which a length is large.
-GROUPS, LARGE = 32, 1 / 16
+#: Groups of large lengths, and the shares of a sequence tried as the least large length; the best plan is taken.
+GROUPS, LARGE = 32, (1 / 4, 1 / 3, 1 / 2)
+#: Column generation ends when a new configuration's worth exceeds its cost by less than this.
+WORTH = 5e-4
 #: Rows numbered in one task at most, about.
 RANK_ROWS = 50_000
 
@@ -82,7 +84,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
                 break
             best = gain
             choice.append(pick)
-        if best[capacity] <= 1 + 1e-7:
+        if best[capacity] <= 1 + WORTH:
             break
         column, room = np.zeros(k), capacity
         for pick in reversed(choice):
@@ -108,7 +110,12 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     return found
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE) -> tuple[np.ndarray, int]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[np.ndarray, int]:
+    """The plan with fewest sequences over the choices of LARGE."""
+    return min((_plan(histogram, capacity, groups, x) for x in LARGE), key=lambda found: found[1])
+
+
+def _plan(histogram: dict[int, int], capacity: int, groups: int, large: float) -> tuple[np.ndarray, int]:
     """Placements (from, to, first sequence, pieces per sequence, offset, length) over ranks by descending length.
 
     Rank r in [from, to) goes to sequence first + (r - from) // per, at offset + ((r - from) % per) * length.
