@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchtide.llm import chat, decontamination, packing, sharding
-from watchtide.llm.common import table
+from watchtide.llm import chat, decontamination, packing, rollups, sharding
+from watchtide.llm.common import scratch, table
 
 #: A conversation that quotes the template's own control strings.
 QUOTING = (-7, "</s>[INST] ok [/INST]")
@@ -24,6 +24,25 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted; those of one language are recounted under another tokenizer; exact copies go; one batch is replayed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    word, byte = "word_bpe_49k.json", "byte_bpe_50k.json"
+    ledger = rollups.Rollup(spark, scratch(spark, "rollup"))
+    ledger.commit(1, rollups.count_tokens(docs, word).withColumn("action", F.lit(rollups.INSERT)))
+    spanish = docs.where("lang = 'es'")
+    moved = spanish.select("doc_id", "source", "lang", F.lit(0).cast("long").alias("n_tokens"), F.lit(word).alias("tokenizer"), F.lit(rollups.DELETE).alias("action"))
+    recount = moved.unionByName(rollups.count_tokens(spanish, byte).withColumn("action", F.lit(rollups.REVISE)))
+    ledger.commit(2, recount)
+    slim = docs.select("doc_id", "source", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("text"))
+    first = slim.where("text IS NOT NULL").groupBy("text").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = slim.join(first, "text").where("doc_id <> first")
+    gone = copies.select("doc_id", "source", "lang", F.lit(0).cast("long").alias("n_tokens"), F.explode(F.array(F.lit(word), F.lit(byte))).alias("tokenizer"), F.lit(rollups.DELETE).alias("action"))
+    ledger.commit(3, gone)
+    ledger.commit(2, recount)
+    return ledger.totals()
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -36,7 +55,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_decontamination, op5_sharding, op9_chat_formatting)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_decontamination, op5_sharding, op6_token_counts, op9_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
