@@ -114,4 +114,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         was = found
     else:
         raise RuntimeError("components did not settle")
-    return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v"))
+    return stars.groupBy("node").agg(F.min("root").alias("root"))

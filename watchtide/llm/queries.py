@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchtide.llm import chat, decontamination, packing, rollups, sharding
+from watchtide.llm import chat, decontamination, ngram_join, packing, rollups, sharding
 from watchtide.llm.common import scratch, table
 
 #: A conversation that quotes the template's own control strings.
@@ -43,6 +43,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -55,7 +59,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_decontamination, op5_sharding, op6_token_counts, op9_chat_formatting)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_decontamination, op5_sharding, op6_token_counts, op7_ngram_jaccard_join, op9_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
