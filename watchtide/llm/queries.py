@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchtide.llm import chat, decontamination, ngram_join, packing, rollups, sharding
-from watchtide.llm.common import scratch, table
+from watchtide.llm import chat, decontamination, ngram_join, packing, rollups, sharding, toxicity
+from watchtide.llm.common import crc_mod, scratch, table
 
 #: A conversation that quotes the template's own control strings.
 QUOTING = (-7, "</s>[INST] ok [/INST]")
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fitted on the labelled rows of the learning folds."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.train(docs, labels.where(crc_mod("doc_id", 4) != 2))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -59,7 +70,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_decontamination, op5_sharding, op6_token_counts, op7_ngram_jaccard_join, op9_chat_formatting)}
+    return {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_decontamination, op5_sharding, op6_token_counts, op7_ngram_jaccard_join, op9_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
