@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchtide.llm import chat, decontamination, ngram_join, packing, rollups, sharding, toxicity
+from watchtide.llm import chat, decontamination, language, ngram_join, packing, rollups, sharding, toxicity
 from watchtide.llm.common import crc_mod, scratch, table
 
 #: A conversation that quotes the template's own control strings.
@@ -58,6 +58,16 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> language.Model:
+    """Fitted on the learning folds of documents."""
+    return language.train(table(spark, sf_dir, "documents").where(crc_mod("doc_id", 3) != 1))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "documents"), language_model(spark, sf_dir))
+    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -70,7 +80,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_decontamination, op5_sharding, op6_token_counts, op7_ngram_jaccard_join, op9_chat_formatting)}
+    return {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_decontamination, op5_sharding, op6_token_counts, op7_ngram_jaccard_join, op8_language_id, op9_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
