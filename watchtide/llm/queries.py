@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchtide.llm import chat, decontamination, language, ngram_join, packing, rollups, sharding, toxicity
+from watchtide.llm import chat, decontamination, language, lattice, ngram_join, packing, ppm, rollups, sharding, toxicity
 from watchtide.llm.common import crc_mod, scratch, table
 
 #: A conversation that quotes the template's own control strings.
 QUOTING = (-7, "</s>[INST] ok [/INST]")
 
 
+def op1_lattice_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.lattice_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Fitted on the labelled rows of the learning folds."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -79,8 +83,13 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ppm.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1)
+    return scored.withColumn("held_out", crc_mod("doc_id", 5) == 1)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_decontamination, op5_sharding, op6_token_counts, op7_ngram_jaccard_join, op8_language_id, op9_chat_formatting)}
+    return {f.__name__: f for f in (op1_lattice_near_duplicates, op2_toxicity, op3_best_fit_packing, op4_decontamination, op5_sharding, op6_token_counts, op7_ngram_jaccard_join, op8_language_id, op9_chat_formatting, op10_ppm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
