@@ -31,10 +31,10 @@ def brute(rows, learns, order):
             for n in range(order, -1, -1):
                 here = {b: c for b, c in trie[data[i - n : i]].items() if b not in shut}
                 if data[i] in here:
-                    logs += np.log10(here[data[i]] / (sum(here.values()) + len(here)))
+                    logs += np.log10((here[data[i]] - 0.5) / sum(here.values()))
                     break
                 if here:
-                    logs += np.log10(len(here) / (sum(here.values()) + len(here)))
+                    logs += np.log10(0.5 * len(here) / sum(here.values()))
                 shut |= here.keys()
             else:
                 logs -= np.log10(256 - len(shut))

@@ -46,7 +46,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut, and a lost executor costs a reread."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,9 +1,8 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
 The model is a trie of byte contexts: the counts of all runs of ORDER + 1 bytes of the training texts, kept as a table
-and never gathered. A byte's probability in its context is that of method C: the escape probability is the number of
-different bytes seen there over that number plus their count, and an escaped context's bytes are excluded from the
-shorter ones. It depends on the run alone, so it is computed once for each distinct run of the corpus.
+and never gathered. A byte's probability in its context is that of method D: each byte seen there gives half a count
+to the escape, and an escaped context's bytes are excluded from the shorter ones. It depends on the run alone, so it is computed once for each distinct run of the corpus.
 
 Texts are cut into bounded chunks. A chunk asks for its distinct runs and words, once each, and their values come
 back to it; only distinct keys cross the network, and the texts once.
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from watchtide.llm.common import materialize, text_batches
 
 #: Bytes of context, and bytes of text of a chunk, about.
-ORDER, CHUNK_BYTES = 4, 32 << 20
+ORDER, CHUNK_BYTES = 5, 64 << 20
 #: Bytes that UTF-8 never uses: before a text, and its end.
 START, END = 0xFE, 0xFF
 _BYTE = np.int64(8)
@@ -92,8 +91,8 @@ def logarithms(grams: np.ndarray, counts: np.ndarray, ones: np.ndarray, pairs: n
         new = kinds - before
         seen = open_ & (n[at] > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            hit = np.log10(n[at] / (rest + new))
-            miss = np.where(rest > 0, np.log10(new / (rest + new)), 0.0)
+            hit = np.log10((n[at] - 0.5) / rest)
+            miss = np.where(rest > 0, np.log10(0.5 * new / rest), 0.0)
         out = np.where(seen, out + hit, np.where(open_, out + miss, out))
         open_ &= ~seen
         before = kinds
@@ -293,9 +292,9 @@ def adaptive_code_length(text: str | None, order: int = ORDER) -> float:
             here = trie.get(past[len(past) - k :], {})
             rest, new = sum(n for b, n in here.items() if b not in shut), sum(b not in shut for b in here)
             if byte in here:
-                total += np.log10(here[byte] / (rest + new))
+                total += np.log10((here[byte] - 0.5) / rest)
                 break
-            total += np.log10(new / (rest + new)) if rest else 0.0
+            total += np.log10(0.5 * new / rest) if rest else 0.0
             shut |= here.keys()
         else:
             total -= np.log10(256 - len(shut))
