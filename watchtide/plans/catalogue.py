@@ -1,11 +1,290 @@
-"""The registered queries of the telemetry engine and their SQL."""
+"""The registered queries of the telemetry engine over the test tables, and their SQL in watchtide.plans.oracles."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from watchtide.functions.addresses import in_network
+from watchtide.operators import context, correlation, graph, pairs, predicates, scoring, semantic, sequences, timegroups
+from watchtide.plans.oracles import SQL
+from watchtide.sources.logs import decode_flat
+
+HOUR = 3600
+ZONES = {"vpn_zone": ["10.1.0.0/16"], "dmz": ["10.2.0.0/17"], "internal": ["10.0.0.0/14"]}
+
+SEMANTIC_RULES = [
+    {
+        "mapping_id": "E-1", "log_type": ["purchase", "view"], "required_fields": ["value", "user"], "confidence_score": 0.75,
+        "attack_technique": {"technique_id": "T1021", "tactic": "Lateral Movement"},
+        "semantic_conditions": {"logic": "AND", "conditions": [{"field": "value", "operator": ">", "value": 50}, {"logic": "or", "conditions": [{"field": "k", "operator": "<", "value": 10}, {"field": "user", "operator": "in", "value": [1, 2, 3, 5, 8]}]}]},
+        "external_context": {"conditions": [{"context": "ip.location", "operator": "==", "value": "dmz", "confidence_boost": 0.2}, {"context": "ip.owner", "operator": "==", "value": "x", "confidence_boost": 0.5}]},
+    },
+    {
+        "mapping_id": "E-2", "log_type": "purchase", "required_fields": ["kind"], "confidence_score": 0.68, "attack_technique": {"technique_id": "T1078", "tactic": "Initial Access"},
+        "semantic_conditions": {"field": "kind", "operator": "startswith", "value": "pur"},
+    },
+    {
+        "mapping_id": "E-3", "log_type": "error", "required_fields": ["value"], "confidence_score": 1.4, "attack_technique": {"technique_id": "T1499", "tactic": "Impact"},
+        "semantic_conditions": {"logic": "OR", "conditions": [{"field": "kind", "operator": "==", "value": 5}, {"field": "k", "operator": "!=", "value": "7"}]},
+    },
+    {"mapping_id": "E-4", "log_type": "view", "required_fields": ["absent"], "confidence_score": 0.9, "semantic_conditions": {"field": "k", "operator": ">=", "value": 0}},
+    {"mapping_id": "E-5", "log_type": "view", "correlation_required": True, "semantic_conditions": {"field": "k", "operator": ">=", "value": 0}},
+]
+
+ALERT_RULES = [
+    {"mapping_id": "A-1", "required_fields": ["props.k"], "confidence_score": 0.8, "attack_technique": {"technique_id": "T1110"}, "semantic_conditions": {"conditions": [{"field": "props.k", "operator": "==", "value": " 7 "}, {"field": "kind", "operator": "not_in", "value": ["view"]}]}},
+    {"mapping_id": "A-2", "required_fields": [], "attack_technique": {"technique_id": "T1059"}, "semantic_conditions": {"logic": "and", "conditions": [{"field": "kind", "operator": "Contains", "value": "URCH"}, {"field": "value", "operator": ">", "value": "99.5"}]}},
+    {"mapping_id": "A-3", "required_fields": ["props.none"], "semantic_conditions": {}},
+]
+
+METRICS = {
+    "n": {"function": "count"}, "users": {"function": "nunique", "field": "user"}, "avg_value": {"function": "mean", "field": "value"}, "sum_value": {"function": "sum", "field": "value"},
+    "min_value": {"function": "min", "field": "value"}, "max_value": {"function": "max", "field": "value"}, "low_share": {"function": "ratio", "field": "k", "values": [0, 1, 2, 3, 4]},
+    "sd": {"function": "standard_deviation", "field": "value"}, "cv": {"function": "coefficient_of_variation", "field": "value"}, "h": {"function": "entropy", "field": "k"},
+    "per_second": {"function": "rate", "window_seconds": 60}, "density": {"function": "subnet_density", "field": "ip", "subnet": "10.1.2.9/24"},
+}
+
+SCAN_RULE = {
+    "mapping_id": "C-1", "log_type": ["view", "click", "error"], "confidence_score": 0.9, "attack_technique": {"technique_id": "T1046"},
+    "correlation_rule": {
+        "window_seconds": HOUR, "group_by": ["kind"], "aggregations": {"n": {"function": "count"}, "users": {"function": "nunique", "field": "user"}},
+        "conditions": [{"metric": "users", "operator": ">=", "value": 5}, {"metric": "n", "operator": ">", "value": 5}],
+        "state_condition": {"field": "k", "values": [0, 1, 2, 3, 4, 5, 6, 7, 8, 9], "aggregation": "ratio", "operator": "<=", "value": 0.25},
+        "scoring": {"base_weight": 0.8, "state_condition_weight": 0.5},
+    },
+}
+USER_RULE = {
+    "mapping_id": "C-2", "log_type": "purchase", "confidence_score": 0.6, "attack_technique": {"technique_id": "T1030"},
+    "correlation_rule": {"window_seconds": 6 * HOUR, "group_by": ["user"], "aggregations": {"n": {"function": "count"}}, "conditions": [{"metric": "n", "operator": ">=", "value": 2}]},
+}
+
+PAIR_RULE = {
+    "mapping_id": "P-1", "confidence_score": 0.7,
+    "semantic_correlation": {
+        "source_event": {"conditions": {"field": "kind", "operator": "==", "value": "signup"}}, "followup_event": {"conditions": {"field": "kind", "operator": "==", "value": "purchase"}},
+        "context_fields": ["user"], "time_window_seconds": HOUR, "relationship": "follows",
+    },
+}
+
+NAMES = {"kind": "event_type", "user": "user_id", "value": "value", "k": "k", "ip": "ip", "props.k": "k_text"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with k (from props), an address made of k and the user, and the time in microseconds."""
+    own = table(spark, sf_dir, "events")
+    own = own.withColumn("k_text", F.get_json_object("props", "$.k")).withColumn("k", F.col("k_text").try_cast("bigint"))
+    ip = F.concat_ws(".", F.lit("10"), F.col("k") % 4, F.col("user_id") % 256, F.col("k"))
+    return own.withColumn("ip", ip).withColumn("t", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
+
+
+def decode_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.to_json(F.struct(F.concat(F.lit("10.0.0."), F.col("user_id") % 256).alias("id.orig_h"), F.col("event_type").alias("service"), F.col("k").alias("orig_bytes"), (F.col("t") / 1e6).alias("ts")))
+    made = decode_flat(events(spark, sf_dir).select("event_id", raw.alias("value")), "conn.log")
+    return made.select("event_id", "telemetry_source", "log_type", "timestamp", "conn__id__orig_h", "conn__service", "conn__orig_bytes", F.col("conn__duration").alias("duration"))
+
+
+def semantic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = semantic.semantic_matches(events(spark, sf_dir), SEMANTIC_RULES, NAMES, context.Networks(ZONES), "event_type", ("event_id",))
+    return found.withColumn("matched_conditions", F.array_join("matched_conditions", "; ")).withColumn("context_conditions", F.array_join("context_conditions", "; ")).drop("tactic")
+
+
+def alert_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.alert_matches(events(spark, sf_dir), ALERT_RULES, NAMES, ("event_id",))
+
+
+def condition_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = events(spark, sf_dir).withColumn("v", F.expr("nullif(k, 5)")).withColumn("s", F.expr("nullif(event_type, 'view')"))
+    f = predicates.fields_of(own)
+    tests = {
+        "z_null": predicates.semantic_leaf(f["v"], "is_null", True), "z_ne": predicates.semantic_leaf(f["v"], "!=", 7), "z_ne_text": predicates.semantic_leaf(f["v"], "!=", "7"), "z_lt": predicates.semantic_leaf(f["v"], "<", 50),
+        "z_ends": predicates.semantic_leaf(f["s"], "endswith", "ck"), "z_text_order": predicates.semantic_leaf(f["s"], ">", "m"), "w_null": predicates.alert_leaf(f["v"], "is_null", False), "w_eq": predicates.alert_leaf(f["v"], "==", " 7"),
+        "w_not_in": predicates.alert_leaf(f["v"], "NOT_IN", ["1", 2]), "w_contains": predicates.alert_leaf(f["s"], "contains", "CLI"), "w_ge": predicates.alert_leaf(f["s"], ">=", 3), "c_null": predicates.metric_leaf(f["v"], "is_null", given=False),
+        "c_not_in": predicates.metric_leaf(f["v"], "not_in", [1, 2]), "c_le": predicates.metric_leaf(f["v"], "<=", 30),
+        "z_empty": predicates.semantic_tree({"logic": "AND", "conditions": []}, f), "w_empty": predicates.alert_tree({"conditions": []}, f),
+    }
+    return own.select("event_id", *(c.alias(k) for k, c in tests.items()))
+
+
+def time_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = events(spark, sf_dir)
+    found = timegroups.anchored_groups(own.select(F.lit("all").alias("rule"), F.lit(HOUR * 1_000_000).cast("long").alias("w"), "t"))
+    return own.join(found, "t").select("event_id", "time_group_id")
+
+
+def correlation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = events(spark, sf_dir)
+    groups = timegroups.anchored_groups(own.select(F.lit("all").alias("rule"), F.lit(HOUR * 1_000_000).cast("long").alias("w"), "t")).drop("rule")
+    rule = {"group_by": ["kind"], "aggregations": METRICS, "conditions": [{"metric": "n", "operator": ">", "value": 1}]}
+    out = correlation.correlate(own.join(groups, "t"), rule, NAMES, ("time_group_id",))
+    return out.select("time_group_id", "kind", *(F.round(k, 6).alias(k) for k in METRICS), "detected")
+
+
+def correlation_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlation.detect(events(spark, sf_dir), [SCAN_RULE, USER_RULE], NAMES, "t", "event_type").drop("metrics")
+
+
+def sliding_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = timegroups.forward_window(events(spark, sf_dir).select("event_id", "t", "value"), "t", 600_000_000, "event_id", ["event_id", "t", "value"])
+    return found.groupBy("event_id").agg(F.count("*").alias("n"), F.round(F.sum("other_value"), 6).alias("total"))
+
+
+def centered_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = timegroups.centered_band(events(spark, sf_dir).where("event_type IN ('error', 'click')").select("event_id", "t"), "t", 900_000_000, ["event_id", "t"])
+    return found.groupBy("event_id").agg(F.count("*").alias("n"), F.min("other_event_id").alias("first"))
+
+
+def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pairs.pair_correlation(events(spark, sf_dir), PAIR_RULE, NAMES, "event_id")
+    return found.withColumn("evidence", F.array_join("evidence", "; "))
+
+
+def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = events(spark, sf_dir).select(F.expr("CASE WHEN k < 3 THEN '' WHEN k < 5 THEN NULL ELSE concat(user_id, '-', k) END").alias("id"), "t", "event_id")
+    return semantic.first_wins(own, "id", ["t", "event_id"])
+
+
+def context_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = events(spark, sf_dir)
+    return own.select("event_id", "ip", context.Networks(ZONES).zone(F.col("ip")).alias("zone"), in_network(F.col("ip"), "10.3.0.0/17").alias("inside"))
+
+
+def context_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = events(spark, sf_dir).select("event_id", F.col("user_id").cast("string").alias("host"))
+    assets = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("ip"), F.col("c_mktsegment").alias("role"), F.col("c_nationkey").cast("string").alias("category"))
+    return context.with_assets(own, assets, "host").withColumnsRenamed({"host.role": "role", "host.category": "category"})
+
+
+def evidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("technique_id"), F.col("p_type").alias("event_identity"))
+    found = scoring.evidence_scores(rows)
+    return found.select("p_partkey", "evidence_degree", F.round("evidence_score", 3).alias("evidence_score"))
+
+
+def relationship_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_brand").alias("technique_id"), "p_type", F.expr("CASE p_size % 7 WHEN 0 THEN NULL WHEN 1 THEN 'none' WHEN 2 THEN p_name || ' = ' || p_type WHEN 3 THEN 'a = b' WHEN 4 THEN 'contains x' WHEN 5 THEN 'x | y' ELSE p_name END").alias("flt")
+    )
+    out = scoring.relationship_strength(rows, ["p_type", "flt"], "flt", {"p_type": 2.0, "flt": 1.0, "absent": 5.0})
+    return out.select("p_partkey", F.round("telemetry_specificity", 6).alias("telemetry_specificity"), "filter_specificity", F.round("completeness", 6).alias("completeness"))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(part, lines["l_partkey"] == part["p_partkey"])
+    return joined.select(F.col("o_custkey").alias("group_id"), F.col("p_brand").alias("technique_id")).distinct()
+
+
+def technique_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.technique_pairs(_edges(spark, sf_dir))
+
+
+def related_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.related(graph.technique_pairs(_edges(spark, sf_dir)), 5, 0.0).select("t1", "t2", "group_count", "relation_rank")
+
+
+def anti_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return graph.missing(customers, table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+def semi_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
+    return graph.supported_only(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), few, "c_nationkey").select("c_custkey", "c_nationkey")
+
+
+def union_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = alert_map(spark, sf_dir).select("event_id", "mapping_id", "score", F.lit("semantic").alias("result_kind"))
+    two = pair_correlation(spark, sf_dir).select(F.col("source_uid").alias("event_id"), "mapping_id", "followup_uid", F.lit("correlation").alias("result_kind"))
+    return semantic.union_results(one, two)
+
+
+def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.last_wins(events(spark, sf_dir).select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
+
+
+def size_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy("p_type", "p_brand").count().withColumnRenamed("count", "size").orderBy(F.desc("size"))
+
+
+def required_fields_by_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = table(spark, sf_dir, "part").select(F.array("p_brand").alias("log_type"), F.split("p_type", " ").alias("required_fields"))
+    return semantic.required_fields(rules).withColumn("required_fields", F.array_join("required_fields", ","))
+
+
+def null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.null_counts(events(spark, sf_dir).select(F.expr("nullif(k, 5)").alias("k"), F.expr("nullif(event_type, 'view')").alias("event_type"), "value"))
+
+
+def ordered_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sequences.sequences(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderpriority", ["o_orderdate", "o_orderkey"])
+    return found.where(F.size("sequence") >= sequences.LEAST_LENGTH).withColumn("sequence", F.array_join("sequence", ","))
+
+
+def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's event types of a day, in order."""
+    own = events(spark, sf_dir).withColumn("day", F.floor(F.col("t") / 86_400_000_000).cast("long"))
+    ordered = F.array_sort(F.collect_list(F.struct("t", "event_id", "event_type")))
+    return own.groupBy("user_id", "day").agg(F.transform(ordered, lambda x: x["event_type"]).alias("sequence"))
+
+
+def prefix_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.prefix_examples(_visits(spark, sf_dir)).select("user_id", "day", F.col("n").cast("long").alias("n"), "input_str", "target")
+
+
+def markov_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sequences.markov_counts(sequences.prefix_examples(_visits(spark, sf_dir)), 2)
+    return found.withColumn("history", F.array_join("history", ","))
+
+
+def _predicted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    examples = sequences.prefix_examples(_visits(spark, sf_dir)).withColumn("example_id", F.concat_ws("/", "user_id", "day", "n"))
+    counts = sequences.markov_counts(examples.where("user_id % 10 < 7"), 2)
+    items = sequences.vocabulary(_visits(spark, sf_dir)).select("item")
+    tests = examples.where("user_id % 10 >= 7")
+    return tests, sequences.markov_predict(counts, tests, items, 2, 3)
+
+
+def markov_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predicted(spark, sf_dir)[1].withColumn("probability", F.round("probability", 6))
+
+
+def markov_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sequences.evaluate(*_predicted(spark, sf_dir))
+    return out.select("n", *(F.round(c, 6).alias(c) for c in ("top1", "top3", "top5", "mrr")))
+
+
+def _rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines = table(spark, sf_dir, "lineitem").where("l_suppkey <= 20")
+    a = lines.groupBy(F.col("l_suppkey").alias("example_id"), F.col("l_linenumber").alias("item")).agg(F.count("*").cast("double").alias("score"))
+    b = lines.where("l_linenumber > 2").groupBy(F.col("l_suppkey").alias("example_id"), (F.col("l_linenumber") + 1).alias("item")).agg(F.sum("l_quantity").alias("score"))
+    return a, b
+
+
+def fusion_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.fuse(*_rankings(spark, sf_dir), "soft", 100).select("example_id", "item", F.round("score", 6).alias("score"))
+
+
+def fusion_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.fuse(*_rankings(spark, sf_dir), "hard_intersection", 3).select("example_id", "item", "score", "rank")
+
+
+_QUERIES = (
+    decode_envelope, semantic_map, alert_map, condition_matrix, time_groups, correlation_metrics, correlation_detect, sliding_forward, centered_band, pair_correlation, dedup_first,
+    context_zone, context_asset, evidence_score, relationship_strength, technique_pairs, related_topk, anti_missing, semi_filter, union_results, last_wins, size_sorted,
+    required_fields_by_log, null_counts, ordered_sequences, prefix_examples, markov_counts, markov_predict, markov_eval, fusion_soft, fusion_hard,
+)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
