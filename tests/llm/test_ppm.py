@@ -81,3 +81,11 @@ def test_adaptive(spark):
     made = {r["doc_id"]: r["score"] for r in ppm.adaptive_score(docs).collect()}
     assert made[2] == pytest.approx(-np.log10(256))
     assert made[1] / 19 > made[3] / 11
+
+
+def test_lookup():
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 48, 5000))
+    lookup = ppm.Lookup(keys, np.arange(len(keys), dtype=float))
+    asked = np.random.default_rng(1).permutation(np.repeat(np.arange(len(keys)), 2))
+    assert (lookup(keys[asked]) == asked).all()
+    assert len(ppm.Lookup(keys[:0], np.zeros(0))(keys[:0])) == 0

@@ -146,6 +146,32 @@ def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
     return keys, np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
 
 
+class Lookup:
+    """Values of distinct keys by a table of slots; keys that another one keeps from their slot are searched for."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(np.ceil(np.log2(len(keys) + 1))) + 1)
+        self.shift = np.uint64(64 - bits)
+        slots = self._slots(keys)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+        self.keys[slots], self.values[slots] = keys, values
+        out = np.flatnonzero(self.keys[slots] != keys)
+        out = out[np.argsort(keys[out], kind="stable")]
+        self.rest, self.rest_values = keys[out], values[out]
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys that are all there."""
+        slots = self._slots(keys)
+        found = self.values[slots]
+        missed = np.flatnonzero(self.keys[slots] != keys)
+        if len(missed):
+            found[missed] = self.rest_values[np.searchsorted(self.rest, keys[missed])]
+        return found
+
+
 def _keys(chunks: DataFrame, order: int) -> DataFrame:
     """run (or a word's hash), chunk, n training occurrences: every distinct run and word of a chunk once for each task that reads some of it."""
     import pyarrow as pa
@@ -242,9 +268,9 @@ def score(docs: DataFrame, learns: Column, key: str = "doc_id", text: str = "tex
     def run(asked: pa.Table, given: pa.Table) -> pa.Table:
         is_word, keys, values = (given.column(c).to_numpy() for c in ("word", "key", "value"))
         known = dict(zip(keys[is_word].tolist(), values[is_word].tolist(), strict=True))
-        grams, values = keys[~is_word], values[~is_word]
-        order_ = np.argsort(grams, kind="stable")
-        grams, values = grams[order_], values[order_]
+        # a chunk that several tasks read has asked for some runs more than once
+        grams, first = np.unique(keys[~is_word], return_index=True)
+        lookup = Lookup(grams, values[~is_word][first])
         least = np.log10(total + 0.5 * (kinds + 1))
 
         class Seen(dict):
@@ -259,7 +285,7 @@ def score(docs: DataFrame, learns: Column, key: str = "doc_id", text: str = "tex
             if not texts:
                 continue
             found, sizes = runs(texts, order)
-            logs = np.add.reduceat(values[np.searchsorted(grams, found)], np.cumsum(sizes) - sizes)
+            logs = np.add.reduceat(lookup(found), np.cumsum(sizes) - sizes)
             split = [t.split() for t in texts]
             c = np.fromiter((x for s in split for x in (*map(seen.__getitem__, s), end)), np.float64)
             n = np.array([len(s) + 1 for s in split], np.int64)
