@@ -35,3 +35,9 @@ def test_without_labels(spark):
     model = tx.train(table, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r.predicted for r in tx.score(table, model).collect()] == [0]
     assert tx.score(table.limit(0), model).count() == 0
+
+
+def test_support_scales_with_the_sample():
+    ordinary = [f"plain w{chr(97 + i % 26)}{chr(97 + i // 26)} words about weather" for i in range(400)]
+    toxic = [f"plain w{chr(97 + i)}x blurgh w{chr(97 + i)}y weather" for i in range(8)] + ["plain words about weather"] * 42
+    assert "blurgh" in tx.beginnings(toxic, ordinary)  # eight contexts in 50 documents

@@ -11,6 +11,7 @@ more than by toxicity; contexts are counted rather than occurrences, so copies o
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,8 +27,9 @@ from watchtide.llm.common import text_batches
 TOXIC_DOCS, ORDINARY_DOCS = 1000, 2000
 #: Words of a window, bytes of ordinary text in a dictionary, and bytes appended to a window so that zstandard never stores it raw.
 WINDOW_WORDS, DICTIONARY, TAIL = 1, 4096, 128
-#: Contexts that a beginning needs, its rate among toxic contexts over its rate among ordinary ones, and the share of continuations that lengthens it.
+#: Contexts that a beginning needs when TOXIC_DOCS documents are toxic (with fewer documents fewer, LEAST_CONTEXTS at least), its rate among toxic contexts over its rate among ordinary ones, and the share of continuations that lengthens it.
 CONTEXTS, RATIO, MAJORITY = 20, 20, 0.6
+LEAST_CONTEXTS = 5
 THRESHOLD = 0.3
 CACHE_WINDOWS = 300_000
 
@@ -74,7 +76,7 @@ class Distances(dict):
 
 
 def beginnings(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Beginnings of words that toxic texts use in at least CONTEXTS contexts, RATIO times as often as ordinary ones; rarest first."""
+    """Beginnings of words that toxic texts use in at least CONTEXTS contexts (in proportion to the sample), RATIO times as often as ordinary ones; rarest first."""
 
     def contexts(texts: list[str]) -> tuple[Counter, int]:
         seen: dict[str, int] = {"": 0}
@@ -95,7 +97,8 @@ def beginnings(toxic: list[str], ordinary: list[str]) -> list[str]:
         return found, len(each)
 
     (a, all_a), (b, all_b) = contexts(toxic), contexts(ordinary)
-    telling = {s for s in a if a[s] >= CONTEXTS and (a[s] + 0.5) / all_a >= RATIO * (b[s] + 0.5) / max(1, all_b)}
+    least = max(LEAST_CONTEXTS, math.ceil(CONTEXTS * len(toxic) / TOXIC_DOCS))
+    telling = {s for s in a if a[s] >= least and (a[s] + 0.5) / all_a >= RATIO * (b[s] + 0.5) / max(1, all_b)}
     shortest: list[str] = []
     for s in sorted(telling, key=lambda s: (len(s), s)):
         if not any(s.startswith(c) for c in shortest):
