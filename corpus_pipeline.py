@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from watchtide.llm import decontamination, language, ngram_join, packing, queries, toxicity
 from watchtide.llm.common import materialize, table
 
-#: A document whose language is less probable than this, or has no letter at all, is rejected.
+#: A document whose words are of a known language with less certainty than this, or that has no letter at all, is rejected.
 LEAST_CERTAIN = 0.5
 
 
@@ -23,9 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose words are of a known language, whatever their lang column says."""
-    found = language.identify(docs, queries.language_model(spark, sf_dir))
-    return _but(docs, found.where(f"lang_pred = '{language.UNKNOWN}' OR score < {LEAST_CERTAIN}"))
+    """Documents whose words are of known languages, of one or of several, whatever their lang column says."""
+    return language.keep_certain(docs, queries.language_model(spark, sf_dir), LEAST_CERTAIN)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

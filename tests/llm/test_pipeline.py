@@ -55,3 +55,11 @@ def test_empty_and_null_documents(spark):
         for _, stage in corpus_pipeline.STAGES:
             made = stage(spark, made, DIR)
         assert made.count() == 0
+
+
+def test_documents_of_several_languages_stay(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    one = [r[0].split()[:40] for r in docs.where("length(text) > 400").groupBy("lang").agg(F.min_by("text", "doc_id")).where("lang IS NOT NULL").select(F.col("min_by(text, doc_id)")).collect()]
+    mixed = [(k, " ".join(w for own in one[k:] for w in own)) for k in range(len(one) - 1)] + [(90, "12 34"), (91, None)]
+    rows = spark.createDataFrame(mixed, "doc_id long, text string")
+    assert len(one) >= 4 and ids(corpus_pipeline.keep_languages(spark, rows, DIR)) == set(range(len(one) - 1))

@@ -199,6 +199,28 @@ def _spread(texts: list[str | None], model: Model) -> tuple[list[list[str]], np.
     return own, some, lengths, marginals(model.emissions(list(names))[code], lengths, model.moves)
 
 
+def keep_certain(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """Rows of docs, all columns, whose words are of learned languages with a certainty of at least `least`.
+
+    Certainty is the mean over all words of each word's greatest marginal, so texts of several languages are as
+    certain as their words. Texts without letters are left out. Each row is decided on its own text.
+    """
+    import pyarrow as pa
+
+    text_batches(docs.sparkSession, 500)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            _, some, lengths, post = _spread(batch.column(at).to_pylist(), model)
+            if len(some):
+                keep[some] = np.add.reduceat(post.max(1), np.cumsum(lengths) - lengths) / lengths >= least
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score (mean marginal of lang_pred over the text's words).
 
