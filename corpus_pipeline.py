@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from watchtide.llm import decontamination, language, ngram_join, packing, queries, toxicity
 from watchtide.llm.common import materialize, table
@@ -11,15 +12,13 @@ from watchtide.llm.common import materialize, table
 LEAST_CERTAIN = 0.5
 
 
-def _but(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without the rejected ids; documents without an id stay."""
-    gone = rejected.where("doc_id IS NOT NULL").select(rejected["doc_id"].alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def _digest(text: str) -> Column:
+    return F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit(""))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic, by a model fitted on the labelled documents of the learning folds."""
-    return _but(docs, toxicity.score(docs, queries.toxicity_model(spark, sf_dir)).where("predicted = 1"))
+    return toxicity.without_toxic(docs, queries.toxicity_model(spark, sf_dir))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,14 +27,21 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return ngram_join.deduplicate(docs)
+    """One row of each group of near copies, repeated rows and rows without an id among them: that of the least doc_id, null ids last."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = ngram_join.ngram_join(rows, key="_row").select(F.col("_row").alias("_id"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", _digest("text"), "_row")
+    slim = rows.select("_row", order.alias("_order"))
+    kept = slim.join(found, slim["_row"] == found["_id"]).groupBy("component_id").agg(F.min("_order")["_row"].alias("_kept"))
+    return rows.join(kept, rows["_row"] == kept["_kept"], "left_semi").drop("_row")
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _but(docs, found.where("contaminated"))
+    """Documents that hold no window of a benchmark item. Documents and items are told apart by their texts: ids may be null or repeated."""
+    items = table(spark, sf_dir, "benchmark").select(_digest("text").alias("item_id"), "text")
+    found = decontamination.decontaminate(docs.select(_digest("text").alias("_digest"), "text"), items, key="_digest")
+    leaked = found.where("contaminated").select(F.col("_digest").alias("_leaked")).distinct()
+    return docs.join(leaked, _digest("text") == leaked["_leaked"], "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

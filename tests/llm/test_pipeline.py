@@ -63,3 +63,23 @@ def test_documents_of_several_languages_stay(spark):
     mixed = [(k, " ".join(w for own in one[k:] for w in own)) for k in range(len(one) - 1)] + [(90, "12 34"), (91, None)]
     rows = spark.createDataFrame(mixed, "doc_id long, text string")
     assert len(one) >= 4 and ids(corpus_pipeline.keep_languages(spark, rows, DIR)) == set(range(len(one) - 1))
+
+
+def test_rows_without_an_id_or_with_a_shared_one(spark, tmp_path):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    bad = spark.read.parquet(f"{DIR}/labels.parquet").where("toxic = 1").join(docs, "doc_id")
+    bad = bad.where("length(text) < 3000").join(corpus_pipeline.drop_toxic(spark, docs, DIR), "doc_id", "left_anti").first().text
+    clean, other = "the weather was fine and we walked along the river until the evening", "my neighbour grows tomatoes and beans behind the old wooden house"
+    item = spark.createDataFrame([(None, "one day every item of this test stood in a benchmark table")], "item_id long, text string")
+    item.write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def left(stage, rows, where=DIR):
+        made = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), where).collect()
+        return sorted(((r.doc_id, r.text) for r in made), key=repr)
+
+    assert left(corpus_pipeline.drop_toxic, [(None, bad), (7, bad), (7, clean)]) == [(7, clean)]
+    assert left(corpus_pipeline.keep_languages, [(None, "12 34"), (7, "?!"), (7, clean)]) == [(7, clean)]
+    rows = [(None, clean), (5, clean), (5, clean), (6, clean.upper()), (5, other), (None, "one two"), (None, "one two"), (9, None)]
+    assert left(corpus_pipeline.drop_near_copies, rows) == sorted([(5, clean), (5, other), (None, "one two"), (9, None)], key=repr)
+    said = "they say that one day every item of this test stood in a benchmark table indeed"
+    assert left(corpus_pipeline.drop_leaked, [(None, said), (7, said), (7, clean), (None, clean), (8, None)], str(tmp_path)) == sorted([(7, clean), (None, clean), (8, None)], key=repr)

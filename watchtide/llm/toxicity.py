@@ -176,6 +176,22 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit([r[1] for r in rows if r[2] == 1], [r[1] for r in rows if r[2] != 1], min(0.99, max(0.01, counts.get(True, 0) / total if total else 0)))
 
 
+def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of docs, all columns, that `score` doesn't predict toxic. Each row is decided on its own text."""
+    import pyarrow as pa
+
+    text_batches(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distances = Distances(model.toxic, model.ordinary)
+        for batch in batches:
+            x = np.array([distances.features(t) for t in batch.column(at).to_pylist()]).reshape(-1, 6)
+            yield batch.filter(pa.array(model.probability(x) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key, score (probability of toxicity), predicted (1 from the threshold on). Texts without a word, null ones too, get the score of no window; repeated rows are scored each; other columns are ignored."""
     import pyarrow as pa
