@@ -51,3 +51,20 @@ def test_counts(spark):
         whole.encode_special_tokens = "byte" in name
         got = {r.doc_id: r.n_tokens for r in rollups.count_tokens(docs, name).collect()}
         assert got == {i: len(whole.encode(t or "", add_special_tokens=False)) for i, t in enumerate(texts)}
+
+
+def test_query_counts_every_document_under_both_tokenizers(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from watchtide.llm import queries
+
+    rows = [(None, "one text"), (None, "another, longer text"), (None, "one text"), (None, None), (None, None), (1, "first of one id"), (1, "second of one id"), (1, "second of one id"), (2, "one text"), (3, "tres")]
+    rows = [(d, t, "s", "es" if t == "tres" else "en") for d, t in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in queries.op6_token_counts(spark, str(tmp_path)).collect()}
+    want = {}
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        whole = Tokenizer.from_file(rollups.default_path(name))
+        n = {t: len(whole.encode(t, add_special_tokens=False)) for _, t, *_ in rows if t}
+        want["es", name], want["en", name] = (1, n.pop("tres")), (6, sum(n.values()))  # four texts and two rows without one
+    assert got == want

@@ -19,7 +19,7 @@ from watchtide.llm.tokens import default_path, word_ids
 
 INSERT, REVISE, DELETE = "insert", "revise", "delete"
 GROUP = ["source", "lang", "tokenizer"]
-ROWS = "doc_id long, tokenizer string, source string, lang string, n_tokens long, alive boolean"
+ROWS = "doc_id long, part string, tokenizer string, source string, lang string, n_tokens long, alive boolean"
 DELTAS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
@@ -78,17 +78,19 @@ class Rollup:
         return self.spark.read.schema(f"{schema}, batch int").option("basePath", f"{self.root}/{name}").parquet(*parts)
 
     def state(self, before: int | None = None) -> DataFrame:
-        """The last committed row of every (doc_id, tokenizer), deleted ones with alive = false."""
+        """The last committed row of every (doc_id, part, tokenizer), deleted ones with alive = false."""
         ids = [i for i in self.batches() if before is None or i != before]
         rows = self._read("rows", ROWS, ids)
         last = F.max_by(F.struct("source", "lang", "n_tokens", "alive"), "batch").alias("s")
-        return rows.groupBy("doc_id", "tokenizer").agg(last).select("doc_id", "tokenizer", "s.*")
+        part = F.coalesce("part", F.lit("")).alias("part")
+        return rows.groupBy("doc_id", part, "tokenizer").agg(last).select("doc_id", "part", "tokenizer", "s.*")
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
-        """Apply changes (doc_id, tokenizer, action, source, lang, n_tokens, and seq where order matters); False if done before.
+        """Apply changes (doc_id, tokenizer, action, source, lang, n_tokens, seq where order matters, and part where ids may be null or shared); False if done before.
 
-        Of several changes to one (doc_id, tokenizer) in a batch the one of greatest seq holds (then the greatest
-        action and values); null ids are one document. Inserting what is there revises it; deleting or revising
+        part tells the documents of one doc_id, or without one, apart: a change names the part that it was inserted
+        with; without the column there is one. Of several changes to one (doc_id, part, tokenizer) in a batch the one of greatest seq holds (then the greatest
+        action and values); null ids of one part are one document. Inserting what is there revises it; deleting or revising
         what isn't there deletes nothing or inserts. A null count is 0. Batches must come in rising order.
         """
         done = self.batches()
@@ -98,14 +100,15 @@ class Rollup:
             raise ValueError(f"batch {batch} comes before the committed batch {done[-1]}")
         seq = F.col("seq").cast("long") if "seq" in changes.columns else F.lit(0).cast("long")
         last = F.max(F.struct(seq.alias("q"), "action", "source", "lang", F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"))).alias("c")
-        incoming = changes.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "tokenizer").agg(last)
-        rows = incoming.select("doc_id", "tokenizer", "c.source", "c.lang", "c.n_tokens", (F.col("c.action") != DELETE).alias("alive"))
+        part = F.coalesce(F.col("part").cast("string"), F.lit("")) if "part" in changes.columns else F.lit("")
+        incoming = changes.groupBy(F.col("doc_id").cast("long").alias("doc_id"), part.alias("part"), "tokenizer").agg(last)
+        rows = incoming.select("doc_id", "part", "tokenizer", "c.source", "c.lang", "c.n_tokens", (F.col("c.action") != DELETE).alias("alive"))
         rows.write.mode("overwrite").parquet(f"{self.root}/rows/batch={batch}")
         fresh = self.spark.read.schema(ROWS).parquet(f"{self.root}/rows/batch={batch}")
         signed = fresh.where("alive").select(*GROUP, F.lit(1).alias("sign"), "n_tokens")
         if done:
             held = self.state().where("alive").alias("s")
-            was = held.join(fresh.alias("n"), F.expr("s.doc_id <=> n.doc_id AND s.tokenizer <=> n.tokenizer"), "left_semi")
+            was = held.join(fresh.alias("n"), F.expr("s.doc_id <=> n.doc_id AND s.part = n.part AND s.tokenizer <=> n.tokenizer"), "left_semi")
             signed = signed.unionByName(was.select(*GROUP, F.lit(-1).alias("sign"), "n_tokens"))
         delta = signed.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("n_tokens"))
         delta.write.mode("overwrite").parquet(f"{self.root}/deltas/batch={batch}")
