@@ -50,3 +50,23 @@ def test_ranges_are_split_until_exact(spark, monkeypatch):
 
 def test_empty(spark):
     assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_large_group_leaves_no_shard_empty(spark):
+    rows = [(i, f"text {i} " * (i % 7 + 20)) for i in range(2000)] + [(5000 + i, "hot text " * 20) for i in range(900)] + [(9000 + i, "warm text " * 20) for i in range(90)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 40).groupBy("shard").sum("size").collect()
+    load = sorted(r[1] for r in got)
+    assert len(load) == 40 and load[-2:] == [90 * 216, 900 * 196] and load[-3] < 1.1 * load[0]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_even_keeps_the_least_capacity(seed):
+    import random
+
+    random.seed(seed)
+    sizes = [random.choice([16, 40, 90, random.randrange(16, 3000)]) for _ in range(random.randrange(1, 120))]
+    shards = random.randrange(1, 45)
+    starts = sharding.even(sizes, shards)
+    load = [sum(sizes[a:b]) for a, b in zip(starts, [*starts[1:], len(sizes)], strict=True)]
+    assert starts[0] == 0 and len(load) == min(shards, len(sizes)) and min(load) > 0
+    assert max(load) == least_capacity(sizes, shards)

@@ -2,7 +2,8 @@
 
 Groups are ordered by the 64-bit hash of their text. The smallest shard capacity for which a greedy sweep needs no
 more than the wanted number of shards is found by binary search. The driver only holds sums of hash ranges: it
-starts with 2**16 ranges and splits only those in which a cut may fall, until the bounds on the capacity meet.
+starts with 2**16 ranges and splits only those in which a cut may fall, until the bounds on the capacity meet. Within that capacity shards are then cut as near equal as they can be: a group
+that fills a shard alone is set apart, and what lies between such groups is spread over the other shards likewise.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from watchtide.llm.common import materialize, ranked
 
 #: Bits of the hash that the first ranges share, and bits by which a range is split further.
 FIRST_BITS, MORE_BITS = 16, 6
+#: Groups of this part of a shard or more are cut around when shards are evened.
+EVEN = 64
 #: Rows numbered in one task at most, about.
 RANK_ROWS = 50_000
 
@@ -109,11 +112,94 @@ def cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
             break
         shift, prefix, _, _ = ranges.rows[ranges.at(x)]
         starts.append(prefix << shift)
-    return high, starts
+    return high, evened(groups, shards, ranges.total, starts)
+
+
+def evened(groups: DataFrame, shards: int, total: int, starts: list[int]) -> list[int]:
+    """Starts of shards that are as near equal as the least capacity allows; starts: a cut that attains it.
+
+    Shards are cut at borders of 2**16 hash ranges, at the given starts and around the groups that weigh 1/EVEN of
+    a shard or more, so that the capacity is kept.
+    """
+    marks: dict[int, set[int]] = {}
+    shift = 64 - FIRST_BITS
+    for r in groups.where(F.col("bytes") * (EVEN * shards) >= total).select("h").collect():
+        for h in (r[0], r[0] + 1):
+            marks.setdefault(h >> shift, set()).add(h)
+    for h in starts:
+        marks.setdefault(h >> shift, set()).add(h)
+    known = groups.sparkSession.createDataFrame([(p, sorted(h for h in m if h < 2**63)) for p, m in marks.items()], "p long, marks array<long>")
+    placed = groups.withColumn("p", F.shiftright("h", shift)).join(F.broadcast(known), "p", "left")
+    nth = F.size(F.filter(F.coalesce("marks", F.array().cast("array<long>")), lambda x: x <= F.col("h")))
+    rows = sorted((r[2], int(r[3])) for r in placed.groupBy("p", nth.alias("nth")).agg(F.min("h"), F.sum("bytes")).collect())
+    return [rows[i][0] for i in even([b for _, b in rows], shards)[1:]]
+
+
+def even(sizes: list[int], shards: int) -> list[int]:
+    """Indices where the shards of a contiguous partition begin: the largest is least; what an item fills alone is set apart, and the rest cut again by the same search."""
+    ends = [0, *np.cumsum(sizes, dtype=np.int64).tolist()]
+
+    def needed(lo: int, hi: int, capacity: int, most: int) -> int:
+        n = 0
+        while lo < hi and n <= most:
+            lo, n = bisect.bisect_right(ends, ends[lo] + capacity) - 1, n + 1
+            lo = min(lo, hi)
+        return n
+
+    def cut(lo: int, hi: int, k: int) -> list[int]:
+        """Starts of k shards, or of as many as there are items, for items lo to hi."""
+        k = min(k, hi - lo)
+        parts, alone = [(lo, hi)], []
+        while parts and k:
+            largest = max(max(sizes[a:b]) for a, b in parts)
+            low, high = max(largest, -(-sum(ends[b] - ends[a] for a, b in parts) // k)), ends[-1]
+            while low < high:
+                middle = (low + high) // 2
+                if sum(needed(a, b, middle, k) for a, b in parts) <= k:
+                    high = middle
+                else:
+                    low = middle + 1
+            if low > largest:
+                break
+            whole = [i for a, b in parts for i in range(a, b) if sizes[i] == largest]
+            alone, k = alone + whole, k - len(whole)
+            inside, parts = parts, []
+            for a, b in inside:
+                for i in [*(i for i in whole if a <= i < b), b]:
+                    if a < i:
+                        parts.append((a, i))
+                    a = i + 1
+        if not parts:
+            return sorted(alone)
+        share = [needed(a, b, low, k) for a, b in parts]
+        for _ in range(k - sum(share)):
+            more = [i for i, (a, b) in enumerate(parts) if share[i] < b - a]
+            if more:
+                share[max(more, key=lambda i: (ends[parts[i][1]] - ends[parts[i][0]]) / share[i])] += 1
+        if len(parts) == 1 and not alone:
+            return level(lo, hi, share[0], low)
+        return sorted(alone + [x for (a, b), n in zip(parts, share, strict=True) for x in cut(a, b, n)])
+
+    def level(lo: int, hi: int, k: int, capacity: int) -> list[int]:
+        """Each shard near an equal part of what is left, none above capacity and none empty."""
+        first = [hi]  # the least starts from which the last shards suffice
+        for _ in range(k - 1):
+            first.append(max(lo, bisect.bisect_left(ends, ends[first[-1]] - capacity)))
+        out = [lo]
+        for left in range(k - 1, 0, -1):
+            at = out[-1]
+            goal = ends[at] + (ends[hi] - ends[at]) / (left + 1)
+            i = bisect.bisect_left(ends, goal)
+            i -= i > 0 and goal - ends[i - 1] < ends[i] - goal
+            top = min(bisect.bisect_right(ends, ends[at] + capacity) - 1, hi - left)
+            out.append(min(max(i, first[left], at + 1), top))
+        return out
+
+    return cut(0, len(sizes), shards)
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Put every row into a shard so that the largest shard's bytes are least, equal texts staying together.
+    """Put every row into a shard so that the largest shard's bytes are least and the others near equal, equal texts staying together.
 
     Returns key, size, text_crc32, law ('bytes'), shard, slot (gapless from 0 in its shard), grown_shard (null).
     Null texts are one group of their own and weigh 16 bytes a row; repeated rows each get a slot; an empty table
