@@ -1,3 +1,4 @@
+import math
 import random
 
 from watchtide.llm import toxicity as tx
@@ -40,4 +41,61 @@ def test_without_labels(spark):
 def test_support_scales_with_the_sample():
     ordinary = [f"plain w{chr(97 + i % 26)}{chr(97 + i // 26)} words about weather" for i in range(400)]
     toxic = [f"plain w{chr(97 + i)}x blurgh w{chr(97 + i)}y weather" for i in range(8)] + ["plain words about weather"] * 42
-    assert "blurgh" in tx.beginnings(toxic, ordinary)  # eight contexts in 50 documents
+    assert "blurgh" in tx.leaning(toxic, ordinary)  # eight contexts in 50 documents
+
+
+def test_phrases_of_common_words_and_words_with_digits_lean():
+    random.seed(5)
+    say = lambda: " ".join(random.choice(["you", "all", "are", "bad", "good", "news", "today", "here"]) for _ in range(30))
+    ordinary = [say().replace("bad news", "good news") for _ in range(300)]
+    toxic = [f"{say()} bad news {say()} k1ller {random.choice('abcdef')}" for _ in range(60)]
+    lean = tx.leaning(toxic, ordinary)
+    assert {"bad news", "k1ller"} <= lean and not lean & {"you", "all", "are", "bad", "good", "news"}
+    assert tx.leaning([], ordinary) == tx.leaning(toxic, []) == set()
+    assert tx.leaning([toxic[0]] * 200, ordinary) <= {"bad news", "k1ller"}  # copies teach once
+
+
+def test_both_dictionaries_are_trained(monkeypatch):
+    import zstandard
+
+    sizes, real = [], zstandard.train_dictionary
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda n, samples: sizes.append(n) or real(n, samples))
+    docs = corpus(n=900)
+    pair = tx.Pair.of([t for _, t, y in docs if y], [t for _, t, y in docs if not y])
+    assert sorted(sizes) == [tx.DICTIONARY, tx.DICTIONARY, tx.COMMON]
+    assert len(pair.toxic) == len(pair.ordinary) > 0
+    assert b"blurgh" in pair.toxic and b"blurgh" not in pair.ordinary + pair.common
+
+
+def test_score_against_brute_force(spark):
+    import zstandard as z
+
+    docs = corpus(n=300)
+    model = tx.fit([t for _, t, y in docs if y], [t for _, t, y in docs if not y], 0.2)
+    how = z.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=16, search_log=6, min_match=4, target_length=32, strategy=z.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def length(own, w):
+        d = z.ZstdCompressionDict(model.pair.common + own, dict_type=z.DICT_TYPE_RAWCONTENT)
+        return len(z.ZstdCompressor(dict_data=d, compression_params=how).compress(b" " + w + b" " + model.pair.common[-tx.TAIL :]))
+
+    texts = [docs[0][1], docs[1][1], "One word", "", None, "x" * 1000]
+    table = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string").selectExpr("*", "'t' AS score", "3 AS predicted")
+    got = tx.score(table, model).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        words = [w[i : i + 64] for w in (texts[r.doc_id] or "").lower().split() for i in range(0, len(w), 64)]
+        runs = [" ".join(words[i : i + 4]).encode() for i in range(0, len(words), 4)]
+        saved = [length(model.pair.ordinary, w) - length(model.pair.toxic, w) for w in runs]
+        z0 = sum(math.log1p(sum(s >= c for s in saved)) * k for c, k in zip(tx.SAVED, model.weights)) + math.log1p(len(runs)) * model.weights[-2] + model.weights[-1]
+        assert abs(r.score - 1 / (1 + math.exp(-z0))) < 1e-9
+
+
+def test_repeated_rows_and_shared_ids(spark):
+    docs = corpus()
+    table = spark.createDataFrame([(i, t) for i, t, _ in docs] * 2 + [(0, docs[1][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in docs] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    once = tx.train(table.dropDuplicates(), labels)
+    assert tx.train(table.repartition(5), labels) == once
+    left = tx.without_toxic(table.selectExpr("*", "'x' AS label"), once).collect()
+    assert [c for c in left[0].asDict()] == ["doc_id", "text", "label"]
+    assert len(left) % 2 == 0 or (0, docs[1][1]) in {(r.doc_id, r.text) for r in left}

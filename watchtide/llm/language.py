@@ -9,7 +9,6 @@ into chunks whose transfer matrices are chained, so marginals are exact however
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,10 +16,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchtide.llm.common import text_batches
+from watchtide.llm.common import sampled, slices
 
-#: Labelled documents of each language that the model is fitted on, about, and words taken of each.
-DOCS, WORDS = 400, 120
+#: The sample that a model is fitted on: labelled documents of each language, bytes of their whole texts, and languages, at most.
+LANGUAGE_DOCS, LANGUAGE_BYTES, LANGUAGES = 300, 512 << 10, 200
+#: Texts that are looked at together.
+ROWS = 500
 #: Hashed weights, letters of a word that features see (both ends of longer words), words of a chunk.
 WEIGHTS, LETTERS, CHUNK = 1 << 17, 24, 128
 SEQUENCE, EPOCHS, RATE, RIDGE = 32, 6, 0.4, 1e-5
@@ -79,6 +80,15 @@ class Model:
 
 def marginals(e: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """Posterior of every label at every word: e holds the emissions of texts of the given lengths (each > 0), one after another."""
+    return forward_backward(e, lengths, moves)[0]
+
+
+def forward_backward(e: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word: the posterior of its labels, the forward message up to it, and the backward message from it on (its own emission included).
+
+    The pair of labels (i, j) at two neighbouring words has a posterior in proportion to forward[i] * exp(moves[i, j])
+    * backward[j]. A text's first label is reached by a move from any label.
+    """
     k = e.shape[1]
     step = np.exp(moves - moves.max())
     ends = np.cumsum(lengths)
@@ -111,13 +121,32 @@ def marginals(e: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarr
         a = (before[:n] @ step) * b[start[:n] + t]
         before[:n] = a / a.sum(1, keepdims=True)
         alpha[start[:n] + t] = before[:n]
+    posterior, ahead = np.empty_like(e), np.empty_like(e)
     for t, n in reversed(list(enumerate(running))):
         at = start[:n] + t
         g = alpha[at] * after[:n]
-        alpha[at] = g / g.sum(1, keepdims=True)
-        a = (b[at] * after[:n]) @ step.T
+        posterior[at] = g / g.sum(1, keepdims=True)
+        own = b[at] * after[:n]
+        ahead[at] = own / own.sum(1, keepdims=True)
+        a = own @ step.T
         after[:n] = a / a.sum(1, keepdims=True)
-    return alpha
+    return posterior, alpha, ahead
+
+
+def gradient(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Of the conditional log likelihood of labels y (sequences one after another, features x), by emissions and by moves."""
+    k = len(model.langs)
+    post, alpha, ahead = forward_backward(model.weights[x].sum(1), lengths, model.moves)
+    gold, step = np.eye(k)[y], np.exp(model.moves - model.moves.max())
+    first = np.cumsum(lengths) - lengths
+    inner = np.ones(len(y), bool)
+    inner[first] = False
+    j = np.flatnonzero(inner)
+    pair = alpha[j - 1][:, :, None] * step * ahead[j][:, None, :]
+    pair /= pair.sum((1, 2), keepdims=True)
+    up = np.einsum("ni,nj->ij", gold[j - 1], gold[j]) - pair.sum(0)
+    up += step / step.sum(0) * (gold[first] - post[first]).sum(0)  # the move to the first label
+    return gold - post, up
 
 
 def sequences(samples: list[tuple[str, list[str]]], langs: list[str], seed: int) -> list[list[tuple[str, int]]]:
@@ -151,17 +180,8 @@ def fit(samples: list[tuple[str, list[str]]]) -> Model:
             lengths = np.array([len(s) for s in part])
             x = known[[ids[w] for s in part for w, _ in s]]
             y = np.array([label for s in part for _, label in s])
-            e = model.weights[x].sum(1)
-            gold = np.eye(k)[y]
-            post = marginals(e, lengths, model.moves)
-            inner = np.ones(len(y), bool)
-            inner[np.cumsum(lengths) - lengths] = False
-            j = np.flatnonzero(inner)
-            # expected moves: pairs of neighbouring marginals, tied by the move weights
-            pair = post[j - 1][:, :, None] * post[j][:, None, :] * np.exp(model.moves) / np.maximum((post[j - 1] @ np.exp(model.moves))[:, None, :], 1e-300)
-            pair /= pair.sum((1, 2), keepdims=True)
-            up_m = np.einsum("ni,nj->ij", gold[j - 1], gold[j]) - pair.sum(0)
-            up_w = np.stack([np.bincount(x.ravel(), np.repeat(gold[:, c] - post[:, c], x.shape[1]), WEIGHTS) for c in range(k)], axis=1)
+            up_e, up_m = gradient(x, y, lengths, model)
+            up_w = np.stack([np.bincount(x.ravel(), np.repeat(up_e[:, c], x.shape[1]), WEIGHTS) for c in range(k)], axis=1)
             up_w[0] = 0
             up_w -= RIDGE * len(y) * model.weights
             sum_w += up_w**2
@@ -172,18 +192,13 @@ def fit(samples: list[tuple[str, list[str]]]) -> Model:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit on about DOCS documents of each language, those of least hashed key, and WORDS consecutive words of each."""
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    share = labelled.groupBy(F.col(lang).alias("_l")).agg((F.lit(float(DOCS)) / F.count(F.lit(1))).alias("_share"))
-    unit = F.pmod(F.xxhash64(key), F.lit(1_000_000)) / 1e6
-    rows = labelled.join(F.broadcast(share), F.col(lang) == F.col("_l")).where(unit < F.col("_share")).select(F.col(key).alias("k"), "_l", F.col(text).alias("t")).collect()
-    samples = []
-    for r in sorted(rows, key=lambda r: (r["k"], r["_l"], r["t"])):
-        w = words(r["t"])
-        at = zlib.crc32(str(r["k"]).encode()) % max(1, len(w) - WORDS + 1)
-        if w:
-            samples.append((r["_l"], w[at : at + WORDS]))
-    return fit(samples)
+    """Fit on a sample of the labelled documents: whole texts, of each language at most LANGUAGE_DOCS and LANGUAGE_BYTES; more than LANGUAGES languages are an error.
+
+    Rows without an id, text or language teach nothing, repeated rows teach once, and each of different texts under
+    one id teaches. A text under several languages teaches them all.
+    """
+    rows = sampled(docs, key, text, lang, LANGUAGE_DOCS, LANGUAGE_BYTES, LANGUAGES)
+    return fit([(lang, w) for lang, t in rows if (w := words(t))])
 
 
 def _spread(texts: list[str | None], model: Model) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
@@ -207,11 +222,10 @@ def keep_certain(docs: DataFrame, model: Model, least: float, text: str = "text"
     """
     import pyarrow as pa
 
-    text_batches(docs.sparkSession, 500)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at, ROWS):
             keep = np.zeros(batch.num_rows, bool)
             _, some, lengths, post = _spread(batch.column(at).to_pylist(), model)
             if len(some):
@@ -224,16 +238,15 @@ def keep_certain(docs: DataFrame, model: Model, least: float, text: str = "text"
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score (mean marginal of lang_pred over the text's words).
 
-    A text that is null or without letters is `und` with score 0; so is every text if nothing was learned. Repeated
-    rows are scored each; other columns are ignored.
+    A text that is null or without letters is `und` with score 0; so is every text if nothing was learned. Of
+    languages with equal means the first by name is taken. Repeated rows are scored each; other columns are ignored.
     """
     import pyarrow as pa
 
-    text_batches(docs.sparkSession, 500)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, ROWS):
             texts = batch.column(1).to_pylist()
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             _, some, lengths, post = _spread(texts, model)
@@ -250,11 +263,10 @@ def label_words(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
     """key, words, langs: the most probable language of every word of a code-switched text (empty arrays without words)."""
     import pyarrow as pa
 
-    text_batches(docs.sparkSession, 500)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, ROWS):
             own, some, lengths, post = _spread(batch.column(1).to_pylist(), model)
             langs: list[list[str]] = [[UNKNOWN] * len(w) for w in own]
             best = post.argmax(1) if len(post) else []

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchtide.llm.common import components, materialize, text_batches
+from watchtide.llm.common import components, materialize, slices
 
 THRESHOLD = 0.98
 #: Tables, lattice points of a cell, and the length of a unit vector's projection to one coordinate, about. A pair of
@@ -94,7 +94,7 @@ def sketch(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, None, 2000):
             ids, labels, raw = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             digest, own, probed = [None] * len(raw), [None] * len(raw), [None] * len(raw)
             by_size: dict[int, list[int]] = {}
@@ -172,7 +172,6 @@ def lattice_duplicates(
     of different sizes don't link. Equal vectors are one class with a count. Rows without a key are left out;
     repeated rows are one vector; an empty table gives no rows; other columns are ignored. Keys are integers.
     """
-    text_batches(vectors.sparkSession, 2000)
     made = materialize(sketch(vectors, key, vector, label), "lattice")
     ids = made.select(F.col("id").cast("long").alias("id"), "digest").distinct()
     classes = materialize(ids.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")), "classes")

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchtide.llm.common import components, materialize, text_batches
+from watchtide.llm.common import components, materialize, slices
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands and hashes in each: a pair of similarity 0.8 shares a band with probability 0.998, one of 0.85 with 0.99995.
@@ -88,11 +88,10 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     import pyarrow as pa
 
-    text_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             hashed = _WordHash()
             sets = [shingle_set(t, hashed) for t in batch.column(1).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -235,7 +234,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id
     bundles = max(1, total // BLOCK_SHINGLES)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 5):
             hashed = _WordHash()
             sets = [shingle_set(t, hashed).tobytes() for t in batch.column(5).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sets, pa.binary())], names=["rep", "m", "sig", "root", "blocks", "shingles"])

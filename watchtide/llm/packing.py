@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchtide.llm.common import materialize, ranked, text_batches
+from watchtide.llm.common import materialize, ranked, slices
 from watchtide.llm.tokens import default_path, word_ids
 
 CAPACITY, END_ID = 4096, 1
@@ -35,13 +35,12 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, key:
     """One row per piece: key, piece, start, length, ids_crc32. A document's tokens are its ids and END_ID."""
     import pyarrow as pa
 
-    text_batches(docs.sparkSession)
     path, end = path or default_path(), END_ID.to_bytes(4, "little")
     kind = docs.schema[key].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path)
-        for batch in batches:
+        for batch in slices(batches, 1):
             at, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 ids = encoder.text(t) + end

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchtide.llm.common import materialize, text_batches
+from watchtide.llm.common import materialize, slices
 
 #: Bytes of context, and bytes of text of a chunk, about.
 ORDER, CHUNK_BYTES = 5, 64 << 20
@@ -109,7 +109,7 @@ def _chunked(docs: DataFrame, key: str, text: str, learns: Column, chunk_bytes:
         from pyspark import TaskContext
 
         chunk, held = TaskContext.get().partitionId() << 24, 0
-        for batch in batches:
+        for batch in slices(batches, 1):
             size = batch.column(1).nbytes
             if held and held + size > chunk_bytes:
                 chunk, held = chunk + 1, 0
@@ -190,7 +190,7 @@ def _keys(chunks: DataFrame, order: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, words, said, parts = None, _Words(), np.zeros(1, np.int64), []
-        for batch in batches:
+        for batch in slices(batches, 0):
             for chunk in np.unique(batch.column(2).to_numpy()):
                 own = batch.filter(pa.array(batch.column(2).to_numpy() == chunk))
                 if now is not None and chunk != now:
@@ -249,7 +249,6 @@ def score(docs: DataFrame, learns: Column, key: str = "doc_id", text: str = "tex
 
     if not 1 <= order <= 6:
         raise ValueError("order must be 1 to 6")
-    text_batches(docs.sparkSession)
     chunks = _chunked(docs, key, text, learns, chunk_bytes)
     keys = materialize(_keys(chunks, order), "keys")
     words = keys.where("word")
@@ -335,11 +334,10 @@ def adaptive_score(docs: DataFrame, key: str = "doc_id", text: str = "text", ord
     """key, score: each text's own adaptive code length as a log10 probability; a null text is an empty one."""
     import pyarrow as pa
 
-    text_batches(docs.sparkSession, 100)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, 100):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([adaptive_code_length(t, order) for t in batch.column(1).to_pylist()], pa.float64())], names=[key, "score"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")

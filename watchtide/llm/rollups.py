@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchtide.llm.common import text_batches
+from watchtide.llm.common import slices
 from watchtide.llm.tokens import default_path, word_ids
 
 INSERT, REVISE, DELETE = "insert", "revise", "delete"
@@ -32,7 +32,6 @@ def count_tokens(docs: DataFrame, name: str, path: str | None = None, key: str =
 
     path = path or default_path(name)
     by_word = "word_bpe" in name
-    text_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != text]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +42,7 @@ def count_tokens(docs: DataFrame, name: str, path: str | None = None, key: str =
 
             whole = Tokenizer.from_file(path)
             whole.encode_special_tokens = True
-        for batch in batches:
+        for batch in slices(batches, len(rest)):
             texts = batch.column(len(rest)).to_pylist()
             if by_word:
                 n = [len(encoder.text(t)) // 4 for t in texts]

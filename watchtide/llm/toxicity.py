@@ -1,121 +1,163 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-Both dictionaries hold the same ordinary text (trained by zstandard on ordinary documents); the toxic one also holds
-the toxic text: beginnings of words that toxic documents say in many different contexts and ordinary ones hardly
-ever. A window is compressed with either; the bytes that the toxic dictionary saves are its distance. How many
-windows of a document save how much is calibrated to a probability by logistic regression.
-
-Toxic documents are mostly ordinary words, so dictionaries trained on whole texts of either class differ by chance
-more than by toxicity; contexts are counted rather than occurrences, so copies of one document teach nothing twice.
+One dictionary is trained by zstandard on toxic text, one of the same size on ordinary text. Each is read after a
+common one of ordinary text, because toxic documents are ordinary in most of their words: without it the two differ
+by chance more than by toxicity. A text is cut into windows of WINDOW_WORDS words; each is compressed with either
+dictionary, and the bytes that the toxic one saves are its distance. How many windows of a document pass each of
+the thresholds SAVED is calibrated to a probability by logistic regression, on documents that did not train the
+dictionaries which measured them.
+
+The toxic dictionary is trained on excerpts: runs of words of toxic documents that lean to the toxic class, alone, as
+pairs or by their beginning. What counts is the number of different contexts, so copies of one document teach nothing twice.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchtide.llm.common import text_batches
-
-#: Labelled documents of each class that the model is fitted on at most.
-TOXIC_DOCS, ORDINARY_DOCS = 1000, 2000
-#: Words of a window, bytes of ordinary text in a dictionary, and bytes appended to a window so that zstandard never stores it raw.
-WINDOW_WORDS, DICTIONARY, TAIL = 1, 4096, 128
-#: Contexts that a beginning needs when TOXIC_DOCS documents are toxic (with fewer documents fewer, LEAST_CONTEXTS at least), its rate among toxic contexts over its rate among ordinary ones, and the share of continuations that lengthens it.
-CONTEXTS, RATIO, MAJORITY = 20, 20, 0.6
-LEAST_CONTEXTS = 5
+from watchtide.llm.common import sampled, slices
+
+#: The sample that a model is fitted on: labelled documents of each class, and bytes of their whole texts, at most.
+CLASS_DOCS, CLASS_BYTES = 3000, 8 << 20
+#: Words of a window and bytes that one word adds at most (longer ones are cut up); bytes of the common dictionary and of the two that are compared; bytes appended to a window, without which zstandard stores short ones raw.
+WINDOW_WORDS, WORD_BYTES, COMMON, DICTIONARY, TAIL = 4, 64, 16384, 2048, 128
+#: A word leans to the toxic class if it is said this many times as often there, and so often that chance explains less than CHANCE such words of the whole vocabulary.
+RATIO, CHANCE = 5.0, 0.05
+#: Letters of the beginnings of longer words that are looked at like words.
+STEMS = (4, 6)
+#: Bytes saved that windows are counted by.
+SAVED = (2, 3, 4, 5, 7, 9)
 THRESHOLD = 0.3
-CACHE_WINDOWS = 300_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"\w+")
+
+
+def windows(text: str | None) -> list[bytes]:
+    """Runs of WINDOW_WORDS words, parted by white space, in lower case; the last may be shorter."""
+    words = text.lower().encode(errors="replace").split() if text else []
+    if words and max(map(len, words)) > WORD_BYTES:
+        words = [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
+    return [b" ".join(words[i : i + WINDOW_WORDS]) for i in range(0, len(words), WINDOW_WORDS)]
+
+
+def _terms(texts: list[str], vocabulary: dict[str, int], stems: list[dict[int, int]]) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """Keys and numbers of different neighbours of words, of pairs of words and of stems, and the sum over words. Words are numbered in `vocabulary`, 0 is a text's border."""
+    ids = [np.array([0, *(vocabulary.setdefault(w, len(vocabulary) + 1) for w in _WORD.findall(t.lower())), 0, 0], np.int64) for t in texts]
+    flat = np.concatenate([*ids, np.zeros(3, np.int64)])
+    before, here, after, later = (flat[i : len(flat) - 3 + i].astype(np.uint64) for i in range(4))
+
+    def around(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (x * np.uint64(0x9E3779B97F4A7C15)) ^ (y * np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def counted(keys: np.ndarray, near: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        each = np.unique(np.stack([keys[keep], near[keep]], axis=1), axis=0)
+        return np.unique(each[:, 0], return_counts=True)
+
+    beside, names = around(before, after), [*vocabulary]
+    out = [counted(here, beside, here > 0), counted((here << np.uint64(32)) | after, around(before, later), (here > 0) & (after > 0))]
+    for n, stem in zip(STEMS, stems, strict=True):
+        of = np.array([0, *(stem.setdefault(w[:n], len(stem) + 1) if len(w) > n else 0 for w in names)], np.uint64)[here.astype(np.int64)]
+        out.append(counted(of, beside, of > 0))
+    return out, int(out[0][1].sum())
+
+
+def leaning(toxic: list[str], ordinary: list[str]) -> set[str]:
+    """Words, pairs of words ("a b") and stems ("abcd*") that toxic texts say in more contexts than chance explains, and RATIO times as often as ordinary ones."""
+    vocabulary: dict[str, int] = {}
+    stems: list[dict[str, int]] = [{} for _ in STEMS]
+    (a, all_a), (b, all_b) = _terms(toxic, vocabulary, stems), _terms(ordinary, vocabulary, stems)
+    if not all_a or not all_b:
+        return set()
+    words, out = ["", *vocabulary], set()
+    named = [lambda k: words[k], lambda k: f"{words[k >> 32]} {words[k & 0xFFFFFFFF]}"]
+    named += [lambda k, s=["", *stem]: f"{s[k]}*" for stem in stems]
+    share, limit = all_a / (all_a + all_b), math.log(CHANCE / sum(len(keys) for keys, _ in a))
+    for name, (keys, n), (others, m) in zip(named, a, b, strict=True):
+        at = np.minimum(np.searchsorted(others, keys), max(0, len(others) - 1))
+        rest = np.where(others[at] == keys, m[at], 0) if len(others) else np.zeros(len(keys), np.int64)
+        q = n / (n + rest)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # Chernoff's bound of the logarithm of P(n of n + rest contexts are toxic)
+            bound = -(n + rest) * (q * np.log(q / share) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - share)), 0.0))
+        lean = (q > share) & ((n + 0.5) / all_a >= RATIO * (rest + 0.5) / all_b) & (bound < limit)
+        out |= {name(int(k)) for k in keys[lean]}
+    return out
+
+
+def excerpts(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """Runs of leaning words in toxic texts."""
+    lean, out = leaning(toxic, ordinary), []
+    for t in toxic if lean else ():
+        w = _WORD.findall(t.lower())
+        mark = np.zeros(len(w) + 1, bool)
+        for i, x in enumerate(w):
+            mark[i] |= x in lean or any(f"{x[:n]}*" in lean for n in STEMS if len(x) > n)
+            if i + 1 < len(w) and f"{x} {w[i + 1]}" in lean:
+                mark[i : i + 2] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], mark])))
+        out += [f" {' '.join(w[i:j])} ".encode() for i, j in zip(edges[::2], edges[1::2], strict=True)]
+    return out
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """The dictionary that zstandard trains on the samples; too few to train on, their end."""
+    import zstandard as z
+
+    try:
+        return z.train_dictionary(size, samples).as_bytes()
+    except z.ZstdError:
+        return b"".join(samples)[-size:]
 
 
-def windows(text: str | None) -> list[str]:
-    words = _WORD.findall(text.lower()) if text else []
-    return ["  ".join(words[i : i + WINDOW_WORDS]) for i in range(0, len(words), WINDOW_WORDS)]
+@dataclass
+class Pair:
+    """The common dictionary and the two that are compared."""
 
+    common: bytes
+    toxic: bytes
+    ordinary: bytes
 
-class Distances(dict):
-    """window -> bytes that the toxic dictionary saves, cached."""
+    @classmethod
+    def of(cls, toxic: list[str], ordinary: list[str]) -> Pair:
+        each = [windows(t) for t in ordinary]
+        common, plain = ([w for t in each[i::2] for w in t] for i in (0, 1))
+        a, b = trained(excerpts(toxic, ordinary), DICTIONARY), trained(plain, DICTIONARY)
+        n = min(len(a), len(b))
+        return cls(trained(common, COMMON), a[len(a) - n :], b[len(b) - n :])
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
+    def saved(self) -> Callable[[list[bytes]], np.ndarray]:
+        """The bytes that the toxic dictionary saves on each window."""
         import zstandard as z
 
-        super().__init__()
         how = z.ZstdCompressionParameters(
-            window_log=14, hash_log=12, chain_log=12, search_log=3, min_match=5, target_length=16, strategy=z.STRATEGY_GREEDY,
+            window_log=17, hash_log=15, chain_log=16, search_log=6, min_match=4, target_length=32, strategy=z.STRATEGY_GREEDY,
             write_content_size=False, write_checksum=False, write_dict_id=False,
         )
-        self.tail = ordinary[-TAIL:]
 
-        def compressor(head: bytes):
-            d = z.ZstdCompressionDict((head + ordinary) or b"\0" * 8, dict_type=z.DICT_TYPE_RAWCONTENT)
+        def compress(own: bytes):
+            d = z.ZstdCompressionDict((self.common + own) or b"\0" * 8, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=how)
-            return z.ZstdCompressor(dict_data=d, compression_params=how)
-
-        self.plain, self.toxic = compressor(b"\0" * len(toxic)), compressor(toxic)  # the common text lies at the same distance
-
-    def __missing__(self, window: str) -> int:
-        data = f"  {window} ".encode() + self.tail
-        found = self[window] = len(self.plain.compress(data)) - len(self.toxic.compress(data))
-        return found
-
-    def features(self, text: str | None) -> np.ndarray:
-        """Logs of the numbers of windows that save 2, 3, 4, 5-6 and more bytes, and of all windows."""
-        saved = np.fromiter(map(self.__getitem__, windows(text)), np.int64)
-        n = np.bincount(np.clip(saved, 0, 7), minlength=8)
-        if len(self) > CACHE_WINDOWS:
-            self.clear()
-        return np.log1p([n[2], n[3], n[4], n[5] + n[6], n[7], n.sum()])
-
-
-def beginnings(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Beginnings of words that toxic texts use in at least CONTEXTS contexts (in proportion to the sample), RATIO times as often as ordinary ones; rarest first."""
-
-    def contexts(texts: list[str]) -> tuple[Counter, int]:
-        seen: dict[str, int] = {"": 0}
-        keys = []
-        for t in texts:
-            ids = np.array([0, *(seen.setdefault(w, len(seen)) for w in _WORD.findall(t.lower())), 0], np.uint64)
-            if len(ids) > 2:
-                around = (ids[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (ids[2:] * np.uint64(0xC2B2AE3D27D4EB4F))
-                keys.append(np.stack([ids[1:-1], around], axis=1))
-        if not keys:
-            return Counter(), 0
-        each = np.unique(np.concatenate(keys), axis=0)[:, 0]
-        n, found = np.bincount(each.astype(np.int64), minlength=len(seen)), Counter()
-        for w, i in seen.items():
-            for k in range(3, len(w) + 1):
-                found[w[:k]] += int(n[i])
-            found[w + " "] += int(n[i])
-        return found, len(each)
-
-    (a, all_a), (b, all_b) = contexts(toxic), contexts(ordinary)
-    least = max(LEAST_CONTEXTS, math.ceil(CONTEXTS * len(toxic) / TOXIC_DOCS))
-    telling = {s for s in a if a[s] >= least and (a[s] + 0.5) / all_a >= RATIO * (b[s] + 0.5) / max(1, all_b)}
-    shortest: list[str] = []
-    for s in sorted(telling, key=lambda s: (len(s), s)):
-        if not any(s.startswith(c) for c in shortest):
-            shortest.append(s)
-    after: dict[str, list[str]] = {}
-    for s in a:
-        after.setdefault(s[:-1], []).append(s)
-    out = []
-    for s in shortest:
-        n = a[s]
-        while not s.endswith(" ") and (more := after.get(s)):
-            longer = max(more, key=lambda x: (a[x], x))
-            if a[longer] < MAJORITY * n:
-                break
-            s = longer
-        out.append((n, s.strip()))
-    return [s for _, s in sorted(out)]
+            return z.ZstdCompressor(dict_data=d, compression_params=how).compress
+
+        plain, toxic, tail = compress(self.ordinary), compress(self.toxic), b" " + self.common[-TAIL:]
+
+        def measure(some: list[bytes]) -> np.ndarray:
+            texts = [b" " + w + tail for w in some]
+            return np.fromiter((len(plain(t)) - len(toxic(t)) for t in texts), np.int64, len(texts))
+
+        return measure
+
+
+def features(saved: np.ndarray) -> np.ndarray:
+    """Logs of the numbers of windows that save at least each of SAVED bytes, and of all windows."""
+    return np.log1p([*(np.count_nonzero(saved >= c) for c in SAVED), len(saved)])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
@@ -134,76 +176,78 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
 
 @dataclass
 class Model:
-    toxic: bytes
-    ordinary: bytes
+    pair: Pair
     weights: list[float]
 
-    def probability(self, features: np.ndarray) -> np.ndarray:
-        z = features @ np.array(self.weights[:-1]) + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def scorer(self) -> Callable[[list[str | None]], np.ndarray]:
+        """Probabilities of texts."""
+        saved, weights = self.pair.saved(), np.array(self.weights)
 
+        def run(texts: list[str | None]) -> np.ndarray:
+            x = np.array([features(saved(windows(t))) for t in texts]).reshape(-1, len(SAVED) + 1)
+            return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
 
-def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
-    """A model from texts of both classes; share: the toxic share of the corpus, to which scores are calibrated."""
-    import zstandard as z
+        return run
 
-    head = beginnings(toxic, ordinary)
-    toxic_text = ("  " + "  ".join(head) + " ").encode() if head else b""
-    samples = [" ".join(w[i : i + 16]).encode() for t in ordinary for w in [_WORD.findall(t.lower())] for i in range(0, len(w), 16)][:20_000]
-    try:
-        base = z.train_dictionary(DICTIONARY, samples).as_bytes()
-    except z.ZstdError:  # too little text to train on
-        base = b" ".join(samples)[-DICTIONARY:]
-    distances = Distances(toxic_text, base)
-    x = np.array([distances.features(t) for t in (*toxic, *ordinary)]).reshape(-1, 6)
-    y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
-    if not len(toxic) or not len(ordinary):
-        return Model(toxic_text, base, [0.0] * 6 + [30.0 if len(toxic) else -30.0])
+
+def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
+    """A model of texts of both classes; share: the toxic share of the corpus, to which scores are calibrated.
+
+    Of every three documents of a class two train the dictionaries, and the third, which they haven't seen, calibrates
+    the weights.
+    """
+    if not toxic or not ordinary:
+        return Model(Pair(b"", b"", b""), [0.0] * (len(SAVED) + 1) + [30.0 if toxic else -30.0])
+    pair = Pair.of(*([t for i, t in enumerate(texts) if i % 3 < 2] for texts in (toxic, ordinary)))
+    saved, fresh = pair.saved(), [texts[2::3] for texts in (toxic, ordinary)]
+    x = np.array([features(saved(windows(t))) for texts in fresh for t in texts]).reshape(-1, len(SAVED) + 1)
+    y = np.repeat([1.0, 0.0], [len(texts) for texts in fresh])
+    prior = math.log(share / (1 - share))
+    if not all(map(len, fresh)):  # nothing to calibrate on
+        return Model(pair, [0.0] * (len(SAVED) + 1) + [prior])
     w = logistic(x, y)
-    w[-1] += np.log(share / (1 - share)) - np.log(len(toxic) / len(ordinary))
-    return Model(toxic_text, base, w.tolist())
+    w[-1] += prior - math.log(len(fresh[0]) / len(fresh[1]))
+    return Model(pair, w.tolist())
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on the TOXIC_DOCS and ORDINARY_DOCS labelled documents of least hashed key. labels: (key, label), 1 is toxic; a key labelled both ways is toxic."""
-    each = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("_y"))
-    counts = {r[0]: r[1] for r in each.groupBy(F.col("_y") == 1).count().collect()}
-    hashed = each.select(F.col(key).alias("_k"), "_y").orderBy(F.xxhash64("_k"), "_k")
-    chosen = hashed.where("_y = 1").limit(TOXIC_DOCS).unionByName(hashed.where("_y <> 1").limit(ORDINARY_DOCS))
-    rows = docs.join(F.broadcast(chosen), docs[key] == chosen["_k"]).where(F.col(text).isNotNull()).select("_k", F.col(text).alias("_t"), "_y").dropDuplicates(["_k"]).collect()
-    rows.sort(key=lambda r: r[0])
+    """Fit on a sample of the labelled documents: whole texts, of each class at most CLASS_DOCS and CLASS_BYTES.
+
+    labels: (key, label), 1 is toxic; a key labelled both ways is toxic; null keys and labels teach nothing. Repeated
+    rows teach once, and each of different texts under one key teaches.
+    """
+    each = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_k")).agg((F.max(F.col(label)) == 1).cast("int").alias("_y"))
+    counts = {r[0]: r[1] for r in each.groupBy("_y").count().collect()}
+    own = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    rows = sampled(own.join(each, own["_id"] == each["_k"]), "_id", "_text", "_y", CLASS_DOCS, CLASS_BYTES, 2)
     total = sum(counts.values())
-    return fit([r[1] for r in rows if r[2] == 1], [r[1] for r in rows if r[2] != 1], min(0.99, max(0.01, counts.get(True, 0) / total if total else 0)))
+    return fit([t for y, t in rows if y == 1], [t for y, t in rows if y == 0], min(0.99, max(0.01, counts.get(1, 0) / total if total else 0)))
 
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of docs, all columns, that `score` doesn't predict toxic. Each row is decided on its own text."""
+    """Rows of docs, all columns, that `score` doesn't predict toxic. Each row is decided on its own text: ids may be null or shared, repeated rows go or stay together."""
     import pyarrow as pa
 
-    text_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances = Distances(model.toxic, model.ordinary)
-        for batch in batches:
-            x = np.array([distances.features(t) for t in batch.column(at).to_pylist()]).reshape(-1, 6)
-            yield batch.filter(pa.array(model.probability(x) < threshold))
+        probability = model.scorer()
+        for batch in slices(batches, at):
+            yield batch.filter(pa.array(probability(batch.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """key, score (probability of toxicity), predicted (1 from the threshold on). Texts without a word, null ones too, get the score of no window; repeated rows are scored each; other columns are ignored."""
+    """key, score (probability of toxicity), predicted (1 from the threshold on). Texts without a word, null ones too, get the score of no window; repeated rows are scored each; other columns are ignored; an empty table gives no rows."""
     import pyarrow as pa
 
-    text_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances = Distances(model.toxic, model.ordinary)
-        for batch in batches:
-            x = np.array([distances.features(t) for t in batch.column(1).to_pylist()]).reshape(-1, 6)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.probability(x))], names=[key, "score"])
+        probability = model.scorer()
+        for batch in slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(probability(batch.column(1).to_pylist()))], names=[key, "score"])
 
     scored = docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
