@@ -34,9 +34,14 @@ def test_against_brute_force(spark, monkeypatch):
     docs += [(100 + i, f"{say(4)}, {t}. {say(3)}; {t}-{t}") for i, t in items if t and i] + [(200, None), (201, ""), (202, items[0][1].upper()), (202, items[0][1].upper()), (None, "ZEBRA")]
     ds = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS n_hit", "3 AS term")
     bs = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS doc_id")
-    for limit in (500_000, 0):
-        monkeypatch.setattr(dc, "BROADCAST_ROWS", limit)
-        got = sorted((tuple(r) for r in dc.decontaminate(ds, bs, width=5).collect()), key=repr)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit, block in ((was, 512), ("-1", 512), ("-1", 2)):
+        monkeypatch.setattr(dc, "BLOCK", block)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            got = sorted((tuple(r) for r in dc.decontaminate(ds, bs, width=5).collect()), key=repr)
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
         assert got == brute(docs, [x for x in items if x[0] is not None], 5)
     assert dc.decontaminate(ds, bs.limit(0), width=5).where("contaminated OR n_items > 0").count() == 0
     assert dc.decontaminate(ds.limit(0), bs).count() == 0
@@ -47,3 +52,17 @@ def test_proximity(spark):
     items = spark.createDataFrame([(5, "the omega zebra")], "item_id long, text string")
     more = docs.union(spark.createDataFrame([(4, "the the the the")], "doc_id long, text string"))
     assert sorted(r._key for r in dc.proximity_matches(more, items, slop=4).collect()) == [1, 2]
+
+
+def test_long_texts(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    text = "the of a " * 70_000 + item + " the of a" * 1000
+    docs = spark.createDataFrame([(1, text), (2, item[3:]), (3, "the of a " * 100)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, item), (6, "the of a " * 4)], "item_id long, text string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in dc.decontaminate(docs, items).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == {1: (213_030, 213_030, 2), 2: (29, 29, 1), 3: (300, 300, 1)}
