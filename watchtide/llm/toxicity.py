@@ -219,7 +219,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     each = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_k")).agg((F.max(F.col(label)) == 1).cast("int").alias("_y"))
     counts = {r[0]: r[1] for r in each.groupBy("_y").count().collect()}
     own = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    rows = sampled(own.join(each, own["_id"] == each["_k"]), "_id", "_text", "_y", CLASS_DOCS, CLASS_BYTES, 2)
+    # of each class three times as many keys as are wanted, by their hash: few enough to be sent to the documents
+    unit = F.pmod(F.xxhash64("_k"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    few = each.where(unit * F.when(F.col("_y") == 1, counts.get(1, 0)).otherwise(counts.get(0, 0)) < 3.0 * CLASS_DOCS + 100)
+    rows = sampled(own.join(F.broadcast(few), own["_id"] == few["_k"]), "_id", "_text", "_y", CLASS_DOCS, CLASS_BYTES, 2)
     total = sum(counts.values())
     return fit([t for y, t in rows if y == 1], [t for y, t in rows if y == 0], min(0.99, max(0.01, counts.get(1, 0) / total if total else 0)))
 
