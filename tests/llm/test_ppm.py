@@ -69,13 +69,20 @@ def test_probabilities_of_a_context_sum_to_one():
     keys, n = np.concatenate([grams, asked]), np.concatenate([counts, 0 * asked]).astype(float)
     order = np.argsort(keys)
     keys, n = keys[order], n[order]
-    pairs = np.zeros(1 << 16, np.int64)
-    np.add.at(pairs, grams & 0xFFFF, counts)
+    last, at = np.unique(grams & 0xFFFFFF, return_inverse=True)
     near = (keys >> 8) & 0xFFFF == (context & 0xFFFF)
-    logs = ppm.logarithms(keys[near], n[near], pairs.reshape(256, 256).sum(0), pairs)
+    logs = ppm.logarithms(keys[near], n[near], ppm.Short(last, np.bincount(at, counts)))
     assert (10 ** logs[(keys[near] >> 8) == context]).sum() == pytest.approx(1)
 
 
+def test_groups_do_not_change_scores(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in ROWS] + [(100, "long text " * 20_000)], "doc_id long, text string").selectExpr("*", "1 AS key", "2 AS n", "3 AS word", "4 AS chunk")
+    want = sorted((r["doc_id"], r["score"]) for r in ppm.score(docs, F.col("doc_id") % 2 == 0).collect())
+    monkeypatch.setattr(ppm, "GROUP_RUNS", 20)
+    got = sorted((r["doc_id"], r["score"]) for r in ppm.score(docs, F.col("doc_id") % 2 == 0).collect())
+    assert [a for a, _ in got] == [a for a, _ in want] and [b for _, b in got] == pytest.approx([b for _, b in want])
+
+
 def test_adaptive(spark):
     docs = spark.createDataFrame([(1, "abcabcabcabcabcabc"), (2, None), (3, "qzjxkvbwpy")], "doc_id long, text string")
     made = {r["doc_id"]: r["score"] for r in ppm.adaptive_score(docs).collect()}

@@ -41,57 +41,73 @@ def _kept(grams: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np
     return keys, np.bincount(at, counts, len(keys)), at
 
 
-def logarithms(grams: np.ndarray, counts: np.ndarray, ones: np.ndarray, pairs: np.ndarray, order: int = ORDER) -> np.ndarray:
+#: Runs that are looked at together, about: contexts of three bytes are spread over so many groups.
+GROUP_RUNS = 500_000
+
+
+class Short:
+    """What is known of the contexts of up to two bytes: training counts of all runs of three bytes, 256**3 of them at most, whatever the corpus."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order].astype(float)
+        context, near = self.keys >> _BYTE, self.keys & np.int64(0xFFFF)
+        self.pairs = np.bincount(near, self.counts, 1 << 16)
+        self.ones = self.pairs.reshape(256, 256).sum(0)
+        self.totals = [np.array([self.ones.sum()]), self.pairs.reshape(256, 256).sum(1), np.bincount(context, self.counts, 1 << 16)]
+        self.kinds = [np.array([np.count_nonzero(self.ones)]), np.count_nonzero(self.pairs.reshape(256, 256), axis=1), np.bincount(context, self.counts > 0, 1 << 16)]
+        # counts, in the context without its first byte, of the bytes seen in a context of one and of two bytes
+        self.excluded = [(self.pairs.reshape(256, 256) > 0) @ self.ones, np.bincount(context, self.pairs[near] * (self.counts > 0), 1 << 16)]
+
+    def count(self, grams: np.ndarray, k: int) -> np.ndarray:
+        """Counts of the last k + 1 bytes, k up to 2."""
+        if k < 2:
+            return (self.ones, self.pairs)[k][grams & np.int64((1 << (8 * (k + 1))) - 1)]
+        if not len(self.keys):
+            return np.zeros(len(grams))
+        last = grams & np.int64(0xFFFFFF)
+        at = np.minimum(np.searchsorted(self.keys, last), len(self.keys) - 1)
+        return np.where(self.keys[at] == last, self.counts[at], 0.0)
+
+
+def logarithms(grams: np.ndarray, counts: np.ndarray, short: Short, order: int = ORDER) -> np.ndarray:
     """log10 probability of each distinct run's last byte, by training counts (0 for runs only asked for).
 
-    grams hold all runs of the corpus that share the bytes of a context of order 2. ones: counts of the 256 bytes;
-    pairs: of the 65,536 pairs of bytes.
+    grams hold, of some contexts of three bytes, all runs of the corpus that end in them and one byte more.
     """
-    tables: dict[int, tuple] = {}
-    for k in range(order, 1, -1):
-        tables[k] = _kept(grams, counts, k)
-    if order >= 1:
-        near = grams & np.int64(0xFFFF)
-        keys, at = np.unique(near, return_inverse=True)
-        tables[1] = (keys, pairs[keys].astype(float), at)
-    keys, at = np.unique(grams & np.int64(255), return_inverse=True)
-    tables[0] = (keys, ones[keys].astype(float), at)
-
-    def whole(k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Total count and number of different bytes of every distinct run's context of order k."""
-        keys, n, _ = tables[k]
-        if k == 0:
-            return np.full(len(keys), ones.sum(), float), np.full(len(keys), np.count_nonzero(ones), float)
-        if k == 1:
-            both = pairs.reshape(256, 256)
-            return both.sum(1)[keys >> _BYTE].astype(float), np.count_nonzero(both, axis=1)[keys >> _BYTE].astype(float)
-        _, at = np.unique(keys >> _BYTE, return_inverse=True)
-        return np.bincount(at, n)[at], np.bincount(at, n > 0)[at].astype(float)
-
-    def excluded(k: int, run: np.ndarray) -> np.ndarray:
+    tables: dict[int, tuple] = {k: _kept(grams, counts, k) for k in range(order, 2, -1)}
+
+    def held(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each run: its count, and the total count and the number of different bytes of its context of order k."""
+        if k <= 2:
+            context = (grams >> _BYTE) & np.int64((1 << (8 * k)) - 1)
+            return short.count(grams, k), short.totals[k][context], short.kinds[k][context].astype(float)
+        keys, n, at = tables[k]
+        _, context = np.unique(keys >> _BYTE, return_inverse=True)
+        return n[at], np.bincount(context, n)[context][at], np.bincount(context, n > 0)[context][at].astype(float)
+
+    def excluded(k: int) -> np.ndarray:
         """Counts, in the context of order k, of the bytes seen in the context of order k + 1 of each run."""
-        if k >= 1:
-            above, n, at = tables[k + 1]
-            if k == 1:
-                low = pairs[above & np.int64(0xFFFF)].astype(float)
-            else:
-                keys, m, _ = tables[k]
-                low = m[np.searchsorted(keys, above & np.int64((1 << (8 * (k + 1))) - 1))]
-            _, context = np.unique(above >> _BYTE, return_inverse=True)
-            return np.bincount(context, low * (n > 0))[context][at]
-        seen = pairs.reshape(256, 256) > 0
-        return (seen @ ones.astype(float))[(run >> _BYTE) & 255]
+        if k < 2:
+            return short.excluded[k][(grams >> _BYTE) & np.int64((1 << (8 * (k + 1))) - 1)]
+        above, n, at = tables[k + 1]
+        if k == 2:
+            low = short.count(above, 2)
+        else:
+            keys, m, _ = tables[k]
+            low = m[np.searchsorted(keys, above & np.int64((1 << (8 * (k + 1))) - 1))]
+        _, context = np.unique(above >> _BYTE, return_inverse=True)
+        return np.bincount(context, low * (n > 0))[context][at]
 
     out, open_ = np.zeros(len(grams)), np.ones(len(grams), bool)
     before = np.zeros(len(grams))  # different bytes excluded so far
     for k in range(order, -1, -1):
-        _, n, at = tables[k]
-        total, kinds = (x[at] for x in whole(k))
-        rest = total - (excluded(k, grams) if k < order else 0)
+        n, total, kinds = held(k)
+        rest = total - (excluded(k) if k < order else 0)
         new = kinds - before
-        seen = open_ & (n[at] > 0)
+        seen = open_ & (n > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            hit = np.log10((n[at] - 0.5) / rest)
+            hit = np.log10((n - 0.5) / rest)
             miss = np.where(rest > 0, np.log10(0.5 * new / rest), 0.0)
         out = np.where(seen, out + hit, np.where(open_, out + miss, out))
         open_ &= ~seen
@@ -217,23 +233,24 @@ def _keys(chunks: DataFrame, order: int) -> DataFrame:
 
 
 def code_lengths(grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """key, value: log10 probability of the last byte of every run; grams: key, n (training count, 0 for runs only asked for)."""
+    """key, value: log10 probability of the last byte of every run; grams: key, n (training count, 0 for runs only asked for), a written table.
+
+    Runs are grouped by the three bytes before their last, so a task holds about GROUP_RUNS of them, and no more than
+    the 256**3 runs of one context and order 5 in any case. Counts of three bytes reach every task: bounded likewise.
+    """
     import pandas as pd
 
-    few = grams.where("n > 0").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).collect()  # 65,536 rows at most
-    pairs = np.zeros(1 << 16, np.int64)
-    for r in few:
-        pairs[r["pair"]] = r["n"]
-    ones = pairs.reshape(256, 256).sum(0)
+    few = grams.where("n > 0").groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("last")).agg(F.sum("n").alias("n")).toArrow()
+    short = Short(few.column("last").to_numpy(), few.column("n").to_numpy())
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("key")
-        found = logarithms(frame["key"].to_numpy(), frame["n"].to_numpy().astype(float), ones, pairs, order)
+        found = logarithms(frame["key"].to_numpy(), frame["n"].to_numpy().astype(float), short, order)
         return pd.DataFrame({"key": frame["key"].to_numpy(), "value": found})
 
-    # the distinct runs of a two-byte context: bounded by the alphabet, whatever the corpus
-    near = F.shiftright("key", 8).bitwiseAND(0xFFFF)
-    return grams.groupBy(near.alias("near")).applyInPandas(run, "key long, value double")
+    groups = max(1, -(-grams.count() // GROUP_RUNS), int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    near = F.shiftright("key", 8).bitwiseAND(0xFFFFFF)
+    return grams.groupBy(F.pmod(F.xxhash64(near), F.lit(groups)).alias("near")).applyInPandas(run, "key long, value double")
 
 
 def score(docs: DataFrame, learns: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
