@@ -112,11 +112,28 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
     )
 
 
+def loss_texts(formatted: DataFrame) -> DataFrame:
+    """formatted with loss_texts: what the mask selects from the formatted text, unescaped, one text for each selected run."""
+    escaped = F.substring("formatted", len(START) + 1, 1) == "1"
+    cut = F.aggregate(
+        "mask",
+        F.struct(F.lit(HEADER + 1).alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda a, m: F.struct(
+            (a["at"] + m["chars"]).alias("at"), F.when(m["loss"], F.concat(a["out"], F.array(F.substr("formatted", a["at"], m["chars"])))).otherwise(a["out"]).alias("out")
+        ),
+        lambda a: a["out"],
+    )
+    return formatted.withColumn("loss_texts", F.transform(cut, lambda x: F.when(escaped, unescape(x)).otherwise(x)))
+
+
 def digest(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """What is read back from each formatted conversation, as counts and hashes."""
+    """What is read back from each formatted conversation, as counts and hashes; the loss is cut from the formatted text by its mask.
+
+    A conversation is one row, so it must fit into a task's memory, as a training example must anyway.
+    """
     said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    return formatted.select(
+    loss = F.array_join("loss_texts", "")
+    return loss_texts(formatted).select(
         conv,
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(said, "").cast("binary"), 256).alias("turns_sha256"),
