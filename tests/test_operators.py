@@ -10,7 +10,7 @@ from watchtide.functions.addresses import in_network
 from watchtide.functions.times import event_time, iso_time
 from watchtide.operators import correlation, graph, pairs, predicates, semantic, sequences, timegroups
 from watchtide.sources import logs
-from watchtide.sources.tail import Files, TailReader
+from watchtide.sources.tail import Files, TailReader, tail
 from watchtide.streaming import replay
 
 
@@ -94,18 +94,42 @@ def test_decode_quarantines_bad_lines(spark):
     assert [tuple(r) for r in nested.select("id", logs.nested_field("rule.id")).collect()] == [("7", "5"), (None, None)]
 
 
-def test_tail_takes_whole_lines_and_restarts(tmp_path):
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_tail_takes_whole_lines_and_restarts(tmp_path, size):
     path = tmp_path / "a.log"
     path.write_bytes(b"one\ntwo\nhal")
-    reader = TailReader(str(path), Files())
-    rows, end = reader.read(reader.initialOffset())
-    assert [r[2] for r in rows] == ["one", "two"] and end["start"] == 8
+    reader = TailReader(str(path), Files(), size)
+
+    def read(start):
+        end = reader.latestOffset()
+        return [r for p in reader.partitions(start, end) for r in reader.read(p)], end
+
+    rows, end = read(reader.initialOffset())
+    assert [r[1:] for r in rows] == [(0, "one"), (4, "two")] and end["start"] == 8
     path.write_bytes(b"one\ntwo\nhalf\n")
-    rows, end = reader.read(end)
+    rows, end = read(end)
     assert [r[2] for r in rows] == ["half"]
     path.write_bytes(b"new\n")
-    rows, end = reader.read(end)
+    rows, end = read(end)
     assert [r[2] for r in rows] == ["new"] and end["start"] == 4
+    path.rename(tmp_path / "a.log.1")
+    path.write_bytes(b"after\n")
+    assert [r[2] for p in reader.partitions({"inode": end["inode"], "start": 0}, end) for r in reader.read(p)] == ["new"]  # a batch read again
+    rows, end = read(end)
+    assert [r[2] for r in rows] == ["after"]
+
+
+def test_tail_stream_of_a_registry(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.log").write_text(f"{name}1\n{name}2\n")
+    registry = [{"id": n, "source": "s", "log_type": f"{n}.log", "remote_path": str(tmp_path / f"{n}.log"), "decoder": "json"} for n in ("a", "b")]
+    for more in ("", "x3\n"):
+        with open(tmp_path / "b.log", "a") as f:
+            f.write(more)
+        query = tail(spark, registry).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        query.trigger(availableNow=True).start().awaitTermination(60)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["log_type"], r["start"], r["value"]) for r in got) == [("a.log", 0, "a1"), ("a.log", 3, "a2"), ("b.log", 0, "b1"), ("b.log", 3, "b2"), ("b.log", 6, "x3")]
 
 
 def test_stream_batches_are_written_once(spark, tmp_path):

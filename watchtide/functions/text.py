@@ -17,12 +17,13 @@ def tidy(c: Column) -> Column:
 
 
 def shown(c: Column, kind: str) -> Column:
-    """A value as text: True and False, whole doubles with one decimal place; null stays null."""
+    """A value as text: True and False, whole doubles with one decimal place, nan, inf and -inf; null stays null."""
     if kind == "boolean":
         return F.when(c, "True").when(~c, "False")
     if kind in ("double", "float"):
         whole = (c == F.floor(c)) & (F.abs(c) < 1e16)
-        return F.when(whole, F.concat(c.cast("decimal(20,0)").cast("string"), F.lit(".0"))).otherwise(c.cast("string"))
+        odd = F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
+        return F.coalesce(odd, F.when(whole, F.concat(c.cast("decimal(20,0)").cast("string"), F.lit(".0"))).otherwise(c.cast("string")))
     return c.cast("string")
 
 
@@ -31,6 +32,15 @@ def listed(c: Column) -> Column:
     return F.array_join(c, ", ")
 
 
+def cell(c: Column, kind: str) -> Column:
+    """A cell as clean text: lists joined by ', ', objects as JSON, anything else stripped; null stays null."""
+    if kind.startswith("array<string"):
+        return listed(c)
+    if kind.startswith(("array", "struct", "map")):
+        return F.to_json(c)
+    return stripped(shown(c, kind))
+
+
 def filled(c: Column) -> Column:
     """Whether a cell holds something: not null, blank, nan, none or null."""
     return ~tidy(c).isin("", "nan", "none", "null")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from watchtide.functions.addresses import in_network, network_size
 from watchtide.functions.times import both, either
-from watchtide.operators.predicates import Field, Fields, fields_of, metric_leaf
+from watchtide.operators.predicates import Field, Fields, field_of, fields_of, metric_leaf
 from watchtide.operators.timegroups import anchored_groups
 
+# Names of aggregates and operators in rules.
 FUNCTIONS = (
     "count", "nunique", "mean", "sum", "min", "max", "ratio", "standard_deviation", "coefficient_of_variation", "entropy", "rate", "subnet_density",
 )
@@ -20,9 +21,8 @@ SECOND = 1_000_000
 
 
 def _in_values(field: Field, values: list) -> Column:
-    """Whether the value is listed; null only if null is."""
-    found = either([field.equals(v) for v in values if v is not None])
-    return F.coalesce(found, F.lit(None in values)) if None in values else F.coalesce(found, F.lit(False))
+    """Whether the value is listed; a null one if null is."""
+    return F.when(field.column.isNull(), F.lit(None in values)).otherwise(either([field.equals(v) for v in values if v is not None]))
 
 
 def metric(spec: dict, fields: Fields) -> Column:
@@ -33,7 +33,7 @@ def metric(spec: dict, fields: Fields) -> Column:
     if name == "rate":
         seconds = spec.get("window_seconds")
         return n.cast("double") if seconds is None else F.lit(0.0) if seconds <= 0 else n / F.lit(float(seconds))
-    field = fields[spec["field"]]
+    field = field_of(fields, spec["field"])
     x = field.number if not field.kind.startswith("array") else F.lit(None).cast("double")
     if name == "nunique":
         return F.count_distinct(field.column).cast("double")
@@ -61,6 +61,17 @@ def entropies(events: DataFrame, keys: list[str], field: Field, name: str) -> Da
     return counts.groupBy(*keys).agg(F.coalesce(F.log2(total) - F.sum(c * F.log2(c)) / total, F.lit(0.0)).alias(name))
 
 
+def window_seconds(rule: dict) -> float:
+    """A rule's window; ValueError unless it is a number (or a text of one) above zero."""
+    try:
+        found = float(rule.get("window_seconds"))
+    except (TypeError, ValueError):
+        raise ValueError("correlation rule needs window_seconds, a number") from None
+    if not found > 0:
+        raise ValueError("window_seconds must be above zero")
+    return found
+
+
 def validate(rule: dict) -> None:
     """Raise ValueError unless the correlation rule is complete and uses known functions and operators."""
     for key in ("group_by", "aggregations", "conditions"):
@@ -68,8 +79,8 @@ def validate(rule: dict) -> None:
             raise ValueError(f"correlation rule lacks {key}")
     if not isinstance(rule["group_by"], list) or not isinstance(rule["aggregations"], dict) or not isinstance(rule["conditions"], list):
         raise ValueError("group_by and conditions are lists, aggregations a mapping")
-    if (w := rule.get("window_seconds")) is not None and (not isinstance(w, (int, float)) or w < 0):
-        raise ValueError("window_seconds is a number of at least 0")
+    if "window_seconds" in rule:
+        window_seconds(rule)
     specs = list(rule["aggregations"].values())
     if state := rule.get("state_condition"):
         specs.append({"function": state.get("aggregation"), "field": state.get("field"), "values": state.get("values", [])})
@@ -92,15 +103,16 @@ def validate(rule: dict) -> None:
 
 
 def correlate(events: DataFrame, rule: dict, names: dict[str, str] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """A row for every group: keys, group_by fields, a column for each metric, state, detected, score.
+    """A row for every group: keys, group_by fields, a column for each metric, state, condition_results, detected, score.
 
     Events of a group are those equal in keys and in the group_by fields (null is a value); an empty group_by is one
-    group. names: field -> column. detected: all conditions hold and so does the state condition, if any.
+    group. names: field -> column; a field that events don't have is null. condition_results tells of each condition,
+    in order, its metric, value and whether it holds. detected: all hold and so does the state condition, if any.
     """
     validate(rule)
     fields = fields_of(events, names)
     by = [*keys, *(f"g_{i}" for i in range(len(rule["group_by"])))]
-    events = events.select("*", *(fields[f].column.alias(f"g_{i}") for i, f in enumerate(rule["group_by"])))
+    events = events.select("*", *(field_of(fields, f).column.alias(f"g_{i}") for i, f in enumerate(rule["group_by"])))
     specs = dict(rule["aggregations"])
     state = rule.get("state_condition")
     if state:
@@ -109,7 +121,7 @@ def correlate(events: DataFrame, rule: dict, names: dict[str, str] | None = None
     out = events.groupBy(*by).agg(F.count(F.lit(1)).alias("n_events"), *(metric(s, fields).alias(k) for k, s in plain.items()))
     for k, s in specs.items():
         if s["function"] == "entropy":
-            more = entropies(events, by, fields[s["field"]], k)
+            more = entropies(events, by, field_of(fields, s["field"]), k)
             same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by] or [F.lit(True)]
             out = out.alias("a").join(more.alias("b"), reduce(lambda x, y: x & y, same)).select("a.*", f"b.{k}")
 
@@ -121,24 +133,30 @@ def correlate(events: DataFrame, rule: dict, names: dict[str, str] | None = None
     scoring = rule.get("scoring") or {}
     weight = float(scoring.get("base_weight", 1.0))
     score = F.lit(weight) * F.when(in_state, float(scoring.get("state_condition_weight", 1.0)) if state else 1.0).otherwise(1.0)
-    out = out.withColumn("detected", told & in_state).withColumn("score", score)
+    each = [F.struct(F.lit(c["metric"]).alias("metric"), F.col(c["metric"]).cast("double").alias("value"), holds(c["metric"], c).alias("holds")) for c in rule["conditions"]]
+    results = F.array(*each) if each else F.array().cast("array<struct<metric:string,value:double,holds:boolean>>")
+    out = out.withColumn("condition_results", results).withColumn("detected", told & in_state).withColumn("score", score)
     return out.withColumnsRenamed({f"g_{i}": f for i, f in enumerate(rule["group_by"])})
 
 
 def detect(events: DataFrame, mappings: list[dict], names: dict[str, str] | None = None, time: str = "t", log_type: str = "log_type") -> DataFrame:
-    """Detections of all mappings: mapping_id, technique_id, confidence, time_group_id, group_key, metrics, score.
+    """Detections of all mappings: mapping_id, technique_id, confidence, time_group_id, group_key, n_events, metrics, score; no rows without mappings.
 
     events: time in microseconds. Time groups are formed over all events of a mapping's log types, before entities
-    are told apart; events without a time are dropped. group_key and metrics are JSON.
+    are told apart; events without a time are dropped. group_key and metrics are JSON. A rule without a window above
+    zero is an error.
     """
+    if not mappings:
+        return events.sparkSession.createDataFrame([], "mapping_id string, technique_id string, confidence double, time_group_id long, group_key string, n_events long, metrics string, score double")
     wide = []
     for m in mappings:
+        validate(m["correlation_rule"])
         wanted = m.get("log_type")
         wanted = [wanted] if isinstance(wanted, str) else wanted
         chosen = F.col(log_type).isin(*wanted) if wanted else F.lit(True)
         wide.append((m, events.where(chosen)))
     times = [
-        own.select(F.lit(m["mapping_id"]).alias("rule"), F.lit(int(m["correlation_rule"]["window_seconds"] * SECOND)).cast("long").alias("w"), F.col(time).alias("t"))
+        own.select(F.lit(m["mapping_id"]).alias("rule"), F.lit(int(window_seconds(m["correlation_rule"]) * SECOND)).cast("long").alias("w"), F.col(time).alias("t"))
         for m, own in wide
     ]
     groups = anchored_groups(reduce(DataFrame.unionByName, times))

@@ -71,3 +71,29 @@ def missing(supported: DataFrame, found: DataFrame, key: str = "technique_id") -
 
 def supported_only(found: DataFrame, supported: DataFrame, key: str = "technique_id") -> DataFrame:
     return found.join(supported.select(key).distinct(), key, "left_semi")
+
+
+def enriched(rows: DataFrame, more: DataFrame, key: str, column: str, name: str) -> DataFrame:
+    """rows with `name`: the sorted distinct values of more.column of the same key, an empty array where there is none. The values of a key are catalogue entries."""
+    kind = more.schema[column].dataType.simpleString()
+    told = more.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.sort_array(F.collect_set(column)).alias(name))
+    return rows.join(told, rows[key] == told["_k"], "left").drop("_k").withColumn(name, F.coalesce(name, F.array().cast(f"array<{kind}>")))
+
+
+def counted(catalogue: DataFrame, found: DataFrame, key: str = "technique_id") -> DataFrame:
+    """key, n: how often each key of the catalogue was found, zero included."""
+    n = found.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("n"))
+    return catalogue.select(key).distinct().join(n, F.col(key) == F.col("_k"), "left").select(key, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def techniques(objects: DataFrame) -> DataFrame:
+    """technique_id, name, tactics of attack patterns that have an id."""
+    own = F.filter("kill_chain_phases", lambda p: p["kill_chain_name"] == "mitre-attack")
+    found = objects.where("type = 'attack-pattern'").select(external_id(F.col("external_references"), prefix="T").alias("technique_id"), "name", F.transform(own, lambda p: p["phase_name"]).alias("tactics"))
+    return found.where("technique_id IS NOT NULL")
+
+
+def groups(objects: DataFrame) -> DataFrame:
+    """group_id, name of intrusion sets that have an id."""
+    found = objects.where("type = 'intrusion-set'").select(external_id(F.col("external_references"), prefix="G").alias("group_id"), "name")
+    return found.where("group_id IS NOT NULL")

@@ -6,16 +6,20 @@ A field is a Column with its type name. Conditions are {"field", "operator", "va
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from watchtide.functions.text import shown
 from watchtide.functions.times import both, either
 
+#: Texts that are numbers; a cast alone would take "1d" too.
+_NUMBER = r"^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf(?:inity)?|nan))\s*$"
 _ORDER = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -34,12 +38,20 @@ class Field:
         """As a double; null where the value is no number."""
         if self.kind == "boolean":
             return self.column.cast("int").cast("double")
-        return self.column.try_cast("double")
+        if self.kind == "string":
+            return F.when(self.column.rlike(_NUMBER), F.trim(self.column).try_cast("double"))
+        return self.column.try_cast("double") if self.kind in _NUMBERS or self.kind.startswith("decimal") else F.lit(None).cast("double")
+
+    @property
+    def ordered(self) -> Column:
+        """As a number that compares: null where it is none or NaN, which is neither equal to, less nor greater than anything."""
+        return F.when(~F.isnan(self.number), self.number)
 
     def equals(self, value: Any) -> Column:
+        """Never null: nothing equals null."""
         if not self.comparable(value):
             return F.lit(False)
-        return self.column == F.lit(value) if self.kind == "string" else self.number == F.lit(float(value))
+        return _never_null(self.column == F.lit(value) if self.kind == "string" else self.ordered == F.lit(float(value)))
 
 
 Fields = dict[str, Field]
@@ -51,6 +63,28 @@ def fields_of(df, names: dict[str, str] | None = None) -> Fields:
     return {f: Field(F.col(f"`{c}`"), kinds[c]) for f, c in (names or {c: c for c in kinds}).items()}
 
 
+def field_of(fields: Fields, name: str) -> Field:
+    """A field by its exact name, else by its dotted path in a column of structs, else null: no event has it."""
+    if name in fields:
+        return fields[name]
+    for at in range(name.count("."), 0, -1):
+        parts = name.split(".")
+        head = fields.get(".".join(parts[:at]))
+        if head is None:
+            continue
+        column, kind = head.column, T.DataType.fromDDL(head.kind) if head.kind.startswith("struct") else None
+        for part in parts[at:]:
+            if not isinstance(kind, T.StructType) or part not in kind.fieldNames():
+                kind = None
+                break
+            column, kind = column.getField(part), kind[part].dataType
+        if kind is not None:
+            return Field(column, kind.simpleString())
+        if head.kind == "variant":
+            return Field(F.try_variant_get(head.column, "$." + ".".join(parts[at:]), "string"), "string")
+    return Field(F.lit(None).cast("string"), "string")
+
+
 def _never_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
@@ -64,7 +98,7 @@ def _typed(field: Field, op: str, value: Any) -> Column:
     if op in _ORDER:
         if not field.comparable(value):
             return F.lit(False)
-        return _ORDER[op](field.column, F.lit(value)) if field.kind == "string" else _ORDER[op](field.number, F.lit(float(value)))
+        return _ORDER[op](field.column, F.lit(value)) if field.kind == "string" else _ORDER[op](field.ordered, F.lit(float(value)))
     if op in ("in", "not_in"):
         if not isinstance(value, (list, tuple)):
             raise ValueError(f"{op} needs a list")
@@ -123,7 +157,7 @@ def alert_leaf(field: Field, op: str, value: Any = None, given: bool = True) ->
             bound = float(value)
         except (TypeError, ValueError):
             return F.lit(False)
-        return _never_null(_ORDER[op](field.number, F.lit(bound)))
+        return _never_null(_ORDER[op](field.ordered, F.lit(bound))) if not math.isnan(bound) else F.lit(False)
     return F.lit(False)
 
 
@@ -145,7 +179,7 @@ def leaves(tree: dict) -> list[dict]:
 
 
 def leaf_of(tree: dict, fields: Fields, leaf: Leaf) -> Column:
-    field = fields.get(tree["field"], Field(F.lit(None).cast("string"), "string"))
+    field = field_of(fields, tree["field"])
     return leaf(field, tree.get("operator", "=="), tree.get("value"), "value" in tree)
 
 

@@ -8,9 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchtide.functions.text import filled, stripped, tidy
+from watchtide.functions.times import either
 
 # The rubric's scores of a filter text, from the most to the least specific kind.
 FILTER_SCORES = {"long equality": 0.90, "equality": 0.85, "keyword": 0.72, "boolean": 0.65, "short": 0.42, "other": 0.52, "blank": 0.10}
+# What tells the kinds of filter texts, in lower case.
+EQUALITY_PATTERNS = (
+    r"\b\w+\s*=\s*[^\s,;]+",
+    r"\b\w+\s*==\s*[^\s,;]+",
+    r"\bequals?\s*[:=]\s*[^\s,;]+",
+    r'\bis\s+"[^"]+"',
+)
+KEYWORD_PATTERNS = (
+    r"\bcontains?\b",
+    r"\blike\b",
+    r"\bmatch\b",
+    r"\bregex\b",
+    r"\bstart\s*with\b",
+    r"\bend\s*with\b",
+    r"\*",
+    r"%",
+)
+BOOLEAN_WORDS = (" and ", " or ", "&", "|")
 # Weights of the relationship score's parts.
 RELATIONSHIP_WEIGHTS = {"telemetry_specificity": 0.5, "filter_specificity": 0.3, "completeness": 0.2}
 
@@ -66,14 +85,13 @@ def filter_specificity(text: Column) -> Column:
     """How specific a filter text is, by the rubric FILTER_SCORES."""
     own = stripped(text.cast("string"))
     low, s = F.lower(own), FILTER_SCORES
-    equal = low.rlike(r"(?U)(?:^|[^!<>=])={1,2}[^=]|\bequals?\b|\bis\b")
+    told = lambda patterns: either([low.rlike(f"(?U){p}") for p in patterns])
     words = F.size(F.split(own, r"(?U)\s+"))
     return (
         F.when(own.isNull() | (own == ""), s["blank"])
-        .when(equal & (F.length(own) > 15), s["long equality"])
-        .when(equal, s["equality"])
-        .when(low.rlike(r"(?U)\b(?:contains|like|matches|startswith|endswith|regex)\b|[*?%]"), s["keyword"])
-        .when(low.rlike(r"(?U)\b(?:and|or)\b|[&|]"), s["boolean"])
+        .when(told(EQUALITY_PATTERNS), F.when(F.length(own) > 15, s["long equality"]).otherwise(s["equality"]))
+        .when(told(KEYWORD_PATTERNS), s["keyword"])
+        .when(either([low.contains(w) for w in BOOLEAN_WORDS]), s["boolean"])
         .when((words <= 3) & (F.length(own) < 40), s["short"])
         .otherwise(s["other"])
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from watchtide.functions.times import both
 from watchtide.operators.context import Provider, boost
-from watchtide.operators.predicates import Fields, alert_tree, fields_of, leaves, matched_leaves, semantic_tree
+from watchtide.operators.predicates import Fields, alert_tree, field_of, fields_of, leaves, matched_leaves, semantic_tree
 
 #: Rules of one projection: keeps generated code small.
 RULES = 50
@@ -65,6 +65,8 @@ def semantic_matches(
         )
         own = F.col(log_type).isin(log_types(rule)) if log_types(rule) else F.lit(False)
         parts.append(F.when(own & rejected(rule, fields).isNull(), made))
+    if not parts:
+        parts = [F.lit(None).cast("struct<ordinal:int,mapping_id:string,technique_id:string,tactic:string,base_confidence:double,context_boost:double,score:double,matched_conditions:array<string>,context_conditions:array<string>>")]
     return _exploded(events, parts, kept, _by_score)
 
 
@@ -81,13 +83,13 @@ def _exploded(events: DataFrame, parts: list[Column], kept: tuple[str, ...], ord
 
 
 def alert_matches(events: DataFrame, rules: list[dict], names: dict[str, str] | None = None, kept: tuple[str, ...] = ("event_uid",)) -> DataFrame:
-    """As semantic_matches for nested alerts: every rule sees every event; no context, score 1, rules in their order."""
+    """As semantic_matches for nested alerts: every rule sees every event; no context, score 1, rules in their order. Fields are looked up by name, then by path."""
     fields = fields_of(events, names)
     parts = []
     for number, rule in enumerate(rules):
         if rule.get("correlation_required"):
             continue
-        required = [fields[f].column.isNotNull() if f in fields else F.lit(False) for f in rule.get("required_fields") or []]
+        required = [field_of(fields, f).column.isNotNull() for f in rule.get("required_fields") or []]
         technique = rule.get("attack_technique") or {}
         made = F.struct(
             F.lit(number).alias("ordinal"),
@@ -136,3 +138,25 @@ def required_fields(rules: DataFrame) -> DataFrame:
 def union_results(*frames: DataFrame) -> DataFrame:
     """Semantic and correlation results under each other, columns that one lacks null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def rejections(events: DataFrame, rules: list[dict], names: dict[str, str] | None = None, log_type: str = "log_type", kept: tuple[str, ...] = ("event_uid",)) -> DataFrame:
+    """kept, mapping_id, reason: why each rule of an event's log type doesn't match it."""
+    fields = fields_of(events, names)
+    each = []
+    for rule in rules:
+        own = F.col(log_type).isin(log_types(rule)) if log_types(rule) else F.lit(False)
+        why = rejected(rule, fields)
+        each.append(F.when(own & why.isNotNull(), F.struct(F.lit(rule["mapping_id"]).alias("mapping_id"), why.alias("reason"))))
+    found = F.array_compact(F.array(*each)) if each else F.array().cast("array<struct<mapping_id:string,reason:string>>")
+    return events.select(*kept, F.explode(found).alias("_r")).select(*kept, "_r.*")
+
+
+def distinct_rows(rows: DataFrame, order: str) -> DataFrame:
+    """Of rows equal in all columns but `order` the first by it."""
+    return rows.groupBy(*(c for c in rows.columns if c != order)).agg(F.min(order).alias(order)).select(*rows.columns)
+
+
+def by_size(rows: DataFrame, *by: str) -> DataFrame:
+    """by, size: groups from the largest to the smallest, equal ones by their key."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), *by)

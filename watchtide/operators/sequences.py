@@ -14,7 +14,7 @@ TACTICS = (
 )
 UNORDERED = 99
 LEAST_LENGTH = 3
-#: Smoothing of Markov probabilities, and the weights of sequence and graph in a fusion.
+# Smoothing of Markov probabilities, and the weights of sequence and graph in a fusion.
 ALPHA, SEQUENCE_WEIGHT, GRAPH_WEIGHT = 0.1, 0.6, 0.4
 
 
@@ -68,6 +68,13 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     return distinct.withColumn("index", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("item")) + 1).cast("long"))  # a catalogue of techniques
 
 
+def encoded(rows: DataFrame, indices: DataFrame, column: str = "input", size: int = 20) -> DataFrame:
+    """rows with `column` as the padded numbers of its items; indices as `vocabulary` gives, 1 for unknown items."""
+    known = indices.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("item", "index"))).alias("_known"))  # a catalogue of techniques
+    number = F.transform(column, lambda x: F.coalesce(F.try_element_at("_known", x), F.lit(1).cast("long")))
+    return rows.crossJoin(F.broadcast(known)).withColumn(column, padded(number, size)).drop("_known")
+
+
 def padded(prefix: Column, size: int = 20) -> Column:
     """The last `size` numbers, zeros before them if there are fewer."""
     last = F.slice(prefix, F.greatest(F.lit(1), F.size(prefix) - size + 1), F.lit(size))
@@ -93,29 +100,26 @@ def markov_predict(counts: DataFrame, examples: DataFrame, items: DataFrame, k:
     """key, item, probability, rank: the top items after each example's input.
 
     The longest history with a count, from k items down to one, scores the whole vocabulary by (n + ALPHA) / (all +
-    ALPHA * V); with none, all are alike. Ties are broken by item. items: item, the vocabulary. Items that no history
-    counts are all alike, so only the first `top` of them are looked at: nothing is multiplied by the vocabulary.
+    ALPHA * V); with none, all are alike. Ties are broken by item. items: item, the vocabulary. Items are ranked once
+    for each history that examples have; those that it never saw are alike, so only the first `top` by name follow.
     """
-    size = items.count()
+    size = items.agg(F.count(F.lit(1)).alias("_size"))  # one row
     totals = counts.groupBy("history").agg(F.sum("n").alias("total"))
     tried = examples.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(k), F.lit(1), F.lit(-1)), lambda o: F.slice(F.col("input"), F.greatest(F.lit(1), F.size("input") - o + 1), o)))).alias("history"))
     best = tried.join(totals, "history").groupBy(key).agg(F.max_by(F.struct("history", "total"), F.size("history")).alias("_b")).select(key, "_b.*")
-    told = examples.select(key).join(best, key, "left")
-    seen = told.join(counts, "history").select(key, F.col("target").alias("item"), "n", "total")
-    seen = seen.join(items.select("item"), "item", "left_semi")
-    # the first items by name, enough that `top` of them are unseen by any example
-    ranked = seen.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "item"))).where(F.col("r") <= top).drop("r")
-    widest = counts.groupBy("history").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
-    few = items.select("item").orderBy("item").limit(int(widest) + top)
-    unseen = told.select(key, "history", "total").crossJoin(F.broadcast(few))  # bounded by the catalogue of techniques
-    unseen = unseen.join(counts.select("history", F.col("target").alias("item")), ["history", "item"], "left_anti")
-    unseen = unseen.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("item"))).where(F.col("r") <= top)
-    unseen = unseen.select(key, "item", F.lit(0).cast("long").alias("n"), "total")
-    both = ranked.select(key, "item", "n", "total").unionByName(unseen)
-    p = F.when(F.col("total").isNull(), F.lit(1.0) / size).otherwise((F.col("n") + ALPHA) / (F.col("total") + ALPHA * size))
-    out = both.withColumn("probability", p)
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("probability"), "item")).cast("long"))
-    return out.where(F.col("rank") <= top).select(key, "item", "probability", "rank")
+    told = examples.select(key).join(best, key, "left").withColumn("history", F.coalesce("history", F.array().cast("array<string>")))
+    used = told.select("history", "total").distinct()
+    numbered = items.select("item", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("item")).alias("_i"))  # a catalogue of techniques
+    seen = counts.join(numbered, counts["target"] == numbered["item"]).groupBy("history").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "_i"))).alias("_seen"))
+    each = used.join(seen, "history", "left").crossJoin(F.broadcast(size)).withColumn("_seen", F.coalesce("_seen", F.array().cast("array<struct<m:bigint,_i:int>>")))
+    first = F.sequence(F.lit(1), F.least(F.col("_size").cast("int"), F.size("_seen") + top))
+    unseen = F.slice(F.array_except(first, F.transform("_seen", lambda x: x["_i"])), 1, top)
+    shown = F.concat(F.slice("_seen", 1, top), F.transform(unseen, lambda i: F.struct(F.lit(0).cast("long").alias("m"), i.alias("_i"))))
+    p = F.when(F.col("total").isNull(), F.lit(1.0) / F.col("_size")).otherwise((F.col("n") + ALPHA) / (F.col("total") + ALPHA * F.col("_size")))
+    ranked = each.where("_size > 0").select("history", "total", "_size", F.posexplode(F.slice(shown, 1, top)).alias("_at", "_x"))
+    ranked = ranked.withColumn("n", -F.col("_x.m")).withColumn("_i", F.col("_x._i")).join(numbered, "_i")
+    ranked = ranked.select("history", "item", p.alias("probability"), (F.col("_at") + 1).cast("long").alias("rank"))
+    return told.select(key, "history").join(ranked, "history").select(key, "item", "probability", "rank")
 
 
 def evaluate(examples: DataFrame, predictions: DataFrame, key: str = "example_id") -> DataFrame:

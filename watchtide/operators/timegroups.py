@@ -9,7 +9,7 @@ gives each bucket the chain that really enters, and buckets then number their gr
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Distinct times of a bucket, about.
@@ -17,13 +17,17 @@ TIMES = 100_000
 
 
 def _chain(t: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chain that starts at each of the sorted distinct times: the next start's index, the last start's end, the number of starts."""
+    """Of a chain that starts at each of the sorted distinct times: the next start's index, the last start's end, the number of starts. By pointer doubling: each round looks twice as many starts ahead."""
     after = np.searchsorted(t, t + w, side="right")
-    out, n = t + w, np.ones(len(t), np.int64)
-    for i in range(len(t) - 1, -1, -1):
-        if after[i] < len(t):
-            out[i], n[i] = out[after[i]], n[after[i]] + 1
-    return after, out, n
+    last, n = np.arange(len(t) + 1), np.append(np.ones(len(t), np.int64), 0)
+    jump = np.append(after, len(t))
+    while True:
+        more = jump < len(t)
+        if not more.any():
+            return after, t[last[:-1]] + w, n[:-1]
+        last = np.where(more, last[jump], last)
+        n = n + np.where(more, n[jump], 0)
+        jump = jump[jump]
 
 
 def _summary(frame):
@@ -32,7 +36,7 @@ def _summary(frame):
     frame = frame.sort_values("t")
     t, w = frame["t"].to_numpy(), int(frame["w"].iloc[0])
     _, out, n = _chain(t, w)
-    start = int(frame["lo"].iloc[0]) + int(frame["bucket"].iloc[0]) * int(frame["width"].iloc[0])
+    start = int(frame["start"].iloc[0])
     enterable = np.concatenate([[True], t[:-1] < start + w])
     t, out, n = t[enterable], out[enterable], n[enterable]
     last = np.concatenate([(out[1:] != out[:-1]) | (n[1:] != n[:-1]), [True]])  # of entries that come to the same
@@ -69,10 +73,17 @@ def _mark(frame):
 def anchored_groups(times: DataFrame) -> DataFrame:
     """rule, t, time_group_id (from 0) of each distinct time; times: rule string, w long, t long in the same unit, w one per rule. Null times are dropped."""
     distinct = times.select("rule", "w", "t").where("t IS NOT NULL").distinct()
-    spans = distinct.groupBy("rule").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n"), F.max("w").alias("_w"))
-    width = F.greatest(F.col("_w") + 1, F.ceil((F.col("hi") - F.col("lo") + 1) / F.ceil(F.col("n") / TIMES)).cast("long"))
-    cut = distinct.join(spans.select("rule", "lo", width.alias("width")), "rule")  # a row for each rule
-    cut = cut.withColumn("bucket", F.floor((F.col("t") - F.col("lo")) / F.col("width")).cast("long"))
+    spans = distinct.groupBy("rule").agg(
+        F.ceil(F.count(F.lit(1)) / TIMES).cast("int").alias("n"), F.min("t").alias("lo"), F.max("w").alias("_w"),
+        F.percentile_approx("t", F.array(*(F.lit(i / 1024) for i in range(1025))), 10_000).alias("q"),
+    )
+    # borders of the buckets: quantiles of the times, more than a window apart, so that a burst of times is spread
+    step = F.greatest(F.lit(1), F.floor(F.lit(1024) / F.col("n")).cast("int"))
+    picked = F.transform(F.sequence(F.lit(0), F.floor(F.lit(1024) / step).cast("int") - 1), lambda i: F.col("q")[i * step])
+    spaced = F.aggregate(picked, F.array(F.col("lo")), lambda a, x: F.when(x > F.element_at(a, -1) + F.col("_w"), F.concat(a, F.array(x))).otherwise(a))
+    cut = distinct.join(spans.select("rule", spaced.alias("borders")), "rule")  # a row for each rule
+    nth = F.size(F.filter("borders", lambda x: x <= F.col("t")))
+    cut = cut.withColumn("bucket", (nth - 1).cast("long")).withColumn("start", F.element_at("borders", nth)).drop("borders")
     summary = cut.groupBy("rule", "bucket").applyInPandas(_summary, "rule string, bucket long, entry long, out long, n long")
     entered = summary.groupBy("rule").applyInPandas(_fold, "rule string, bucket long, end long, before long")
     return cut.join(entered, ["rule", "bucket"]).groupBy("rule", "bucket").applyInPandas(_mark, "rule string, t long, time_group_id long")
@@ -99,3 +110,24 @@ def forward_window(events: DataFrame, t: str, w: int, order: str, kept: list[str
     spread = right.withColumn("_b", F.explode(F.array(F.col("_b0") - 1, F.col("_b0"))))
     later = (F.col(f"other_{t}") > F.col(t)) | ((F.col(f"other_{t}") == F.col(t)) & (F.col(f"other_{order}") >= F.col(order)))
     return left.join(spread, "_b").where(later & (F.col(f"other_{t}") - F.col(t) <= w)).drop("_b", "_b0")
+
+
+def band_aggregate(events: DataFrame, t: str, before: int, after: int, aggregates: dict[str, Column], order: str | None = None) -> DataFrame:
+    """events with aggregates over those from `before` earlier to `after` later, itself included, without making pairs.
+
+    Times are cut into buckets; a row is also lent to the neighbouring buckets that its frame may reach into, and each
+    bucket has range frames of its own. With `order`, of rows of the same time only those not before the row in that
+    order count (for frames that look forward). Rows without a time are left out.
+    """
+    size = max(1, before, after)
+    at = F.floor(F.col(t) / size).cast("long")
+    lent = events.where(F.col(t).isNotNull()).withColumn("_own", at).withColumn("_b", F.explode(F.array(at - 1, at, at + 1)))
+    frame = Window.partitionBy("_b").orderBy(t).rangeBetween(-before, after)
+    if order is None:
+        out = lent.select("*", *(a.over(frame).alias(k) for k, a in aggregates.items()))
+        return out.where("_own = _b").drop("_own", "_b")
+    # the frame of a row, less the rows of its time that come before it
+    ties = Window.partitionBy("_b", t).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = lent.select("*", *(F.struct(a.over(frame).alias("all"), a.over(ties).alias("early")).alias(k) for k, a in aggregates.items()))
+    out = out.where("_own = _b").drop("_own", "_b")
+    return out.withColumns({k: F.col(f"{k}.all") - F.coalesce(F.col(f"{k}.early"), F.lit(0)) for k in aggregates})

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from watchtide.functions import text, times
 from watchtide.functions.addresses import in_network
 from watchtide.operators import context, correlation, graph, pairs, predicates, scoring, semantic, sequences, timegroups
 from watchtide.plans.oracles import SQL
-from watchtide.sources.logs import decode_flat
+from watchtide.sources.logs import BAD, counters, decode_flat, decode_nested, flatten, nested_field, report, summary
+from watchtide.streaming import replay
 
 HOUR = 3600
+#: Least combined score of related brands: theirs are far below those of techniques.
+RELATED_SCORE = 0.02
 ZONES = {"vpn_zone": ["10.1.0.0/16"], "dmz": ["10.2.0.0/17"], "internal": ["10.0.0.0/14"]}
 
 SEMANTIC_RULES = [
@@ -75,8 +81,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepared(table(spark, sf_dir, "events"))
+
+
+def prepared(own: DataFrame) -> DataFrame:
     """Events with k (from props), an address made of k and the user, and the time in microseconds."""
-    own = table(spark, sf_dir, "events")
     own = own.withColumn("k_text", F.get_json_object("props", "$.k")).withColumn("k", F.col("k_text").try_cast("bigint"))
     ip = F.concat_ws(".", F.lit("10"), F.col("k") % 4, F.col("user_id") % 256, F.col("k"))
     return own.withColumn("ip", ip).withColumn("t", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
@@ -90,7 +99,7 @@ def decode_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def semantic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = semantic.semantic_matches(events(spark, sf_dir), SEMANTIC_RULES, NAMES, context.Networks(ZONES), "event_type", ("event_id",))
-    return found.withColumn("matched_conditions", F.array_join("matched_conditions", "; ")).withColumn("context_conditions", F.array_join("context_conditions", "; ")).drop("tactic")
+    return found.withColumn("matched_conditions", F.array_join("matched_conditions", "; ")).withColumn("context_conditions", F.array_join("context_conditions", "; "))
 
 
 def alert_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,17 +134,30 @@ def correlation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def correlation_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlation.detect(events(spark, sf_dir), [SCAN_RULE, USER_RULE], NAMES, "t", "event_type").drop("metrics")
+    return correlation.detect(events(spark, sf_dir), [SCAN_RULE, USER_RULE], NAMES, "t", "event_type")
 
 
 def sliding_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = timegroups.forward_window(events(spark, sf_dir).select("event_id", "t", "value"), "t", 600_000_000, "event_id", ["event_id", "t", "value"])
-    return found.groupBy("event_id").agg(F.count("*").alias("n"), F.round(F.sum("other_value"), 6).alias("total"))
+    own = events(spark, sf_dir).select("event_id", "t", "value")
+    found = timegroups.band_aggregate(own, "t", 0, 600_000_000, {"n": F.count(F.lit(1)), "total": F.sum("value")}, "event_id")
+    return found.select("event_id", "n", F.round("total", 4).alias("total"))
 
 
 def centered_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = timegroups.centered_band(events(spark, sf_dir).where("event_type IN ('error', 'click')").select("event_id", "t"), "t", 900_000_000, ["event_id", "t"])
-    return found.groupBy("event_id").agg(F.count("*").alias("n"), F.min("other_event_id").alias("first"))
+    own = events(spark, sf_dir).select("event_id", "t")
+    found = timegroups.band_aggregate(own, "t", 900_000_000, 900_000_000, {"n": F.count(F.lit(1)), "first": F.min("event_id")})
+    return found.select("event_id", "n", "first")
+
+
+def forward_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = events(spark, sf_dir).select("event_id", "t", "user_id")
+    found = timegroups.forward_window(own, "t", 60_000_000, "event_id", ["event_id", "t", "user_id"])
+    return found.select("event_id", F.col("other_event_id").alias("later"), (F.col("other_user_id") == F.col("user_id")).alias("same_user"))
+
+
+def centered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = events(spark, sf_dir).select("event_id", "t")
+    return timegroups.centered_band(own, "t", 60_000_000, ["event_id", "t"]).select("event_id", F.col("other_event_id").alias("near"))
 
 
 def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +165,13 @@ def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("evidence", F.array_join("evidence", "; "))
 
 
+def pair_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs where the user is unknown for some events and the time for others."""
+    own = events(spark, sf_dir).withColumn("user_id", F.expr("CASE WHEN k % 25 = 0 THEN NULL ELSE user_id END")).withColumn("t", F.expr("CASE WHEN k % 25 = 1 THEN NULL ELSE t END"))
+    found = pairs.pair_correlation(own, PAIR_RULE | {"mapping_id": "P-2"}, NAMES, "event_id")
+    return found.select("mapping_id", "source_uid", "followup_uid", F.size("evidence").cast("long").alias("n_evidence"))
+
+
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = events(spark, sf_dir).select(F.expr("CASE WHEN k < 3 THEN '' WHEN k < 5 THEN NULL ELSE concat(user_id, '-', k) END").alias("id"), "t", "event_id")
     return semantic.first_wins(own, "id", ["t", "event_id"])
@@ -155,14 +184,14 @@ def context_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def context_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = events(spark, sf_dir).select("event_id", F.col("user_id").cast("string").alias("host"))
-    assets = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("ip"), F.col("c_mktsegment").alias("role"), F.col("c_nationkey").cast("string").alias("category"))
+    assets = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("ip"), F.col("c_mktsegment").alias("role"), F.col("c_nationkey").cast("string").alias("category"))
     return context.with_assets(own, assets, "host").withColumnsRenamed({"host.role": "role", "host.category": "category"})
 
 
 def evidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("technique_id"), F.col("p_type").alias("event_identity"))
     found = scoring.evidence_scores(rows)
-    return found.select("p_partkey", "evidence_degree", F.round("evidence_score", 3).alias("evidence_score"))
+    return found.select("p_partkey", "evidence_degree", F.round("evidence_score", 3).alias("evidence_score"), F.split("evidence_confidence_reason", ";")[0].alias("reason"))
 
 
 def relationship_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +199,7 @@ def relationship_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", F.col("p_brand").alias("technique_id"), "p_type", F.expr("CASE p_size % 7 WHEN 0 THEN NULL WHEN 1 THEN 'none' WHEN 2 THEN p_name || ' = ' || p_type WHEN 3 THEN 'a = b' WHEN 4 THEN 'contains x' WHEN 5 THEN 'x | y' ELSE p_name END").alias("flt")
     )
     out = scoring.relationship_strength(rows, ["p_type", "flt"], "flt", {"p_type": 2.0, "flt": 1.0, "absent": 5.0})
-    return out.select("p_partkey", F.round("telemetry_specificity", 6).alias("telemetry_specificity"), "filter_specificity", F.round("completeness", 6).alias("completeness"))
+    return out.select("p_partkey", F.round("telemetry_specificity", 6).alias("telemetry_specificity"), "filter_specificity", F.round("completeness", 6).alias("completeness"), F.round("relationship_strength", 3).alias("relationship_strength"))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +215,7 @@ def technique_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def related_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.related(graph.technique_pairs(_edges(spark, sf_dir)), 5, 0.0).select("t1", "t2", "group_count", "relation_rank")
+    return graph.related(graph.technique_pairs(_edges(spark, sf_dir)), 5, RELATED_SCORE).select("t1", "t2", "group_count", "relation_rank")
 
 
 def anti_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +239,7 @@ def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def size_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy("p_type", "p_brand").count().withColumnRenamed("count", "size").orderBy(F.desc("size"))
+    return semantic.by_size(table(spark, sf_dir, "part"), "p_type", "p_brand").withColumn("place", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("place")).cast("long"))
 
 
 def required_fields_by_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,21 +290,222 @@ def markov_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = table(spark, sf_dir, "lineitem").where("l_suppkey <= 20")
+    lines = table(spark, sf_dir, "lineitem")
     a = lines.groupBy(F.col("l_suppkey").alias("example_id"), F.col("l_linenumber").alias("item")).agg(F.count("*").cast("double").alias("score"))
     b = lines.where("l_linenumber > 2").groupBy(F.col("l_suppkey").alias("example_id"), (F.col("l_linenumber") + 1).alias("item")).agg(F.sum("l_quantity").alias("score"))
     return a, b
 
 
 def fusion_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.fuse(*_rankings(spark, sf_dir), "soft", 100).select("example_id", "item", F.round("score", 6).alias("score"))
+    return sequences.fuse(*_rankings(spark, sf_dir), "soft", 100).select("example_id", "item", F.round("score", 6).alias("score"), "rank")
 
 
 def fusion_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.fuse(*_rankings(spark, sf_dir), "hard_intersection", 3).select("example_id", "item", "score", "rank")
 
 
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts as JSON lines: nested ones, ones with fallbacks, broken ones, repeated keys and NaN, numbers as texts."""
+    text = F.expr(
+        """CASE k % 5 WHEN 0 THEN concat('{"id": "', event_id, '", "rule": {"id": "', k, '"}, "timestamp": ', t div 1000000, '}')
+        WHEN 1 THEN concat('{"id": 0, "event_id": "e', event_id, '", "provider": "p", "timestamp": "2025-08-13T12:00:', lpad(k % 60, 2, '0'), 'Z"}')
+        WHEN 2 THEN '{"id": broken' WHEN 3 THEN concat('{"id": "a", "id": "b', event_id, '", "x": NaN, "decoder": {"name": ""}}')
+        ELSE '{"decoder": {"name": "d"}, "timestamp": "12345"}' END"""
+    )
+    return events(spark, sf_dir).select("event_id", text.alias("value")).withColumnRenamed("event_id", "line")
+
+
+def decode_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = decode_nested(_alerts(spark, sf_dir), "alerts.json")
+    return made.select("line", "id", "event_id", "provider", F.unix_micros("event_time").alias("at"), nested_field("rule.id").alias("rule_id"), F.col(BAD).isNotNull().alias("bad"), "telemetry_source", "log_type")
+
+
+def alert_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _alerts(spark, sf_dir)
+    return counters(raw, decode_nested(raw, "alerts.json"))
+
+
+def condition_traps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NaN, numbers in texts and fields that events don't have."""
+    own = events(spark, sf_dir).select("event_id", F.expr("CASE k % 6 WHEN 0 THEN '1d' WHEN 1 THEN '2.5' WHEN 2 THEN 'NaN' WHEN 3 THEN ' 7 ' WHEN 4 THEN '1e3' ELSE 'x' END").alias("text"), F.expr("CASE WHEN k % 3 = 0 THEN double('NaN') WHEN k % 3 = 1 THEN k END").alias("number"))
+    own = own.withColumn("inner", F.struct(F.struct(F.col("text")).alias("deep")))
+    f = predicates.fields_of(own)
+    leaf = lambda make, name, op, v: make(predicates.field_of(f, name), op, v)
+    tests = {
+        "text_gt": leaf(predicates.alert_leaf, "text", ">", 0), "text_le": leaf(predicates.alert_leaf, "text", "<=", "7"), "nan_gt": leaf(predicates.semantic_leaf, "number", ">", 1), "nan_lt": leaf(predicates.semantic_leaf, "number", "<", 1e9),
+        "nan_eq": leaf(predicates.alert_leaf, "number", "==", float("nan")), "nan_ne": leaf(predicates.semantic_leaf, "number", "!=", 7), "metric_gt": leaf(predicates.metric_leaf, "number", ">", 1), "absent_null": leaf(predicates.semantic_leaf, "absent", "is_null", True),
+        "absent_ne": leaf(predicates.semantic_leaf, "absent", "!=", 1), "deep": leaf(predicates.alert_leaf, "inner.deep.text", "==", "x"), "deeper": leaf(predicates.alert_leaf, "inner.deep.none", "is_null", None),
+    }
+    return own.select("event_id", *(c.alias(k) for k, c in tests.items()))
+
+
+def correlation_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each condition's own outcome, with a metric and a grouping of fields that events don't have."""
+    rule = {"group_by": ["kind", "absent"], "aggregations": {"n": {"function": "count"}, "mean": {"function": "mean", "field": "absent"}, "kinds": {"function": "nunique", "field": "absent"}},
+            "conditions": [{"metric": "n", "operator": ">", "value": 2000}, {"metric": "mean", "operator": "is_null", "value": True}, {"metric": "kinds", "operator": ">=", "value": 0}]}
+    out = correlation.correlate(events(spark, sf_dir), rule, NAMES).select("kind", "absent", "detected", F.explode("condition_results").alias("c"))
+    return out.select("kind", "absent", "detected", "c.metric", "c.value", "c.holds")
+
+
+def semantic_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.rejections(events(spark, sf_dir), SEMANTIC_RULES, NAMES, "event_type", ("event_id",))
+
+
+#: Filter texts on both sides of each line of the rubric.
+FILTERS = (
+    "this is a long descriptive text about it", "match abc defghij klm", "start with this thing", "this matches", "foo equals bar baz qux quux", "a = b", "ActionType = CreateRemoteThread", "x == 1", "equals: value", 'Name is "calc.exe"',
+    "name is calc", "contains x", "contain y z", "likely", "a like b", "regexes", "regex", "end  with z", "*.exe", "50%", "a and b", "a && b", "x|y", "band or", "one", "two words here", "four words are here now", "a!=b", " ", "=",
+)
+
+
+def filter_rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nth = F.element_at(F.array(*map(F.lit, FILTERS)), (F.col("p_partkey") % len(FILTERS) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", nth.alias("text"), scoring.filter_specificity(nth).alias("score"))
+
+
+def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A STIX bundle a nation: suppliers are groups, brands techniques, customers campaigns, order priorities their patterns."""
+    refs = lambda source, i: F.array(F.struct(F.lit("other").alias("source_name"), F.lit("X1").alias("external_id")), F.struct(F.lit(source).alias("source_name"), i.alias("external_id")))
+    none = F.lit(None)
+    phases = F.lit(None).cast("array<struct<kill_chain_name: string, phase_name: string>>")
+
+    def made(df, kind, i, name=none, rel=none, source=none, target=none, references=none, phase=phases, bundle=none, ordinal=none):
+        return df.select(
+            bundle.cast("string").alias("bundle_id"), ordinal.cast("long").alias("ordinal"), F.lit(kind).alias("type"), i.cast("string").alias("id"), name.cast("string").alias("name"), rel.cast("string").alias("relationship_type"),
+            source.cast("string").alias("source_ref"), target.cast("string").alias("target_ref"), references.cast("array<struct<source_name: string, external_id: string>>").alias("external_references"), phase.alias("kill_chain_phases"),
+        )
+
+    key = lambda kind, c: F.concat(F.lit(f"{kind}--"), c)
+    supplier, part = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    brands = part.select("p_brand").distinct()
+    lines = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_brand").distinct()
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    nations = orders.select("c_nationkey", "o_orderpriority").distinct()
+    bundle = F.concat(F.lit("x/"), F.col("c_nationkey"), F.lit(".json"))
+    tactic = F.expr("CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Impact' WHEN '2' THEN 'initial access' WHEN '3' THEN 'execution' WHEN '4' THEN 'unheard' ELSE 'Discovery' END")
+    phase = F.array(F.struct(F.lit("mitre-attack").alias("kill_chain_name"), tactic.alias("phase_name")))
+    parts = [
+        made(supplier, "intrusion-set", key("intrusion-set", F.col("s_suppkey")), F.col("s_name"), references=refs("mitre-attack", F.concat(F.lit("G"), F.col("s_suppkey")))),
+        made(brands, "attack-pattern", key("attack-pattern", F.col("p_brand")), F.col("p_brand"), references=refs("mitre-attack", F.concat(F.lit("T"), F.col("p_brand")))),
+        made(lines, "relationship", key("relationship", F.concat("l_suppkey", "p_brand")), rel=F.lit("uses"), source=key("intrusion-set", F.col("l_suppkey")), target=key("attack-pattern", F.col("p_brand"))),
+        made(nations, "attack-pattern", key("attack-pattern", F.col("o_orderpriority")), references=refs("mitre-attack", F.concat(F.lit("T"), F.col("o_orderpriority"))), phase=phase, bundle=bundle),
+        made(orders.select("c_custkey", "c_name", "c_nationkey").distinct(), "campaign", key("campaign", F.col("c_custkey")), F.col("c_name"), bundle=bundle),
+        made(orders, "relationship", key("relationship", F.col("o_orderkey")), rel=F.lit("related"), source=F.when(F.col("o_orderkey") % 2 == 0, key("campaign", F.col("c_custkey"))).otherwise(key("attack-pattern", F.col("o_orderpriority"))), target=F.when(F.col("o_orderkey") % 2 == 0, key("attack-pattern", F.col("o_orderpriority"))).otherwise(key("campaign", F.col("c_custkey"))), bundle=bundle, ordinal=F.col("o_orderkey")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def group_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.uses(_objects(spark, sf_dir))
+
+
+def campaign_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sequences.campaign_sequences(_objects(spark, sf_dir))
+    return found.select("campaign", "source_file", F.array_join("sequence", ",").alias("sequence"), F.col("length").cast("long").alias("length"))
+
+
+def technique_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.techniques(_objects(spark, sf_dir)).where("name IS NOT NULL").select("technique_id", "name", F.lit("technique").alias("kind"))
+    return found.union(graph.groups(_objects(spark, sf_dir)).select("group_id", "name", F.lit("group")))
+
+
+def knowledge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = graph.knowledge(graph.technique_pairs(_edges(spark, sf_dir)))
+    documents = made.select(F.create_map("technique_id", F.struct("related_techniques")).alias("technique_relations"))
+    return graph.candidates(documents)
+
+
+def related_twenty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.related(graph.technique_pairs(_edges(spark, sf_dir)), 20, 0.0).select("t1", "t2", "relation_rank")
+
+
+def lookup_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers, orders = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
+    return graph.enriched(customers, orders, "c_custkey", "o_orderpriority", "priorities").withColumn("priorities", F.array_join("priorities", ","))
+
+
+def zero_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.counted(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+def full_row_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_orderkey")
+    return semantic.distinct_rows(rows, "l_orderkey")
+
+
+def clean_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = events(spark, sf_dir).select("event_id", F.array("event_type", F.col("k_text")).alias("a"), F.create_map(F.lit("k"), F.col("k")).alias("o"), F.concat(F.lit("\t "), F.col("event_type"), F.lit(" \n")).alias("s"), (F.col("k") % 2 == 0).alias("b"))
+    kinds = dict(own.dtypes)
+    return own.select("event_id", *(text.cell(F.col(c), kinds[c]).alias(c) for c in ("a", "o", "s", "b")))
+
+
+def flat_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = events(spark, sf_dir).select("event_id", F.struct(F.col("event_type").alias("name"), F.struct(F.col("k").alias("k"), F.col("ip").alias("ip")).alias("at")).alias("event"))
+    return flatten(own, "_")
+
+
+def event_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", text.identity(F.col("event_type"), F.expr("nullif(k, 5)"), F.col("user_id")).alias("identity"))
+
+
+def chained_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose time stands in one of several fields, as a number, a numeric text or an ISO text."""
+    own = events(spark, sf_dir)
+    chain = [F.expr("CASE WHEN k % 4 = 0 THEN 'no time' END"), F.expr("CASE WHEN k % 4 = 1 THEN cast(t div 1000000 AS string) END"), F.expr("CASE WHEN k % 4 = 2 THEN '2025-08-13T12:00:00Z' END"), F.expr("CASE WHEN k % 4 <> 3 THEN t div 1000000 END")]
+    return own.select("event_id", F.unix_micros(times.first_time(*chain)).alias("at"))
+
+
+def supported_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sequences.supported_sequences(_visits(spark, sf_dir), ["view", "click", "purchase"])
+    return found.select("user_id", "day", F.array_join("sequence", ",").alias("sequence"))
+
+
+def encoded_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    visits = _visits(spark, sf_dir)
+    known = sequences.vocabulary(visits).where("item <> 'error'")
+    found = sequences.encoded(sequences.prefix_examples(visits), known, "input", 4)
+    return found.select("user_id", "day", F.col("n").cast("long").alias("n"), F.array_join("input", ",").alias("input"))
+
+
+def fusion_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.fuse(*_rankings(spark, sf_dir), "sequence_only", 3).select("example_id", "item", "score", "rank")
+
+
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of a stream of events, batch by batch."""
+    own = events(spark, sf_dir)
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    work = lambda batch: correlation.detect(prepared(batch), [USER_RULE], NAMES, "t", "event_type")
+    at = replay.workspace(spark)
+    replay.each_batch(stream, work, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    schema = correlation.detect(own.limit(0), [USER_RULE], NAMES, "t", "event_type").schema
+    return spark.read.schema(schema).parquet(f"{at}/out").select("mapping_id", "time_group_id", "group_key", "n_events")
+
+
+def context_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assets joined to events answer before zones; unknown hosts have no role."""
+    own = events(spark, sf_dir).withColumn("host", F.col("user_id").cast("string"))
+    assets = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("ip"), F.col("c_mktsegment").alias("role"), F.col("c_nationkey").cast("string").alias("category"))
+    joined = context.with_assets(own, assets, "host")
+    rule = {"mapping_id": "B-1", "log_type": "click", "confidence_score": 0.9, "semantic_conditions": {"field": "kind", "value": "click"},
+            "external_context": {"conditions": [{"context": "host.role", "operator": "==", "value": "BUILDING", "confidence_boost": 0.3}, {"context": "ip.location", "operator": "in", "value": ["dmz", "vpn_zone"], "confidence_boost": 0.05}]}}
+    names = NAMES | {"host": "host", "host.role": "host.role", "host.category": "host.category"}
+    found = semantic.semantic_matches(joined, [rule], names, context.Composite(context.Assets(), context.Networks(ZONES)), "event_type", ("event_id",))
+    return found.select("event_id", "score", "context_boost", F.array_join("context_conditions", "; ").alias("said"))
+
+
+def match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = semantic.semantic_matches(events(spark, sf_dir), SEMANTIC_RULES, NAMES, context.Networks(ZONES), "event_type", ("event_id",))
+    return report(found).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+def result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(semantic.semantic_matches(events(spark, sf_dir), SEMANTIC_RULES, NAMES, context.Networks(ZONES), "event_type", ("event_id",)))
+
+
 _QUERIES = (
+    forward_pairs, centered_pairs, pair_nulls, decode_alerts, alert_counters, condition_traps, correlation_conditions, semantic_reasons, filter_rubric, group_uses, campaign_sequences, technique_lookup, knowledge_candidates, related_twenty,
+    lookup_enriched, zero_counts, full_row_dedup, clean_cells, flat_columns, event_identity, chained_times, supported_sequences, encoded_prefixes, fusion_sequence, stream_replay, context_boosts, match_report, result_summary,
     decode_envelope, semantic_map, alert_map, condition_matrix, time_groups, correlation_metrics, correlation_detect, sliding_forward, centered_band, pair_correlation, dedup_first,
     context_zone, context_asset, evidence_score, relationship_strength, technique_pairs, related_topk, anti_missing, semi_filter, union_results, last_wins, size_sorted,
     required_fields_by_log, null_counts, ordered_sequences, prefix_examples, markov_counts, markov_predict, markov_eval, fusion_soft, fusion_hard,

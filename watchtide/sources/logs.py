@@ -5,24 +5,36 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import StringType
 
-from watchtide.functions.times import event_time, first_time, iso_time
+from watchtide.functions.text import stripped
+from watchtide.functions.times import TIME_FIELDS, event_time, first_time, iso_time, nested_event_time
+from watchtide.operators.semantic import first_filled
 from watchtide.sources.catalog import column, fields, raw_name, raw_schema
 
 BAD = "_bad_line"
+#: Fields of STIX objects that the operators read.
+OBJECT = (
+    "id: string, type: string, name: string, description: string, relationship_type: string, source_ref: string, target_ref: string, "
+    "external_references: array<struct<source_name: string, external_id: string>>, kill_chain_phases: array<struct<kill_chain_name: string, phase_name: string>>"
+)
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """value: the stripped lines of text files that aren't blank. Lines end at \\n, \\r or \\r\\n."""
-    return spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
+    """value: the lines of text files, without white space of any kind at either end, that aren't blank. Lines end at \\n, \\r or \\r\\n."""
+    return spark.read.text(path).select(stripped(F.col("value")).alias("value")).where("value <> ''")
 
 
 def decode_flat(raw: DataFrame, log_type: str, source: str = "Zeek", value: str = "value") -> DataFrame:
     """Typed events of JSON lines: telemetry_source, log_type, timestamp (ISO), event_time, a column for each field, and _bad_line.
 
     A missing field is null; a line that is no JSON object of the log's types has it in _bad_line and no fields.
+    event_time is the first of the timestamp and the fields TIME_FIELDS that is a time.
     """
     from pyspark.sql import types as T
 
@@ -36,17 +48,56 @@ def decode_flat(raw: DataFrame, log_type: str, source: str = "Zeek", value: str
             own = iso_time(own)
         cols.append(own.alias(column(f)))
     kept = [c for c in raw.columns if c != value]
+    others = [F.col(f"_r.`{raw_name(log_type, f)}`") for f in TIME_FIELDS if f in fields(log_type)]
     return parsed.select(
-        *kept, F.lit(source).alias("telemetry_source"), F.lit(log_type).alias("log_type"), iso_time(ts).alias("timestamp"), event_time(iso_time(ts)).alias("event_time"), *cols, F.col(f"_r.{BAD}").alias(BAD)
+        *kept, F.lit(source).alias("telemetry_source"), F.lit(log_type).alias("log_type"), iso_time(ts).alias("timestamp"), first_time(iso_time(ts), *others).alias("event_time"), *cols, F.col(f"_r.{BAD}").alias(BAD)
     )
 
 
+@pandas_udf(StringType())
+def _repaired(lines: pd.Series) -> pd.Series:
+    """JSON objects that repeat a key (the last one holds) or hold NaN and the like (null), in plain form; null for what is no object."""
+
+    def one(line):
+        if line is None:
+            return None
+        try:
+            found = json.loads(line, parse_constant=lambda _: None)
+        except ValueError:
+            return None
+        return json.dumps(found) if isinstance(found, dict) else None
+
+    return lines.map(one)
+
+
 def decode_nested(raw: DataFrame, log_type: str, source: str = "Wazuh", value: str = "value") -> DataFrame:
-    """Alerts of JSON lines with any nesting: telemetry_source, log_type, id, timestamp (as written), event_time, decoded (variant), _bad_line."""
-    v = F.try_parse_json(F.col(value))
-    at = lambda path: F.try_variant_get(F.col("decoded"), path, "string")
-    out = raw.select(*(c for c in raw.columns if c != value), v.alias("decoded"), F.when(v.isNull(), F.col(value)).alias(BAD))
-    return out.select("*", F.lit(source).alias("telemetry_source"), F.lit(log_type).alias("log_type"), at("$.id").alias("id"), at("$.timestamp").alias("timestamp"), first_time(at("$.timestamp")).alias("event_time"))
+    """Alerts of JSON lines with any nesting: telemetry_source, log_type, id, event_id, provider, timestamp (as written), event_time, raw_event, decoded (variant), _bad_line.
+
+    id is null where an alert has none; event_id and provider fall back from one filled field to the next, N/A in the
+    end. A timestamp is a number or an ISO text; a text of a number is none. A line that is no JSON object has it in
+    _bad_line; repeated keys and NaN literals don't make a line bad.
+    """
+    plain = F.try_parse_json(F.col(value))
+    # only lines that fail reach Python
+    v = F.coalesce(plain, F.try_parse_json(_repaired(F.when(plain.isNull(), F.col(value)))))
+    v = F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v)
+    at = lambda path, kind="string": F.try_variant_get(F.col("decoded"), path, kind)
+    out = raw.select(*(c for c in raw.columns if c != value), v.alias("decoded"), F.col(value).alias("raw_event"))
+    written = F.schema_of_variant(F.try_variant_get(F.col("decoded"), "$.timestamp", "variant"))
+    number = F.when(~F.coalesce(written.isin("STRING", "BOOLEAN", "VOID"), F.lit(True)), at("$.timestamp", "double"))
+    return out.select(
+        *(c for c in out.columns if c not in ("decoded", "raw_event")),
+        F.lit(source).alias("telemetry_source"),
+        F.lit(log_type).alias("log_type"),
+        at("$.id").alias("id"),
+        first_filled(at("$.rule.id"), at("$.id"), at("$.event_id")).alias("event_id"),
+        first_filled(at("$.decoder.name"), at("$.provider")).alias("provider"),
+        at("$.timestamp").alias("timestamp"),
+        F.coalesce(F.when(number.isNotNull(), event_time(number)), nested_event_time(at("$.timestamp"))).alias("event_time"),
+        "raw_event",
+        "decoded",
+        F.when(F.col("decoded").isNull(), F.col("raw_event")).alias(BAD),
+    )
 
 
 def nested_field(path: str, kind: str = "string"):
@@ -76,9 +127,10 @@ def sources(path: str) -> list[dict]:
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """The objects of STIX bundles, one document a file: source_file, ordinal and the objects' fields; broken files give none."""
-    found = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    return found.select(F.col("id").alias("bundle_id"), F.posexplode("objects").alias("ordinal", "_o")).select("bundle_id", "ordinal", "_o.*")
+    """The objects of STIX bundles, one document a file: bundle_id (the file's path), ordinal and the fields of OBJECT; broken files give none."""
+    found = spark.read.schema(f"objects array<struct<{OBJECT}>>").option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    found = found.select(F.col("_metadata.file_path").alias("bundle_id"), F.posexplode("objects").alias("ordinal", "_o"))
+    return found.select("bundle_id", "ordinal", "_o.*")
 
 
 def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
@@ -99,6 +151,51 @@ def read_events(spark: SparkSession, path: str, schema: str, form: str = "json")
     return spark.read.schema(schema).format(form).load(path)
 
 
+def flatten(rows: DataFrame, separator: str = ".") -> DataFrame:
+    """rows with the fields of structs, at any depth, as columns of their own: outer, separator, inner."""
+    from pyspark.sql import types as T
+
+    def leaves(schema: T.StructType, path: tuple[str, ...] = ()):
+        for f in schema.fields:
+            if isinstance(f.dataType, T.StructType):
+                yield from leaves(f.dataType, (*path, f.name))
+            else:
+                yield (*path, f.name)
+
+    return rows.select(*(F.col(".".join(f"`{p}`" for p in path)).alias(separator.join(path)) for path in leaves(rows.schema)))
+
+
+def write_table(rows: DataFrame, path: str) -> None:
+    """CSV part files with a header; arrays are joined by ', '."""
+    cells = [F.array_join(c, ", ").alias(c) if kind.startswith("array<string") else F.col(f"`{c}`") for c, kind in rows.dtypes]
+    rows.select(*cells).write.mode("overwrite").csv(path, header=True)
+
+
+def write_document(rows: DataFrame, path: str) -> None:
+    """JSON part files, one object a line, nulls left out."""
+    rows.write.mode("overwrite").json(path)
+
+
+def write_counts(counts: DataFrame, path: str) -> None:
+    """The table of a Markov model."""
+    counts.write.mode("overwrite").parquet(path)
+
+
 def report(matches: DataFrame) -> DataFrame:
     """A line of text for each semantic match."""
     return matches.select(F.format_string("%s %s score=%.2f [%s]", "mapping_id", "technique_id", "score", F.array_join("matched_conditions", "; ")).alias("line"))
+
+
+def detection_report(detections: DataFrame) -> DataFrame:
+    """A line of text for each detection of a correlation."""
+    return detections.select(F.format_string("%s %s group=%s window=%d events=%d score=%.2f %s", "mapping_id", "technique_id", "group_key", "time_group_id", "n_events", "score", "metrics").alias("line"))
+
+
+def pair_report(found: DataFrame) -> DataFrame:
+    """A line of text for each pair."""
+    return found.select(F.format_string("%s %s -> %s confidence=%.2f [%s]", "mapping_id", F.col("source_uid").cast("string"), F.col("followup_uid").cast("string"), "confidence", F.array_join("evidence", "; ")).alias("line"))
+
+
+def summary(results: DataFrame, by: str = "technique_id") -> DataFrame:
+    """by, n, best: results of each technique and their greatest score."""
+    return results.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))

@@ -1,16 +1,24 @@
 """A streaming source that tails files by byte offset and inode, as a Python data source: format("log_tail").
 
-Options: path (a file that every executor and the driver can read). Offsets are {"inode", "start"}; a file whose inode
-changed or that shrank is read from its beginning. Only whole lines are taken, so a line that is being written stays
-for the next batch. Remote files come through `Files`, whose stat and read can be given by another transport.
+Options: path (a file that every executor and the driver can read), rangeBytes. Offsets are {"inode", "start"}; a file
+whose inode changed or that shrank is read from its beginning. The driver only looks at sizes and for the last line
+end, so a line that is being written stays for the next batch; executors read ranges of rangeBytes, each the lines
+that begin in it. A range that is read again after a rotation is looked for by its inode in the file's folder. Remote
+files come through `Files`, whose methods another transport can give.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+
+#: Bytes of a range, and bytes read at once while a line end is looked for.
+RANGE_BYTES, STEP_BYTES = 8 << 20, 64 << 10
 
 
 class Files:
@@ -26,6 +34,23 @@ class Files:
             f.seek(start)
             return f.read(end - start)
 
+    def locate(self, path: str, inode: int) -> str:
+        """The path of the inode: the file itself, or one that it was renamed to in its folder."""
+        if os.path.exists(path) and os.stat(path).st_ino == inode:
+            return path
+        for e in os.scandir(os.path.dirname(path) or "."):
+            if e.is_file() and e.inode() == inode:
+                return e.path
+        raise FileNotFoundError(f"{path} was rotated and its old content is gone")
+
+
+@dataclass
+class Range(InputPartition):
+    inode: int
+    start: int
+    end: int
+    last: int  # where the batch ends
+
 
 class LogTail(DataSource):
     transport: Files = Files()
@@ -37,35 +62,74 @@ class LogTail(DataSource):
     def schema(self) -> str:
         return "path string, start long, value string"
 
-    def simpleStreamReader(self, schema) -> TailReader:
-        return TailReader(self.options["path"], self.transport)
+    def streamReader(self, schema) -> TailReader:
+        return TailReader(self.options["path"], self.transport, int(self.options.get("rangebytes", self.options.get("rangeBytes", RANGE_BYTES))))
 
 
-
-
-class TailReader(SimpleDataSourceStreamReader):
-    def __init__(self, path: str, transport: Files):
-        self.path, self.transport = path, transport
+class TailReader(DataSourceStreamReader):
+    def __init__(self, path: str, transport: Files, range_bytes: int = RANGE_BYTES):
+        self.path, self.transport, self.range_bytes = path, transport, range_bytes
+        self.seen: dict | None = None
 
     def initialOffset(self) -> dict:
         return {"inode": None, "start": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+    def latestOffset(self) -> dict:
+        """The end of the last whole line; what was seen before if the file is missing."""
         try:
             size, inode = self.transport.stat(self.path)
         except FileNotFoundError:
-            return iter(()), start
-        at = start["start"] if start["inode"] in (None, inode) and size >= start["start"] else 0
-        data = self.transport.read(self.path, at, size)
-        whole = data[: data.rfind(b"\n") + 1]
-        return self._rows(whole, at), {"inode": inode, "start": at + len(whole)}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+            return self.seen or self.initialOffset()
+        at = size
+        while at > 0:
+            low = max(0, at - STEP_BYTES)
+            cut = self.transport.read(self.path, low, at).rfind(b"\n")
+            if cut >= 0:
+                self.seen = {"inode": inode, "start": low + cut + 1}
+                return self.seen
+            at = low
+        self.seen = {"inode": inode, "start": 0}
+        return self.seen
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        if end["inode"] is None:
+            return []
         at = start["start"] if start["inode"] in (None, end["inode"]) and end["start"] >= start["start"] else 0
-        return self._rows(self.transport.read(self.path, at, end["start"]), at)
-
-    def _rows(self, data: bytes, at: int) -> Iterator[tuple]:
-        for line in data.splitlines(keepends=True):
+        return [Range(end["inode"], a, min(a + self.range_bytes, end["start"]), end["start"]) for a in range(at, end["start"], self.range_bytes)]
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        path = self.transport.locate(self.path, partition.inode)
+        at = partition.start
+        # a line belongs to the range that it begins in: the byte before tells whether one begins here
+        data = self.transport.read(path, max(0, at - 1), partition.end)
+        if at:
+            cut = data.find(b"\n")
+            if cut < 0:
+                return
+            data, at = data[cut + 1 :], partition.start + cut
+        end = partition.end
+        while data and not data.endswith(b"\n") and end < partition.last:
+            more = self.transport.read(path, end, min(end + STEP_BYTES, partition.last))
+            cut = more.find(b"\n")
+            data, end = data + (more if cut < 0 else more[: cut + 1]), end + len(more)
+            if cut >= 0:
+                break
+        for line in data.split(b"\n")[:-1]:
             if text := line.decode(errors="replace").strip():
                 yield self.path, at, text
-            at += len(line)
+            at += len(line) + 1
+
+
+def tail(spark: SparkSession, registry: list[dict]) -> DataFrame:
+    """One stream of all sources of a registry (see logs.sources): source_id, source, log_type, start, value."""
+    spark.dataSource.register(LogTail)
+    streams = []
+    for s in registry:
+        own = spark.readStream.format("log_tail").option("path", s["remote_path"]).load()
+        streams.append(own.select(F.lit(s["id"]).alias("source_id"), F.lit(s["source"]).alias("source"), F.lit(s["log_type"]).alias("log_type"), "start", "value"))
+    if not streams:
+        raise ValueError("a registry without sources")
+    out = streams[0]
+    for other in streams[1:]:
+        out = out.unionByName(other)
+    return out
