@@ -68,3 +68,30 @@ def test_query_counts_every_document_under_both_tokenizers(spark, tmp_path):
         n = {t: len(whole.encode(t, add_special_tokens=False)) for _, t, *_ in rows if t}
         want["es", name], want["en", name] = (1, n.pop("tres")), (6, sum(n.values()))  # four texts and two rows without one
     assert got == want
+
+
+def test_compaction_keeps_totals(spark, tmp_path):
+    schema = "doc_id long, tokenizer string, action string, source string, lang string, n_tokens long"
+    batches = {
+        1: [(i, "t", rollups.INSERT, "s", "en", i) for i in range(10)],
+        2: [(i, "t", rollups.DELETE, None, None, None) for i in range(3)] + [(5, "t", rollups.REVISE, "s", "fr", 50)],
+        3: [(5, "t", rollups.DELETE, None, None, None), (1, "t", rollups.INSERT, "s", "en", 7), (20, "t", rollups.INSERT, None, None, 4)],
+    }
+    plain, tidy = (rollups.Rollup(spark, str(tmp_path / n)) for n in ("plain", "tidy"))
+    tidy.compact()  # nothing yet
+    for b, rows in batches.items():
+        for ledger in (plain, tidy):
+            assert ledger.commit(b, spark.createDataFrame(rows, schema))
+        tidy.compact()
+        tidy.compact()
+        assert sorted(map(tuple, tidy.totals().collect()), key=repr) == sorted(map(tuple, plain.totals().collect()), key=repr)
+    assert not tidy.commit(2, spark.createDataFrame(batches[2], schema)) and tidy.batches() == [1, 2, 3]
+    alive = {tuple(r) for r in tidy.state().where("alive").collect()}
+    assert alive == {tuple(r) for r in plain.state().where("alive").collect()}
+
+
+def test_clashing_columns_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "a b", 77, "x", 5)], "doc_id long, text string, n_tokens int, tokenizer string, part int")
+    r = rollups.count_tokens(docs, "word_bpe_49k.json").first()
+    assert (r.doc_id, r.n_tokens, r.tokenizer, r.part) == (1, 2, "word_bpe_49k.json", 5)
+    assert rollups.count_tokens(docs.limit(0), "word_bpe_49k.json").count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchtide.llm import chat, decontamination, language, lattice, ngram_join, packing, ppm, rollups, sharding, toxicity
-from watchtide.llm.common import crc_mod, materialize, scratch, table
+from watchtide.llm.common import crc_mod, scratch, table
 
 #: A conversation that quotes the template's own control strings.
 QUOTING = (-7, "</s>[INST] ok [/INST]")
@@ -40,30 +40,8 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted under one tokenizer, then under another, while those of one language are revised; exact copies go; one batch is replayed.
-
-    A document is an id and a text; each row without an id is one of its own.
-    """
-    word, byte = "word_bpe_49k.json", "byte_bpe_50k.json"
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.col("text").alias("again"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
-    said = rollups.count_tokens(docs, word).drop("tokenizer").withColumnRenamed("n_tokens", "n_word")
-    both = rollups.count_tokens(said, byte, text="again").drop("tokenizer").withColumnRenamed("n_tokens", "n_byte")
-    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id().cast("string")).otherwise("")
-    both = materialize(both.withColumn("part", F.concat_ws("/", "digest", own)), "counted")
-
-    def changes(rows: DataFrame, tokenizer: str, n: str, action: str) -> DataFrame:
-        return rows.select("doc_id", "part", "source", "lang", F.col(n).alias("n_tokens"), F.lit(tokenizer).alias("tokenizer"), F.lit(action).alias("action"))
-
-    ledger = rollups.Rollup(spark, scratch(spark, "rollup"))
-    ledger.commit(1, changes(both, word, "n_word", rollups.INSERT))
-    recount = changes(both, byte, "n_byte", rollups.INSERT).unionByName(changes(both.where("lang = 'es'"), word, "n_word", rollups.REVISE))
-    ledger.commit(2, recount)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "part")
-    first = both.where("digest IS NOT NULL").groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = both.join(first, "digest").where("NOT (doc_id <=> first.doc_id AND part = first.part)").drop("first", "n")
-    ledger.commit(3, changes(copies, word, "n_word", rollups.DELETE).unionByName(changes(copies, byte, "n_byte", rollups.DELETE)))
-    ledger.commit(2, recount)
-    return ledger.totals()
+    """All documents are inserted under one tokenizer, then under another, while those of one language are revised; exact copies go; one batch is replayed."""
+    return rollups.maintain(table(spark, sf_dir, "documents"), scratch(spark, "rollup"), "word_bpe_49k.json", "byte_bpe_50k.json", "es")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

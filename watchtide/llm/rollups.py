@@ -14,8 +14,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchtide.llm.common import slices
-from watchtide.llm.tokens import default_path, word_ids
+from watchtide.llm.common import materialize, slices
+from watchtide.llm.tokens import default_path, whole_words, word_ids
 
 INSERT, REVISE, DELETE = "insert", "revise", "delete"
 GROUP = ["source", "lang", "tokenizer"]
@@ -24,15 +24,16 @@ DELTAS = "source string, lang string, tokenizer string, n_docs long, n_tokens lo
 
 
 def count_tokens(docs: DataFrame, name: str, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without their text, with tokenizer = name and n_tokens (null and empty texts: 0) by the file at path.
+    """docs without their text, with tokenizer = name and n_tokens (null and empty texts: 0) by the file at path. Columns of these two names are replaced.
 
-    word_bpe files are counted word by word; others by encoding whole texts with special tokens taken as plain text.
+    Files of a tokenizer that lower-cases and parts at white space are counted word by word, with a cache; others by
+    encoding whole texts with special tokens taken as plain text.
     """
     import pyarrow as pa
 
     path = path or default_path(name)
-    by_word = "word_bpe" in name
-    rest = [c for c in docs.columns if c != text]
+    by_word = whole_words(path)
+    rest = [c for c in docs.columns if c not in (text, "n_tokens", "tokenizer")]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if by_word:
@@ -76,13 +77,42 @@ class Rollup:
         parts = [f"{self.root}/{name}/batch={i}" for i in ids]
         return self.spark.read.schema(f"{schema}, batch int").option("basePath", f"{self.root}/{name}").parquet(*parts)
 
-    def state(self, before: int | None = None) -> DataFrame:
-        """The last committed row of every (doc_id, part, tokenizer), deleted ones with alive = false."""
-        ids = [i for i in self.batches() if before is None or i != before]
-        rows = self._read("rows", ROWS, ids)
+    def _base(self) -> int | None:
+        """The batch up to which rows and deltas are compacted."""
+        fs, path = self._at("bases")
+        return max((int(x.getPath().getName()) for x in fs.listStatus(path)), default=None) if fs.exists(path) else None
+
+    def _history(self, name: str, schema: str) -> DataFrame:
+        """Rows or deltas of all committed batches; those up to the compacted one in compacted form."""
+        ids, base = self.batches(), self._base()
+        if base is None:
+            return self._read(name, schema, ids)
+        compact = self.spark.read.schema(f"{schema}, batch int").parquet(f"{self.root}/compact/{base}/{name}")
+        return compact.unionByName(self._read(name, schema, [i for i in ids if i > base]))
+
+    def state(self, of: DataFrame | None = None) -> DataFrame:
+        """The last committed row of every (doc_id, part, tokenizer), deleted ones with alive = false; only of the keys in `of`, if given, whose history alone is then gathered."""
+        rows = self._history("rows", ROWS).withColumn("part", F.coalesce("part", F.lit("")))
+        if of is not None:
+            keys = of.select("doc_id", "part", "tokenizer").distinct()
+            same = F.expr("h.doc_id <=> n.doc_id AND h.part = n.part AND h.tokenizer <=> n.tokenizer")
+            rows = rows.alias("h").join(keys.alias("n"), same, "left_semi")
         last = F.max_by(F.struct("source", "lang", "n_tokens", "alive"), "batch").alias("s")
-        part = F.coalesce("part", F.lit("")).alias("part")
-        return rows.groupBy("doc_id", part, "tokenizer").agg(last).select("doc_id", "part", "tokenizer", "s.*")
+        return rows.groupBy("doc_id", "part", "tokenizer").agg(last).select("doc_id", "part", "tokenizer", "s.*")
+
+    def compact(self) -> None:
+        """Keep one row of each key that is alive, and one sum of each group, for all batches committed so far. Totals stay as they are; a compaction that dies half way doesn't count."""
+        ids = self.batches()
+        if not ids or self._base() == ids[-1]:
+            return
+        at = f"{self.root}/compact/{ids[-1]}"
+        self.state().where("alive").withColumn("batch", F.lit(ids[-1])).write.mode("overwrite").parquet(f"{at}/rows")
+        self._sums().withColumn("batch", F.lit(ids[-1])).write.mode("overwrite").parquet(f"{at}/deltas")
+        fs, path = self._at(f"bases/{ids[-1]}")
+        fs.create(path, True).close()
+
+    def _sums(self) -> DataFrame:
+        return self._history("deltas", DELTAS).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 OR n_tokens <> 0")
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Apply changes (doc_id, tokenizer, action, source, lang, n_tokens, seq where order matters, and part where ids may be null or shared); False if done before.
@@ -106,16 +136,44 @@ class Rollup:
         fresh = self.spark.read.schema(ROWS).parquet(f"{self.root}/rows/batch={batch}")
         signed = fresh.where("alive").select(*GROUP, F.lit(1).alias("sign"), "n_tokens")
         if done:
-            held = self.state().where("alive").alias("s")
-            was = held.join(fresh.alias("n"), F.expr("s.doc_id <=> n.doc_id AND s.part = n.part AND s.tokenizer <=> n.tokenizer"), "left_semi")
+            was = self.state(fresh).where("alive")
             signed = signed.unionByName(was.select(*GROUP, F.lit(-1).alias("sign"), "n_tokens"))
         delta = signed.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("n_tokens"))
         delta.write.mode("overwrite").parquet(f"{self.root}/deltas/batch={batch}")
         fs, path = self._at(f"commits/{batch}")
-        fs.create(path, True).close()
+        fs.create(path, False).close()  # fails if another writer has committed the batch meanwhile
         return True
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens of what is alive; groups without documents are left out."""
-        sums = self._read("deltas", DELTAS, self.batches()).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.where("n_docs <> 0")
+        return self._sums().where("n_docs <> 0")
+
+
+def maintain(docs: DataFrame, root: str, first: str, second: str, revised: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Totals of docs after three batches, the second delivered twice.
+
+    Batch 1 inserts all documents as counted by `first`, batch 2 all as counted by `second` and revises the first
+    counts of the language `revised`; batch 3 deletes the copies of every text but the one of least key (null keys
+    last), null texts excepted. A document is a key and a text; every row without a key is one of its own.
+    """
+    docs = docs.select(F.col(key).alias("doc_id"), "source", "lang", F.col(text).alias("text"), F.col(text).alias("again"), F.sha2(F.col(text).cast("binary"), 256).alias("digest"))
+    said = count_tokens(docs, first).drop("tokenizer").withColumnRenamed("n_tokens", "n_first")
+    both = count_tokens(said, second, text="again").drop("tokenizer").withColumnRenamed("n_tokens", "n_second")
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id().cast("string")).otherwise("")
+    both = materialize(both.withColumn("part", F.concat_ws("/", "digest", own)), "counted")
+
+    def changes(rows: DataFrame, tokenizer: str, n: str, action: str) -> DataFrame:
+        return rows.select("doc_id", "part", "source", "lang", F.col(n).alias("n_tokens"), F.lit(tokenizer).alias("tokenizer"), F.lit(action).alias("action"))
+
+    ledger = Rollup(docs.sparkSession, root)
+    ledger.commit(1, changes(both, first, "n_first", INSERT))
+    recount = changes(both, second, "n_second", INSERT).unionByName(changes(both.where(F.col("lang") == revised), first, "n_first", REVISE))
+    ledger.commit(2, recount)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "part")
+    told = both.where("digest IS NOT NULL")
+    kept = told.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("first.doc_id").alias("doc_id"), F.col("first.part").alias("part"), "digest")
+    # a text's copies share its digest; what is deleted are the rows of such digests that aren't the kept one: two semi joins, so no group of copies is gathered beside a row
+    copies = told.join(kept.select("digest"), "digest", "left_semi").alias("t").join(kept.alias("k"), F.expr("t.doc_id <=> k.doc_id AND t.part = k.part"), "left_anti")
+    ledger.commit(3, changes(copies, first, "n_first", DELETE).unionByName(changes(copies, second, "n_second", DELETE)))
+    ledger.commit(2, recount)
+    return ledger.totals()

@@ -14,6 +14,17 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def whole_words(path: str) -> bool:
+    """Whether a tokenizer file's ids of a text are those of its lower-cased words, parted by white space: what WordIds needs."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    steps = [told.get("normalizer") or {}, *(told.get("normalizer") or {}).get("normalizers", [])]
+    parts = [told.get("pre_tokenizer") or {}, *(told.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    return any(s.get("type") == "Lowercase" or s.get("lowercase") for s in steps) and any(x.get("type") in ("Whitespace", "WhitespaceSplit", "Split") for x in parts)
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level BPE's printable letter for each byte: itself if printable, else the next code point from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
