@@ -64,3 +64,20 @@ def test_intersections():
     got = nj.intersections(sets[:5], sets[5:])
     assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[5:]] for a in sets[:5]]
     assert nj.least_matches()[nj.HASHES] < 0.8 * nj.HASHES
+
+
+def test_texts_that_share_a_key_keep_their_links(spark):
+    a = [f"a{i}" for i in range(60)]
+    b = [f"b{i}" for i in range(60)]
+    near = lambda w: " ".join([*w[:58], "x", "y"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (1, " ".join(a))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS rep", "2 AS digest", "3 AS n")
+    got = sorted(tuple(r) for r in nj.ngram_join(docs).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
+def test_long_texts(spark):
+    w = [f"w{i}" for i in range(60_000)]
+    rows = [(5, " ".join(w)), (6, " ".join([*w[:30_000], "x", *w[30_000:]])), (7, " ".join(w[:20_000]))]
+    got = {r.doc_id: (r.n_links, r.component_id) for r in nj.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: (1, 5), 6: (1, 5), 7: (0, 7)}

@@ -10,6 +10,7 @@ Tasks return sums of links and spanning edges, so no pair of a group leaves its
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -57,6 +58,10 @@ def shingle_set(text: str | None, hashed: _WordHash) -> np.ndarray:
     return np.unique(h)
 
 
+def _digest(shingles) -> bytes:
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
 def signatures(sets: list[np.ndarray], seed: int = 11) -> np.ndarray:
     """Min-wise hashes (one row per non-empty set), high 32 bits."""
     odd = np.random.default_rng(seed).integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,8 +89,6 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
 
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, digest of the shingle set (null: no words), n shingles, sig (min-wise hashes)."""
-    import hashlib
-
     import pyarrow as pa
 
     kind = docs.schema[key].dataType.simpleString()
@@ -99,7 +102,7 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
             if full:
                 for i, row in zip(full, signatures([sets[i] for i in full]), strict=True):
                     sig[i] = row.tobytes()
-                    digest[i] = hashlib.blake2b(sets[i], digest_size=16).digest()
+                    digest[i] = _digest(sets[i])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())], names=["id", "digest", "n", "sig"]
             )
@@ -208,16 +211,20 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id
 
     component_id is the least key reachable by links, itself included; kept is key = component_id. Words are runs
     of letters, digits and underscores in lower case; a text of fewer than five words is one shingle, one without
-    words (null, empty) links with nothing. Rows without a key are left out; repeated rows are one document; an
-    empty table gives no rows; other columns are ignored. Keys are integers.
+    words (null, empty) links with nothing. Rows without a key are left out; repeated rows are one document, and texts
+    of different shingles under one key are documents of their own, with a row each; an empty table gives no rows;
+    other columns are ignored. Keys are integers.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
     made = materialize(sketch(docs, key, text), "sketch")
     ids = made.select(F.col("id").cast("long").alias("id"), "digest").distinct()
-    classes = materialize(ids.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")), "classes")
-    reps = materialize(made.join(classes, (made["digest"] == classes["digest"]) & (made["id"] == classes["rep"])).select("rep", "m", "n", "sig"), "reps")
+    counted = ids.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("m"))
+    # a class has a number of its own, since one key may stand before several texts
+    classes = materialize(counted.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    first = made.join(classes, (made["digest"] == classes["digest"]) & (made["id"] == classes["least"])).select("rep", "least", classes["digest"], "m", "n", "sig")
+    reps = materialize(first.dropDuplicates(["rep"]), "reps")
 
     keys = F.array(*(F.struct(F.lit(b).alias("b"), F.xxhash64(F.substring("sig", 1 + 4 * BAND * b, 4 * BAND)).alias("h")) for b in range(BANDS)))
     banded = reps.select("rep", F.explode(keys).alias("k")).select("rep", "k.b", "k.h")
@@ -225,7 +232,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id
     chains = banded.join(buckets, ["b", "h"]).where("rep <> low").select(F.col("rep").alias("src"), F.col("low").alias("dst")).distinct()
     clusters = materialize(components(chains), "clusters")
 
-    inside = reps.join(clusters, reps["rep"] == clusters["node"]).select("rep", "m", "n", "sig", "root").dropDuplicates(["rep"])
+    inside = reps.join(clusters, reps["rep"] == clusters["node"]).select("rep", "least", "digest", "m", "n", "sig", "root")
     inside = materialize(inside, "inside")
     size = inside.groupBy("root").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
@@ -234,14 +241,15 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id
     bundles = max(1, total // BLOCK_SHINGLES)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 5):
+        for batch in slices(batches, 6):
             hashed = _WordHash()
-            sets = [shingle_set(t, hashed).tobytes() for t in batch.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sets, pa.binary())], names=["rep", "m", "sig", "root", "blocks", "shingles"])
+            sets = [shingle_set(t, hashed).tobytes() for t in batch.column(6).to_pylist()]
+            own = pa.array([_digest(s) == d for s, d in zip(sets, batch.column(5).to_pylist(), strict=True)])  # a key's other texts aren't meant
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sets, pa.binary())], names=["rep", "m", "sig", "root", "blocks", "shingles"]).filter(own)
 
     placed = inside.join(size, "root")
     whole = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).where("_id IS NOT NULL")
-    texts = placed.join(whole, placed["rep"] == whole["_id"]).select("rep", "m", "sig", "root", "blocks", "_text")
+    texts = placed.join(whole, placed["least"] == whole["_id"]).select("rep", "m", "sig", "root", "blocks", "digest", "_text")
     sets = texts.mapInArrow(shingled, "rep long, m long, sig binary, root long, blocks int, shingles binary").dropDuplicates(["rep"])
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -253,8 +261,11 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id
 
     roots = components(checked.where("rep <> top").select(F.col("rep").alias("src"), F.col("top").alias("dst")))
     weights = checked.groupBy("rep").agg(F.sum("weight").alias("weight"))
-    held = classes.join(weights, "rep", "left").join(roots, classes["rep"] == roots["node"], "left")
-    held = held.select("digest", (F.col("m") - 1 + F.coalesce("weight", F.lit(0))).alias("links"), F.coalesce("root", "rep").alias("top"))
+    linked = classes.join(roots, classes["rep"] == roots["node"])
+    least = linked.groupBy("root").agg(F.min("least").alias("top"))
+    tops = linked.join(least, "root").select("rep", "top")
+    held = classes.join(weights, "rep", "left").join(tops, "rep", "left")
+    held = held.select("digest", (F.col("m") - 1 + F.coalesce("weight", F.lit(0))).alias("links"), F.coalesce("top", "least").alias("top"))
     own = F.coalesce("top", "id")
     out = ids.join(held, "digest", "left").select(
         F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (own == F.col("id")).alias("kept")
