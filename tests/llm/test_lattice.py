@@ -74,3 +74,36 @@ def test_recall_at_the_threshold():
     p, q = p.reshape(len(x), lattice.TABLES, -1), q.reshape(len(x), lattice.TABLES, -1)
     hit = ((a == b) | (a[:, :, None] == q).any(2) | (b[:, :, None] == p).any(2)).any(1)
     assert hit.mean() > 0.99
+
+
+def test_vectors_that_share_a_key_and_clashing_columns(spark):
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(2, 16))
+    rows = [(1, a.tolist(), 7), (1, b.tolist(), 7), (2, (a * 3).tolist(), 7), (3, (b + 0.001).tolist(), 7), (1, a.tolist(), 7)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 AS rep", "2 AS own", "3 AS digest", "4 AS m", "5 AS vector")
+    got = sorted(tuple(r) for r in lattice.lattice_duplicates(table).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+    assert lattice.lattice_duplicates(table.limit(0)).count() == 0
+
+
+def test_recall_on_planted_pairs(spark):
+    """The test embeddings hold no links, so pairs of cosine 0.98 and a little more are planted among them."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    rng, rows, planted = np.random.default_rng(3), [], 0
+    for r in vectors:
+        rows.append((r.vec_id, [float(x) for x in r.embedding], r.label))
+        if r.vec_id % 10 == 0 and r.label is not None:
+            v = np.array(r.embedding, float)
+            v /= np.linalg.norm(v)
+            w = rng.normal(size=len(v))
+            w -= w @ v * v
+            w /= np.linalg.norm(w)
+            c = 0.98 + 0.002 * rng.random() + 1e-9
+            rows.append((1_000_000 + r.vec_id, (c * v + np.sqrt(1 - c * c) * w).tolist(), r.label))
+            planted += 1
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in lattice.lattice_duplicates(table).collect()}
+    assert len(got) == len(rows) and planted > 100
+    found = sum(got[k].n_links == 1 and got[k].component_id == k - 1_000_000 for k in got if k >= 1_000_000)
+    assert found >= 0.98 * planted
+    assert sum(r.n_links for r in got.values()) == 2 * found

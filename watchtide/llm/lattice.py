@@ -85,7 +85,7 @@ def cells(unit: np.ndarray, seed: int = 8) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """key, label, digest of the vector and label, own and probed cells; digest and cells are null where a vector can't link."""
+    """key, label, digest of the vector and label, own and probed cells, vector; digest and cells are null where a vector can't link."""
     import hashlib
 
     import pyarrow as pa
@@ -109,10 +109,10 @@ def sketch(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
                 for i, mine, theirs in zip(np.array(some)[fine], a, b, strict=True):
                     own[i], probed[i] = mine, theirs
                     digest[i] = hashlib.blake2b(repr((labels[i], len(raw[i]))).encode() + np.array(raw[i], np.float64).tobytes(), digest_size=16).digest()
-            yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.array(digest, pa.binary()), pa.array(own, longs), pa.array(probed, longs)], names=["id", "label", "digest", "own", "probed"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.array(digest, pa.binary()), pa.array(own, longs), pa.array(probed, longs), batch.column(2)], names=["id", "label", "digest", "own", "probed", "vector"])
 
     return vectors.where(F.col(key).isNotNull()).select(key, label, vector).mapInArrow(
-        run, f"id {kinds[key]}, label {kinds[label]}, digest binary, own array<long>, probed array<long>"
+        run, f"id {kinds[key]}, label {kinds[label]}, digest binary, own array<long>, probed array<long>, vector {kinds[vector]}"
     )
 
 
@@ -170,14 +170,17 @@ def lattice_duplicates(
     component_id is the least key reachable by links, itself included; kept is key = component_id. Vectors that are
     null, empty, zero or hold a null or non-finite component, and those without a label, link with nothing; vectors
     of different sizes don't link. Equal vectors are one class with a count. Rows without a key are left out;
-    repeated rows are one vector; an empty table gives no rows; other columns are ignored. Keys are integers.
+    repeated rows are one vector, and different vectors under one key are vectors of their own, with a row each; an
+    empty table gives no rows; other columns are ignored. Keys are integers.
     """
     made = materialize(sketch(vectors, key, vector, label), "lattice")
     ids = made.select(F.col("id").cast("long").alias("id"), "digest").distinct()
-    classes = materialize(ids.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")), "classes")
+    counted = ids.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("m"))
+    # a class has a number of its own, since one key may stand before several vectors
+    classes = materialize(counted.withColumn("rep", F.monotonically_increasing_id()), "classes")
     held = made.withColumn("id", F.col("id").cast("long"))
-    reps = held.join(classes, (held["digest"] == classes["digest"]) & (held["id"] == classes["rep"])).select("rep", "m", "label", "own", "probed").dropDuplicates(["rep"])
-    reps = materialize(reps, "reps")
+    first = held.join(classes, (held["digest"] == classes["digest"]) & (held["id"] == classes["least"])).select("rep", "m", "label", "vector", "own", "probed")
+    reps = materialize(first.dropDuplicates(["rep"]), "reps")
 
     mine = reps.select("rep", "label", F.explode("own").alias("cell"))
     least = mine.groupBy("label", "cell").agg(F.min("rep").alias("low"))
@@ -185,13 +188,11 @@ def lattice_duplicates(
     chains = visits.join(least, ["label", "cell"]).where("rep <> low").select(F.col("rep").alias("src"), F.col("low").alias("dst")).distinct()
     clusters = materialize(components(chains), "clusters")
 
-    inside = materialize(reps.join(clusters, reps["rep"] == clusters["node"]).select("rep", "m", "root"), "inside")
+    inside = materialize(reps.join(clusters, reps["rep"] == clusters["node"]).select("rep", "m", "vector", "root"), "inside")
     size = inside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     total = inside.count()
     bundles = max(1, total // BLOCK)
-    whole = vectors.select(F.col(key).cast("long").alias("_id"), F.col(label).alias("_label"), F.col(vector).cast("array<double>").alias("vector")).where("_id IS NOT NULL AND _label IS NOT NULL")
-    placed = inside.join(size, "root")
-    full = placed.join(whole, placed["rep"] == whole["_id"]).dropDuplicates(["rep"])
+    full = inside.join(size, "root")
     # small clusters share tasks; a large one has a task for each pair of its blocks
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bundles))).otherwise(F.col("root") + bundles)
     grid = full.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -200,8 +201,10 @@ def lattice_duplicates(
 
     roots = components(checked.where("rep <> top").select(F.col("rep").alias("src"), F.col("top").alias("dst")))
     weights = checked.groupBy("rep").agg(F.sum("weight").alias("weight"))
-    found = classes.join(weights, "rep", "left").join(roots, classes["rep"] == roots["node"], "left")
-    found = found.select("digest", (F.col("m") - 1 + F.coalesce("weight", F.lit(0))).alias("links"), F.coalesce("root", "rep").alias("top"))
+    linked = classes.join(roots, classes["rep"] == roots["node"])
+    tops = linked.join(linked.groupBy("root").agg(F.min("least").alias("top")), "root").select("rep", "top")
+    found = classes.join(weights, "rep", "left").join(tops, "rep", "left")
+    found = found.select("digest", (F.col("m") - 1 + F.coalesce("weight", F.lit(0))).alias("links"), F.coalesce("top", "least").alias("top"))
     own = F.coalesce("top", "id")
     return ids.join(found, "digest", "left").select(
         F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (own == F.col("id")).alias("kept")
