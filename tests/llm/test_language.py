@@ -27,6 +27,45 @@ def test_marginals_against_all_paths():
         at += n
 
 
+def test_gradient_by_finite_differences():
+    rng = np.random.default_rng(7)
+    n, k, lengths = 14, 3, np.array([6, 1, 7])
+    x, y = rng.integers(1, 5, size=(n, 2)), rng.integers(0, k, n)
+
+    def likelihood(weights, moves):
+        e, at, total = weights[x].sum(1), 0, 0.0
+        for m in lengths:
+            logs = {}
+            for path in itertools.product(range(k), repeat=int(m)):
+                start = np.log(np.exp(moves[:, path[0]]).sum())
+                logs[path] = start + sum(e[at + t, s] for t, s in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:]))
+            total += logs[tuple(y[at : at + m])] - np.log(np.exp(list(logs.values())).sum())
+            at += m
+        return total
+
+    weights, moves, step = rng.normal(size=(5, k)), rng.normal(size=(k, k)), 1e-5
+    up_e, up_m = lg.gradient(x, y, lengths, lg.Model(["a", "b", "c"], weights, moves))
+    for i, j in itertools.product(range(k), repeat=2):
+        d = np.zeros((k, k))
+        d[i, j] = step
+        assert np.isclose((likelihood(weights, moves + d) - likelihood(weights, moves - d)) / (2 * step), up_m[i, j], atol=1e-4)
+    up_w = np.zeros_like(weights)
+    np.add.at(up_w, x.ravel(), np.repeat(up_e, 2, axis=0))
+    for i, j in itertools.product(range(1, 5), range(k)):
+        d = np.zeros_like(weights)
+        d[i, j] = step
+        assert np.isclose((likelihood(weights + d, moves) - likelihood(weights - d, moves)) / (2 * step), up_w[i, j], atol=1e-4)
+
+
+def test_ties_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(i, "same words here", lang) for i, lang in enumerate(["bb", "aa"] * 20)] * 2, "doc_id long, text string, lang string")
+    model = lg.train(docs)
+    assert lg.train(docs.dropDuplicates().repartition(3)).langs == model.langs == ["aa", "bb"]
+    flat = lg.Model(["aa", "bb"], np.zeros((lg.WEIGHTS, 2)), np.zeros((2, 2)))
+    rows = spark.createDataFrame([(1, "any words"), (1, "any words")], "doc_id long, text string").selectExpr("*", "'x' AS lang_pred", "1 AS score")
+    assert [(r.lang_pred, r.score) for r in lg.identify(rows, flat).collect()] == [("aa", 0.5)] * 2
+
+
 def test_chunks_do_not_change_marginals(monkeypatch):
     rng = np.random.default_rng(5)
     e, moves, lengths = rng.normal(size=(400, 3)), rng.normal(size=(3, 3)), np.array([300, 1, 7, 92])

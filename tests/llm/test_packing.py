@@ -37,7 +37,42 @@ def test_plan_places_every_rank_once(histogram):
     for own in spans.values():
         own.sort()
         assert own[0][0] == 0 and own[-1][1] <= 64 and all(a[1] == b[0] for a, b in zip(own, own[1:]))
-    assert bins <= math.ceil(sum(lengths) / 64) * 1.7 + 1
+    assert bins >= max(math.ceil(sum(lengths) / 64), sum(n > 32 for n in lengths))  # no two lengths above half fit together
+    assert bins <= 2 * sum(lengths) / 64 + 1  # at most one sequence is half empty
+
+
+def optimum(lengths, capacity):
+    """Fewest sequences by trying everything."""
+    best = len(lengths)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for r in {*rooms}:
+            if r >= lengths[i]:
+                rest = [*rooms]
+                rest.remove(r)
+                place(i + 1, [*rest, r - lengths[i]])
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_tiny_plans_against_the_optimum(lengths):
+    _, bins = packing.plan(dict(Counter(lengths)), capacity=20)
+    least = optimum(sorted(lengths, reverse=True), 20)
+    assert least <= bins <= least + 1
+
+
+def test_lengths_above_half_stand_alone():
+    assert packing.plan({33: 13}, capacity=64)[1] == 13
 
 
 def test_plan_is_near_the_bound_on_mixed_lengths():
