@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,18 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS):
+    """Arrow batches of few rows for what is written within; the session's own setting is back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int | None, rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches cut into smaller ones, of at most `rows` rows and about TEXT_BYTES of the text column, if any (one row at least)."""
     for batch in batches:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchtide.llm.common import materialize, slices
+from watchtide.llm.common import materialize, slices, small_batches
 
 #: Bytes of context, and bytes of text of a chunk, about.
 ORDER, CHUNK_BYTES = 5, 64 << 20
@@ -262,10 +262,15 @@ def score(docs: DataFrame, learns: Column, key: str = "doc_id", text: str = "tex
     base_score is that of no counts. Repeated rows are learned from and scored each; rows without a key are scored;
     an empty table gives no rows; other columns are ignored.
     """
-    import pyarrow as pa
-
     if not 1 <= order <= 6:
         raise ValueError("order must be 1 to 6")
+    with small_batches(docs.sparkSession):  # whole texts pass through Arrow
+        return _score(docs, learns, key, text, order, chunk_bytes)
+
+
+def _score(docs: DataFrame, learns: Column, key: str, text: str, order: int, chunk_bytes: int) -> DataFrame:
+    import pyarrow as pa
+
     chunks = _chunked(docs, key, text, learns, chunk_bytes)
     keys = materialize(_keys(chunks, order), "keys")
     words = keys.where("word")
@@ -274,7 +279,7 @@ def score(docs: DataFrame, learns: Column, key: str = "doc_id", text: str = "tex
     n_words, kinds = spoken.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, kinds = int(n_words) + ends, kinds + (ends > 0)
     grams = keys.where("NOT word").groupBy("key").agg(F.sum("n").alias("n"))
-    values = materialize(code_lengths(materialize(grams, "grams"), order), "values")
+    values = code_lengths(materialize(grams, "grams"), order)
     by_run = keys.where("NOT word").join(values, "key").select("chunk", "word", "key", "value")
     counted = F.sum("n").over(Window.partitionBy("key")).cast("double")
     by_word = words.select("chunk", "word", "key", counted.alias("value"))
@@ -321,7 +326,7 @@ def score(docs: DataFrame, learns: Column, key: str = "doc_id", text: str = "tex
 
     asked = chunks.select("chunk", "id", "text")
     scored = asked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
-    return scored.select(F.col("id").alias(key), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return materialize(scored, "scores").select(F.col("id").alias(key), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def adaptive_code_length(text: str | None, order: int = ORDER) -> float:
