@@ -59,12 +59,13 @@ def test_both_dictionaries_are_trained(monkeypatch):
     import zstandard
 
     sizes, real = [], zstandard.train_dictionary
-    monkeypatch.setattr(zstandard, "train_dictionary", lambda n, samples: sizes.append(n) or real(n, samples))
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda n, samples, **how: sizes.append(n) or real(n, samples, **how))
     docs = corpus(n=900)
-    pair = tx.Pair.of([t for _, t, y in docs if y], [t for _, t, y in docs if not y])
-    assert sorted(sizes) == [tx.DICTIONARY, tx.DICTIONARY, tx.COMMON]
-    assert len(pair.toxic) == len(pair.ordinary) > 0
-    assert b"blurgh" in pair.toxic and b"blurgh" not in pair.ordinary + pair.common
+    pairs = tx.Pair.each([t for _, t, y in docs if y], [t for _, t, y in docs if not y])
+    assert sorted(sizes) == [*[tx.DICTIONARY] * (1 + len(tx.SEGMENTS)), tx.COMMON]
+    for pair in pairs:
+        assert len(pair.toxic) == len(pair.ordinary) > 0
+        assert b"blurgh" in pair.toxic and b"blurgh" not in pair.ordinary + pair.common
 
 
 def test_score_against_brute_force(spark):
@@ -86,7 +87,8 @@ def test_score_against_brute_force(spark):
         words = [w[i : i + 64] for w in (texts[r.doc_id] or "").lower().split() for i in range(0, len(w), 64)]
         runs = [" ".join(words[i : i + 4]).encode() for i in range(0, len(words), 4)]
         saved = [length(model.pair.ordinary, w) - length(model.pair.toxic, w) for w in runs]
-        z0 = sum(math.log1p(sum(s >= c for s in saved)) * k for c, k in zip(tx.SAVED, model.weights)) + math.log1p(len(runs)) * model.weights[-2] + model.weights[-1]
+        n = [*(sum(s >= c for s in saved) for c in tx.SAVED), max(len(runs), model.least)]
+        z0 = sum(math.log1p(m) * k for m, k in zip(n, model.weights)) + model.weights[-1]
         assert abs(r.score - 1 / (1 + math.exp(-z0))) < 1e-9
 
 

@@ -28,12 +28,16 @@ from watchtide.llm.common import sampled, slices
 CLASS_DOCS, CLASS_BYTES = 3000, 8 << 20
 #: Words of a window and bytes that one word adds at most (longer ones are cut up); bytes of the common dictionary and of the two that are compared; bytes appended to a window, without which zstandard stores short ones raw.
 WINDOW_WORDS, WORD_BYTES, COMMON, DICTIONARY, TAIL = 4, 64, 16384, 2048, 128
+#: Bytes of the segments that toxic dictionaries are made of, as tried; 0: as zstandard finds best for compression.
+SEGMENTS = (0, 16, 32, 64)
 #: A word leans to the toxic class if it is said this many times as often there, and so often that chance explains less than CHANCE such words of the whole vocabulary.
 RATIO, CHANCE = 5.0, 0.05
 #: Letters of the beginnings of longer words that are looked at like words.
 STEMS = (4, 6)
 #: Bytes saved that windows are counted by.
 SAVED = (2, 3, 4, 5, 7, 9)
+#: The share of the calibrating documents whose length is told apart no further: they are short.
+SHORT = 0.02
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"\w+")
@@ -106,12 +110,13 @@ def excerpts(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     return out
 
 
-def trained(samples: list[bytes], size: int) -> bytes:
-    """The dictionary that zstandard trains on the samples; too few to train on, their end."""
+def trained(samples: list[bytes], size: int, segment: int = 0) -> bytes:
+    """The dictionary that zstandard trains on the samples, of segments of so many bytes if given; too few to train on, their end."""
     import zstandard as z
 
     try:
-        return z.train_dictionary(size, samples).as_bytes()
+        how = {"k": segment, "d": 6} if segment else {}
+        return z.train_dictionary(size, samples, **how).as_bytes()
     except z.ZstdError:
         return b"".join(samples)[-size:]
 
@@ -125,12 +130,16 @@ class Pair:
     ordinary: bytes
 
     @classmethod
-    def of(cls, toxic: list[str], ordinary: list[str]) -> Pair:
-        each = [windows(t) for t in ordinary]
-        common, plain = ([w for t in each[i::2] for w in t] for i in (0, 1))
-        a, b = trained(excerpts(toxic, ordinary), DICTIONARY), trained(plain, DICTIONARY)
-        n = min(len(a), len(b))
-        return cls(trained(common, COMMON), a[len(a) - n :], b[len(b) - n :])
+    def each(cls, toxic: list[str], ordinary: list[str]) -> list[Pair]:
+        """A pair for each of SEGMENTS, by which the toxic dictionary is trained; the two dictionaries are of equal size."""
+        own = [windows(t) for t in ordinary]
+        common, plain = (trained([w for t in own[i::2] for w in t], size) for i, size in ((0, COMMON), (1, DICTIONARY)))
+        some, out = excerpts(toxic, ordinary), []
+        for segment in SEGMENTS:
+            a = trained(some, DICTIONARY, segment)
+            n = min(len(a), len(plain))
+            out.append(cls(common, a[len(a) - n :], plain[len(plain) - n :]))
+        return out
 
     def saved(self) -> Callable[[list[bytes]], np.ndarray]:
         """The bytes that the toxic dictionary saves on each window."""
@@ -155,9 +164,14 @@ class Pair:
         return measure
 
 
-def features(saved: np.ndarray) -> np.ndarray:
-    """Logs of the numbers of windows that save at least each of SAVED bytes, and of all windows."""
-    return np.log1p([*(np.count_nonzero(saved >= c) for c in SAVED), len(saved)])
+def counts(saved: np.ndarray) -> list[int]:
+    """Numbers of windows that save at least each of SAVED bytes, and of all windows."""
+    return [*(int(np.count_nonzero(saved >= c)) for c in SAVED), len(saved)]
+
+
+def features(n: np.ndarray, least: float) -> np.ndarray:
+    """Logs of the numbers of windows that save at least each of SAVED bytes, and of all windows, at least `least`."""
+    return np.log1p(np.column_stack([n[:, :-1], np.maximum(n[:, -1], least)]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
@@ -176,7 +190,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
 
 @dataclass
 class Model:
+    """least: the windows that shorter texts count as having, since the weights were calibrated on texts as long."""
+
     pair: Pair
+    least: float
     weights: list[float]
 
     def scorer(self) -> Callable[[list[str | None]], np.ndarray]:
@@ -184,7 +201,7 @@ class Model:
         saved, weights = self.pair.saved(), np.array(self.weights)
 
         def run(texts: list[str | None]) -> np.ndarray:
-            x = np.array([features(saved(windows(t))) for t in texts]).reshape(-1, len(SAVED) + 1)
+            x = features(np.array([counts(saved(windows(t))) for t in texts]).reshape(-1, len(SAVED) + 1), self.least)
             return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
 
         return run
@@ -194,20 +211,30 @@ def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
     """A model of texts of both classes; share: the toxic share of the corpus, to which scores are calibrated.
 
     Of every three documents of a class two train the dictionaries, and the third, which they haven't seen, calibrates
-    the weights.
+    the weights and tells which of the toxic dictionaries is the best.
     """
+    none = [0.0] * (len(SAVED) + 1)
     if not toxic or not ordinary:
-        return Model(Pair(b"", b"", b""), [0.0] * (len(SAVED) + 1) + [30.0 if toxic else -30.0])
-    pair = Pair.of(*([t for i, t in enumerate(texts) if i % 3 < 2] for texts in (toxic, ordinary)))
-    saved, fresh = pair.saved(), [texts[2::3] for texts in (toxic, ordinary)]
-    x = np.array([features(saved(windows(t))) for texts in fresh for t in texts]).reshape(-1, len(SAVED) + 1)
-    y = np.repeat([1.0, 0.0], [len(texts) for texts in fresh])
+        return Model(Pair(b"", b"", b""), 0.0, [*none, 30.0 if toxic else -30.0])
+    pairs = Pair.each(*([t for i, t in enumerate(texts) if i % 3 < 2] for texts in (toxic, ordinary)))
+    fresh = [texts[2::3] for texts in (toxic, ordinary)]
     prior = math.log(share / (1 - share))
     if not all(map(len, fresh)):  # nothing to calibrate on
-        return Model(pair, [0.0] * (len(SAVED) + 1) + [prior])
-    w = logistic(x, y)
+        return Model(pairs[0], 0.0, [*none, prior])
+    own = [windows(t) for texts in fresh for t in texts]
+    y = np.repeat([1.0, 0.0], [len(texts) for texts in fresh])
+    least, best = float(np.quantile([*map(len, own)], SHORT)), None
+    for pair in pairs:
+        saved = pair.saved()
+        x = features(np.array([counts(saved(w)) for w in own]), least)
+        w = logistic(x, y)
+        z = x @ w[:-1] + w[-1]
+        fits = -np.logaddexp(0, np.where(y == 1, -z, z)).sum()
+        if best is None or fits > best[0]:
+            best = (fits, pair, w)
+    _, pair, w = best
     w[-1] += prior - math.log(len(fresh[0]) / len(fresh[1]))
-    return Model(pair, w.tolist())
+    return Model(pair, least, w.tolist())
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
