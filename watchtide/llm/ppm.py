@@ -188,6 +188,10 @@ class Lookup:
         return found
 
 
+#: Distinct keys that a chunk's counts grow by before they are merged.
+MERGE = 1_000_000
+
+
 def _keys(chunks: DataFrame, order: int) -> DataFrame:
     """run (or a word's hash), chunk, n training occurrences: every distinct run and word of a chunk once for each task that reads some of it."""
     import pyarrow as pa
@@ -206,7 +210,7 @@ def _keys(chunks: DataFrame, order: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, words, said, parts = None, _Words(), np.zeros(1, np.int64), []
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, 250):
             for chunk in np.unique(batch.column(2).to_numpy()):
                 own = batch.filter(pa.array(batch.column(2).to_numpy() == chunk))
                 if now is not None and chunk != now:
@@ -224,7 +228,7 @@ def _keys(chunks: DataFrame, order: int) -> DataFrame:
                     said = np.pad(said, (0, max(0, 2 * len(words) - len(said)))) if len(said) < len(words) else said
                     if wanted:
                         said += np.bincount(ids, minlength=len(said))
-                if len(parts) > 16:
+                if sum(len(p[0]) for p in parts[1:]) > MERGE:
                     parts = [_distinct(parts)]
         if now is not None:
             yield from flush(now, words, said, parts)
