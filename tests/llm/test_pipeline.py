@@ -83,3 +83,23 @@ def test_rows_without_an_id_or_with_a_shared_one(spark, tmp_path):
     assert left(corpus_pipeline.drop_near_copies, rows) == sorted([(5, clean), (5, other), (None, "one two"), (9, None)], key=repr)
     said = "they say that one day every item of this test stood in a benchmark table indeed"
     assert left(corpus_pipeline.drop_leaked, [(None, said), (7, said), (7, clean), (None, clean), (8, None)], str(tmp_path)) == sorted([(7, clean), (None, clean), (8, None)], key=repr)
+
+
+def test_clashing_columns_ties_repeats_and_long_texts_pass(spark, tmp_path):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    clean = docs.join(spark.read.parquet(f"{DIR}/labels.parquet").where("toxic = 0"), "doc_id").where("length(text) BETWEEN 500 AND 2000")
+    clean = corpus_pipeline.drop_leaked(spark, corpus_pipeline.drop_toxic(spark, clean, DIR), DIR)
+    text, other = (clean.where(f"lang = '{lang}'").orderBy("doc_id").first().text for lang in ("en", "de"))
+    whole = " ".join(r.text for r in docs.where("lang = 'fr'").select("text").limit(200).collect())
+    rows = [(5, text, "en", "s", 1), (5, text, "en", "s", 1), (4, text, None, "t", 2), (6, other, "de", None, None), (7, whole * 3, "fr", "s", 3)]
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = {"score": "0.5", "predicted": "1", "lang_pred": "'x'", "_row": "7", "_row0": "8", "component_id": "9", "kept": "false", "_key": "'k'", "_words": "'w'", "_doc": "3", "contaminated": "true", "_leaked": "'l'", "_digest": "'d'", "piece": "4"}
+    made = made.selectExpr(*names, *(f"{v} AS {k}" for k, v in clash.items()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = str(tmp_path / name)
+        stage(spark, made, DIR).write.parquet(path)
+        made = spark.read.parquet(path)
+        assert made.columns == [*names, *clash]
+    assert ids(made) <= {4, 6, 7} and made.count() == len(ids(made)) and 4 in ids(made)
+    assert ids(corpus_pipeline.pack(spark, made, DIR)) == ids(made)

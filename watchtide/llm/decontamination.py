@@ -142,4 +142,4 @@ def without_leaked(docs: DataFrame, items: DataFrame, width: int = WINDOW, text:
     named = items.select(digest(item_text).alias("item_id"), F.col(item_text).alias("text"))
     said = located(docs.select(digest(text).alias("_digest"), F.col(text).alias("text")), "_digest", "text")
     leaked = phrase_matches(said, named, width).select("_doc").distinct().join(said.select("_doc", F.col("_key").alias("_leaked")), "_doc").select("_leaked").distinct()
-    return docs.join(leaked, digest(text) == F.col("_leaked"), "left_anti")
+    return docs.join(leaked, digest(text) == leaked["_leaked"], "left_anti")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchtide.llm.common import components, materialize, slices
+from watchtide.llm.common import components, materialize, slices, small_batches
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands and hashes in each: a pair of similarity 0.8 shares a band with probability 0.998, one of 0.85 with 0.99995.
@@ -215,9 +215,13 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id
     of different shingles under one key are documents of their own, with a row each; an empty table gives no rows;
     other columns are ignored. Keys are integers.
     """
+    with small_batches(docs.sparkSession):  # whole texts pass through Arrow
+        return _ngram_join(docs, threshold, key, text)
+
+
+def _ngram_join(docs: DataFrame, threshold: float, key: str, text: str) -> DataFrame:
     import pyarrow as pa
 
-    spark = docs.sparkSession
     made = materialize(sketch(docs, key, text), "sketch")
     ids = made.select(F.col("id").cast("long").alias("id"), "digest").distinct()
     counted = ids.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("m"))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchtide.llm.common import materialize, ranked, slices
+from watchtide.llm.common import materialize, ranked, slices, small_batches
 from watchtide.llm.tokens import default_path, word_ids
 
 CAPACITY, END_ID = 4096, 1
@@ -230,4 +230,6 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None =
     A null or empty text is one piece of one token. Only documents of more than `capacity` tokens are cut. Repeated
     rows are packed each; an empty table gives no rows; other columns are ignored.
     """
-    return pack(materialize(cut(docs, capacity, path, key, text), "pieces"), key, capacity)
+    with small_batches(docs.sparkSession):  # whole texts pass through Arrow
+        pieces = materialize(cut(docs, capacity, path, key, text), "pieces")
+    return pack(pieces, key, capacity)
