@@ -28,20 +28,18 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, repeated rows and rows without an id among them: that of the least doc_id, null ids last."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = ngram_join.ngram_join(rows, key="_row").select(F.col("_row").alias("_id"), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", _digest("text"), "_row")
-    slim = rows.select("_row", order.alias("_order"))
-    kept = slim.join(found, slim["_row"] == found["_id"]).groupBy("component_id").agg(F.min("_order")["_row"].alias("_kept"))
-    return rows.join(kept, rows["_row"] == kept["_kept"], "left_semi").drop("_row")
+    row = next(n for n in map("_row{}".format, range(len(docs.columns) + 1)) if n not in docs.columns)
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = ngram_join.ngram_join(rows.select(row, "text"), key=row).select(F.col(row).alias("_id"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", _digest("text"), F.col(row).alias("row"))
+    slim = rows.select(F.col(row).alias("_own"), order.alias("_order"))
+    kept = slim.join(found, slim["_own"] == found["_id"]).groupBy("component_id").agg(F.min("_order")["row"].alias("_kept"))
+    return rows.join(kept, rows[row] == kept["_kept"], "left_semi").drop(row)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item. Documents and items are told apart by their texts: ids may be null or repeated."""
-    items = table(spark, sf_dir, "benchmark").select(_digest("text").alias("item_id"), "text")
-    found = decontamination.decontaminate(docs.select(_digest("text").alias("_digest"), "text"), items, key="_digest")
-    leaked = found.where("contaminated").select(F.col("_digest").alias("_leaked")).distinct()
-    return docs.join(leaked, _digest("text") == leaked["_leaked"], "left_anti")
+    return decontamination.without_leaked(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Nulls in any column, repeated rows and empty tables are as each operator defines them."""
+    """All stages over documents; an empty table gives no rows.
+
+    Each row is decided on its text. A null text, or one without letters, is rejected as of no language. Rows of equal
+    texts, repeated rows too, go together until one of them stays; of rows alike in id and text any one. Columns other
+    than doc_id and text pass through, whatever their names.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
