@@ -157,3 +157,58 @@ def test_campaigns_and_pairs(spark):
     edges = spark.createDataFrame([("g1", "T1048"), ("g2", "T1048"), ("g1", "T1016"), ("g2", "T1016"), ("g3", "T9")], "group_id string, technique_id string")
     made = graph.technique_pairs(edges).where("t1 = 'T1048'").first()
     assert (made["t2"], made["cooccurrence"]) == ("T1016", 1.0)
+
+
+def test_detections_without_rules_or_window(spark):
+    events = spark.createDataFrame([(1, "x", 0), (2, "x", 5), (3, "y", 7)], "event_uid long, log_type string, t long")
+    assert correlation.detect(events, []).count() == 0 and semantic.semantic_matches(events, []).count() == 0
+    rule = {"group_by": [], "aggregations": {"n": {"function": "count"}}, "conditions": [{"metric": "n", "operator": ">", "value": 1}]}
+    for window in (None, 0, -1, "soon"):
+        with pytest.raises(ValueError):
+            correlation.detect(events, [{"mapping_id": "m", "correlation_rule": rule | {"window_seconds": window}}])
+    more = rule | {"window_seconds": "1", "aggregations": {"n": {"function": "count"}, "none": {"function": "max", "field": "absent"}}}
+    mappings = [{"mapping_id": "a", "correlation_rule": more}, {"mapping_id": "b", "log_type": "x", "correlation_rule": more}, {"mapping_id": "c", "log_type": ["x"], "correlation_rule": more | {"conditions": []}}]
+    got = {r["mapping_id"]: (r["n_events"], r["metrics"]) for r in correlation.detect(events, mappings).collect()}
+    assert got == {"a": (3, '{"n":3.0}'), "b": (2, '{"n":2.0}'), "c": (2, '{"n":2.0}')}
+
+
+def test_rules_of_one_shape_share_a_scan(spark):
+    events = spark.createDataFrame([(1, "x", 0)], "event_uid long, log_type string, t long")
+    rule = {"group_by": ["log_type"], "window_seconds": 1, "aggregations": {"n": {"function": "count"}}, "conditions": []}
+    plans = []
+    for n in (1, 30):
+        made = correlation.detect(events, [{"mapping_id": str(i), "log_type": "x", "correlation_rule": rule} for i in range(n)])
+        plans.append(made._jdf.queryExecution().optimizedPlan().toString().count("Aggregate"))
+    assert plans[0] == plans[1]
+
+
+def test_first_filled_and_flatten(spark):
+    df = spark.createDataFrame([("", "0", "x"), (None, None, None), ("a", "b", "c")], "a string, b string, c string")
+    assert [r[0] for r in df.select(semantic.first_filled(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["x", "N/A", "a"]
+    nested = df.select(F.struct("a", F.struct("b", "c").alias("in")).alias("o"))
+    assert logs.flatten(nested).columns == ["o.a", "o.in.b", "o.in.c"]
+    assert sequences.split(df.selectExpr("a AS campaign")).select("part").distinct().count() >= 1
+
+
+def test_files_in_and_out(spark, tmp_path):
+    (tmp_path / "rules.json").write_text(json.dumps({"mappings": [{"mapping_id": "m", "correlation_required": True}, {"mapping_id": "s"}]}))
+    (tmp_path / "bad.json").write_text('{"other": 1}')
+    rules = logs.load_rules(str(tmp_path / "rules.json"))
+    assert [[r["mapping_id"] for r in part] for part in semantic.split_by(rules)] == [["s"], ["m"]]
+    with pytest.raises(ValueError):
+        logs.load_rules(str(tmp_path / "bad.json"))
+    (tmp_path / "raw.log").write_text("  one \n\t \n\ttwo\t\n")
+    assert [r[0] for r in logs.lines(spark, str(tmp_path / "raw.log")).collect()] == ["one", "two"]
+    (tmp_path / "bundles").mkdir()
+    (tmp_path / "bundles" / "b.json").write_text(json.dumps({"type": "bundle", "objects": [{"id": "x", "type": "campaign", "name": "N"}, {"id": "y", "type": "tool"}]}))
+    (tmp_path / "bundles" / "c.json").write_text("{broken")
+    got = logs.read_bundles(spark, str(tmp_path / "bundles")).orderBy("ordinal").collect()
+    assert [(r["bundle_id"].rsplit("/", 1)[1], r["ordinal"], r["id"], r["name"]) for r in got] == [("b.json", 0, "x", "N"), ("b.json", 1, "y", None)]
+    rows = spark.createDataFrame([("a.log", 1, ["x", "y"]), ("b.log", 2, None)], "log_type string, n int, l array<string>")
+    logs.write_table(rows, str(tmp_path / "csv"))
+    assert sorted(map(tuple, logs.read_table(spark, str(tmp_path / "csv"), "log_type string, n int, l string").collect())) == [("a.log", 1, "x, y"), ("b.log", 2, None)]
+    for _ in range(2):
+        logs.append_events(rows, str(tmp_path / "events"))
+    assert logs.read_events(spark, str(tmp_path / "events"), "n int, l array<string>, log_type string").count() == 4
+    logs.write_document(rows, str(tmp_path / "doc"))
+    assert spark.read.json(str(tmp_path / "doc")).count() == 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -102,21 +103,18 @@ def validate(rule: dict) -> None:
             raise ValueError("condition without a value")
 
 
-def correlate(events: DataFrame, rule: dict, names: dict[str, str] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """A row for every group: keys, group_by fields, a column for each metric, state, condition_results, detected, score.
-
-    Events of a group are those equal in keys and in the group_by fields (null is a value); an empty group_by is one
-    group. names: field -> column; a field that events don't have is null. condition_results tells of each condition,
-    in order, its metric, value and whether it holds. detected: all hold and so does the state condition, if any.
-    """
-    validate(rule)
-    fields = fields_of(events, names)
-    by = [*keys, *(f"g_{i}" for i in range(len(rule["group_by"])))]
-    events = events.select("*", *(field_of(fields, f).column.alias(f"g_{i}") for i, f in enumerate(rule["group_by"])))
+def _specs(rule: dict) -> dict[str, dict]:
+    """A rule's aggregates by metric, the state's under "state"."""
     specs = dict(rule["aggregations"])
-    state = rule.get("state_condition")
-    if state:
+    if state := rule.get("state_condition"):
         specs["state"] = {"function": state["aggregation"], "field": state.get("field"), "values": state.get("values", [])}
+    return specs
+
+
+def _aggregated(events: DataFrame, group_by: list[str], specs: dict[str, dict], fields: Fields, keys: tuple[str, ...]) -> DataFrame:
+    """keys, g_0, g_1, ... (the group_by fields), n_events and a column for each specification, of every group."""
+    by = [*keys, *(f"g_{i}" for i in range(len(group_by)))]
+    events = events.select("*", *(field_of(fields, f).column.alias(f"g_{i}") for i, f in enumerate(group_by)))
     plain = {k: s for k, s in specs.items() if s["function"] != "entropy"}
     out = events.groupBy(*by).agg(F.count(F.lit(1)).alias("n_events"), *(metric(s, fields).alias(k) for k, s in plain.items()))
     for k, s in specs.items():
@@ -124,18 +122,35 @@ def correlate(events: DataFrame, rule: dict, names: dict[str, str] | None = None
             more = entropies(events, by, field_of(fields, s["field"]), k)
             same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by] or [F.lit(True)]
             out = out.alias("a").join(more.alias("b"), reduce(lambda x, y: x & y, same)).select("a.*", f"b.{k}")
+    return out
+
+
+def _outcome(rule: dict, column: Callable[[str], str]) -> tuple[Column, Column, Column]:
+    """condition_results, detected and score of a rule over aggregates, whose columns `column` names."""
 
     def holds(name: str, c: dict) -> Column:
-        return metric_leaf(Field(F.col(name), "double"), c["operator"], c.get("value"), "value" in c)
+        return metric_leaf(Field(F.col(column(name)), "double"), c["operator"], c.get("value"), "value" in c)
 
-    told = both([holds(c["metric"], c) for c in rule["conditions"]])
+    state, scoring = rule.get("state_condition"), rule.get("scoring") or {}
     in_state = holds("state", state) if state else F.lit(True)
-    scoring = rule.get("scoring") or {}
-    weight = float(scoring.get("base_weight", 1.0))
-    score = F.lit(weight) * F.when(in_state, float(scoring.get("state_condition_weight", 1.0)) if state else 1.0).otherwise(1.0)
-    each = [F.struct(F.lit(c["metric"]).alias("metric"), F.col(c["metric"]).cast("double").alias("value"), holds(c["metric"], c).alias("holds")) for c in rule["conditions"]]
+    score = F.lit(float(scoring.get("base_weight", 1.0))) * F.when(in_state, float(scoring.get("state_condition_weight", 1.0)) if state else 1.0).otherwise(1.0)
+    told = [holds(c["metric"], c) for c in rule["conditions"]]
+    each = [F.struct(F.lit(c["metric"]).alias("metric"), F.col(column(c["metric"])).cast("double").alias("value"), h.alias("holds")) for c, h in zip(rule["conditions"], told, strict=True)]
     results = F.array(*each) if each else F.array().cast("array<struct<metric:string,value:double,holds:boolean>>")
-    out = out.withColumn("condition_results", results).withColumn("detected", told & in_state).withColumn("score", score)
+    return results, both(told) & in_state, score
+
+
+def correlate(events: DataFrame, rule: dict, names: dict[str, str] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A row for every group: keys, group_by fields, a column for each metric, state, condition_results, detected, score.
+
+    Events of a group are those equal in keys and in the group_by fields (null is a value); an empty group_by is one
+    group. names: field -> column; a field that events don't have is null. condition_results tells of each condition,
+    in order, its metric, value and whether it holds. detected: all hold and so does the state condition, if any.
+    """
+    validate(rule)
+    out = _aggregated(events, rule["group_by"], _specs(rule), fields_of(events, names), keys)
+    results, detected, score = _outcome(rule, lambda name: name)
+    out = out.withColumn("condition_results", results).withColumn("detected", detected).withColumn("score", score)
     return out.withColumnsRenamed({f"g_{i}": f for i, f in enumerate(rule["group_by"])})
 
 
@@ -144,38 +159,51 @@ def detect(events: DataFrame, mappings: list[dict], names: dict[str, str] | None
 
     events: time in microseconds. Time groups are formed over all events of a mapping's log types, before entities
     are told apart; events without a time are dropped. group_key and metrics are JSON. A rule without a window above
-    zero is an error.
+    zero is an error. Mappings alike in log types, window and group_by share a scan, their time groups and one
+    aggregate, in which equal metrics are computed once.
     """
     if not mappings:
         return events.sparkSession.createDataFrame([], "mapping_id string, technique_id string, confidence double, time_group_id long, group_key string, n_events long, metrics string, score double")
-    wide = []
+    fields = fields_of(events, names)
+    shapes: dict[tuple, list[dict]] = {}
     for m in mappings:
         validate(m["correlation_rule"])
-        wanted = m.get("log_type")
-        wanted = [wanted] if isinstance(wanted, str) else wanted
-        chosen = F.col(log_type).isin(*wanted) if wanted else F.lit(True)
-        wide.append((m, events.where(chosen)))
-    times = [
-        own.select(F.lit(m["mapping_id"]).alias("rule"), F.lit(int(window_seconds(m["correlation_rule"]) * SECOND)).cast("long").alias("w"), F.col(time).alias("t"))
-        for m, own in wide
-    ]
+        wanted = m.get("log_type") or []
+        wanted = (wanted,) if isinstance(wanted, str) else tuple(sorted(wanted))
+        shapes.setdefault((wanted, int(window_seconds(m["correlation_rule"]) * SECOND), tuple(m["correlation_rule"]["group_by"])), []).append(m)
+    spans = sorted({s[:2] for s in shapes})
+
+    def own(wanted: tuple) -> DataFrame:
+        return events.where(F.col(log_type).isin(*wanted)) if wanted else events
+
+    times = [own(wanted).select(F.lit(str(i)).alias("rule"), F.lit(w).cast("long").alias("w"), F.col(time).alias("t")) for i, (wanted, w) in enumerate(spans)]
     groups = anchored_groups(reduce(DataFrame.unionByName, times))
     found = []
-    for m, own in wide:
-        rule = m["correlation_rule"]
-        mine = groups.where(F.col("rule") == m["mapping_id"]).select(F.col("t").alias("_t"), "time_group_id")
-        grouped = own.join(mine, F.col(time) == F.col("_t")).drop("_t")
-        hits = correlate(grouped, rule, names, ("time_group_id",)).where("detected")
-        found.append(
-            hits.select(
+    for (wanted, w, group_by), alike in shapes.items():
+        mine = groups.where(F.col("rule") == str(spans.index((wanted, w)))).select(F.col("t").alias("_t"), "time_group_id")
+        grouped = own(wanted).join(mine, F.col(time) == F.col("_t")).drop("_t")
+        specs: dict[str, dict] = {}
+        named: list[dict[str, str]] = []
+        for m in alike:
+            told = {}
+            for name, spec in _specs(m["correlation_rule"]).items():
+                told[name] = next((k for k, s in specs.items() if s == spec), f"m_{len(specs)}")
+                specs[told[name]] = spec
+            named.append(told)
+        out = _aggregated(grouped, list(group_by), specs, fields, ("time_group_id",))
+        hits = []
+        for m, told in zip(alike, named, strict=True):
+            rule = m["correlation_rule"]
+            _, detected, score = _outcome(rule, told.__getitem__)
+            made = F.struct(
                 F.lit(m["mapping_id"]).alias("mapping_id"),
-                F.lit((m.get("attack_technique") or {}).get("technique_id")).alias("technique_id"),
+                F.lit((m.get("attack_technique") or {}).get("technique_id")).cast("string").alias("technique_id"),
                 F.lit(m.get("confidence_score")).cast("double").alias("confidence"),
-                "time_group_id",
-                F.to_json(F.struct(*rule["group_by"])).alias("group_key") if rule["group_by"] else F.lit("{}").alias("group_key"),
-                "n_events",
-                F.to_json(F.struct(*rule["aggregations"])).alias("metrics"),
-                "score",
+                (F.to_json(F.struct(*(F.col(told[k]).alias(k) for k in rule["aggregations"]))) if rule["aggregations"] else F.lit("{}")).alias("metrics"),
+                score.alias("score"),
             )
-        )
+            hits.append(F.when(detected, made))
+        key = F.to_json(F.struct(*(F.col(f"g_{i}").alias(f) for i, f in enumerate(group_by)))) if group_by else F.lit("{}")
+        out = out.select("time_group_id", key.alias("group_key"), "n_events", F.explode(F.array_compact(F.array(*hits))).alias("_d"))
+        found.append(out.select("_d.mapping_id", "_d.technique_id", "_d.confidence", "time_group_id", "group_key", "n_events", "_d.metrics", "_d.score"))
     return reduce(DataFrame.unionByName, found)
