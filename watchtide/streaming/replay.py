@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -32,7 +33,7 @@ def each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: s
 
 
 class AnchoredGroups(StatefulProcessor):
-    """Time groups of a stream by rule: the anchor and the number of the group stay in state; a batch is sorted by time.
+    """Time groups of a stream by rule: the anchor and the number of the group stay in state; a batch's times are sorted, so they must fit into a task: bound what a trigger reads.
 
     Rows: rule, w, t. An event before its group's anchor (late) belongs to no group that is still open; it is given -1.
     """
@@ -43,15 +44,23 @@ class AnchoredGroups(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator, timer_values) -> Iterator:
         import pandas as pd
 
-        batch = pd.concat(list(rows)).sort_values("t", kind="stable")
+        parts = [(f["t"].to_numpy(np.int64), int(f["w"].iloc[0])) for f in rows if len(f)]
+        if not parts:
+            return
+        t, w = np.sort(np.concatenate([p for p, _ in parts])), parts[0][1]
         t0, gid = self.anchor.get() if self.anchor.exists() else (None, -1)
-        found = []
-        for t, w in zip(batch["t"], batch["w"], strict=True):
-            if t0 is None or t > t0 + w:
-                t0, gid = int(t), gid + 1
-            found.append(gid if t >= t0 else -1)
+        found = np.full(len(t), -1, np.int64)
+        at = 0
+        if t0 is not None:
+            late, at = np.searchsorted(t, t0, side="left"), int(np.searchsorted(t, t0 + w, side="right"))
+            found[late:at] = gid
+        while at < len(t):  # a step for each group, not for each row
+            t0, gid = int(t[at]), gid + 1
+            end = int(np.searchsorted(t, t0 + w, side="right"))
+            found[at:end] = gid
+            at = end
         self.anchor.update((t0, gid))
-        yield pd.DataFrame({"rule": key[0], "t": batch["t"].to_numpy(), "time_group_id": found})
+        yield pd.DataFrame({"rule": key[0], "t": t, "time_group_id": found})
 
     def close(self) -> None:
         pass
