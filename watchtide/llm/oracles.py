@@ -40,3 +40,18 @@ WITH d AS (
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+SQL["op1_lattice_near_duplicates"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+), g AS (
+  SELECT *, list_inner_product(e, e) AS n FROM v WHERE len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / sqrt(a.n * b.n) >= 0.98
+), r AS (
+  SELECT vec_id AS x, vec_id AS m FROM embeddings UNION SELECT l.y, r.m FROM r JOIN l ON l.x = r.x
+)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.x = e.vec_id) AS n_links, min(r.m) AS component_id, min(r.m) = e.vec_id AS kept
+FROM embeddings e JOIN r ON r.x = e.vec_id GROUP BY e.vec_id
+"""
