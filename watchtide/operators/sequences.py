@@ -48,6 +48,11 @@ def sequences(items: DataFrame, by: list[str], item: str, order: list[str]) -> D
     return first.groupBy(*by).agg(F.transform(ordered, lambda x: x["_i"]).alias("sequence"))
 
 
+def by_campaign(rows: DataFrame) -> DataFrame:
+    """Sequences in the order of their campaigns' names, then of their files."""
+    return rows.orderBy("campaign", "source_file")
+
+
 def supported_sequences(rows: DataFrame, supported: list[str]) -> DataFrame:
     """Sequences with only supported items, of LEAST_LENGTH or more."""
     kept = F.array(*map(F.lit, supported))

@@ -482,6 +482,22 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{at}/out").select("mapping_id", "time_group_id", "group_key", "n_events")
 
 
+def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a stream of events, batch by batch."""
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    at = replay.workspace(spark)
+    work = lambda batch: pairs.pair_correlation(prepared(batch), PAIR_RULE, NAMES, "event_id")
+    replay.each_batch(stream, work, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    schema = pairs.pair_correlation(events(spark, sf_dir), PAIR_RULE, NAMES, "event_id").schema
+    return spark.read.schema(schema).parquet(f"{at}/out").drop("batch").withColumn("evidence", F.array_join("evidence", "; "))
+
+
+def campaign_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences in the order of their campaigns' names, numbered by where they stand."""
+    found = sequences.by_campaign(sequences.campaign_sequences(_objects(spark, sf_dir)))
+    return found.select("campaign", F.monotonically_increasing_id().alias("_at")).select("campaign", F.row_number().over(Window.orderBy("_at")).cast("long").alias("place"))
+
+
 def context_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assets joined to events answer before zones; unknown hosts have no role."""
     own = events(spark, sf_dir).withColumn("host", F.col("user_id").cast("string"))
@@ -505,7 +521,7 @@ def result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     forward_pairs, centered_pairs, pair_nulls, decode_alerts, alert_counters, condition_traps, correlation_conditions, semantic_reasons, filter_rubric, group_uses, campaign_sequences, technique_lookup, knowledge_candidates, related_twenty,
-    lookup_enriched, zero_counts, full_row_dedup, clean_cells, flat_columns, event_identity, chained_times, supported_sequences, encoded_prefixes, fusion_sequence, stream_replay, context_boosts, match_report, result_summary,
+    lookup_enriched, zero_counts, full_row_dedup, clean_cells, flat_columns, event_identity, chained_times, supported_sequences, encoded_prefixes, fusion_sequence, stream_replay, stream_pairs, campaign_order, context_boosts, match_report, result_summary,
     decode_envelope, semantic_map, alert_map, condition_matrix, time_groups, correlation_metrics, correlation_detect, sliding_forward, centered_band, pair_correlation, dedup_first,
     context_zone, context_asset, evidence_score, relationship_strength, technique_pairs, related_topk, anti_missing, semi_filter, union_results, last_wins, size_sorted,
     required_fields_by_log, null_counts, ordered_sequences, prefix_examples, markov_counts, markov_predict, markov_eval, fusion_soft, fusion_hard,
