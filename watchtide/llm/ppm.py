@@ -166,7 +166,7 @@ class Lookup:
     """Values of distinct keys by a table of slots; keys that another one keeps from their slot are searched for."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(np.ceil(np.log2(len(keys) + 1))) + 1)
+        bits = max(4, int(np.ceil(np.log2(len(keys) + 1))))
         self.shift = np.uint64(64 - bits)
         slots = self._slots(keys)
         self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
