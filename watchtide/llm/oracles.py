@@ -55,3 +55,38 @@ WITH RECURSIVE v AS (
 SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.x = e.vec_id) AS n_links, min(r.m) AS component_id, min(r.m) = e.vec_id AS kept
 FROM embeddings e JOIN r ON r.x = e.vec_id GROUP BY e.vec_id
 """
+
+SQL["op13_filter_audit"] = r"""
+WITH given AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), told AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), masked AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(g.doc_id > min(g.doc_id) OVER (PARTITION BY t), false)::INT AS m
+  FROM given g LEFT JOIN told ON g.doc_id = told.doc_id
+), cells AS (
+  SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masked GROUP BY part, m
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS bit
+), orders AS (
+  SELECT [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits, a.l || b.l || c.l || d.l || e.l AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+  SELECT filter_order, k AS step, bits[k] AS bit, coalesce(list_sum(bits[1 : k - 1]), 0)::INT AS before FROM orders, (SELECT unnest(range(1, 6)) AS k)
+), counted AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (m & (before | bit) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (m & before = 0 AND m & bit <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (m & before <> 0 AND m & bit <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (m = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (m & before = 0 AND m & bit <> 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (m & before = 0 AND m & bit <> 0), 0) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counted
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchtide.llm import chat, decontamination, language, lattice, ngram_join, packing, ppm, rollups, sharding, toxicity
+from watchtide.llm import chat, decontamination, filter_audit, language, lattice, ngram_join, packing, ppm, rollups, sharding, toxicity
 from watchtide.llm.common import crc_mod, scratch, table
 
 #: A conversation that quotes the template's own control strings.
@@ -74,8 +74,12 @@ def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", crc_mod("doc_id", 5) == 1)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lattice_near_duplicates, op2_toxicity, op3_best_fit_packing, op4_decontamination, op5_sharding, op6_token_counts, op7_ngram_jaccard_join, op8_language_id, op9_chat_formatting, op10_ppm_scoring)}
+    return {f.__name__: f for f in (op1_lattice_near_duplicates, op2_toxicity, op3_best_fit_packing, op4_decontamination, op5_sharding, op6_token_counts, op7_ngram_jaccard_join, op8_language_id, op9_chat_formatting, op10_ppm_scoring, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
