@@ -90,3 +90,65 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
   good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
 FROM counted
 """
+
+# Whole strings of edits are compared here, from the last row to the first; the second recursion reads the least one and writes the rows.
+SQL["op12_conversation_repair"] = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b)
+), named AS (
+  SELECT *, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS bytes FROM conversations
+), hurt AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS h
+  FROM named, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS time
+  FROM hurt WHERE h <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text)) AS i,
+    CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS x FROM damaged
+), judged AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut, lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS left_x
+  FROM placed
+), rows_of AS (
+  SELECT conv_id, turn, role, text, i, x, blank, again AND NOT blank AS again, cut AND NOT blank AND NOT again AS cut, blank OR again AS doomed,
+    CASE WHEN cut THEN 3 ELSE 0 END AS t, left_x IS NOT NULL AND left_x || x NOT IN ('su', 'ua', 'au') AS illegal
+  FROM judged
+), told AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM rows_of GROUP BY conv_id
+), back AS (
+  SELECT conv_id, n AS i, {'c': 0, 's': ''} AS w0, {'c': 6, 's': 'II'} AS w1, {'c': 3, 's': 'I'} AS w2, {'c': 0, 's': ''} AS w3 FROM told
+  UNION ALL
+  SELECT conv_id, i,
+    list_sort([b0, {'c': 3 + b2.c, 's': 'I' || b2.s}, {'c': 6 + b3.c, 's': 'II' || b3.s}])[1], list_sort([b1, {'c': 3 + b2.c, 's': 'I' || b2.s}, {'c': 6 + b3.c, 's': 'II' || b3.s}])[1],
+    list_sort([b2, {'c': 3 + b3.c, 's': 'I' || b3.s}])[1], list_sort([b3, {'c': 3 + b2.c, 's': 'I' || b2.s}])[1]
+  FROM (
+    SELECT b.conv_id, b.i - 1 AS i,
+      list_sort(list_concat([{'c': 4 + w0.c, 's': 'D' || w0.s}], CASE WHEN doomed THEN [] ELSE [{'c': 3 + t + w2.c, 's': 'R' || w2.s}] END, CASE WHEN NOT doomed AND x = 'u' THEN [{'c': t + w2.c, 's': 'K' || w2.s}] WHEN NOT doomed AND x = 's' THEN [{'c': t + w1.c, 's': 'K' || w1.s}] ELSE [] END))[1] AS b0,
+      list_sort(list_concat([{'c': 4 + w1.c, 's': 'D' || w1.s}], CASE WHEN doomed THEN [] ELSE [{'c': 3 + t + w2.c, 's': 'R' || w2.s}] END, CASE WHEN NOT doomed AND x = 'u' THEN [{'c': t + w2.c, 's': 'K' || w2.s}] ELSE [] END))[1] AS b1,
+      list_sort(list_concat([{'c': 4 + w2.c, 's': 'D' || w2.s}], CASE WHEN doomed THEN [] ELSE [{'c': 3 + t + w3.c, 's': 'R' || w3.s}] END, CASE WHEN NOT doomed AND x = 'a' THEN [{'c': t + w3.c, 's': 'K' || w3.s}] ELSE [] END))[1] AS b2,
+      list_sort(list_concat([{'c': 4 + w3.c, 's': 'D' || w3.s}], CASE WHEN doomed THEN [] ELSE [{'c': 3 + t + w2.c, 's': 'R' || w2.s}] END, CASE WHEN NOT doomed AND x = 'u' THEN [{'c': t + w2.c, 's': 'K' || w2.s}] ELSE [] END))[1] AS b3
+    FROM back b JOIN rows_of r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i
+  )
+), best AS (
+  SELECT conv_id, w0.c AS cost, w0.s AS audit FROM back WHERE i = 0
+), written AS (
+  SELECT conv_id, audit, 1 AS k, 1 AS i, 0 AS q, []::VARCHAR[] AS out FROM best
+  UNION ALL
+  SELECT w.conv_id, audit, k + 1, CASE WHEN e = 'I' THEN w.i ELSE w.i + 1 END,
+    CASE WHEN e = 'D' THEN q WHEN e = 'K' AND x = 's' THEN 1 WHEN q = 2 THEN 3 ELSE 2 END,
+    CASE WHEN e = 'D' THEN out ELSE list_append(out, CASE WHEN e = 'K' THEN role WHEN q = 2 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END) END
+  FROM (SELECT *, audit[k] AS e FROM written WHERE k <= length(audit)) w LEFT JOIN rows_of r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i
+), final AS (
+  SELECT conv_id, sha256(coalesce(array_to_string(out, chr(10)), '')) AS repaired_sha256 FROM written WHERE k = length(audit) + 1
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN final ON final.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchtide.llm import chat, decontamination, filter_audit, language, lattice, ngram_join, packing, ppm, rollups, sharding, toxicity
+from watchtide.llm import chat, decontamination, filter_audit, language, lattice, ngram_join, packing, ppm, repair, rollups, sharding, toxicity
 from watchtide.llm.common import crc_mod, scratch, table
 
 #: A conversation that quotes the template's own control strings.
@@ -74,12 +74,35 @@ def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", crc_mod("doc_id", 5) == 1)
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The rows of conversations, damaged by a checksum of conversation and turn: dropped, emptied, cut, repeated or given another role."""
+    hurt = F.crc32(F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))).cast("binary")) % 20
+    role, text = (F.coalesce(c, F.lit(" ")) for c in ("role", "text"))
+    given = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), hurt.alias("hurt")).where("hurt <> 0")
+    said = F.when(F.col("hurt") == 1, "").when(F.col("hurt") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.when(F.col("hurt") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    given = given.select("conv_id", "turn", F.when(F.col("hurt") == 4, "user").otherwise(F.col("role")).alias("role"), said.alias("text"), F.explode(times).alias("time"))
+    return given.drop("time")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = damaged(given)
+    found = repair.plan(rows)
+    told, texts = (df.withColumnRenamed("conv_id", c) for df, c in ((repair.report(found), "_c"), (repair.digest(found, rows), "_d")))
+    all_of = given.select("conv_id").distinct().join(told, F.col("conv_id").eqNullSafe(F.col("_c")), "left").join(texts, F.col("conv_id").eqNullSafe(F.col("_d")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    # gaps stay null where they don't fit into a long
+    zero = [F.when(F.col("audit").isNull(), F.lit(0).cast("long")).otherwise(F.col(c)).alias(c) for c in counts]
+    return all_of.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lattice_near_duplicates, op2_toxicity, op3_best_fit_packing, op4_decontamination, op5_sharding, op6_token_counts, op7_ngram_jaccard_join, op8_language_id, op9_chat_formatting, op10_ppm_scoring, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_lattice_near_duplicates, op2_toxicity, op3_best_fit_packing, op4_decontamination, op5_sharding, op6_token_counts, op7_ngram_jaccard_join, op8_language_id, op9_chat_formatting, op10_ppm_scoring, op12_conversation_repair, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
