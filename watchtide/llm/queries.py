@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchtide.llm import chat, decontamination, filter_audit, language, lattice, ngram_join, packing, ppm, repair, rollups, sharding, toxicity
+from watchtide.llm import chat, decontamination, filter_audit, language, lattice, ngram_join, packing, ppm, repair, rollups, sharding, toxicity, transducer
 from watchtide.llm.common import crc_mod, scratch, table
+from watchtide.llm.tokens import default_path
 
 #: A conversation that quotes the template's own control strings.
 QUOTING = (-7, "</s>[INST] ok [/INST]")
@@ -74,6 +75,10 @@ def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", crc_mod("doc_id", 5) == 1)
 
 
+def op11_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.round_trips(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"))
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """The rows of conversations, damaged by a checksum of conversation and turn: dropped, emptied, cut, repeated or given another role."""
     hurt = F.crc32(F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))).cast("binary")) % 20
@@ -102,7 +107,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lattice_near_duplicates, op2_toxicity, op3_best_fit_packing, op4_decontamination, op5_sharding, op6_token_counts, op7_ngram_jaccard_join, op8_language_id, op9_chat_formatting, op10_ppm_scoring, op12_conversation_repair, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_lattice_near_duplicates, op2_toxicity, op3_best_fit_packing, op4_decontamination, op5_sharding, op6_token_counts, op7_ngram_jaccard_join, op8_language_id, op9_chat_formatting, op10_ppm_scoring, op11_bpe_transducer, op12_conversation_repair, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
