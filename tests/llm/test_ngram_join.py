@@ -47,13 +47,29 @@ def test_against_brute_force(spark, monkeypatch):
     table = spark.createDataFrame([*docs, (None, "one two")], "doc_id long, text string").selectExpr("*", "1 AS rep", "2 AS id", "3 AS n_links", "'x' AS digest")
     for texts in (1024, 16):
         monkeypatch.setattr(nj, "BLOCK_TEXTS", texts)
-        got = sorted(tuple(r) for r in nj.ngram_join(table).collect())
-        assert got == brute(docs)
+        got = sorted(tuple(r if r[0] is not None else (10**9, *r[1:])) for r in nj.ngram_join(table).collect())
+        assert got == brute([*docs, (10**9, "one two")])  # a row without a key is a document too
     kept = [r.doc_id for r in nj.deduplicate(table).select("doc_id").collect()]
     assert sorted(x for x in kept if x is not None) == sorted(r[0] for r in brute(docs) for _ in range(1 + (r[0] == 405)) if r[3])
     assert None in kept
 
 
+def test_rows_without_keys_alone(spark):
+    said = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(None, said), (None, said + " x"), (None, "other"), (7, None)], "doc_id long, text string")
+    got = sorted(map(repr, (tuple(r) for r in nj.ngram_join(docs).collect())))
+    assert got == sorted(map(repr, [(None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (7, 0, 7, True)]))
+
+
+def test_a_shared_key_is_no_hot_key(spark):
+    """Texts are met by key and text: all texts under one key cost no more than each alone."""
+    pick = random.Random(2)
+    rows = [(1, " ".join(f"w{pick.randrange(10**6)}" for _ in range(30))) for _ in range(300)]
+    docs = spark.createDataFrame([*rows, (2, rows[0][1] + " more")], "doc_id long, text string")
+    got = [tuple(r) for r in nj.ngram_join(docs).collect()]
+    assert len(got) == 301 and sorted(r for r in got if r[1]) == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
 def test_empty(spark):
     assert nj.ngram_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -33,7 +33,7 @@ def words(text: Column | str) -> Column:
 
 def windows(items: DataFrame, width: int = WINDOW, item: str = "item_id", text: str = "text") -> DataFrame:
     """(item, terms): every run of `width` words of an item; the whole item if it has fewer, but some."""
-    said = items.select(F.col(item).alias("item"), words(F.col(text)).alias("w")).where((F.size("w") > 0) & F.col("item").isNotNull())
+    said = items.select(F.col(item).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(width))
     return said.select("item", "w", n.alias("n"), F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("i")).select("item", F.slice("w", F.col("i"), F.col("n")).alias("terms")).distinct()
 
@@ -111,8 +111,8 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, width: int =
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: key, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    n_hit counts the words inside any occurrence of an item window. Null texts have no words; items without an id are
-    left out; every row is a document of its own, repeated ones and those without an id too; an empty benchmark hits
+    n_hit counts the words inside any occurrence of an item window. Null texts have no words; windows of items without
+    an id hit like any other, but such items are in neither n_items nor the list; every row is a document of its own, repeated ones and those without an id too; an empty benchmark hits
     nothing; other columns are ignored.
     """
     said = located(docs, key, text)

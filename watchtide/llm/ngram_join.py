@@ -104,10 +104,10 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                     sig[i] = row.tobytes()
                     digest[i] = _digest(sets[i])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())], names=["id", "digest", "n", "sig"]
+                [batch.column(0), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), batch.column(2)], names=["id", "digest", "n", "sig", "same"]
             )
 
-    return docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, f"id {kind}, digest binary, n long, sig binary")
+    return docs.select(key, text, F.xxhash64(text).alias("same")).mapInArrow(run, f"id {kind}, digest binary, n long, sig binary, same long")
 
 
 def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -211,9 +211,10 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id
 
     component_id is the least key reachable by links, itself included; kept is key = component_id. Words are runs
     of letters, digits and underscores in lower case; a text of fewer than five words is one shingle, one without
-    words (null, empty) links with nothing. Rows without a key are left out; repeated rows are one document, and texts
-    of different shingles under one key are documents of their own, with a row each; an empty table gives no rows;
-    other columns are ignored. Keys are integers.
+    words (null, empty) links with nothing. Repeated rows are one document, and texts of different shingles under one
+    key are documents of their own, with a row each; rows without a key likewise: they are compared and counted, but no
+    other document stands under them, and groups of such rows alone have no component_id and are kept. An empty table
+    gives no rows; other columns are ignored. Keys are integers.
     """
     with small_batches(docs.sparkSession):  # whole texts pass through Arrow
         return _ngram_join(docs, threshold, key, text)
@@ -227,7 +228,7 @@ def _ngram_join(docs: DataFrame, threshold: float, key: str, text: str) -> DataF
     counted = ids.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("m"))
     # a class has a number of its own, since one key may stand before several texts
     classes = materialize(counted.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    first = made.join(classes, (made["digest"] == classes["digest"]) & (made["id"] == classes["least"])).select("rep", "least", classes["digest"], "m", "n", "sig")
+    first = made.join(classes, (made["digest"] == classes["digest"]) & made["id"].eqNullSafe(classes["least"])).select("rep", "least", classes["digest"], "m", "n", "sig", "same")
     reps = materialize(first.dropDuplicates(["rep"]), "reps")
 
     keys = F.array(*(F.struct(F.lit(b).alias("b"), F.xxhash64(F.substring("sig", 1 + 4 * BAND * b, 4 * BAND)).alias("h")) for b in range(BANDS)))
@@ -236,7 +237,7 @@ def _ngram_join(docs: DataFrame, threshold: float, key: str, text: str) -> DataF
     chains = banded.join(buckets, ["b", "h"]).where("rep <> low").select(F.col("rep").alias("src"), F.col("low").alias("dst")).distinct()
     clusters = materialize(components(chains), "clusters")
 
-    inside = reps.join(clusters, reps["rep"] == clusters["node"]).select("rep", "least", "digest", "m", "n", "sig", "root")
+    inside = reps.join(clusters, reps["rep"] == clusters["node"]).select("rep", "least", "digest", "m", "n", "sig", "same", "root")
     inside = materialize(inside, "inside")
     size = inside.groupBy("root").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
@@ -252,8 +253,9 @@ def _ngram_join(docs: DataFrame, threshold: float, key: str, text: str) -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sets, pa.binary())], names=["rep", "m", "sig", "root", "blocks", "shingles"]).filter(own)
 
     placed = inside.join(size, "root")
-    whole = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).where("_id IS NOT NULL")
-    texts = placed.join(whole, placed["least"] == whole["_id"]).select("rep", "m", "sig", "root", "blocks", "digest", "_text")
+    # a text is met by its key and a hash of it: rows that share a key don't meet each other's classes
+    whole = docs.select(F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_same"), F.col(text).alias("_text"))
+    texts = placed.join(whole, placed["least"].eqNullSafe(whole["_id"]) & (placed["same"] == whole["_same"])).select("rep", "m", "sig", "root", "blocks", "digest", "_text")
     sets = texts.mapInArrow(shingled, "rep long, m long, sig binary, root long, blocks int, shingles binary").dropDuplicates(["rep"])
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -272,7 +274,7 @@ def _ngram_join(docs: DataFrame, threshold: float, key: str, text: str) -> DataF
     held = held.select("digest", (F.col("m") - 1 + F.coalesce("weight", F.lit(0))).alias("links"), F.coalesce("top", "least").alias("top"))
     own = F.coalesce("top", "id")
     out = ids.join(held, "digest", "left").select(
-        F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (own == F.col("id")).alias("kept")
+        F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), own.eqNullSafe(F.col("id")).alias("kept")
     )
     return out
 
