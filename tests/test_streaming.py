@@ -1,8 +1,10 @@
 """Stateful streams."""
 
 import json
+import random
 
-from watchtide.streaming import replay
+from watchtide.operators import correlation
+from watchtide.streaming import detections, replay
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -33,3 +35,33 @@ def test_first_of_each_keeps_keyless(spark, tmp_path):
     query = replay.first_of_each(stream, "id", "at").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
     query.trigger(availableNow=True).start().awaitTermination(60)
     assert sorted(r["id"] or "" for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["", "", "", "a", "b"]
+
+
+RULES = [
+    {"mapping_id": "a", "log_type": "x", "confidence_score": 0.5, "correlation_rule": {"window_seconds": 60, "group_by": ["host"], "aggregations": {"n": {"function": "count"}, "users": {"function": "nunique", "field": "user"}, "h": {"function": "entropy", "field": "user"}}, "conditions": [{"metric": "n", "operator": ">=", "value": 2}]}},
+    {"mapping_id": "b", "correlation_rule": {"window_seconds": 90, "group_by": [], "aggregations": {"top": {"function": "max", "field": "v.w"}}, "conditions": [{"metric": "top", "operator": ">", "value": 3}]}},
+]
+
+
+def test_detections_over_batches_equal_one_batch(spark, tmp_path):
+    """Groups go on over batches, one of which has no event of a rule and one is empty; a late event joins no group; a batch that comes again changes nothing."""
+    rng = random.Random(8)
+    rows = sorted(([rng.randrange(3_000) * 1_000_000, rng.choice("xxxy"), rng.choice(["h", "g", None]), rng.choice(["u", "v", None]), rng.randrange(9)] for _ in range(400)), key=lambda r: r[0])
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    schema = "event_uid long, t long, log_type string, host string, user string, w int"
+    names = {"v.w": "w", "host": "host", "user": "user"}
+    watch = detections.Watch(RULES, str(tmp_path / "watch"), names)
+    cuts = [0, 90, 91, 250, 250, 400]
+    late = [(1000, rows[100][1], "x", "h", "late", 99), (1001, None, "x", "h", "u", 99)]
+    for n, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        own = [r for r in rows[low:high] if r[1] is not None] + (late if n == 4 else [])
+        for _ in range(1 + (n == 2)):
+            watch.batch(spark.createDataFrame(own, schema), n)
+    whole = spark.createDataFrame(rows, schema)
+    want = sorted(map(repr, correlation.detect(whole, RULES, names).collect()))
+    assert sorted(map(repr, watch.close(spark).collect())) == want and len(want) > 20
+    aside = spark.read.parquet(f"{watch.at}/late")
+    assert {(r["rule"], r["t"]) for r in aside.collect()} == {("0", late[0][1]), ("1", late[0][1])}
+    assert {r["batch"] for r in spark.read.parquet(f"{watch.at}/events").select("batch").distinct().collect()} < set(range(5))  # closed ones are dropped
+    empty = detections.Watch(RULES, str(tmp_path / "none"), names)
+    assert empty.close(spark).count() == 0

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchtide.functions.addresses import in_network, network_size
+from watchtide.functions.shared import written
 from watchtide.functions.times import both, either
 from watchtide.operators.predicates import Field, Fields, field_of, fields_of, metric_leaf
 from watchtide.operators.timegroups import anchored_groups
@@ -19,6 +20,7 @@ FUNCTIONS = (
 )
 OPERATORS = (">", ">=", "<", "<=", "==", "!=", "in", "not_in", "is_null")
 SECOND = 1_000_000
+DETECTION = "mapping_id string, technique_id string, confidence double, time_group_id long, group_key string, n_events long, metrics string, score double"
 
 
 def _in_values(field: Field, values: list) -> Column:
@@ -163,25 +165,39 @@ def detect(events: DataFrame, mappings: list[dict], names: dict[str, str] | None
     aggregate, in which equal metrics are computed once.
     """
     if not mappings:
-        return events.sparkSession.createDataFrame([], "mapping_id string, technique_id string, confidence double, time_group_id long, group_key string, n_events long, metrics string, score double")
-    fields = fields_of(events, names)
+        return events.sparkSession.createDataFrame([], DETECTION)
+    shapes = by_shape(mappings)
+    spans = sorted({s[:2] for s in shapes})
+    times = [of_types(events, wanted, log_type).select(F.lit(str(i)).alias("rule"), F.lit(w).cast("long").alias("w"), F.col(time).alias("t")) for i, (wanted, w) in enumerate(spans)]
+    groups = written(anchored_groups(reduce(DataFrame.unionByName, times)), "groups")
+
+    def grouped(wanted: tuple, w: int) -> DataFrame:
+        mine = groups.where(F.col("rule") == str(spans.index((wanted, w)))).select(F.col("t").alias("_t"), "time_group_id")
+        return of_types(events, wanted, log_type).join(mine, F.col(time) == F.col("_t")).drop("_t")
+
+    return detections(grouped, shapes, fields_of(events, names))
+
+
+def by_shape(mappings: list[dict]) -> dict[tuple, list[dict]]:
+    """Valid mappings by (log types, window in microseconds, group_by): those of a shape share scan, groups and aggregate."""
     shapes: dict[tuple, list[dict]] = {}
     for m in mappings:
         validate(m["correlation_rule"])
         wanted = m.get("log_type") or []
         wanted = (wanted,) if isinstance(wanted, str) else tuple(sorted(wanted))
         shapes.setdefault((wanted, int(window_seconds(m["correlation_rule"]) * SECOND), tuple(m["correlation_rule"]["group_by"])), []).append(m)
-    spans = sorted({s[:2] for s in shapes})
+    return shapes
+
 
-    def own(wanted: tuple) -> DataFrame:
-        return events.where(F.col(log_type).isin(*wanted)) if wanted else events
+def of_types(events: DataFrame, wanted: tuple, log_type: str) -> DataFrame:
+    """Events of some log types; of all if none are named."""
+    return events.where(F.col(log_type).isin(*wanted)) if wanted else events
 
-    times = [own(wanted).select(F.lit(str(i)).alias("rule"), F.lit(w).cast("long").alias("w"), F.col(time).alias("t")) for i, (wanted, w) in enumerate(spans)]
-    groups = anchored_groups(reduce(DataFrame.unionByName, times))
+
+def detections(grouped: Callable[[tuple, int], DataFrame], shapes: dict[tuple, list[dict]], fields: Fields) -> DataFrame:
+    """Detections of all shapes; grouped gives the events of log types and window with their time_group_id."""
     found = []
     for (wanted, w, group_by), alike in shapes.items():
-        mine = groups.where(F.col("rule") == str(spans.index((wanted, w)))).select(F.col("t").alias("_t"), "time_group_id")
-        grouped = own(wanted).join(mine, F.col(time) == F.col("_t")).drop("_t")
         specs: dict[str, dict] = {}
         named: list[dict[str, str]] = []
         for m in alike:
@@ -190,7 +206,7 @@ def detect(events: DataFrame, mappings: list[dict], names: dict[str, str] | None
                 told[name] = next((k for k, s in specs.items() if s == spec), f"m_{len(specs)}")
                 specs[told[name]] = spec
             named.append(told)
-        out = _aggregated(grouped, list(group_by), specs, fields, ("time_group_id",))
+        out = _aggregated(grouped(wanted, w), list(group_by), specs, fields, ("time_group_id",))
         hits = []
         for m, told in zip(alike, named, strict=True):
             rule = m["correlation_rule"]

@@ -81,7 +81,7 @@ def anchored_groups(times: DataFrame) -> DataFrame:
     step = F.greatest(F.lit(1), F.floor(F.lit(1024) / F.col("n")).cast("int"))
     picked = F.transform(F.sequence(F.lit(0), F.floor(F.lit(1024) / step).cast("int") - 1), lambda i: F.col("q")[i * step])
     spaced = F.aggregate(picked, F.array(F.col("lo")), lambda a, x: F.when(x > F.element_at(a, -1) + F.col("_w"), F.concat(a, F.array(x))).otherwise(a))
-    cut = distinct.join(spans.select("rule", spaced.alias("borders")), "rule")  # a row for each rule
+    cut = distinct.join(F.broadcast(spans.select("rule", spaced.alias("borders"))), "rule")  # a row for each rule, of 1,025 borders at most
     nth = F.size(F.filter("borders", lambda x: x <= F.col("t")))
     cut = cut.withColumn("bucket", (nth - 1).cast("long")).withColumn("start", F.element_at("borders", nth)).drop("borders")
     summary = cut.groupBy("rule", "bucket").applyInPandas(_summary, "rule string, bucket long, entry long, out long, n long")

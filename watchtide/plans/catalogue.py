@@ -12,7 +12,7 @@ from watchtide.functions.addresses import in_network
 from watchtide.operators import context, correlation, graph, pairs, predicates, scoring, semantic, sequences, timegroups
 from watchtide.plans.oracles import SQL
 from watchtide.sources.logs import BAD, counters, decode_flat, decode_nested, flatten, nested_field, report, summary
-from watchtide.streaming import replay
+from watchtide.streaming import detections, replay
 
 HOUR = 3600
 #: Least combined score of related brands: theirs are far below those of techniques.
@@ -482,6 +482,26 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{at}/out").select("mapping_id", "time_group_id", "group_key", "n_events")
 
 
+def _in_slices(spark: SparkSession, sf_dir: str, at: str, run) -> None:
+    """The events in four slices of time; run(stream) after each, so that every slice is a micro-batch."""
+    own = table(spark, sf_dir, "events")
+    cuts = own.agg(F.percentile_approx(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"), F.array(*map(F.lit, (0.25, 0.5, 0.75))))).first()[0]
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    edges = [None, *(cuts or []), None]
+    for i, (low, high) in enumerate(zip(edges, edges[1:])):
+        part = own if low is None and high is None else own.where(F.lit(True) if high is None else micros < high).where(F.lit(True) if low is None else micros >= low)
+        part.write.mode("overwrite").parquet(f"{at}/in/slice={i}")
+        run(spark.readStream.schema(own.schema).parquet(f"{at}/in/slice=*")).awaitTermination()
+
+
+def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of a stream whose micro-batches cut time groups: the same as over the whole table."""
+    at = replay.workspace(spark)
+    watch = detections.Watch([SCAN_RULE, USER_RULE], at, NAMES, "t", "event_type")
+    _in_slices(spark, sf_dir, at, lambda stream: watch.start(prepared(stream)))
+    return watch.close(spark)
+
+
 def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a stream of events, batch by batch."""
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -521,7 +541,7 @@ def result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     forward_pairs, centered_pairs, pair_nulls, decode_alerts, alert_counters, condition_traps, correlation_conditions, semantic_reasons, filter_rubric, group_uses, campaign_sequences, technique_lookup, knowledge_candidates, related_twenty,
-    lookup_enriched, zero_counts, full_row_dedup, clean_cells, flat_columns, event_identity, chained_times, supported_sequences, encoded_prefixes, fusion_sequence, stream_replay, stream_pairs, campaign_order, context_boosts, match_report, result_summary,
+    lookup_enriched, zero_counts, full_row_dedup, clean_cells, flat_columns, event_identity, chained_times, supported_sequences, encoded_prefixes, fusion_sequence, stream_replay, stream_detect, stream_pairs, campaign_order, context_boosts, match_report, result_summary,
     decode_envelope, semantic_map, alert_map, condition_matrix, time_groups, correlation_metrics, correlation_detect, sliding_forward, centered_band, pair_correlation, dedup_first,
     context_zone, context_asset, evidence_score, relationship_strength, technique_pairs, related_topk, anti_missing, semi_filter, union_results, last_wins, size_sorted,
     required_fields_by_log, null_counts, ordered_sequences, prefix_examples, markov_counts, markov_predict, markov_eval, fusion_soft, fusion_hard,

@@ -192,6 +192,7 @@ SELECT user_id, day, n, repeat('0,', greatest(0, 4 - n)::BIGINT) || string_agg(C
 SQL["fusion_sequence"] = f"""{FUSE} SELECT x AS example_id, i AS item, s AS score, row_number() OVER (PARTITION BY x ORDER BY s DESC, i) AS rank FROM a QUALIFY rank <= 3"""
 SQL["stream_replay"] = f"""WITH RECURSIVE {E}, u AS (SELECT * FROM ev WHERE event_type = 'purchase'), {chain('q', 'u', 21600)}, two AS (SELECT u.*, g FROM u ASOF JOIN q ON u.t >= q.s)
 SELECT 'C-2' AS mapping_id, g AS time_group_id, '{{"user":' || user_id || '}}' AS group_key, count(*) AS n_events FROM two GROUP BY g, user_id HAVING count(*) >= 2"""
+SQL["stream_detect"] = SQL["correlation_detect"]
 SQL["stream_pairs"] = SQL["pair_correlation"]
 SQL["campaign_order"] = """WITH x AS (SELECT c_name AS campaign FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey, c_name HAVING count(DISTINCT o_orderpriority) >= 3)
 SELECT campaign, row_number() OVER (ORDER BY campaign) AS place FROM x"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -11,15 +9,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor
 
+from watchtide.functions.shared import folder
+
 
 def workspace(spark: SparkSession) -> str:
-    """A fresh folder for a stream's output and checkpoint, in the shared one of spark.checkpoint.dir; a temporary one only where none is set and driver and executors are one process."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        return tempfile.mkdtemp(prefix="watchtide-stream-")
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A fresh folder for a stream's output and checkpoint."""
+    return folder(spark, "stream")
 
 
 def each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, now: bool = True):
