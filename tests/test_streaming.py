@@ -4,7 +4,8 @@ import json
 import random
 
 from watchtide.operators import correlation
-from watchtide.streaming import detections, replay
+from watchtide.operators.pairs import pair_correlation
+from watchtide.streaming import detections, pairing, replay
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -65,3 +66,28 @@ def test_detections_over_batches_equal_one_batch(spark, tmp_path):
     assert {r["batch"] for r in spark.read.parquet(f"{watch.at}/events").select("batch").distinct().collect()} < set(range(5))  # closed ones are dropped
     empty = detections.Watch(RULES, str(tmp_path / "none"), names)
     assert empty.close(spark).count() == 0
+
+
+PAIRS = {"mapping_id": "p", "semantic_correlation": {"source_event": {"conditions": {"field": "kind", "value": "s"}}, "followup_event": {"conditions": {"field": "kind", "value": "f"}}, "context_fields": ["c"], "time_window_seconds": 60}}
+
+
+def test_pairs_over_batches_are_found_once(spark, tmp_path):
+    """Pairs over all batches, nulls in field and time among them, equal those of one table; state of past windows is dropped."""
+    source = tmp_path / "in"
+    source.mkdir()
+    rng = random.Random(6)
+    rows = [(i, rng.choice("sf"), rng.choice(["a", "b", None]), None if rng.random() < 0.1 else i * 10_000_000 + rng.randrange(10_000_000)) for i in range(160)]
+    schema = "event_uid long, kind string, c string, t long"
+    held = []
+    for n in range(4):
+        part = rows[40 * n : 40 * n + 40]
+        (source / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("event_uid", "kind", "c", "t"), r))) for r in part))
+        stream = spark.readStream.schema(schema).json(str(source))
+        query = pairing.stream_pairs(stream, PAIRS, late="20 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        run = query.trigger(availableNow=True).start()
+        run.awaitTermination(120)
+        held.append([op["numRowsTotal"] for op in run.lastProgress["stateOperators"]])
+    got = sorted((r["source_uid"], r["followup_uid"], tuple(r["evidence"])) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want = sorted((r["source_uid"], r["followup_uid"], tuple(r["evidence"])) for r in pair_correlation(spark.createDataFrame(rows, schema), PAIRS).collect())
+    assert got == want and any(a // 40 != b // 40 for a, b, _ in got)
+    assert min(held[-1]) < 40  # rows of the timed join: those of the last minute and a half, not all

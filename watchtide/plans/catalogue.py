@@ -12,7 +12,7 @@ from watchtide.functions.addresses import in_network
 from watchtide.operators import context, correlation, graph, pairs, predicates, scoring, semantic, sequences, timegroups
 from watchtide.plans.oracles import SQL
 from watchtide.sources.logs import BAD, counters, decode_flat, decode_nested, flatten, nested_field, report, summary
-from watchtide.streaming import detections, replay
+from watchtide.streaming import detections, pairing, replay
 
 HOUR = 3600
 #: Least combined score of related brands: theirs are far below those of techniques.
@@ -512,6 +512,19 @@ def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{at}/out").drop("batch").withColumn("evidence", F.array_join("evidence", "; "))
 
 
+def stream_pairs_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a stream, whose rows may come in different micro-batches."""
+    at = replay.workspace(spark)
+
+    def run(stream: DataFrame):
+        found = pairing.stream_pairs(prepared(stream), PAIR_RULE, NAMES, "event_id")
+        return found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+
+    _in_slices(spark, sf_dir, at, run)
+    schema = pairs.pair_correlation(events(spark, sf_dir), PAIR_RULE, NAMES, "event_id").schema
+    return spark.read.schema(schema).parquet(f"{at}/out").withColumn("evidence", F.array_join("evidence", "; "))
+
+
 def campaign_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences in the order of their campaigns' names, numbered by where they stand."""
     found = sequences.by_campaign(sequences.campaign_sequences(_objects(spark, sf_dir)))
@@ -541,7 +554,7 @@ def result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     forward_pairs, centered_pairs, pair_nulls, decode_alerts, alert_counters, condition_traps, correlation_conditions, semantic_reasons, filter_rubric, group_uses, campaign_sequences, technique_lookup, knowledge_candidates, related_twenty,
-    lookup_enriched, zero_counts, full_row_dedup, clean_cells, flat_columns, event_identity, chained_times, supported_sequences, encoded_prefixes, fusion_sequence, stream_replay, stream_detect, stream_pairs, campaign_order, context_boosts, match_report, result_summary,
+    lookup_enriched, zero_counts, full_row_dedup, clean_cells, flat_columns, event_identity, chained_times, supported_sequences, encoded_prefixes, fusion_sequence, stream_replay, stream_detect, stream_pairs, stream_pairs_across, campaign_order, context_boosts, match_report, result_summary,
     decode_envelope, semantic_map, alert_map, condition_matrix, time_groups, correlation_metrics, correlation_detect, sliding_forward, centered_band, pair_correlation, dedup_first,
     context_zone, context_asset, evidence_score, relationship_strength, technique_pairs, related_topk, anti_missing, semi_filter, union_results, last_wins, size_sorted,
     required_fields_by_log, null_counts, ordered_sequences, prefix_examples, markov_counts, markov_predict, markov_eval, fusion_soft, fusion_hard,

@@ -194,6 +194,7 @@ SQL["stream_replay"] = f"""WITH RECURSIVE {E}, u AS (SELECT * FROM ev WHERE even
 SELECT 'C-2' AS mapping_id, g AS time_group_id, '{{"user":' || user_id || '}}' AS group_key, count(*) AS n_events FROM two GROUP BY g, user_id HAVING count(*) >= 2"""
 SQL["stream_detect"] = SQL["correlation_detect"]
 SQL["stream_pairs"] = SQL["pair_correlation"]
+SQL["stream_pairs_across"] = SQL["pair_correlation"]
 SQL["campaign_order"] = """WITH x AS (SELECT c_name AS campaign FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey, c_name HAVING count(DISTINCT o_orderpriority) >= 3)
 SELECT campaign, row_number() OVER (ORDER BY campaign) AS place FROM x"""
 SQL["context_boosts"] = f"""WITH {E}, x AS (
