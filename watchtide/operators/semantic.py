@@ -47,9 +47,17 @@ def semantic_matches(
 
     Matches of an event are ranked by score, then in the rules' order.
     """
+    return _ranked(projected(events, list(enumerate(rules)), names, provider, log_type, kept), kept, by_score)
+
+
+MATCH = "struct<ordinal:int,mapping_id:string,technique_id:string,tactic:string,base_confidence:double,context_boost:double,score:double,matched_conditions:array<string>,context_conditions:array<string>>"
+
+
+def projected(events: DataFrame, rules: list[tuple[int, dict]], names: dict[str, str] | None, provider: Provider | None, log_type: str, kept: tuple[str, ...]) -> DataFrame:
+    """kept and _m, the array of an event's matches: one projection for all (ordinal, rule)."""
     fields = fields_of(events, names)
     parts = []
-    for number, rule in enumerate(rules):
+    for number, rule in rules:
         technique, base = rule.get("attack_technique") or {}, confidence(rule)
         more, said = boost(rule, fields, provider)
         made = F.struct(
@@ -65,20 +73,20 @@ def semantic_matches(
         )
         own = F.col(log_type).isin(log_types(rule)) if log_types(rule) else F.lit(False)
         parts.append(F.when(own & rejected(rule, fields).isNull(), made))
-    if not parts:
-        parts = [F.lit(None).cast("struct<ordinal:int,mapping_id:string,technique_id:string,tactic:string,base_confidence:double,context_boost:double,score:double,matched_conditions:array<string>,context_conditions:array<string>>")]
-    return _exploded(events, parts, kept, _by_score)
+    return _projection(events, parts or [F.lit(None).cast(MATCH)], kept)
 
 
-def _by_score(a: Column, b: Column) -> Column:
+def by_score(a: Column, b: Column) -> Column:
     return F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(F.signum(a["ordinal"] - b["ordinal"]).cast("int"))
 
 
-def _exploded(events: DataFrame, parts: list[Column], kept: tuple[str, ...], order) -> DataFrame:
+def _projection(events: DataFrame, parts: list[Column], kept: tuple[str, ...]) -> DataFrame:
     chunks = [F.array_compact(F.array(*parts[i : i + RULES])) for i in range(0, len(parts), RULES)]
-    found = F.concat(*chunks) if len(chunks) > 1 else chunks[0]
-    out = events.select(*kept, found.alias("_m")).where(F.size("_m") > 0)
-    out = out.select(*kept, F.posexplode(F.array_sort("_m", order)).alias("_at", "_one"))
+    return events.select(*kept, (F.concat(*chunks) if len(chunks) > 1 else chunks[0]).alias("_m"))
+
+
+def _ranked(found: DataFrame, kept: tuple[str, ...], order) -> DataFrame:
+    out = found.where(F.size("_m") > 0).select(*kept, F.posexplode(F.array_sort("_m", order)).alias("_at", "_one"))
     return out.select(*kept, "_one.*", (F.col("_at") + 1).cast("long").alias("match_rank")).drop("ordinal")
 
 
@@ -102,7 +110,7 @@ def alert_matches(events: DataFrame, rules: list[dict], names: dict[str, str] |
         parts.append(F.when(both([*required, alert_tree(rule.get("semantic_conditions") or {}, fields)]), made))
     if not parts:
         parts = [F.lit(None).cast("struct<ordinal:int,mapping_id:string,technique_id:string,confidence:double,mapping_type:string,score:double>")]
-    return _exploded(events, parts, kept, lambda a, b: F.signum(a["ordinal"] - b["ordinal"]).cast("int"))
+    return _ranked(_projection(events, parts, kept), kept, lambda a, b: F.signum(a["ordinal"] - b["ordinal"]).cast("int"))
 
 
 def first_filled(*values: Column) -> Column:

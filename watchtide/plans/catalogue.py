@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from watchtide.functions import text, times
 from watchtide.functions.addresses import in_network
-from watchtide.operators import context, correlation, graph, pairs, predicates, scoring, semantic, sequences, timegroups
+from watchtide.operators import context, correlation, graph, pairs, predicates, rule_index, scoring, semantic, sequences, timegroups
 from watchtide.plans.oracles import SQL
 from watchtide.sources.logs import BAD, counters, decode_flat, decode_nested, flatten, nested_field, report, summary
 from watchtide.streaming import detections, pairing, replay
@@ -102,6 +102,18 @@ def semantic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("matched_conditions", F.array_join("matched_conditions", "; ")).withColumn("context_conditions", F.array_join("context_conditions", "; "))
 
 
+def semantic_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thousand rules, met through the index: one value of k for two users, or an interval of values."""
+    rules = []
+    for i in range(2000):
+        same = {"field": "k", "operator": "==", "value": i % 100}
+        span = {"logic": "AND", "conditions": [{"field": "value", "operator": ">", "value": i / 20}, {"field": "value", "operator": "<=", "value": i / 20 + 0.25}]}
+        user = {"field": "user", "operator": "in", "value": [i % 150, i % 97]}
+        rules.append({"mapping_id": f"R-{i}", "log_type": ["view", "purchase"][i % 2], "confidence_score": 0.5, "semantic_conditions": {"logic": "OR", "conditions": [{"conditions": [same, user]}, {"conditions": [span, {"field": "k", "operator": "<", "value": 50}]}]}})
+    found = rule_index.indexed_matches(events(spark, sf_dir), rules, NAMES, None, "event_type", ("event_id",))
+    return found.select("event_id", "mapping_id", "score", F.size("matched_conditions").cast("long").alias("n_matched"))
+
+
 def alert_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.alert_matches(events(spark, sf_dir), ALERT_RULES, NAMES, ("event_id",))
 
@@ -554,7 +566,7 @@ def result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     forward_pairs, centered_pairs, pair_nulls, decode_alerts, alert_counters, condition_traps, correlation_conditions, semantic_reasons, filter_rubric, group_uses, campaign_sequences, technique_lookup, knowledge_candidates, related_twenty,
-    lookup_enriched, zero_counts, full_row_dedup, clean_cells, flat_columns, event_identity, chained_times, supported_sequences, encoded_prefixes, fusion_sequence, stream_replay, stream_detect, stream_pairs, stream_pairs_across, campaign_order, context_boosts, match_report, result_summary,
+    lookup_enriched, zero_counts, full_row_dedup, clean_cells, flat_columns, event_identity, chained_times, supported_sequences, encoded_prefixes, fusion_sequence, stream_replay, stream_detect, stream_pairs, stream_pairs_across, semantic_index, campaign_order, context_boosts, match_report, result_summary,
     decode_envelope, semantic_map, alert_map, condition_matrix, time_groups, correlation_metrics, correlation_detect, sliding_forward, centered_band, pair_correlation, dedup_first,
     context_zone, context_asset, evidence_score, relationship_strength, technique_pairs, related_topk, anti_missing, semi_filter, union_results, last_wins, size_sorted,
     required_fields_by_log, null_counts, ordered_sequences, prefix_examples, markov_counts, markov_predict, markov_eval, fusion_soft, fusion_hard,

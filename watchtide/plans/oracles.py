@@ -38,6 +38,10 @@ ALERTS = f"""WITH {E}, m AS (
   SELECT event_id, 'A-1' AS mapping_id, 'T1110' AS technique_id, 0.8 AS confidence FROM ev WHERE k_text = '7' AND event_type <> 'view'
   UNION ALL SELECT event_id, 'A-2', 'T1059', 0.5 FROM ev WHERE event_type = 'purchase' OR value > 99.5
 )"""
+SQL["semantic_index"] = f"""WITH {E}, r AS (SELECT i, i / 20 AS low, i / 20 + 0.25 AS high, CASE WHEN i % 2 = 0 THEN 'view' ELSE 'purchase' END AS kind FROM (SELECT unnest(range(2000)) AS i))
+SELECT event_id, 'R-' || i AS mapping_id, 0.5::DOUBLE AS score,
+  (k = i % 100)::BIGINT + (user_id IN (i % 150, i % 97))::BIGINT + coalesce(value > low, false)::BIGINT + coalesce(value <= high, false)::BIGINT + (k < 50)::BIGINT AS n_matched
+FROM ev JOIN r ON event_type = kind AND ((k = i % 100 AND user_id IN (i % 150, i % 97)) OR (value > low AND value <= high AND k < 50))"""
 SQL["alert_map"] = f"""{ALERTS}
 SELECT event_id, mapping_id, technique_id, confidence::DOUBLE AS confidence, 'semantic' AS mapping_type, 1.0::DOUBLE AS score, row_number() OVER (PARTITION BY event_id ORDER BY mapping_id) AS match_rank FROM m"""
 
