@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,35 @@ def test_anchored_groups(spark, monkeypatch, bucket):
         assert {r["t"]: r["time_group_id"] for r in got if r["rule"] == k} == greedy(ts, w)
 
 
+@pytest.mark.parametrize("before,after,order", [(0, 10, "o"), (0, 0, "o"), (3, 0, None), (4, 7, None), (0, 0, None), (1000, 1000, None)])
+def test_band_aggregates_equal_brute_force(spark, before, after, order):
+    """Ties, negative times, nulls, rows alike; extremes as well as sums."""
+    rng = random.Random(before + after)
+    rows = [(rng.randrange(-40, 40) if rng.random() < 0.95 else None, rng.randrange(5) if rng.random() < 0.9 else None, rng.choice([None, 1.5, -2.0, 7.0, 3.25]), "x") for _ in range(200)]
+    spec = {"n": ("count", None), "known": ("count", "v"), "total": ("sum", "v"), "least": ("min", "v"), "most": ("max", "v")}
+    got = timegroups.band_aggregate(spark.createDataFrame(rows, "t int, o int, v double, mark string"), "t", before, after, spec, order).collect()
+    place = lambda o: float("-inf") if o is None else o
+    want = []
+    for t, o, v, x in rows:
+        if t is None:
+            continue
+        near = [r for r in rows if r[0] is not None and t - before <= r[0] <= t + after and (order is None or r[0] != t or place(r[1]) >= place(o))]
+        known = [r[2] for r in near if r[2] is not None]
+        want.append((t, o, v, x, len(near), len(known), sum(known) if known else None, min(known, default=None), max(known, default=None)))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_band_aggregate_of_a_burst_is_linear(spark):
+    frame = spark.range(40_000).select(F.col("id"), (F.col("id") % 1000).alias("t"), F.col("id").cast("double").alias("v"))
+    began = time.time()
+    found = timegroups.band_aggregate(frame, "t", 0, 5000, {"n": ("count", None), "least": ("min", "v")}, "id").agg(F.sum("n"), F.sum("least")).first()
+    assert found[0] == 40_000 * 40_001 // 2 and time.time() - began < 30
+    with pytest.raises(ValueError):
+        timegroups.band_aggregate(frame, "t", 0, 1, {"m": ("avg", "v")})
+    with pytest.raises(ValueError):
+        timegroups.band_aggregate(frame, "t", 1, 1, {"n": ("count", None)}, "id")
+
+
 def test_pairs_tolerate_nulls(spark):
     rows = [(1, "s", "a", 0), (2, "f", "a", 60_000_000), (3, "f", None, 10), (4, "f", "b", 5), (5, "f", "a", -1), (6, "f", "a", None), (7, "s", None, 0), (8, "f", "a", 60_000_001)]
     rule = {"mapping_id": "p", "semantic_correlation": {"source_event": {"conditions": {"field": "kind", "value": "s"}}, "followup_event": {"conditions": {"field": "kind", "value": "f"}}, "context_fields": ["c"], "time_window_seconds": 60}}

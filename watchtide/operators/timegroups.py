@@ -112,22 +112,38 @@ def forward_window(events: DataFrame, t: str, w: int, order: str, kept: list[str
     return left.join(spread, "_b").where(later & (F.col(f"other_{t}") - F.col(t) <= w)).drop("_b", "_b0")
 
 
-def band_aggregate(events: DataFrame, t: str, before: int, after: int, aggregates: dict[str, Column], order: str | None = None) -> DataFrame:
-    """events with aggregates over those from `before` earlier to `after` later, itself included, without making pairs.
+#: How an aggregate of parts becomes that of the whole.
+MERGED = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
-    Times are cut into buckets; a row is also lent to the neighbouring buckets that its frame may reach into, and each
-    bucket has range frames of its own. With `order`, of rows of the same time only those not before the row in that
-    order count (for frames that look forward). Rows without a time are left out.
+
+def band_aggregate(events: DataFrame, t: str, before: int, after: int, aggregates: dict[str, tuple[str, str | None]], order: str | None = None) -> DataFrame:
+    """events with aggregates over those from `before` earlier to `after` later, itself included, in linear time and without making pairs.
+
+    aggregates: name -> (count, sum, min or max, column; None counts rows). Time is cut into blocks as wide as a frame, so
+    a frame is the end of one block and the beginning of the next: both are read from running aggregates, at marks that
+    are sorted among the block's rows. With `order` (a number, for frames that begin at the row itself), of rows of the
+    same time only those not before the row in that order count, null first. Rows without a time are left out.
     """
-    size = max(1, before, after)
-    at = F.floor(F.col(t) / size).cast("long")
-    lent = events.where(F.col(t).isNotNull()).withColumn("_own", at).withColumn("_b", F.explode(F.array(at - 1, at, at + 1)))
-    frame = Window.partitionBy("_b").orderBy(t).rangeBetween(-before, after)
-    if order is None:
-        out = lent.select("*", *(a.over(frame).alias(k) for k, a in aggregates.items()))
-        return out.where("_own = _b").drop("_own", "_b")
-    # the frame of a row, less the rows of its time that come before it
-    ties = Window.partitionBy("_b", t).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = lent.select("*", *(F.struct(a.over(frame).alias("all"), a.over(ties).alias("early")).alias(k) for k, a in aggregates.items()))
-    out = out.where("_own = _b").drop("_own", "_b")
-    return out.withColumns({k: F.col(f"{k}.all") - F.coalesce(F.col(f"{k}.early"), F.lit(0)) for k in aggregates})
+    if any(f not in MERGED for f, _ in aggregates.values()):
+        raise ValueError(f"aggregates are {', '.join(MERGED)}")
+    if order is not None and before:
+        raise ValueError("an order of ties needs a frame that begins at the row")
+    own = events.where(F.col(t).isNotNull()).select(F.monotonically_increasing_id().alias("_id"), F.col(t).cast("long").alias("_t"), (F.col(order) if order else F.lit(0)).alias("_o"), F.struct("*").alias("_row"))
+    width = before + after + 1
+    block = lambda x: F.floor(x / F.lit(width)).cast("long") if width > 1 else x
+    low, high = F.col("_t") - before, F.col("_t") + after
+    tie = F.coalesce(F.col("_o").cast("double"), F.lit(float("-inf")))
+
+    def put(ending: bool, mark: bool, x: Column, o: Column):
+        """A row or a mark of it in the sort of a block: backwards for the block's end, up to the mark."""
+        return F.struct(F.lit(ending).alias("ending"), block(x).alias("block"), (-x if ending else x).alias("at"), o.alias("tie"), F.lit(int(mark)).alias("mark"))
+
+    last = F.lit(float("inf"))
+    marks = [put(True, False, F.col("_t"), -tie), put(True, True, low, -tie if order else last), put(False, False, F.col("_t"), F.lit(0.0)), F.when(block(low) != block(high), put(False, True, high, last))]
+    spread = own.select("_id", "_row", F.explode(F.array_compact(F.array(*marks))).alias("_m")).select("_id", "_row", "_m.*")
+    running = Window.partitionBy("ending", "block").orderBy("at", "tie", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = F.col("mark") == 0
+    made = {k: getattr(F, f)(F.when(plain, F.col(f"_row.`{c}`") if c else F.lit(1))).over(running).alias(f"_{i}") for i, (k, (f, c)) in enumerate(aggregates.items())}
+    parts = spread.select("_id", "_row", "mark", *made.values()).where("mark = 1")
+    out = parts.groupBy("_id").agg(F.first("_row").alias("_row"), *(MERGED[f](f"_{i}").alias(k) for i, (k, (f, _)) in enumerate(aggregates.items())))
+    return out.select("_row.*", *aggregates)

@@ -151,16 +151,23 @@ def correlation_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sliding_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = events(spark, sf_dir).select("event_id", "t", "value")
-    found = timegroups.band_aggregate(own, "t", 0, 600_000_000, {"n": F.count(F.lit(1)), "total": F.sum("value")}, "event_id")
+    found = timegroups.band_aggregate(own, "t", 0, 600_000_000, {"n": ("count", None), "total": ("sum", "value")}, "event_id")
     return found.select("event_id", "n", F.round("total", 4).alias("total"))
 
 
 def centered_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = events(spark, sf_dir).select("event_id", "t")
-    found = timegroups.band_aggregate(own, "t", 900_000_000, 900_000_000, {"n": F.count(F.lit(1)), "first": F.min("event_id")})
+    found = timegroups.band_aggregate(own, "t", 900_000_000, 900_000_000, {"n": ("count", None), "first": ("min", "event_id")})
     return found.select("event_id", "n", "first")
 
 
+def burst_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that look forward over times of a minute's grain, with ties, extremes among them."""
+    own = events(spark, sf_dir).select("event_id", F.floor(F.col("t") / 60_000_000).cast("long").alias("minute"), "value")
+    found = timegroups.band_aggregate(own, "minute", 0, 240, {"n": ("count", None), "least": ("min", "value"), "most": ("max", "value"), "total": ("sum", "value")}, "event_id")
+    return found.select("event_id", "n", "least", "most", F.round("total", 4).alias("total"))
+
+
 def forward_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = events(spark, sf_dir).select("event_id", "t", "user_id")
     found = timegroups.forward_window(own, "t", 60_000_000, "event_id", ["event_id", "t", "user_id"])
@@ -566,7 +573,7 @@ def result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     forward_pairs, centered_pairs, pair_nulls, decode_alerts, alert_counters, condition_traps, correlation_conditions, semantic_reasons, filter_rubric, group_uses, campaign_sequences, technique_lookup, knowledge_candidates, related_twenty,
-    lookup_enriched, zero_counts, full_row_dedup, clean_cells, flat_columns, event_identity, chained_times, supported_sequences, encoded_prefixes, fusion_sequence, stream_replay, stream_detect, stream_pairs, stream_pairs_across, semantic_index, campaign_order, context_boosts, match_report, result_summary,
+    lookup_enriched, zero_counts, full_row_dedup, clean_cells, flat_columns, event_identity, chained_times, supported_sequences, encoded_prefixes, fusion_sequence, stream_replay, stream_detect, stream_pairs, stream_pairs_across, semantic_index, burst_frames, campaign_order, context_boosts, match_report, result_summary,
     decode_envelope, semantic_map, alert_map, condition_matrix, time_groups, correlation_metrics, correlation_detect, sliding_forward, centered_band, pair_correlation, dedup_first,
     context_zone, context_asset, evidence_score, relationship_strength, technique_pairs, related_topk, anti_missing, semi_filter, union_results, last_wins, size_sorted,
     required_fields_by_log, null_counts, ordered_sequences, prefix_examples, markov_counts, markov_predict, markov_eval, fusion_soft, fusion_hard,

@@ -69,6 +69,9 @@ UNION ALL SELECT 'C-2', 'T1030', 0.6, g, '{{"user":' || user_id || '}}', count(*
 SQL["sliding_forward"] = f"""WITH {E}
 SELECT a.event_id, count(*) AS n, round(sum(b.value), 4) AS total FROM e a JOIN e b ON b.t BETWEEN a.t AND a.t + 600000000 AND (b.t > a.t OR b.event_id >= a.event_id) GROUP BY a.event_id"""
 
+SQL["burst_frames"] = f"""WITH {E}, m AS (SELECT event_id, t // 60000000 AS i, value FROM e)
+SELECT a.event_id, count(*) AS n, min(b.value) AS least, max(b.value) AS most, round(sum(b.value), 4) AS total FROM m a JOIN m b ON b.i BETWEEN a.i AND a.i + 240 AND (b.i > a.i OR b.event_id >= a.event_id) GROUP BY a.event_id"""
+
 SQL["centered_band"] = f"""WITH {E}
 SELECT a.event_id, count(*) AS n, min(b.event_id) AS first FROM e a JOIN e b ON b.t BETWEEN a.t - 900000000 AND a.t + 900000000 GROUP BY a.event_id"""
 
