@@ -64,6 +64,20 @@ def test_band_aggregate_of_a_burst_is_linear(spark):
         timegroups.band_aggregate(frame, "t", 1, 1, {"n": ("count", None)}, "id")
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 20, 147])
+def test_exact_split(spark, n):
+    frame = spark.createDataFrame([(None if i == 0 else f"c{i}", j) for i in range(n) for j in range(1 + i % 3)], "campaign string, step int")
+    parts = {}
+    for r in sequences.exact_split(frame).collect():
+        parts.setdefault(r["part"], set()).add(r["campaign"])
+    train, both_ = n * 70 // 100, n * 85 // 100
+    assert [len(parts.get(p, ())) for p in ("train", "validation", "test")] == [train, both_ - train, n - both_]
+    assert sum(map(len, parts.values())) == n
+    if n == 147:
+        other = {r["campaign"] for r in sequences.exact_split(frame, seed="7").where("part = 'test'").collect()}
+        assert other != parts["test"]
+
+
 def test_pairs_tolerate_nulls(spark):
     rows = [(1, "s", "a", 0), (2, "f", "a", 60_000_000), (3, "f", None, 10), (4, "f", "b", 5), (5, "f", "a", -1), (6, "f", "a", None), (7, "s", None, 0), (8, "f", "a", 60_000_001)]
     rule = {"mapping_id": "p", "semantic_correlation": {"source_event": {"conditions": {"field": "kind", "value": "s"}}, "followup_event": {"conditions": {"field": "kind", "value": "f"}}, "context_fields": ["c"], "time_window_seconds": 60}}

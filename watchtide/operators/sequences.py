@@ -92,6 +92,34 @@ def split(rows: DataFrame, key: str = "campaign") -> DataFrame:
     return rows.withColumn("part", F.when(unit < 70, "train").when(unit < 85, "validation").otherwise("test"))
 
 
+#: Buckets of a shuffle, by the first four digits of its hashes: what the driver counts to find a cut.
+DIGITS = 4
+
+
+def exact_split(rows: DataFrame, key: str = "campaign", seed: str = "42") -> DataFrame:
+    """rows with part: of n distinct keys in a seeded random order, the first 70 % train, the next 15 % validation, the rest test; cuts are rounded down.
+
+    The order is that of a hash of seed and key. A cut is found by counting keys by the hash's first digits (65,536 counts
+    at most), then within one such bucket, so keys are never numbered in one task. Rows of a key go together; a null
+    key is one of its own.
+    """
+    order = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))).cast("binary"))
+    hashes = rows.select(order.alias("h")).distinct()
+    counts = sorted((r["d"], r["n"]) for r in hashes.groupBy(F.substring("h", 1, DIGITS).alias("d")).agg(F.count(F.lit(1)).alias("n")).collect())
+    total = sum(n for _, n in counts)
+    bounds = []
+    for percent in (70, 85):
+        before, bound = total * percent // 100, ""
+        for digits, n in counts:
+            if before <= 0:
+                break
+            if before <= n:
+                bound = hashes.where(F.substring("h", 1, DIGITS) == digits).orderBy("h").offset(before - 1).limit(1).first()["h"]
+            before -= n
+        bounds.append(bound)
+    return rows.withColumn("part", F.when(order <= bounds[0], "train").when(order <= bounds[1], "validation").otherwise("test"))
+
+
 def history(prefix: Column, k: int) -> Column:
     return F.slice(prefix, F.greatest(F.lit(1), F.size(prefix) - k + 1), F.lit(k))
 

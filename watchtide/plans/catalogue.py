@@ -286,6 +286,12 @@ def prefix_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.prefix_examples(_visits(spark, sf_dir)).select("user_id", "day", F.col("n").cast("long").alias("n"), "input_str", "target")
 
 
+def exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' orders in training, validation and test parts whose sizes in customers are exact."""
+    own = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return sequences.exact_split(own, "o_custkey")
+
+
 def markov_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sequences.markov_counts(sequences.prefix_examples(_visits(spark, sf_dir)), 2)
     return found.withColumn("history", F.array_join("history", ","))
@@ -573,7 +579,7 @@ def result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     forward_pairs, centered_pairs, pair_nulls, decode_alerts, alert_counters, condition_traps, correlation_conditions, semantic_reasons, filter_rubric, group_uses, campaign_sequences, technique_lookup, knowledge_candidates, related_twenty,
-    lookup_enriched, zero_counts, full_row_dedup, clean_cells, flat_columns, event_identity, chained_times, supported_sequences, encoded_prefixes, fusion_sequence, stream_replay, stream_detect, stream_pairs, stream_pairs_across, semantic_index, burst_frames, campaign_order, context_boosts, match_report, result_summary,
+    lookup_enriched, zero_counts, full_row_dedup, clean_cells, flat_columns, event_identity, chained_times, supported_sequences, encoded_prefixes, fusion_sequence, stream_replay, stream_detect, stream_pairs, stream_pairs_across, semantic_index, burst_frames, exact_split, campaign_order, context_boosts, match_report, result_summary,
     decode_envelope, semantic_map, alert_map, condition_matrix, time_groups, correlation_metrics, correlation_detect, sliding_forward, centered_band, pair_correlation, dedup_first,
     context_zone, context_asset, evidence_score, relationship_strength, technique_pairs, related_topk, anti_missing, semi_filter, union_results, last_wins, size_sorted,
     required_fields_by_log, null_counts, ordered_sequences, prefix_examples, markov_counts, markov_predict, markov_eval, fusion_soft, fusion_hard,

@@ -126,6 +126,8 @@ SELECT o_custkey, string_agg(p, ',' ORDER BY o) AS sequence FROM f GROUP BY 1 HA
 VISITS = """v AS (SELECT user_id, t // 86400000000 AS day, list(event_type ORDER BY t, event_id) AS s FROM e GROUP BY 1, 2),
 x AS (SELECT user_id, day, s, unnest(range(1, len(s))) AS n FROM v)"""
 SQL["prefix_examples"] = f"WITH {E}, {VISITS} SELECT user_id, day, n, array_to_string(s[1:n], ' -> ') AS input_str, s[n + 1] AS target FROM x"
+SQL["exact_split"] = """WITH k AS (SELECT o_custkey, row_number() OVER (ORDER BY md5('42/' || o_custkey)) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey FROM orders))
+SELECT o_orderkey, o_custkey, CASE WHEN i <= n * 70 // 100 THEN 'train' WHEN i <= n * 85 // 100 THEN 'validation' ELSE 'test' END AS part FROM orders JOIN k USING (o_custkey)"""
 SQL["markov_counts"] = f"WITH {E}, {VISITS} SELECT array_to_string(s[greatest(1, n - 1):n], ',') AS history, s[n + 1] AS target, count(*) AS n FROM x GROUP BY 1, 2"
 MARKOV = f"""WITH {E}, {VISITS}, c AS (SELECT array_to_string(s[greatest(1, n - 1):n], ',') AS h, s[n + 1] AS target, count(*) AS c FROM x WHERE user_id % 10 < 7 GROUP BY 1, 2),
 tot AS (SELECT h, sum(c)::BIGINT AS total FROM c GROUP BY 1), w AS (SELECT DISTINCT event_type AS item FROM e),
