@@ -131,6 +131,18 @@ def condition_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("event_id", *(c.alias(k) for k, c in tests.items()))
 
 
+def alert_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text tests of the alert dialect in any case, and membership in arrays of texts and of numbers."""
+    own = events(spark, sf_dir).select("event_id", F.expr("nullif(event_type, 'view')").alias("s"), F.expr("CASE WHEN k % 7 = 0 THEN NULL ELSE array(event_type, ' x ', NULL) END").alias("texts"), F.expr("array(k, k + 1, NULL)").alias("numbers"))
+    f = predicates.fields_of(own)
+    tests = {
+        "starts": predicates.alert_leaf(f["s"], "StartsWith", "CL"), "ends": predicates.alert_leaf(f["s"], "endswith", "ASE"), "starts_number": predicates.alert_leaf(f["s"], "startswith", 1), "starts_array": predicates.alert_leaf(f["texts"], "startswith", "v"),
+        "holds": predicates.alert_leaf(f["texts"], "contains", "click"), "holds_trimmed": predicates.alert_leaf(f["texts"], "contains", "x"), "holds_case": predicates.alert_leaf(f["texts"], "contains", "CLICK"),
+        "holds_number": predicates.alert_leaf(f["numbers"], "contains", 5), "holds_text_of_number": predicates.alert_leaf(f["numbers"], "contains", " 5 "), "array_equals": predicates.alert_leaf(f["texts"], "==", "click"), "array_not": predicates.alert_leaf(f["texts"], "!=", "click"),
+    }
+    return own.select("event_id", *(c.alias(k) for k, c in tests.items()))
+
+
 def time_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = events(spark, sf_dir)
     found = timegroups.anchored_groups(own.select(F.lit("all").alias("rule"), F.lit(HOUR * 1_000_000).cast("long").alias("w"), "t"))
@@ -579,7 +591,7 @@ def result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     forward_pairs, centered_pairs, pair_nulls, decode_alerts, alert_counters, condition_traps, correlation_conditions, semantic_reasons, filter_rubric, group_uses, campaign_sequences, technique_lookup, knowledge_candidates, related_twenty,
-    lookup_enriched, zero_counts, full_row_dedup, clean_cells, flat_columns, event_identity, chained_times, supported_sequences, encoded_prefixes, fusion_sequence, stream_replay, stream_detect, stream_pairs, stream_pairs_across, semantic_index, burst_frames, exact_split, campaign_order, context_boosts, match_report, result_summary,
+    lookup_enriched, zero_counts, full_row_dedup, clean_cells, flat_columns, event_identity, chained_times, supported_sequences, encoded_prefixes, fusion_sequence, stream_replay, stream_detect, stream_pairs, stream_pairs_across, semantic_index, burst_frames, exact_split, alert_dialect, campaign_order, context_boosts, match_report, result_summary,
     decode_envelope, semantic_map, alert_map, condition_matrix, time_groups, correlation_metrics, correlation_detect, sliding_forward, centered_band, pair_correlation, dedup_first,
     context_zone, context_asset, evidence_score, relationship_strength, technique_pairs, related_topk, anti_missing, semi_filter, union_results, last_wins, size_sorted,
     required_fields_by_log, null_counts, ordered_sequences, prefix_examples, markov_counts, markov_predict, markov_eval, fusion_soft, fusion_hard,

@@ -50,6 +50,10 @@ SELECT event_id, v IS NULL AS z_null, coalesce(v <> 7, false) AS z_ne, v IS NOT
   v IS NULL AS w_null, coalesce(v = 7, false) AS w_eq, coalesce(v NOT IN (1, 2), false) AS w_not_in, coalesce(lower(s) LIKE '%cli%', false) AS w_contains, false AS w_ge,
   v IS NOT NULL AS c_null, coalesce(v NOT IN (1, 2), false) AS c_not_in, coalesce(v <= 30, false) AS c_le, false AS z_empty, true AS w_empty FROM x"""
 
+SQL["alert_dialect"] = f"""WITH {E}, x AS (SELECT event_id, nullif(event_type, 'view') AS s, event_type AS y, k % 7 <> 0 AS has, k FROM ev)
+SELECT event_id, coalesce(lower(s) LIKE 'cl%', false) AS starts, coalesce(lower(s) LIKE '%ase', false) AS ends, false AS starts_number, false AS starts_array,
+  has AND y = 'click' AS holds, has AS holds_trimmed, false AS holds_case, k IN (4, 5) AS holds_number, k IN (4, 5) AS holds_text_of_number, false AS array_equals, has AS array_not FROM x"""
+
 SQL["time_groups"] = f"""WITH RECURSIVE {E}, {chain('r', 'e', 3600)}
 SELECT event_id, g AS time_group_id FROM ev ASOF JOIN r ON ev.t >= r.s"""
 
