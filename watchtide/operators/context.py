@@ -7,7 +7,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchtide.functions.addresses import in_network, v4_number
+from watchtide.functions.addresses import address_bits, first_bits, in_network, network_bits
 from watchtide.operators.predicates import Field, Fields, _typed
 
 
@@ -35,13 +35,50 @@ class Networks:
         return Field(self.zone(field.column), "string")
 
     def zone(self, ip: Column) -> Column:
-        found = F.when(v4_number(ip).isNull() & ~F.coalesce(ip.contains(":"), F.lit(False)), F.lit(None).cast("string"))
+        found = F.when(address_bits(ip).isNull(), F.lit(None).cast("string"))
         for zone, networks in self.zones.items():
             for cidr in networks:
                 found = found.when(F.coalesce(in_network(ip, cidr, strict=True), F.lit(False)), zone)
         return found.otherwise("external")
 
 
+class Located:
+    """`<address field>.location`, from columns that with_zones has joined."""
+
+    def supports(self, key: str) -> bool:
+        return key.endswith(".location")
+
+    def resolve(self, key: str, fields: Fields) -> Field:
+        return fields.get(key, Field(F.lit(None).cast("string"), "string"))
+
+
+#: Tasks over which the rows of one address, or the addresses of one network, are dealt.
+DEALT = 16
+
+
+def with_zones(events: DataFrame, networks: DataFrame, address: str) -> DataFrame:
+    """events with `<address>.location`, as Networks gives it, for zone lists of any length.
+
+    networks: zone, place (the least holds; ties by zone), network (address/length); null networks are ignored, what is
+    no network fails. No address: null; without networks: external. A column of the result's name is replaced.
+    Each distinct address asks, for every prefix length that occurs (at most 33 of IPv4 and 129 of IPv6), by equality.
+    """
+    location = f"{address}.location"
+    known = networks.where("network IS NOT NULL").select("zone", "place", network_bits(F.col("network")).alias("_n"))
+    prefixes = known.groupBy("_n.version", "_n.length", "_n.hi", "_n.lo").agg(F.min(F.struct("place", "zone")).alias("_best"))
+    lengths = prefixes.select("version", "length").distinct()  # 162 rows at most
+    own = events.select(F.struct(*(F.col(f"`{c}`") for c in events.columns if c != location)).alias("_row"), F.col(f"`{address}`").cast("string").alias("_ip"))
+    asked = own.select("_ip").distinct().select("_ip", address_bits(F.col("_ip")).alias("_a")).where("_a IS NOT NULL")
+    asked = asked.select("_ip", "_a.*").join(F.broadcast(lengths), "version", "left").select(
+        "_ip", "version", "length", first_bits(F.col("hi"), F.col("length")).alias("hi"), first_bits(F.col("lo"), F.col("length") - 64).alias("lo"), F.pmod(F.xxhash64("_ip"), F.lit(DEALT)).cast("int").alias("_deal")
+    )
+    dealt = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("_deal")
+    met = asked.join(prefixes.select("*", dealt), ["version", "length", "hi", "lo", "_deal"], "left")
+    zones = met.groupBy("_ip").agg(F.coalesce(F.min("_best")["zone"], F.lit("external")).alias("_zone"))
+    own = own.withColumn("_deal", F.pmod(F.spark_partition_id(), F.lit(DEALT)))  # an address may hold most rows
+    return own.join(zones.select("*", dealt), ["_ip", "_deal"], "left").select("_row.*", F.col("_zone").alias(location))
+
+
 class Assets:
     """`<address field>.role` and `.category`, from columns that with_assets has joined."""
 

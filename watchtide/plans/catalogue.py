@@ -213,6 +213,24 @@ def context_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("event_id", "ip", context.Networks(ZONES).zone(F.col("ip")).alias("zone"), in_network(F.col("ip"), "10.3.0.0/17").alias("inside"))
 
 
+def zone_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones from a table of networks, which nest and repeat: one for each customer and supplier, in both versions of addresses."""
+    address = F.expr(
+        """CASE coalesce(k, 4) % 5
+        WHEN 2 THEN concat('2001:DB8::', lower(hex(user_id % 65536)), ':0:0:', hex(k)) WHEN 3 THEN '::ffff:' || ip
+        WHEN 4 THEN CASE k % 3 WHEN 0 THEN '10.0.0.256' WHEN 1 THEN '1::2::' || k WHEN 2 THEN 'fe80::' || k || '%eth0' END ELSE ip END"""
+    )
+    named = lambda name, zone, place, network: table(spark, sf_dir, name).select(F.expr(zone).alias("zone"), F.expr(place).alias("place"), F.expr(network).alias("network"))
+    networks = (
+        named("customer", "c_mktsegment", "c_custkey", "concat('10.', c_custkey % 4, '.', c_custkey % 256, '.0/24')")
+        .unionByName(named("supplier", "'nation ' || s_nationkey", "1000000000 + s_suppkey", "concat('10.', s_suppkey % 3, '.0.0/16')"))
+        .unionByName(named("customer", "'v6 ' || c_mktsegment", "c_custkey", "concat('2001:db8:0:0:', hex(c_custkey % 65536), '::/80')"))
+        .unionByName(named("region", "r_name", "r_regionkey", "'::ffff:0:0/96'"))
+    )
+    found = context.with_zones(events(spark, sf_dir).select("event_id", address.alias("address")), networks, "address")
+    return found.withColumnRenamed("address.location", "zone")
+
+
 def context_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = events(spark, sf_dir).select("event_id", F.col("user_id").cast("string").alias("host"))
     assets = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("ip"), F.col("c_mktsegment").alias("role"), F.col("c_nationkey").cast("string").alias("category"))
@@ -593,7 +611,7 @@ _QUERIES = (
     forward_pairs, centered_pairs, pair_nulls, decode_alerts, alert_counters, condition_traps, correlation_conditions, semantic_reasons, filter_rubric, group_uses, campaign_sequences, technique_lookup, knowledge_candidates, related_twenty,
     lookup_enriched, zero_counts, full_row_dedup, clean_cells, flat_columns, event_identity, chained_times, supported_sequences, encoded_prefixes, fusion_sequence, stream_replay, stream_detect, stream_pairs, stream_pairs_across, semantic_index, burst_frames, exact_split, alert_dialect, campaign_order, context_boosts, match_report, result_summary,
     decode_envelope, semantic_map, alert_map, condition_matrix, time_groups, correlation_metrics, correlation_detect, sliding_forward, centered_band, pair_correlation, dedup_first,
-    context_zone, context_asset, evidence_score, relationship_strength, technique_pairs, related_topk, anti_missing, semi_filter, union_results, last_wins, size_sorted,
+    context_zone, zone_table, context_asset, evidence_score, relationship_strength, technique_pairs, related_topk, anti_missing, semi_filter, union_results, last_wins, size_sorted,
     required_fields_by_log, null_counts, ordered_sequences, prefix_examples, markov_counts, markov_predict, markov_eval, fusion_soft, fusion_hard,
 )
 

@@ -92,6 +92,17 @@ SELECT id, t, event_id FROM x QUALIFY coalesce(id, '') = '' OR row_number() OVER
 SQL["context_zone"] = f"""WITH {E}
 SELECT event_id, ip, CASE WHEN k % 4 = 1 THEN 'vpn_zone' WHEN k % 4 = 2 AND user_id % 256 < 128 THEN 'dmz' ELSE 'internal' END AS zone, k % 4 = 3 AND user_id % 256 < 128 AS inside FROM ev"""
 
+SQL["zone_table"] = f"""WITH {E}, x AS (SELECT *, coalesce(k, 4) % 5 AS form FROM ev),
+c AS (SELECT c_custkey % 4 AS a, c_custkey % 256 AS b, arg_min(c_mktsegment, c_custkey) AS zone FROM customer GROUP BY ALL),
+s AS (SELECT s_suppkey % 3 AS a, arg_min('nation ' || s_nationkey, s_suppkey) AS zone FROM supplier GROUP BY ALL),
+v AS (SELECT c_custkey % 65536 AS a, arg_min('v6 ' || c_mktsegment, c_custkey) AS zone FROM customer GROUP BY ALL)
+SELECT event_id,
+  CASE form WHEN 2 THEN '2001:DB8::' || printf('%x', user_id % 65536) || ':0:0:' || printf('%X', k) WHEN 3 THEN '::ffff:' || ip
+    WHEN 4 THEN CASE k % 3 WHEN 0 THEN '10.0.0.256' WHEN 1 THEN '1::2::' || k WHEN 2 THEN 'fe80::' || k || '%eth0' END ELSE ip END AS address,
+  CASE WHEN form < 2 THEN coalesce(c.zone, s.zone, 'external') WHEN form = 2 THEN coalesce(v.zone, 'external')
+    WHEN form = 3 THEN (SELECT arg_min(r_name, r_regionkey) FROM region) WHEN k % 3 = 2 THEN 'external' END AS zone
+FROM x LEFT JOIN c ON k % 4 = c.a AND user_id % 256 = c.b LEFT JOIN s ON k % 4 = s.a LEFT JOIN v ON user_id % 65536 = v.a"""
+
 SQL["context_asset"] = """SELECT event_id, user_id::VARCHAR AS host, c_mktsegment AS role, c_nationkey::VARCHAR AS category FROM events LEFT JOIN customer ON user_id = c_custkey"""
 
 SQL["evidence_score"] = """WITH c AS (SELECT p_brand AS a, p_type AS b, count(*) AS n FROM part GROUP BY 1, 2), d AS (
