@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from watchtide.functions.addresses import in_network
+from watchtide.functions.text import hundredths
 from watchtide.functions.times import event_time, iso_time
 from watchtide.operators import correlation, graph, pairs, predicates, semantic, sequences, timegroups
 from watchtide.sources import logs
@@ -256,3 +257,20 @@ def test_files_in_and_out(spark, tmp_path):
     assert logs.read_events(spark, str(tmp_path / "events"), "n int, l array<string>, log_type string").count() == 4
     logs.write_document(rows, str(tmp_path / "doc"))
     assert spark.read.json(str(tmp_path / "doc")).count() == 2
+
+
+def test_numbers_of_two_places(spark):
+    numbers = [i / 10_000 for i in range(10_001)] + [None, 12.345, 0.005]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", hundredths("x").alias("said")).collect()
+    assert [r["said"] for r in rows if r["said"] != (None if r["x"] is None else f"{r['x']:.2f}")] == []
+
+
+def test_needed_logs(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, *range(200)]), rng.choice("abc")) for i in range(150)]
+    events = spark.createDataFrame(rows, "uid int, t long, log_type string")
+    wanted = {"a": ["b", "c", "b"], "b": ["b"], "x": ["a"]}
+    got = {r["uid"]: [x["uid"] for x in r["needed"]] for r in timegroups.needed_logs(events, "t", 10, "uid", wanted).collect()}
+    near = lambda t, kinds: [i for _, i in sorted((u, i) for i, u, k in rows if u is not None and k in kinds and abs(u - t) <= 10)]
+    assert got == {i: near(t, wanted[k]) for i, t, k in rows if t is not None and k in wanted}
+    assert timegroups.needed_logs(events.limit(0), "t", 0, "uid", wanted).count() == 0

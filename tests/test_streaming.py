@@ -2,9 +2,13 @@
 
 import json
 import random
+import time
+
+from pyspark.sql import Observation
 
 from watchtide.operators import correlation
 from watchtide.operators.pairs import pair_correlation
+from watchtide.sources import logs
 from watchtide.streaming import detections, pairing, replay
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -91,3 +95,29 @@ def test_pairs_over_batches_are_found_once(spark, tmp_path):
     want = sorted((r["source_uid"], r["followup_uid"], tuple(r["evidence"])) for r in pair_correlation(spark.createDataFrame(rows, schema), PAIRS).collect())
     assert got == want and any(a // 40 != b // 40 for a, b, _ in got)
     assert min(held[-1]) < 40  # rows of the timed join: those of the last minute and a half, not all
+
+
+def test_counts_while_decoding(spark, tmp_path):
+    lines = ['{"id": "1"}', "broken", '{"id": "2"}', "[1]"]
+    raw = spark.createDataFrame([(x,) for x in lines], "value string")
+    observed = Observation("own")
+    made = logs.counted(logs.decode_nested(raw, "a"), observed)
+    made.select("id").write.parquet(str(tmp_path / "batch"))
+    assert observed.get == {"lines": 4, "decoded": 2, "errors": 2} == logs.counters(logs.decode_nested(raw, "a")).first().asDict()
+    assert logs.counters(logs.decode_nested(raw.limit(0), "a")).first().asDict() == {"lines": 0, "decoded": 0, "errors": 0}
+
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.txt").write_text("\n".join(lines[: i + 1]))
+    listener = logs.Counts()
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / "in"))
+        query = logs.counted(logs.decode_nested(stream, "a")).select("id").writeStream.format("parquet")
+        query.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+        wait = time.time() + 20
+        while len(listener.batches) < 3 and time.time() < wait:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.totals == {"lines": 6, "decoded": 4, "errors": 2}

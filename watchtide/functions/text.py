@@ -49,3 +49,14 @@ def filled(c: Column) -> Column:
 def identity(*parts: Column) -> Column:
     """Parts joined by '|'; a missing part reads None."""
     return F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("None")) for p in parts))
+
+
+def hundredths(name: str) -> Column:
+    """A column of numbers of at most four places as text of two, rounded by the exact value of the double, ties to even; null stays null."""
+    x = F.col(name)
+    halves = F.round(x * 200).cast("long")  # the number lies at halves / 200, or not near a tie
+    high = x * 134217729.0 - (x * 134217729.0 - x)  # the upper half of the digits, so that products below are exact
+    over = (high * 200 - halves) + (x - high) * 200
+    lower = F.floor(halves / 2)
+    up = F.when(halves % 2 == 0, lower).when(over > 0, lower + 1).when(over < 0, lower).otherwise(lower + lower % 2)
+    return F.when(x.isNotNull(), F.format_string("%.2f", up / 100))

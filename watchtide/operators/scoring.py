@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchtide.functions.text import filled, stripped, tidy
+from watchtide.functions.text import filled, hundredths, stripped, tidy
 from watchtide.functions.times import either
 
 # The rubric's scores of a filter text, from the most to the least specific kind.
@@ -34,6 +34,20 @@ BOOLEAN_WORDS = (" and ", " or ", "&", "|")
 RELATIONSHIP_WEIGHTS = {"telemetry_specificity": 0.5, "filter_specificity": 0.3, "completeness": 0.2}
 
 
+#: What a reason says by the number of techniques that share an evidence (1, to 5, to 20, more), and by its share.
+SPREAD = (
+    "unique to {} across the dataset",
+    "shared with only {} other technique(s), so still fairly specific",
+    "shared with {} other techniques, giving it moderate specificity",
+    "shared with {} other techniques, so it has low discriminative power on its own",
+)
+SHARE = (
+    "it's also one of the primary evidence sources available for this technique",
+    "it contributes a moderate share of the available evidence for this technique",
+    "relative to other evidence for this technique, it's a comparatively minor source",
+)
+
+
 def evidence_scores(rows: DataFrame, technique: str = "technique_id", evidence: str = "event_identity", alpha: float = 0.7) -> DataFrame:
     """rows with evidence_degree, evidence_score (0 to 1, 4 places) and evidence_confidence_reason.
 
@@ -57,13 +71,13 @@ def evidence_scores(rows: DataFrame, technique: str = "technique_id", evidence:
         return (F.col(c) - F.col(f"lo{c}")) / (F.col(f"hi{c}") - F.col(f"lo{c}") + 1e-9)
 
     score = F.round(alpha * scaled("_itf") + (1 - alpha) * scaled("_ri"), 4)
-    spread = F.when(F.col("evidence_degree") <= 1, "unique to one technique").when(F.col("evidence_degree") <= 5, "shared by few techniques")
-    spread = spread.when(F.col("evidence_degree") <= 20, "shared by several techniques").otherwise("shared by many techniques")
-    share = F.when(scaled("_ri") > 0.66, "dominant").when(scaled("_ri") > 0.33, "substantial").otherwise("minor")
-    cells = cells.select(
-        technique, evidence, "evidence_degree", score.alias("evidence_score"),
-        F.concat(spread, F.lit("; "), share, F.format_string(" part of its technique's evidence (score %.2f)", score)).alias("evidence_confidence_reason"),
-    )
+    degree, others = F.col("evidence_degree"), (F.col("evidence_degree") - 1).cast("string")
+    said = lambda text, x: F.concat(*(F.lit(t) if i == 0 else F.concat(x, F.lit(t)) for i, t in enumerate(text.split("{}"))))
+    spread = F.when(degree <= 1, said(SPREAD[0], F.col(technique))).when(degree <= 5, said(SPREAD[1], others)).when(degree <= 20, said(SPREAD[2], others)).otherwise(said(SPREAD[3], others))
+    share = F.when(scaled("_ri") > 0.66, SHARE[0]).when(scaled("_ri") > 0.33, SHARE[1]).otherwise(SHARE[2])
+    cells = cells.select(technique, evidence, "evidence_degree", score.alias("evidence_score"), spread.alias("_spread"), share.alias("_share"))
+    reason = F.concat(F.lit("Evidence score "), hundredths("evidence_score"), F.lit(": this telemetry is "), F.col("_spread"), F.lit("; "), F.col("_share"), F.lit("."))
+    cells = cells.withColumn("evidence_confidence_reason", reason).drop("_spread", "_share")
     return rows.join(cells, [technique, evidence])
 
 

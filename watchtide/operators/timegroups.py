@@ -112,6 +112,26 @@ def forward_window(events: DataFrame, t: str, w: int, order: str, kept: list[str
     return left.join(spread, "_b").where(later & (F.col(f"other_{t}") - F.col(t) <= w)).drop("_b", "_b0")
 
 
+def needed_logs(events: DataFrame, t: str, w: int, order: str, wanted: dict[str, list[str]], log_type: str = "log_type") -> DataFrame:
+    """Events of the log types that `wanted` names, with needed: an array of (t, order, log_type) of the events of their wanted types at most w before or after, by t, then order.
+
+    An event without such neighbours has an empty array; one that wants its own type is its own neighbour; events
+    without a time are neither asked for nor ask. `order` tells the events apart. An array is as long as its frame.
+    """
+    # wants is a bounded literal: a row for each log type and one that it wants
+    wants = F.create_map(*(F.lit(x) for k in wanted for x in (k, list(dict.fromkeys(wanted[k])))))
+    timed = events.where(F.col(t).isNotNull())
+    asking = timed.where(F.col(log_type).isin(list(wanted))).withColumn("_wants", wants[F.col(log_type)])
+    near = asking.select(F.col(order).alias("_id"), F.col(t).alias("_t"), F.explode("_wants").alias("_log"), F.floor(F.col(t) / max(1, w)).cast("long").alias("_b"))
+    given = timed.where(F.col(log_type).isin(sorted({x for v in wanted.values() for x in v})))
+    given = given.select(F.struct(F.col(t), F.col(order), F.col(log_type)).alias("_it"), F.col(t).alias("_at"), F.col(log_type).alias("_log"), F.floor(F.col(t) / max(1, w)).cast("long").alias("_b0"))
+    given = given.withColumn("_b", F.explode(F.array(F.col("_b0") - 1, F.col("_b0"), F.col("_b0") + 1)))
+    met = near.join(given, ["_log", "_b"]).where(F.abs(F.col("_at") - F.col("_t")) <= w)
+    lists = met.groupBy("_id").agg(F.sort_array(F.collect_list("_it")).alias("needed"))
+    found = asking.drop("_wants").join(lists, F.col(order) == F.col("_id"), "left").drop("_id")
+    return found.withColumn("needed", F.coalesce("needed", F.array().cast(lists.schema["needed"].dataType)))
+
+
 #: How an aggregate of parts becomes that of the whole.
 MERGED = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 

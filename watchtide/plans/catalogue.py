@@ -11,7 +11,7 @@ from watchtide.functions import text, times
 from watchtide.functions.addresses import in_network
 from watchtide.operators import context, correlation, graph, pairs, predicates, rule_index, scoring, semantic, sequences, timegroups
 from watchtide.plans.oracles import SQL
-from watchtide.sources.logs import BAD, counters, decode_flat, decode_nested, flatten, nested_field, report, summary
+from watchtide.sources.logs import BAD, counters, decode_flat, decode_nested, detection_report, flatten, nested_field, pair_report, report, summary
 from watchtide.streaming import detections, pairing, replay
 
 HOUR = 3600
@@ -180,6 +180,23 @@ def burst_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "n", "least", "most", F.round("total", 4).alias("total"))
 
 
+def needed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The purchases and errors near each click, in the order of their times."""
+    own = events(spark, sf_dir).select("event_id", "t", F.col("event_type").alias("log_type"))
+    found = timegroups.needed_logs(own, "t", 120_000_000, "event_id", {"click": ["purchase", "error"]})
+    return found.select("event_id", F.concat_ws(",", F.transform("needed", lambda x: x["event_id"].cast("string"))).alias("needed"))
+
+
+def detection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of correlations."""
+    return detection_report(correlation_detect(spark, sf_dir))
+
+
+def pair_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of pairs."""
+    return pair_report(pairs.pair_correlation(events(spark, sf_dir), PAIR_RULE, NAMES, "event_id"))
+
+
 def forward_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = events(spark, sf_dir).select("event_id", "t", "user_id")
     found = timegroups.forward_window(own, "t", 60_000_000, "event_id", ["event_id", "t", "user_id"])
@@ -240,7 +257,7 @@ def context_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("technique_id"), F.col("p_type").alias("event_identity"))
     found = scoring.evidence_scores(rows)
-    return found.select("p_partkey", "evidence_degree", F.round("evidence_score", 3).alias("evidence_score"), F.split("evidence_confidence_reason", ";")[0].alias("reason"))
+    return found.select("p_partkey", "evidence_degree", "evidence_score", F.col("evidence_confidence_reason").alias("reason"))
 
 
 def relationship_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,7 +394,7 @@ def decode_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alert_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _alerts(spark, sf_dir)
-    return counters(raw, decode_nested(raw, "alerts.json"))
+    return counters(decode_nested(raw, "alerts.json"))
 
 
 def condition_traps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -611,7 +628,7 @@ _QUERIES = (
     forward_pairs, centered_pairs, pair_nulls, decode_alerts, alert_counters, condition_traps, correlation_conditions, semantic_reasons, filter_rubric, group_uses, campaign_sequences, technique_lookup, knowledge_candidates, related_twenty,
     lookup_enriched, zero_counts, full_row_dedup, clean_cells, flat_columns, event_identity, chained_times, supported_sequences, encoded_prefixes, fusion_sequence, stream_replay, stream_detect, stream_pairs, stream_pairs_across, semantic_index, burst_frames, exact_split, alert_dialect, campaign_order, context_boosts, match_report, result_summary,
     decode_envelope, semantic_map, alert_map, condition_matrix, time_groups, correlation_metrics, correlation_detect, sliding_forward, centered_band, pair_correlation, dedup_first,
-    context_zone, zone_table, context_asset, evidence_score, relationship_strength, technique_pairs, related_topk, anti_missing, semi_filter, union_results, last_wins, size_sorted,
+    needed_logs, detection_lines, pair_lines, context_zone, zone_table, context_asset, evidence_score, relationship_strength, technique_pairs, related_topk, anti_missing, semi_filter, union_results, last_wins, size_sorted,
     required_fields_by_log, null_counts, ordered_sequences, prefix_examples, markov_counts, markov_predict, markov_eval, fusion_soft, fusion_hard,
 )
 

@@ -109,8 +109,13 @@ SQL["evidence_score"] = """WITH c AS (SELECT p_brand AS a, p_type AS b, count(*)
   SELECT *, count(*) OVER (PARTITION BY b) AS degree, ln(((SELECT count(DISTINCT p_brand) FROM part) + 1) / (count(*) OVER (PARTITION BY b) + 1)) AS itf FROM c
 ), r AS (SELECT *, itf / (sum(itf * n) OVER (PARTITION BY a) + 1e-9) AS ri FROM d),
 s AS (SELECT *, (itf - min(itf) OVER ()) / (max(itf) OVER () - min(itf) OVER () + 1e-9) AS x, (ri - min(ri) OVER ()) / (max(ri) OVER () - min(ri) OVER () + 1e-9) AS y FROM r)
-SELECT p_partkey, degree AS evidence_degree, round(round(0.7 * x + 0.3 * y, 4), 3) AS evidence_score,
-  CASE WHEN degree <= 1 THEN 'unique to one technique' WHEN degree <= 5 THEN 'shared by few techniques' WHEN degree <= 20 THEN 'shared by several techniques' ELSE 'shared by many techniques' END AS reason FROM part JOIN s ON p_brand = a AND p_type = b"""
+SELECT p_partkey, degree AS evidence_degree, round(0.7 * x + 0.3 * y, 4) AS evidence_score,
+  'Evidence score ' || printf('%.2f', round(0.7 * x + 0.3 * y, 4)) || ': this telemetry is ' || CASE WHEN degree <= 1 THEN 'unique to ' || a || ' across the dataset'
+    WHEN degree <= 5 THEN 'shared with only ' || (degree - 1) || ' other technique(s), so still fairly specific' WHEN degree <= 20 THEN 'shared with ' || (degree - 1) || ' other techniques, giving it moderate specificity'
+    ELSE 'shared with ' || (degree - 1) || ' other techniques, so it has low discriminative power on its own' END
+  || CASE WHEN y > 0.66 THEN '; it''s also one of the primary evidence sources available for this technique' WHEN y > 0.33 THEN '; it contributes a moderate share of the available evidence for this technique'
+    ELSE '; relative to other evidence for this technique, it''s a comparatively minor source' END || '.' AS reason
+FROM part JOIN s ON p_brand = a AND p_type = b"""
 
 SQL["relationship_strength"] = """WITH x AS (
   SELECT *, CASE p_size % 7 WHEN 0 THEN NULL WHEN 1 THEN 'none' WHEN 2 THEN p_name || ' = ' || p_type WHEN 3 THEN 'a = b' WHEN 4 THEN 'contains x' WHEN 5 THEN 'x | y' ELSE p_name END AS flt FROM part
@@ -228,3 +233,8 @@ SELECT event_id, round(least(1.0, 0.9 + b), 4)::DOUBLE AS score, round(b, 4)::DO
   'host.role: ' || CASE WHEN role IS NULL THEN 'context_unavailable' WHEN role = 'BUILDING' THEN 'matched' ELSE 'not_matched' END || '; ip.location: ' || CASE WHEN zone <> 'internal' THEN 'matched' ELSE 'not_matched' END AS said FROM y"""
 SQL["match_report"] = f"""{MATCHES} SELECT printf('%s %s score=%.2f [%s]', mapping_id, technique_id, round(least(1.0, base + boost), 4)::DOUBLE, matched) AS line, count(*) AS n FROM m GROUP BY 1"""
 SQL["result_summary"] = f"""{MATCHES} SELECT technique_id, count(*) AS n, max(round(least(1.0, base + boost), 4))::DOUBLE AS best FROM m GROUP BY 1"""
+SQL["needed_logs"] = f"""WITH {E}
+SELECT a.event_id, coalesce(string_agg(b.event_id::VARCHAR, ',' ORDER BY b.t, b.event_id), '') AS needed
+FROM e a LEFT JOIN e b ON b.event_type IN ('purchase', 'error') AND b.t BETWEEN a.t - 120000000 AND a.t + 120000000 WHERE a.event_type = 'click' GROUP BY a.event_id"""
+SQL["detection_lines"] = f"""SELECT printf('%s %s group=%s window=%d events=%d score=%.2f %s', mapping_id, technique_id, group_key, time_group_id, n_events, score, metrics) AS line FROM ({SQL["correlation_detect"]})"""
+SQL["pair_lines"] = f"""SELECT printf('%s %s -> %s confidence=%.2f [%s]', mapping_id, source_uid::VARCHAR, followup_uid::VARCHAR, confidence, evidence) AS line FROM ({SQL["pair_correlation"]})"""

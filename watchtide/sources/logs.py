@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import StringType
 
 from watchtide.functions.text import stripped
@@ -105,10 +106,47 @@ def nested_field(path: str, kind: str = "string"):
     return F.try_variant_get(F.col("decoded"), "$." + path, kind)
 
 
-def counters(raw: DataFrame, decoded: DataFrame) -> DataFrame:
-    """One row: lines, decoded, errors."""
-    bad = decoded.agg(F.count_if(F.col(BAD).isNull()).alias("decoded"), F.count_if(F.col(BAD).isNotNull()).alias("errors"))
-    return raw.agg(F.count(F.lit(1)).alias("lines")).crossJoin(bad)  # one row each
+def _counts() -> list:
+    return [F.count(F.lit(1)).alias("lines"), F.count_if(F.col(BAD).isNull()).alias("decoded"), F.count_if(F.col(BAD).isNotNull()).alias("errors")]
+
+
+def counters(decoded: DataFrame) -> DataFrame:
+    """One row: lines, decoded, errors; a decoded frame has a row for each line, so one pass tells all."""
+    return decoded.agg(*_counts())
+
+
+def counted(decoded: DataFrame, name: str = "decode") -> DataFrame:
+    """decoded, which counts itself while it is written or streamed.
+
+    Give an Observation for name in a batch and ask its `get` after the action; of a stream, counts of each batch reach
+    `Counts` (or any listener) under the text given. A count is of rows that pass: don't cut them off by a limit.
+    """
+    return decoded.observe(name, *_counts())
+
+
+class Counts(StreamingQueryListener):
+    """Totals of lines, decoded and errors over a stream's batches; spark.streams.addListener(Counts()). A batch is counted once, by its number."""
+
+    def __init__(self, name: str = "decode"):
+        self.name, self.batches = name, {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        found = event.progress.observedMetrics.get(self.name)
+        if found is not None:
+            self.batches[str(event.progress.id), event.progress.batchId] = found.asDict()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    @property
+    def totals(self) -> dict:
+        return {k: sum(b[k] for b in self.batches.values()) for k in ("lines", "decoded", "errors")}
 
 
 def load_rules(path: str) -> list[dict]:

@@ -1,6 +1,9 @@
 """A streaming source that tails files by byte offset and inode, as a Python data source: format("log_tail").
 
-Options: path (a file that every executor and the driver can read), rangeBytes. Offsets are {"inode", "start"}; a file
+Options: path (a file that every executor and the driver can read), rangeBytes, startingOffset and startingInode (where
+a query without a checkpoint begins; the inode may be left out), maxBytesPerTrigger (0: no limit; a longer line passes
+whole) and checkpoint (the query's checkpoint, from which a limited source knows where it stands after a restart; it
+must be given with a limit). Offsets are {"inode", "start"}, under a limit with "path" too; `committed` reads them. A file
 whose inode changed or that shrank is read from its beginning. The driver only looks at sizes and for the last line
 end, so a line that is being written stays for the next batch; executors read ranges of rangeBytes, each the lines
 that begin in it. A range that is read again after a rotation is looked for by its inode in the file's folder. Remote
@@ -9,6 +12,7 @@ files come through `Files`, whose methods another transport can give.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -63,32 +67,75 @@ class LogTail(DataSource):
         return "path string, start long, value string"
 
     def streamReader(self, schema) -> TailReader:
-        return TailReader(self.options["path"], self.transport, int(self.options.get("rangebytes", self.options.get("rangeBytes", RANGE_BYTES))))
+        given = {k.lower(): v for k, v in self.options.items()}
+        inode = given.get("startinginode")
+        begin = {"inode": None if inode is None else int(inode), "start": int(given.get("startingoffset", 0))}
+        return TailReader(given["path"], self.transport, int(given.get("rangebytes", RANGE_BYTES)), begin, int(given.get("maxbytespertrigger", 0)), given.get("checkpoint"))
+
+
+def committed(checkpoint: str, logged: bool = False) -> list[dict | None]:
+    """The offset of each source after the last committed batch (logged: after the last planned one), in the query's order of sources; empty without batches.
+
+    To go on elsewhere, or again from the beginning, give an offset to a new checkpoint as startingOffset and
+    startingInode. The checkpoint must lie on a path that the driver can open.
+    """
+    root = checkpoint.removeprefix("file:")
+    done = [int(n) for n in _names(f"{root}/{'offsets' if logged else 'commits'}") if n.isdigit()]
+    if not done:
+        return []
+    with open(f"{root}/offsets/{max(done)}", encoding="utf-8") as f:
+        found = f.read().splitlines()[2:]  # a version and the batch's settings come first
+    return [None if line == "-" else json.loads(line) for line in found]
+
+
+def _names(folder: str) -> list[str]:
+    return os.listdir(folder) if os.path.isdir(folder) else []
 
 
 class TailReader(DataSourceStreamReader):
-    def __init__(self, path: str, transport: Files, range_bytes: int = RANGE_BYTES):
-        self.path, self.transport, self.range_bytes = path, transport, range_bytes
+    def __init__(self, path: str, transport: Files, range_bytes: int = RANGE_BYTES, begin: dict | None = None, most: int = 0, checkpoint: str | None = None):
+        if most and not checkpoint:
+            raise ValueError("maxBytesPerTrigger needs the option checkpoint")
+        self.path, self.transport, self.range_bytes, self.begin, self.most = path, transport, range_bytes, begin or {"inode": None, "start": 0}, most
         self.seen: dict | None = None
+        if most:  # after a restart Spark asks for the next offset without telling where it stands
+            self.seen = next((o for o in committed(checkpoint, True) if o and o.get("path") == path), None)
 
     def initialOffset(self) -> dict:
-        return {"inode": None, "start": 0}
+        return self.begin | ({"path": self.path} if self.most else {})
+
+    def _last_end(self, low: int, high: int) -> int | None:
+        """The end of the last whole line that ends in a range of bytes."""
+        while high > low:
+            at = max(low, high - STEP_BYTES)
+            cut = self.transport.read(self.path, at, high).rfind(b"\n")
+            if cut >= 0:
+                return at + cut + 1
+            high = at
+        return None
+
+    def _first_end(self, low: int, high: int) -> int | None:
+        while low < high:
+            cut = self.transport.read(self.path, low, min(low + STEP_BYTES, high)).find(b"\n")
+            if cut >= 0:
+                return low + cut + 1
+            low += STEP_BYTES
+        return None
 
     def latestOffset(self) -> dict:
-        """The end of the last whole line; what was seen before if the file is missing."""
+        """The end of the last whole line, of those that the limit lets pass; what was seen before if the file is missing."""
+        before = self.seen or self.initialOffset()
         try:
             size, inode = self.transport.stat(self.path)
         except FileNotFoundError:
-            return self.seen or self.initialOffset()
-        at = size
-        while at > 0:
-            low = max(0, at - STEP_BYTES)
-            cut = self.transport.read(self.path, low, at).rfind(b"\n")
-            if cut >= 0:
-                self.seen = {"inode": inode, "start": low + cut + 1}
-                return self.seen
-            at = low
-        self.seen = {"inode": inode, "start": 0}
+            return before
+        low = before["start"] if before["inode"] in (None, inode) and before["start"] <= size else 0
+        if self.most:
+            high = min(size, low + self.most)
+            end = self._last_end(low, high) or self._first_end(high, size) or low
+        else:
+            end = self._last_end(0, size) or 0
+        self.seen = {"inode": inode, "start": end} | ({"path": self.path} if self.most else {})
         return self.seen
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
@@ -120,12 +167,12 @@ class TailReader(DataSourceStreamReader):
             at += len(line) + 1
 
 
-def tail(spark: SparkSession, registry: list[dict]) -> DataFrame:
-    """One stream of all sources of a registry (see logs.sources): source_id, source, log_type, start, value."""
+def tail(spark: SparkSession, registry: list[dict], **options) -> DataFrame:
+    """One stream of all sources of a registry (see logs.sources): source_id, source, log_type, start, value. options: of each source, as above."""
     spark.dataSource.register(LogTail)
     streams = []
     for s in registry:
-        own = spark.readStream.format("log_tail").option("path", s["remote_path"]).load()
+        own = spark.readStream.format("log_tail").options(**options).option("path", s["remote_path"]).load()
         streams.append(own.select(F.lit(s["id"]).alias("source_id"), F.lit(s["source"]).alias("source"), F.lit(s["log_type"]).alias("log_type"), "start", "value"))
     if not streams:
         raise ValueError("a registry without sources")
