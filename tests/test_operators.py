@@ -36,6 +36,32 @@ def test_anchored_groups(spark, monkeypatch, bucket):
         assert {r["t"]: r["time_group_id"] for r in got if r["rule"] == k} == greedy(ts, w)
 
 
+@pytest.mark.parametrize("bucket,laps", [(15, 4), (40, 2), (25, 256)])
+def test_anchored_groups_of_sliced_laps(spark, monkeypatch, bucket, laps):
+    """Laps with more times than a bucket takes, beside sparse ones, negative times and gaps."""
+    monkeypatch.setattr(timegroups, "TIMES", bucket)
+    monkeypatch.setattr(timegroups, "LAPS", laps)
+    rng = random.Random(bucket)
+    burst = lambda low, high, n: [rng.randrange(low, high) for _ in range(n)]
+    sets = {"dense": (50, list(range(-400, 500))), "even": (30, list(range(0, 600, 2))), "zero": (0, burst(-50, 50, 90)), "early": (500, [*burst(0, 40, 40), *burst(520, 560, 40), *burst(5000, 5600, 200)])}
+    sets |= {f"mixed{i}": (w, [*burst(-3000, 9000, 60), *burst(100, 100 + 6 * w, 250), *burst(4000, 4000 + w, w)]) for i, w in enumerate((20, 77, 160))}
+    rows = [(k, w, t) for k, (w, ts) in sets.items() for t in ts]
+    rng.shuffle(rows)
+    got = timegroups.anchored_groups(spark.createDataFrame(rows, "rule string, w long, t long")).collect()
+    assert len(got) == sum(len(set(ts)) for _, ts in sets.values())
+    for k, (w, ts) in sets.items():
+        assert {r["t"]: r["time_group_id"] for r in got if r["rule"] == k} == greedy(ts, w)
+
+
+def test_a_burst_within_one_window_is_dealt_over_buckets(spark):
+    """A million distinct times within one window, and windows as dense after it."""
+    frame = spark.range(1_000_000).select(F.lit("r").alias("rule"), F.lit(700_000).cast("long").alias("w"), (F.col("id") + F.when(F.col("id") % 3 == 0, 0).otherwise(5_000_000)).alias("t"))
+    assert timegroups._buckets(frame).groupBy("bucket").count().agg(F.max("count")).first()[0] < 3 * timegroups.TIMES
+    got = timegroups.anchored_groups(frame).toPandas().sort_values("t")
+    want = greedy(got["t"].tolist(), 700_000)
+    assert len(got) == 1_000_000 and got["time_group_id"].tolist() == [want[t] for t in got["t"].tolist()]
+
+
 @pytest.mark.parametrize("before,after,order", [(0, 10, "o"), (0, 0, "o"), (3, 0, None), (4, 7, None), (0, 0, None), (1000, 1000, None)])
 def test_band_aggregates_equal_brute_force(spark, before, after, order):
     """Ties, negative times, nulls, rows alike; extremes as well as sums."""

@@ -1,9 +1,14 @@
 """Time windows over events: anchored groups, forward and centred frames.
 
 Anchored groups: a group holds the events at most w after its first; the next event opens a new group. This chain
-over all events is found without passing them through one task: times are cut into buckets, each bucket sums up where
-a chain entering it leaves it (chains soon run together, so these summaries are short), one fold over the summaries
-gives each bucket the chain that really enters, and buckets then number their groups on their own.
+over all events is found without passing them through one task. Time is cut into blocks of w + 1, so a block holds one
+start at most, and LAPS blocks make a lap. From a start at some phase of its block, the next one is in the next block
+at this phase or later, unless that block has none there: then the chain goes on with whatever comes first. So times
+are range partitioned by lap and phase: a bucket holds some whole laps, or, of a lap with more times than a bucket
+takes, one slice of phases in all its blocks. A chain stays in a slice for many blocks, and can enter it only at the
+first time that a block has there, or anywhere in the lap's first block. Each bucket sums up where a chain that enters
+it at such a place leaves it; one fold over these summaries finds where the chain really enters, and buckets then
+follow it on their own. A burst within one window is thereby dealt over as many buckets as it needs.
 """
 
 from __future__ import annotations
@@ -12,81 +17,121 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Distinct times of a bucket, about.
-TIMES = 100_000
-
-
-def _chain(t: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chain that starts at each of the sorted distinct times: the next start's index, the last start's end, the number of starts. By pointer doubling: each round looks twice as many starts ahead."""
-    after = np.searchsorted(t, t + w, side="right")
-    last, n = np.arange(len(t) + 1), np.append(np.ones(len(t), np.int64), 0)
-    jump = np.append(after, len(t))
-    while True:
-        more = jump < len(t)
-        if not more.any():
-            return after, t[last[:-1]] + w, n[:-1]
-        last = np.where(more, last[jump], last)
-        n = n + np.where(more, n[jump], 0)
+from watchtide.functions.shared import written
+
+#: Distinct times of a bucket, about; blocks of a lap.
+TIMES, LAPS = 100_000, 256
+
+#: A bucket's whole laps (lap 0), or its slice of one lap.
+_UNIT = ["rule", "bucket", "lap", "sliced"]
+
+
+def _links(t: np.ndarray, w: int, sliced: bool, laps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a start at each of a unit's sorted distinct times: the next start's index, or their number if it is elsewhere, and from what time on it is looked for then."""
+    width = w + 1
+    after, out = np.searchsorted(t, t + width), t + width
+    if sliced:
+        following = t // width + 1
+        after = np.where(np.append(t // width, np.iinfo(np.int64).min)[after] == following, after, len(t))
+        # the slice has nothing more in the following block, so what follows there has a greater phase
+        out = np.where(following % laps > 0, following * width + (t % width).max() + 1, out)
+    return after, out
+
+
+def _ends(after: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From what time on a chain goes on after the unit, and the number of its starts here. By pointer doubling: each round looks twice as many starts ahead."""
+    size = len(out)
+    last, n, jump = np.arange(size + 1), np.append(np.ones(size, np.int64), 0), np.append(after, size)
+    while (more := jump < size).any():
+        last, n = np.where(more, last[jump], last), n + np.where(more, n[jump], 0)
         jump = jump[jump]
+    return out[last[:-1]], n[:-1]
 
 
-def _summary(frame):
+def _summary(frame, laps: int):
+    """The places where a chain can enter a unit, without those that come to the same as the next."""
     import pandas as pd
 
-    frame = frame.sort_values("t")
-    t, w = frame["t"].to_numpy(), int(frame["w"].iloc[0])
-    _, out, n = _chain(t, w)
-    start = int(frame["start"].iloc[0])
-    enterable = np.concatenate([[True], t[:-1] < start + w])
-    t, out, n = t[enterable], out[enterable], n[enterable]
-    last = np.concatenate([(out[1:] != out[:-1]) | (n[1:] != n[:-1]), [True]])  # of entries that come to the same
-    return pd.DataFrame({"rule": frame["rule"].iloc[0], "bucket": frame["bucket"].iloc[0], "entry": t[last], "out": out[last], "n": n[last]})
+    t, w, sliced = np.sort(frame["t"].to_numpy()), int(frame["w"].iloc[0]), bool(frame["sliced"].iloc[0])
+    out, n = _ends(*_links(t, w, sliced, laps))
+    block = t // (w + 1)
+    if sliced:
+        enterable = np.append(True, block[1:] != block[:-1]) | (block % laps == 0)
+    else:
+        enterable = np.append(True, t[:-1] <= t[0] + w)
+    t, out, n, block = t[enterable], out[enterable], n[enterable], block[enterable]
+    same = (out[1:] == out[:-1]) & (n[1:] == n[:-1]) & ((block[1:] == block[:-1]) | (not sliced))
+    last = np.append(~same, True)
+    return pd.DataFrame({**{k: frame[k].iloc[0] for k in _UNIT}, "entry": t[last], "out": out[last], "n": n[last]})
 
 
 def _fold(frame):
+    """Where the chain enters units: from what time on, after how many starts."""
     import pandas as pd
 
-    frame = frame.sort_values(["bucket", "entry"])
-    end, total, rows = -(2**63), 0, []
-    for bucket, part in frame.groupby("bucket", sort=True):
-        rows.append((frame["rule"].iloc[0], bucket, end, total))
-        i = int(np.searchsorted(part["entry"].to_numpy(), end, side="right"))
-        if i < len(part):
-            end, total = int(part["out"].iloc[i]), total + int(part["n"].iloc[i])
-    return pd.DataFrame(rows, columns=["rule", "bucket", "end", "before"])
+    frame = frame.sort_values("entry")
+    entry, out, n = (frame[k].to_numpy() for k in ("entry", "out", "n"))
+    at, since, before, x, total = [], [], [], -(2**63), 0
+    while (i := int(np.searchsorted(entry, x))) < len(entry):
+        at.append(i)
+        since.append(x)
+        before.append(total)
+        x, total = int(out[i]), total + int(n[i])
+    return frame[_UNIT].iloc[at].assign(since=np.array(since, np.int64), before=np.array(before, np.int64))
 
 
-def _mark(frame):
+def _starts(frame, entered, laps: int):
+    """The starts of groups in a unit."""
     import pandas as pd
 
-    frame = frame.sort_values("t")
-    t, w, end = frame["t"].to_numpy(), int(frame["w"].iloc[0]), int(frame["end"].iloc[0])
-    after, _, _ = _chain(t, w)
-    starts, i = [], int(np.searchsorted(t, end, side="right"))
-    while i < len(t):
-        starts.append(i)
-        i = after[i]
-    gid = int(frame["before"].iloc[0]) + np.searchsorted(np.array(starts, np.int64), np.arange(len(t)), side="right") - 1
-    return pd.DataFrame({"rule": frame["rule"], "t": t, "time_group_id": gid})
+    found, gid, w = [], [], 0
+    if len(frame) and len(entered):
+        t, w = np.sort(frame["t"].to_numpy()), int(frame["w"].iloc[0])
+        after, _ = _links(t, w, bool(frame["sliced"].iloc[0]), laps)
+        for since, number in zip(entered["since"], entered["before"], strict=True):
+            i = int(np.searchsorted(t, since))
+            while i < len(t):  # a step for each group, not for each time
+                found.append(t[i])
+                gid.append(number)
+                i, number = int(after[i]), number + 1
+    return pd.DataFrame({"rule": frame["rule"].iloc[0] if found else None, "block": np.array(found, np.int64) // (w + 1), "start": np.array(found, np.int64), "gid": np.array(gid, np.int64)})
+
+
+def _buckets(times: DataFrame) -> DataFrame:
+    """rule, w, t, block, bucket, lap, sliced of distinct times, written: a bucket is a partition by lap and phase; lap is told where it is sliced, over several buckets, and else 0."""
+    distinct = times.select("rule", "w", "t").where("t IS NOT NULL").distinct()
+    size = times.select(F.approx_count_distinct(F.struct("rule", "t"))).first()[0]
+    phased = distinct.withColumn("phase", F.expr("pmod(t, w + 1)")).withColumn("block", F.expr("(t - phase) div (w + 1)"))
+    phased = phased.withColumn("nth", F.expr(f"(block - pmod(block, {LAPS})) div {LAPS}"))
+    placed = phased.repartitionByRange(size // TIMES + 1, "rule", "nth", "phase").withColumn("bucket", F.spark_partition_id().cast("long"))
+    placed = written(placed.drop("phase"), "times")
+    # a lap is sliced if one bucket ends and another begins with it
+    edge = F.struct("rule", "nth")
+    edges = placed.groupBy("bucket").agg(F.array_distinct(F.array(F.min(edge), F.max(edge))).alias("edges")).select("bucket", F.explode("edges").alias("e"))
+    sliced = edges.groupBy("e.rule", "e.nth").agg((F.count(F.lit(1)) > 1).alias("sliced")).where("sliced")
+    told = placed.join(sliced, ["rule", "nth"], "left").withColumn("sliced", F.coalesce("sliced", F.lit(False)))
+    return told.select("rule", "w", "t", "block", "bucket", F.when(F.col("sliced"), F.col("nth")).otherwise(0).alias("lap"), "sliced")
 
 
 def anchored_groups(times: DataFrame) -> DataFrame:
-    """rule, t, time_group_id (from 0) of each distinct time; times: rule string, w long, t long in the same unit, w one per rule. Null times are dropped."""
-    distinct = times.select("rule", "w", "t").where("t IS NOT NULL").distinct()
-    spans = distinct.groupBy("rule").agg(
-        F.ceil(F.count(F.lit(1)) / TIMES).cast("int").alias("n"), F.min("t").alias("lo"), F.max("w").alias("_w"),
-        F.percentile_approx("t", F.array(*(F.lit(i / 1024) for i in range(1025))), 10_000).alias("q"),
-    )
-    # borders of the buckets: quantiles of the times, more than a window apart, so that a burst of times is spread
-    step = F.greatest(F.lit(1), F.floor(F.lit(1024) / F.col("n")).cast("int"))
-    picked = F.transform(F.sequence(F.lit(0), F.floor(F.lit(1024) / step).cast("int") - 1), lambda i: F.col("q")[i * step])
-    spaced = F.aggregate(picked, F.array(F.col("lo")), lambda a, x: F.when(x > F.element_at(a, -1) + F.col("_w"), F.concat(a, F.array(x))).otherwise(a))
-    cut = distinct.join(F.broadcast(spans.select("rule", spaced.alias("borders"))), "rule")  # a row for each rule, of 1,025 borders at most
-    nth = F.size(F.filter("borders", lambda x: x <= F.col("t")))
-    cut = cut.withColumn("bucket", (nth - 1).cast("long")).withColumn("start", F.element_at("borders", nth)).drop("borders")
-    summary = cut.groupBy("rule", "bucket").applyInPandas(_summary, "rule string, bucket long, entry long, out long, n long")
-    entered = summary.groupBy("rule").applyInPandas(_fold, "rule string, bucket long, end long, before long")
-    return cut.join(entered, ["rule", "bucket"]).groupBy("rule", "bucket").applyInPandas(_mark, "rule string, t long, time_group_id long")
+    """rule, t, time_group_id (from 0) of each distinct time; times: rule string, w long, t long in the same unit, w one per rule, not below zero. Null times are dropped.
+
+    Distinct times and the starts found are written once, when this is called. No task holds more than a bucket of them, but for the fold over a rule's
+    summaries: of a rule whose windows hold more than TIMES / LAPS times, about a 150th of them; else less.
+    """
+    cut, laps = _buckets(times), LAPS
+    unit = "rule string, bucket long, lap long, sliced boolean"
+    grouped = cut.groupBy(*_UNIT)
+    summary = grouped.applyInPandas(lambda frame: _summary(frame, laps), f"{unit}, entry long, out long, n long")
+    entered = summary.groupBy("rule").applyInPandas(_fold, f"{unit}, since long, before long")
+    starts = grouped.cogroup(entered.groupBy(*_UNIT)).applyInPandas(lambda frame, entered: _starts(frame, entered, laps), "rule string, block long, start long, gid long")
+    # a time belongs to its block's start or, before that, to the start in the block before; a bucket's rows of a block are few
+    own = F.col("own")
+    reach = starts.select("rule", "start", "gid", F.posexplode(F.array(F.col("block"), F.col("block") + 1)).alias("ahead", "block")).withColumn("own", F.col("ahead") == 0)
+    reach = written(reach.groupBy("rule", "block").agg(F.max(F.when(own, F.col("start"))).alias("start"), F.max(F.when(own, F.col("gid"))).alias("gid"), F.max(F.when(~own, F.col("gid"))).alias("earlier")), "starts")
+    known = cut.select("rule", "bucket", "block").distinct().join(reach, ["rule", "block"])
+    gid = F.when(F.col("t") >= F.col("start"), F.col("gid")).otherwise(F.col("earlier"))
+    return cut.join(known, ["rule", "bucket", "block"]).select("rule", "t", gid.alias("time_group_id"))
 
 
 def _near(events: DataFrame, t: str, w: int, kept: list[str]) -> tuple[DataFrame, DataFrame]:
