@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from watchtide.functions import text, times
 from watchtide.functions.addresses import in_network
-from watchtide.operators import context, correlation, graph, pairs, predicates, rule_index, scoring, semantic, sequences, timegroups
+from watchtide.operators import context, correlation, graph, pairs, predicates, rule_index, scoring, semantic, sequences, sketches, timegroups
 from watchtide.plans.oracles import SQL
 from watchtide.sources.logs import BAD, counters, decode_flat, decode_nested, detection_report, flatten, nested_field, pair_report, report, summary
 from watchtide.streaming import detections, pairing, replay
@@ -157,6 +157,17 @@ def correlation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("time_group_id", "kind", *(F.round(k, 6).alias(k) for k in METRICS), "detected")
 
 
+def merged_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics by kind, merged from a state for each day and kind; distinct values and entropy as within their stated errors."""
+    own = events(spark, sf_dir).withColumn("day", F.floor(F.col("t") / 86_400_000_000).cast("long"))
+    states = sketches.summarised(own, ["kind"], METRICS, NAMES, ("day",))
+    found = sketches.valued(sketches.merged(states, ["kind"], METRICS), ["kind"], METRICS)
+    exact = correlation.correlate(own, {"group_by": ["kind"], "aggregations": METRICS, "conditions": []}, NAMES)
+    both = found.alias("a").join(exact.select("kind", F.struct(*METRICS).alias("x")).alias("b"), F.col("a.kind").eqNullSafe(F.col("b.kind"))).drop(F.col("b.kind"))
+    near = {k: F.abs(F.col(k) - F.col(f"x.{k}")) <= 0.03 * F.abs(F.col(f"x.{k}")) for k in ("users", "h", "density")}
+    return both.select("kind", *(near[k].alias(k) if k in near else F.round(k, 4).alias(k) for k in METRICS))
+
+
 def correlation_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlation.detect(events(spark, sf_dir), [SCAN_RULE, USER_RULE], NAMES, "t", "event_type")
 
@@ -627,7 +638,7 @@ def result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     forward_pairs, centered_pairs, pair_nulls, decode_alerts, alert_counters, condition_traps, correlation_conditions, semantic_reasons, filter_rubric, group_uses, campaign_sequences, technique_lookup, knowledge_candidates, related_twenty,
     lookup_enriched, zero_counts, full_row_dedup, clean_cells, flat_columns, event_identity, chained_times, supported_sequences, encoded_prefixes, fusion_sequence, stream_replay, stream_detect, stream_pairs, stream_pairs_across, semantic_index, burst_frames, exact_split, alert_dialect, campaign_order, context_boosts, match_report, result_summary,
-    decode_envelope, semantic_map, alert_map, condition_matrix, time_groups, correlation_metrics, correlation_detect, sliding_forward, centered_band, pair_correlation, dedup_first,
+    decode_envelope, semantic_map, alert_map, condition_matrix, time_groups, correlation_metrics, merged_metrics, correlation_detect, sliding_forward, centered_band, pair_correlation, dedup_first,
     needed_logs, detection_lines, pair_lines, context_zone, zone_table, context_asset, evidence_score, relationship_strength, technique_pairs, related_topk, anti_missing, semi_filter, union_results, last_wins, size_sorted,
     required_fields_by_log, null_counts, ordered_sequences, prefix_examples, markov_counts, markov_predict, markov_eval, fusion_soft, fusion_hard,
 )

@@ -64,6 +64,13 @@ SELECT g AS time_group_id, event_type AS kind, count(*)::DOUBLE AS n, count(DIST
   round(count(DISTINCT CASE WHEN ip LIKE '10.1.2.%' THEN ip END) / 256.0, 6)::DOUBLE AS density, count(*) > 1 AS detected
 FROM x GROUP BY g, event_type"""
 
+SQL["merged_metrics"] = f"""WITH {E}
+SELECT event_type AS kind, count(*)::DOUBLE AS n, true AS users, round(avg(value), 4) AS avg_value, round(coalesce(sum(value), 0), 4) AS sum_value, min(value) AS min_value, max(value) AS max_value,
+  round(count(*) FILTER (k IN (0, 1, 2, 3, 4)) / count(*), 4) AS low_share, round(coalesce(stddev_samp(value), 0), 4) AS sd,
+  round(CASE WHEN count(value) < 2 OR avg(value) = 0 THEN 0 ELSE stddev_samp(value) / abs(avg(value)) END, 4) AS cv,
+  true AS h, round(count(*) / 60.0, 4)::DOUBLE AS per_second, true AS density
+FROM ev GROUP BY event_type"""
+
 SQL["correlation_detect"] = f"""WITH RECURSIVE {E}, s AS (SELECT * FROM ev WHERE event_type IN ('view', 'click', 'error')), u AS (SELECT * FROM ev WHERE event_type = 'purchase'),
 {chain('r', 's', 3600)}, {chain('q', 'u', 21600)}, one AS (SELECT s.*, g FROM s ASOF JOIN r ON s.t >= r.s), two AS (SELECT u.*, g FROM u ASOF JOIN q ON u.t >= q.s)
 SELECT 'C-1' AS mapping_id, 'T1046' AS technique_id, 0.9::DOUBLE AS confidence, g AS time_group_id, '{{"kind":"' || event_type || '"}}' AS group_key, count(*) AS n_events, '{{"n":' || count(*) || '.0,"users":' || count(DISTINCT user_id) || '.0}}' AS metrics, 0.4::DOUBLE AS score FROM one GROUP BY g, event_type
