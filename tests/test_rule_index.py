@@ -68,3 +68,18 @@ def test_ten_thousand_rules_are_one_plan(spark):
             ranges.append((c["operator"], c["value"], r["mapping_id"]))
     want = {(u, m) for u, _, n, x, s in rows if s.startswith("a") for m in [*by_n.get(n, []), *(m for op, v, m in ranges if (x > v if op == ">" else x <= v))]}
     assert got == want and (9999, "m1") in got and len(got) > 1000
+
+
+def test_rules_are_sent_and_not_the_events(spark, tmp_path, monkeypatch):
+    """A file of events is small beside the keys that they look up: what Spark takes for small must not be collected."""
+    made = spark.range(3000).select(F.col("id").alias("event_uid"), F.lit("x").alias("log_type"), (F.col("id") % 50).alias("n"), F.lit("ab").alias("s"))
+    made.write.parquet(f"{tmp_path}/events")
+    events = spark.read.parquet(f"{tmp_path}/events")
+    rules = [{"mapping_id": f"m{i}", "log_type": "x", "semantic_conditions": {"conditions": [{"field": "n", "operator": ">", "value": i}, {"field": "n", "operator": "<=", "value": i + 1}]}} for i in range(40)]
+    for sent in (100_000, 0):
+        monkeypatch.setattr(rule_index, "SENT", sent, raising=False)
+        found = rule_index.indexed_matches(events, rules)
+        assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 40 * 60
+    # intervals of one number between neighbouring bounds: nodes of the lowest levels alone are looked up
+    assert rule_index.Index(rules, rule_index.fields_of(events)).levels["n"] <= {0, 1}

@@ -21,6 +21,8 @@ from watchtide.operators.semantic import by_score, confidence, log_types, projec
 
 #: Clauses of a rule; one of more alternatives is checked by an expression of its own.
 CLAUSES = 64
+#: Filed keys and clauses that are sent to every task; of more, tasks hold a part of them.
+SENT = 100_000
 VALUE = "struct<text:string,num:double>"
 ATOM = f"struct<at:int,op:string,text:string,num:double,items:array<{VALUE}>,label:string>"
 CONTEXT = f"struct<key:string,at:int,op:string,text:string,num:double,items:array<{VALUE}>,boost:double>"
@@ -155,6 +157,15 @@ class Index:
             every = placed([_atom(leaf) for leaf in leaves(rule["semantic_conditions"])])
             self.rows.append((len(self.rows), number, rule["mapping_id"], technique.get("technique_id"), technique.get("tactic"), round(base, 4), base, placed(atoms), every, context))
 
+        # what is filed under, so that events look up nothing else
+        self.heads = {head.split("\x00", 1)[1] for _, head, _ in self.keys}
+        self.kinds = {(field, rest[:1]) for field, _, rest in (h.partition("\x00") for h in self.heads)}
+        self.levels: dict[str, set[int]] = {}
+        for h in self.heads:
+            field, _, node = h.partition("\x00@")
+            if node:
+                self.levels.setdefault(field, set()).add(int(node.split(".")[0]))
+
     def size(self, field: str) -> int:
         return 1 << (2 * len(self.bounds[field])).bit_length()
 
@@ -176,12 +187,15 @@ class Index:
         return [(f"{field}\x00@{node}", None) for node in _nodes(low, high, self.size(field))] if low <= high else []
 
     def probes(self, value: dict[str, Column], log_type: Column) -> Column:
-        """The keys under which clauses that an event may satisfy are filed."""
-        out = [F.array(F.lit("*"))]
+        """The keys under which clauses that an event may satisfy are filed; of kinds and levels that no clause is filed under, none."""
+        out = [F.array(F.lit("*")) if "*" in self.heads else F.array().cast("array<string>")]
         for field in sorted(self.fields):
             x = value[field]
-            out.append(F.array(F.concat(F.lit(f"{field}\x00="), x["text"]), F.concat(F.lit(f"{field}\x00#"), x["num"].cast("string"))))
-        out += [self._above(field, value[field]["num"]) for field in self.bounds]
+            if (field, "=") in self.kinds:
+                out.append(F.array(F.concat(F.lit(f"{field}\x00="), x["text"])))
+            if (field, "#") in self.kinds:
+                out.append(F.array(F.concat(F.lit(f"{field}\x00#"), x["num"].cast("string"))))
+        out += [self._above(field, value[field]["num"]) for field in sorted(self.levels)]
         return F.transform(F.array_compact(F.flatten(F.array_compact(F.array(*out)))), lambda k: F.concat(log_type, F.lit("\x00"), k))
 
 
@@ -194,7 +208,7 @@ class Index:
         at_most = lambda n: F.coalesce(F.get(known, n - 1) <= x, F.lit(False))
         below = F.aggregate(F.sequence(F.lit(len(bounds).bit_length() - 1), F.lit(0)), F.lit(0), lambda a, k: F.when(at_most(a + bit(k)), a + bit(k)).otherwise(a))
         at = 2 * below - F.when(F.get(known, below - 1) == x, 1).otherwise(0)
-        levels = F.sequence(F.lit(0), F.lit(self.size(field).bit_length()))
+        levels = F.array(*map(F.lit, sorted(self.levels[field])))
         nodes = F.transform(levels, lambda k: F.concat(F.lit(f"{field}\x00@"), k.cast("string"), F.lit("."), F.call_function("shiftright", at, k).cast("string")))
         return F.when(x.isNotNull(), nodes)
 
@@ -213,8 +227,9 @@ def indexed_matches(
 ) -> DataFrame:
     """What semantic_matches returns, by an index over the rules: for rule sets of any size. The kept columns tell events apart.
 
-    Only events that meet a rule are shuffled, to rank their matches. Clauses without an equality or a bound on a
-    number are met by every event of their log type.
+    Events are dealt once by the kept columns, with what rules ask of them, and meet and rank their rules where they
+    are: rules are what is sent, never the events that look them up. Clauses without an equality or a bound on a number
+    are met by every event of their log type.
     """
     fields = fields_of(events, names)
     index = Index(rules, fields)
@@ -223,11 +238,13 @@ def indexed_matches(
     own = events.withColumn("_v", F.array(*(value[f] for f in index.place)) if value else nothing)
     own = own.withColumn("_c", F.array(*(_context(provider, c, fields) for c in index.contexts)) if index.contexts else nothing)
     probes = index.probes({f: F.get("_v", F.lit(i)) for f, i in index.place.items()}, F.col(log_type))
-    probed = own.select(*kept, "_v", "_c", F.explode(F.array_distinct(probes)).alias("_k"))
     spark = events.sparkSession
+    own = own.select(*kept, "_v", "_c", F.col(log_type)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *kept)
+    probed = own.select(*kept, "_v", "_c", F.explode(F.array_distinct(probes)).alias("_k"))
+    sent = "broadcast" if len(index.keys) <= SENT else "shuffle_hash"
     filed = spark.createDataFrame(index.keys, KEY).select("clause", F.concat("head", F.coalesce(F.col("num").cast("string"), F.lit(""))).alias("_k"))
     # keys first: they alone decide what an event meets, and the atoms come to those few
-    met = probed.join(filed, "_k").drop("_k").join(spark.createDataFrame(index.rows, RULE), "clause")
+    met = probed.join(filed.hint(sent), "_k").drop("_k").join(spark.createDataFrame(index.rows, RULE).hint(sent), "clause")
     met = met.where(F.forall("atoms", lambda a: _holds("_v", a["at"], a)))
     made = _match()
     found = met.select(*kept, made.alias("_m")).groupBy(*kept).agg(F.collect_set("_m").alias("_m"))  # several clauses of a rule make one match
