@@ -95,3 +95,24 @@ def test_clashing_columns_are_replaced(spark):
     r = rollups.count_tokens(docs, "word_bpe_49k.json").first()
     assert (r.doc_id, r.n_tokens, r.tokenizer, r.part) == (1, 2, "word_bpe_49k.json", 5)
     assert rollups.count_tokens(docs.limit(0), "word_bpe_49k.json").count() == 0
+
+
+def test_byte_level_counts_by_spaces_equal_the_library():
+    """With a cache of spaces and words: white spaces of all kinds, separators that Python alone takes for such, endings, marks and special tokens."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from watchtide.llm.tokens import SpaceCounts, default_path, space_parted
+
+    path = default_path("byte_bpe_50k.json")
+    assert space_parted(path) and not space_parted(default_path("word_bpe_49k.json"))
+    whole, counter, pick = Tokenizer.from_file(path), SpaceCounts(path), random.Random(5)
+    whole.encode_special_tokens = True
+    pool = [*" \n\t\r\x0b\x1c\x1d\x1e\x1f\x85\xa0 ​  　abcXYZ019'.,!-###é漢א١²_$€😀́", "'s", "'ll", " the", "<|endoftext|>", "  ", "\n\n", "ing"]
+    for _ in range(5000):
+        text = "".join(pick.choice(pool) for _ in range(pick.randrange(1, 14)))
+        assert counter.text(text) == len(whole.encode(text, add_special_tokens=False)), text
+    assert counter.text(None) == counter.text("") == 0
+    long = " " + "x" * 1000
+    assert counter.text(long) == len(whole.encode(long, add_special_tokens=False)) and long not in counter

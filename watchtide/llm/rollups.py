@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchtide.llm.common import materialize, slices, small_batches
-from watchtide.llm.tokens import default_path, whole_words, word_ids
+from watchtide.llm.tokens import default_path, space_counts, space_parted, whole_words, word_ids
 
 INSERT, REVISE, DELETE = "insert", "revise", "delete"
 GROUP = ["source", "lang", "tokenizer"]
@@ -26,18 +26,21 @@ DELTAS = "source string, lang string, tokenizer string, n_docs long, n_tokens lo
 def count_tokens(docs: DataFrame, name: str, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without their text, with tokenizer = name and n_tokens (null and empty texts: 0) by the file at path. Columns of these two names are replaced.
 
-    Files of a tokenizer that lower-cases and parts at white space are counted word by word, with a cache; others by
-    encoding whole texts with special tokens taken as plain text.
+    Files of a tokenizer that lower-cases and parts at white space are counted word by word, and byte-level ones that
+    keep the space before a word by spaces with their word, both with a cache; others by encoding whole texts. Special
+    tokens are taken as plain text by the last two.
     """
     import pyarrow as pa
 
     path = path or default_path(name)
-    by_word = whole_words(path)
+    by_word, by_space = whole_words(path), space_parted(path)
     rest = [c for c in docs.columns if c not in (text, "n_tokens", "tokenizer")]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if by_word:
             encoder = word_ids(path)
+        elif by_space:
+            counter = space_counts(path)
         else:
             from tokenizers import Tokenizer
 
@@ -48,6 +51,8 @@ def count_tokens(docs: DataFrame, name: str, path: str | None = None, key: str =
             if by_word:
                 n = [len(encoder.text(t)) // 4 for t in texts]
                 encoder.trim()
+            elif by_space:
+                n = [counter.text(t) for t in texts]
             else:
                 n = [len(whole.encode(t, add_special_tokens=False)) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), pa.array(n, pa.int64())], names=[*rest, "n_tokens"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
 #: Words of a cache generation; two generations are kept.
@@ -96,3 +97,70 @@ def word_ids(path: str) -> WordIds:
     if path not in _open:
         _open[path] = WordIds(path)
     return _open[path]
+
+
+def space_parted(path: str) -> bool:
+    """Whether a tokenizer file parts texts where white space follows something else, whatever stands around: what SpaceCounts needs."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    alike = {k: (told.get("pre_tokenizer") or {}).get(k) for k in plain} == plain
+    return alike and not told.get("normalizer") and not told.get("truncation") and not told.get("padding") and all(t.get("special") for t in told.get("added_tokens") or [])
+
+
+class SpaceCounts(dict):
+    """White space with the word after it -> its number of tokens, for tokenizers that space_parted knows.
+
+    Byte-level BPE's pattern has no token that goes on from a word into white space, so a text's tokens are those of its
+    white spaces and words, one after another. White space is Unicode's, without the four separators that Python adds.
+    """
+
+    PARTS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+    #: A line's end or none, a space or none with letters, and marks after them: the pattern takes each as one piece. An apostrophe is no such mark, as it may begin an ending.
+    PLAIN = re.compile(r"(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?)\]\"#$%&*|-]*)")
+    #: Longer parts are counted, but not kept.
+    LONGEST = 64
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.tokenize, self.letters = self.whole.model.tokenize, _byte_letters()
+        self.old: dict[str, int] = {}
+
+    def __missing__(self, part: str) -> int:
+        found = self.old.get(part)
+        if found is None and (plain := self.PLAIN.fullmatch(part)):
+            line, word, marks = plain.groups()
+            if line or marks:
+                found = (self[line] if line else 0) + self[word] + (self[marks] if marks else 0)
+            else:
+                found = len(self.tokenize(word.encode().decode("latin-1").translate(self.letters)))
+        if found is None:
+            found = len(self.whole.encode(part, add_special_tokens=False))
+        if len(part) <= self.LONGEST:
+            self[part] = found
+        return found
+
+    def text(self, text: str | None) -> int:
+        """Tokens of a whole text (null: none)."""
+        if not text:
+            return 0
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        return sum(map(self.__getitem__, self.PARTS.findall(text)))
+
+
+_counts: dict[str, SpaceCounts] = {}
+
+
+def space_counts(path: str) -> SpaceCounts:
+    """This worker's counter; kept between tasks."""
+    if path not in _counts:
+        _counts[path] = SpaceCounts(path)
+    return _counts[path]
