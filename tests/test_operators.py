@@ -300,3 +300,14 @@ def test_needed_logs(spark):
     near = lambda t, kinds: [i for _, i in sorted((u, i) for i, u, k in rows if u is not None and k in kinds and abs(u - t) <= 10)]
     assert got == {i: near(t, wanted[k]) for i, t, k in rows if t is not None and k in wanted}
     assert timegroups.needed_logs(events.limit(0), "t", 0, "uid", wanted).count() == 0
+
+
+def test_needed_logs_shuffles_events_and_not_pairs(spark, tmp_path):
+    """Two thousand events within one frame: four million pairs, which only the arrays hold."""
+    made = spark.range(4000).select(F.col("id").alias("uid"), (F.col("id") % 100).alias("t"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("log_type"))
+    found = timegroups.needed_logs(made, "t", 1000, "uid", {"a": ["b"]})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [i for i, line in enumerate(plan.splitlines()) if "Join" in line]
+    gathers = [i for i, line in enumerate(plan.splitlines()) if "collect_list" in line]
+    assert len(joins) == 1 and min(gathers) > joins[0]  # gathered below the join, not above it
+    assert found.agg(F.count("*"), F.sum(F.size("needed"))).first() == (2000, 4_000_000)

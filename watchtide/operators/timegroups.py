@@ -163,18 +163,22 @@ def needed_logs(events: DataFrame, t: str, w: int, order: str, wanted: dict[str,
     An event without such neighbours has an empty array; one that wants its own type is its own neighbour; events
     without a time are neither asked for nor ask. `order` tells the events apart. An array is as long as its frame.
     """
-    # wants is a bounded literal: a row for each log type and one that it wants
-    wants = F.create_map(*(F.lit(x) for k in wanted for x in (k, list(dict.fromkeys(wanted[k])))))
+    # what is wanted is a bounded literal: the log types by set of wanted ones, and the sets that each is in
+    sets = sorted({tuple(sorted(set(v))) for v in wanted.values()})
+    set_of = F.create_map(*(F.lit(x) for k, v in wanted.items() for x in (k, sets.index(tuple(sorted(set(v))))))) if wanted else None
+    types = sorted({x for v in sets for x in v})
     timed = events.where(F.col(t).isNotNull())
-    asking = timed.where(F.col(log_type).isin(list(wanted))).withColumn("_wants", wants[F.col(log_type)])
-    near = asking.select(F.col(order).alias("_id"), F.col(t).alias("_t"), F.explode("_wants").alias("_log"), F.floor(F.col(t) / max(1, w)).cast("long").alias("_b"))
-    given = timed.where(F.col(log_type).isin(sorted({x for v in wanted.values() for x in v})))
-    given = given.select(F.struct(F.col(t), F.col(order), F.col(log_type)).alias("_it"), F.col(t).alias("_at"), F.col(log_type).alias("_log"), F.floor(F.col(t) / max(1, w)).cast("long").alias("_b0"))
-    given = given.withColumn("_b", F.explode(F.array(F.col("_b0") - 1, F.col("_b0"), F.col("_b0") + 1)))
-    met = near.join(given, ["_log", "_b"]).where(F.abs(F.col("_at") - F.col("_t")) <= w)
-    lists = met.groupBy("_id").agg(F.sort_array(F.collect_list("_it")).alias("needed"))
-    found = asking.drop("_wants").join(lists, F.col(order) == F.col("_id"), "left").drop("_id")
-    return found.withColumn("needed", F.coalesce("needed", F.array().cast(lists.schema["needed"].dataType)))
+    bucket = F.floor(F.col(t) / max(1, w)).cast("long")
+    asking = timed.where(F.col(log_type).isin(list(wanted))).withColumn("_set", set_of[F.col(log_type)] if wanted else F.lit(0)).withColumn("_b", bucket)
+    given = timed.where(F.col(log_type).isin(types)).select(F.struct(F.col(t), F.col(order), F.col(log_type)).alias("_it"), bucket.alias("_b0"))
+    in_sets = F.create_map(*(x for k in types for x in (F.lit(k), F.array(*(F.lit(i) for i, v in enumerate(sets) if k in v))))) if types else None
+    given = given.withColumn("_set", F.explode(in_sets[F.col("_it")[log_type]]) if types else F.lit(0))
+    given = given.select("_it", "_set", F.explode(F.array(F.col("_b0") - 1, F.col("_b0"), F.col("_b0") + 1)).alias("_b"))
+    # a bucket's events are put in order once; each row cuts its frame from them where it is, so no pair is shuffled
+    lists = given.groupBy("_set", "_b").agg(F.sort_array(F.collect_list("_it")).alias("_near"))
+    found = asking.join(lists.hint("merge"), ["_set", "_b"], "left")
+    near = F.filter("_near", lambda x: F.abs(x[t] - F.col(t)) <= w)
+    return found.select(*(F.col(f"`{c}`") for c in events.columns), F.coalesce(near, F.array().cast(lists.schema["_near"].dataType)).alias("needed"))
 
 
 #: How an aggregate of parts becomes that of the whole.
