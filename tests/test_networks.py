@@ -104,3 +104,21 @@ def test_a_long_list_keeps_the_plan(spark):
     assert located(100_000).where("`ip.location` = concat('z', id)").count() == 50_000
     size = [len(located(n)._jdf.queryExecution().optimizedPlan().toString()) for n in (10, 100_000)]
     assert abs(size[0] - size[1]) < 200
+
+
+def test_addresses_and_networks_are_parsed_once(spark, tmp_path):
+    """Parsing stands above the distinct addresses and the grouped networks, in the optimized plan too."""
+    from pyspark.sql import functions as F
+
+    from watchtide.operators.context import with_zones
+
+    spark.range(1000).select(F.concat(F.lit("10.0.0."), F.col("id") % 3).alias("ip")).write.parquet(f"{tmp_path}/events")
+    spark.range(1000).select(F.lit("z").alias("zone"), F.col("id").alias("place"), F.lit("10.0.0.0/31").alias("network")).write.parquet(f"{tmp_path}/networks")
+    found = with_zones(spark.read.parquet(f"{tmp_path}/events"), spark.read.parquet(f"{tmp_path}/networks"), "ip")
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    indent = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for i, line in enumerate(lines):
+        if "lambda" in line:  # what parses
+            below = [line, *(x for x in lines[i + 1 :] if indent(x) > indent(line))]
+            assert any("Aggregate [_ip" in x or "Aggregate [network" in x for x in below), line[:200]
+    assert {(r["ip"], r["ip.location"]) for r in found.collect()} == {("10.0.0.0", "z"), ("10.0.0.1", "z"), ("10.0.0.2", "external")}

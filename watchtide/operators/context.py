@@ -64,17 +64,21 @@ def with_zones(events: DataFrame, networks: DataFrame, address: str) -> DataFram
     Each distinct address asks, for every prefix length that occurs (at most 33 of IPv4 and 129 of IPv6), by equality.
     """
     location = f"{address}.location"
-    known = networks.where("network IS NOT NULL").select("zone", "place", network_bits(F.col("network")).alias("_n"))
-    prefixes = known.groupBy("_n.version", "_n.length", "_n.hi", "_n.lo").agg(F.min(F.struct("place", "zone")).alias("_best"))
+    spelled = networks.where("network IS NOT NULL").groupBy("network").agg(F.min(F.struct("place", "zone")).alias("_one"))  # repeated networks are parsed once
+    known = spelled.select("_one", network_bits(F.col("network")).alias("_n"))
+    # never null, and told so: else Spark tests the parsed keys of the join below for null, before networks are grouped
+    known = known.select("_one", *(F.coalesce(F.col(f"_n.{c}"), F.lit(0)).alias(c) for c in ("version", "length", "hi", "lo")))
+    prefixes = known.groupBy("version", "length", "hi", "lo").agg(F.min("_one").alias("_best"))
     lengths = prefixes.select("version", "length").distinct()  # 162 rows at most
     own = events.select(F.struct(*(F.col(f"`{c}`") for c in events.columns if c != location)).alias("_row"), F.col(f"`{address}`").cast("string").alias("_ip"))
-    asked = own.select("_ip").distinct().select("_ip", address_bits(F.col("_ip")).alias("_a")).where("_a IS NOT NULL")
+    # no filter on what is parsed: Spark would push it below the distinct and parse every event's address
+    asked = own.select("_ip").distinct().select("_ip", address_bits(F.col("_ip")).alias("_a"))
     asked = asked.select("_ip", "_a.*").join(F.broadcast(lengths), "version", "left").select(
         "_ip", "version", "length", first_bits(F.col("hi"), F.col("length")).alias("hi"), first_bits(F.col("lo"), F.col("length") - 64).alias("lo"), F.pmod(F.xxhash64("_ip"), F.lit(DEALT)).cast("int").alias("_deal")
     )
     dealt = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("_deal")
     met = asked.join(prefixes.select("*", dealt), ["version", "length", "hi", "lo", "_deal"], "left")
-    zones = met.groupBy("_ip").agg(F.coalesce(F.min("_best")["zone"], F.lit("external")).alias("_zone"))
+    zones = met.groupBy("_ip").agg(F.when(F.max("version").isNotNull(), F.coalesce(F.min("_best")["zone"], F.lit("external"))).alias("_zone"))
     own = own.withColumn("_deal", F.pmod(F.spark_partition_id(), F.lit(DEALT)))  # an address may hold most rows
     return own.join(zones.select("*", dealt), ["_ip", "_deal"], "left").select("_row.*", F.col("_zone").alias(location))
 
