@@ -112,6 +112,24 @@ def test_pairs_tolerate_nulls(spark):
     assert {(r["source_uid"], r["followup_uid"]) for r in found.collect()} == {(1, 2), (1, 3), (1, 6), (7, 2), (7, 3), (7, 4), (7, 6)}
 
 
+def test_pairs_that_share_nothing_are_dealt_over_many_tasks(spark):
+    """Every mask meets every other, once; the number of texts is told without making them."""
+    rng = random.Random(2)
+    rows = [(i, "sf"[i % 2], rng.choice([None, "a", "b"]), rng.choice([None, 0, 30_000_000, 90_000_000])) for i in range(240)]
+    rule = {"mapping_id": "p", "semantic_correlation": {"source_event": {"conditions": {"field": "kind", "value": "s"}}, "followup_event": {"conditions": {"field": "kind", "value": "f"}}, "context_fields": ["c"], "time_window_seconds": 60, "relationship": "r"}}
+    frame = spark.createDataFrame(rows, "event_uid long, kind string, c string, t long")
+    may = lambda a, b: (a[2] is None or b[2] is None or a[2] == b[2]) and (a[3] is None or b[3] is None or 0 <= b[3] - a[3] <= 60_000_000)
+    want = sorted((a[0], b[0], 1 + (a[2] is not None and a[2] == b[2]) + (a[3] is not None and b[3] is not None)) for a in rows[::2] for b in rows[1::2] if may(a, b))
+    found = pairs.pair_correlation(frame, rule).select("source_uid", "followup_uid", F.size("evidence").cast("long").alias("n"))
+    assert sorted(map(tuple, found.collect())) == want
+    told = pairs.pair_correlation(frame, rule, counted=True).select("source_uid", "followup_uid", "n_evidence", F.spark_partition_id().alias("task")).collect()
+    assert sorted(tuple(r)[:3] for r in told) == want
+    assert len({r["task"] for r in told if r["n_evidence"] == 1}) > 32
+    alone = {"mapping_id": "p", "semantic_correlation": {k: v for k, v in rule["semantic_correlation"].items() if k.endswith("_event")}}
+    found = pairs.pair_correlation(frame, alone)
+    assert {(r["source_uid"], r["followup_uid"]) for r in found.collect()} == {(a[0], b[0]) for a in rows[::2] for b in rows[1::2]}
+
+
 def test_null_means_three_things(spark):
     df = spark.createDataFrame([(1, None), (2, 3)], "i int, v int")
     f = predicates.fields_of(df)["v"]
