@@ -97,6 +97,25 @@ def test_pairs_over_batches_are_found_once(spark, tmp_path):
     assert min(held[-1]) < 40  # rows of the timed join: those of the last minute and a half, not all
 
 
+def test_pairs_hold_each_full_row_twice(spark, tmp_path):
+    """Rows that have all they can are kept once for each mask that shares nothing or one thing with them, not in a copy for each part; state is on disk, in one store a task, and the session's settings are put back."""
+    rows = [(i, "sf"[i % 2], f"c{i // 2}", (i + 1) * 1000) for i in range(40)] + [(40, "f", None, None), (41, "s", None, None)]
+    schema = "event_uid long, kind string, c string, t long"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text("\n".join(json.dumps(dict(zip(("event_uid", "kind", "c", "t"), r))) for r in rows))
+    found = pairing.stream_pairs(spark.readStream.schema(schema).json(str(tmp_path / "in")), PAIRS)
+    before = {k: spark.conf.get(k, None) for k in pairing.STATE}
+    run = pairing.started(spark, found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True))
+    run.awaitTermination(120)
+    assert {k: spark.conf.get(k, None) for k in pairing.STATE} == before
+    operators = run.lastProgress["stateOperators"]
+    got = sorted((r["source_uid"], r["followup_uid"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((r["source_uid"], r["followup_uid"]) for r in pair_correlation(spark.createDataFrame(rows, schema), PAIRS).collect()) and len(got) == 61
+    assert all(any(k.startswith("rocksdb") for k in op["customMetrics"]) for op in operators)
+    # full rows: two each in the join without a time; empty ones: four masks in PARTS copies, or fewer
+    assert max(op["numRowsTotal"] for op in operators) <= 2 * 40 + 2 * 4 * 16
+
+
 def test_counts_while_decoding(spark, tmp_path):
     lines = ['{"id": "1"}', "broken", '{"id": "2"}', "[1]"]
     raw = spark.createDataFrame([(x,) for x in lines], "value string")
