@@ -91,6 +91,28 @@ def test_band_aggregate_of_a_burst_is_linear(spark):
         timegroups.band_aggregate(frame, "t", 1, 1, {"n": ("count", None)}, "id")
 
 
+@pytest.mark.parametrize("w", [0, 1, 7, 5000])
+def test_band_pairs_equal_brute_force(spark, w):
+    draw = random.Random(w)
+    rows = [(i, draw.choice([None, draw.randrange(-60, 60), draw.randrange(-9000, 9000)]), draw.choice([None, "a", "b"]), [i]) for i in range(300)] + [(7, 5, "a", [7]), (7, 5, None, None)]
+    events = spark.createDataFrame(rows, "id int, t long, mark string, more array<int>")
+    got = timegroups.centered_band(events, "t", w, ["mark", "t", "id"])
+    assert got.columns == ["id", "t", "mark", "more", "other_mark", "other_t", "other_id"]
+    timed = [r for r in rows if r[1] is not None]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((*a, b[2], b[1], b[0])) for a in timed for b in timed if abs(b[1] - a[1]) <= w)
+    got = timegroups.forward_window(events, "t", w, "id", ["t", "id"]).select("id", "mark", "other_t", "other_id")
+    wanted = [(a[0], a[2], b[1], b[0]) for a in timed for b in timed if 0 <= b[1] - a[1] <= w and (b[1] > a[1] or b[0] >= a[0])]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, wanted))
+    assert timegroups.centered_band(events.limit(0), "t", w, ["t"]).count() == 0
+
+
+def test_band_pairs_of_a_burst_are_dealt_over_many_tasks(spark):
+    events = spark.range(0, 9000, 1, 1).select("id", (F.col("id") % 50).alias("t"))
+    for found, n in ((timegroups.centered_band(events, "t", 60, ["id", "t"]), 9000**2), (timegroups.forward_window(events, "t", 60, "id", ["id", "t"]), 9000 * 9001 // 2)):
+        made = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(made) == n and max(made) < n / 4
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 20, 147])
 def test_exact_split(spark, n):
     frame = spark.createDataFrame([(None if i == 0 else f"c{i}", j) for i in range(n) for j in range(1 + i % 3)], "campaign string, step int")

@@ -14,8 +14,10 @@ follow it on their own. A burst within one window is thereby dealt over as many
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, NumericType, StringType, StructField, StructType
 
 from watchtide.functions.shared import written
 
@@ -25,6 +27,9 @@ TIMES, LAPS = 100_000, 256
 #: A bucket's whole laps (lap 0), or its slice of one lap.
 _UNIT = ["rule", "bucket", "lap", "sliced"]
 
+#: Rows of a list of a band, at most; tasks over which pairs of lists are dealt.
+LIST, DEALT = 1024, 48
+
 
 def _links(t: np.ndarray, w: int, sliced: bool, laps: int) -> tuple[np.ndarray, np.ndarray]:
     """Of a start at each of a unit's sorted distinct times: the next start's index, or their number if it is elsewhere, and from what time on it is looked for then."""
@@ -134,27 +139,70 @@ def anchored_groups(times: DataFrame) -> DataFrame:
     return cut.join(known, ["rule", "bucket", "block"]).select("rule", "t", gid.alias("time_group_id"))
 
 
-def _near(events: DataFrame, t: str, w: int, kept: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Two sides of a band join as an equi join: a row probes its own bucket of width w and its neighbours."""
-    size = F.lit(max(1, w))
-    left = events.withColumn("_b", F.floor(F.col(t) / size).cast("long"))
-    right = events.select(*(F.col(c).alias(f"other_{c}") for c in kept), F.floor(F.col(t) / size).cast("long").alias("_b0"))
-    return left, right
+def _listed(batches):
+    """Sorted rows, the bucket first, as lists of at most LIST rows of one bucket."""
+    for batch in batches:
+        b = batch.column(0).to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]])) if len(b) else np.zeros(1, np.int64)
+        starts = [np.arange(i, j, LIST) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        offsets = np.concatenate([*starts, [len(b)]]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(b[offsets[:-1]]), *(pa.ListArray.from_arrays(pa.array(offsets), c) for c in batch.columns[1:])], batch.schema.names)
+
+
+def _frames(low: int, high: int):
+    """Of two lists of sorted times: where in the second the frame of each time of the first begins (from 1), and how many it holds."""
+
+    @F.arrow_udf("struct<at: array<int>, n: array<int>>")
+    def frames(own: pa.Array, other: pa.Array) -> pa.Array:
+        x, y, i, j = own.values.to_numpy(), other.values.to_numpy(), own.offsets.to_numpy(), other.offsets.to_numpy()
+        at, n = np.zeros(i[-1] - i[0], np.int32), np.zeros(i[-1] - i[0], np.int32)
+        for k in range(len(own)):
+            t, near, to = x[i[k] : i[k + 1]], y[j[k] : j[k + 1]], slice(i[k] - i[0], i[k + 1] - i[0])
+            first = np.searchsorted(near, t + low, "left")
+            at[to], n[to] = first + 1, np.searchsorted(near, t + high, "right") - first
+        of = pa.array(i - i[0])
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(of, pa.array(at)), pa.ListArray.from_arrays(of, pa.array(n))], ["at", "n"])
+
+    return frames.asNondeterministic()  # so that it isn't run again for a filter
+
+
+def _band(events: DataFrame, t: str, w: int, ahead: tuple[int, ...], kept: list[str]) -> DataFrame:
+    """Each event with those from w * ahead[0] to w * ahead[-1] after it, itself included; kept (with t) comes as other_*.
+
+    Time is cut into buckets of width w, and a bucket's rows, in order, into lists of at most LIST; a list meets those of
+    the neighbouring buckets. Of two lists, numpy finds each row's frame in the other one, and Spark cuts it out: no
+    pair is made to be thrown away. Pairs of lists are dealt over a number of tasks that stays, so a burst is made by all
+    of them; what is shuffled grows with the events and, in a burst, with a LIST-th of the pairs. Columns of events are
+    of types that Arrow takes.
+    """
+    columns, size = events.columns, F.lit(max(1, w))
+    timed = events.where(F.col(t).isNotNull()).select(F.floor(F.col(t) / size).cast("long").alias("_b"), *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)))
+    of = {c: f"_{i}" for i, c in enumerate(columns)}
+    ties = [of[c] for c in kept if c != t and isinstance(events.schema[c].dataType, (NumericType, StringType))]  # a task that is run again makes the same lists
+    lists = StructType([StructField("_b", LongType(), False), *(StructField(f.name, ArrayType(f.dataType)) for f in timed.schema.fields[1:])])
+    made = timed.repartition("_b").sortWithinPartitions(of[t], *ties).mapInArrow(_listed, lists).withColumn("_n", F.monotonically_increasing_id()).repartition("_b")
+    offered = F.array(*(F.col("_b") - i for i in range(ahead[0], ahead[-1] + 1)))
+    near = made.select(F.explode(offered).alias("_b"), F.col("_n").alias("_m"), F.col(of[t]).alias("_t"), *(F.col(of[c]).alias(f"_k{i}") for i, c in enumerate(kept)))
+    met = made.join(near.hint("merge"), "_b").repartition(DEALT, "_b", "_n", "_m")
+    framed = met.withColumn("_f", _frames(w * ahead[0], w * ahead[-1])(of[t], "_t")).select("*", F.posexplode("_0").alias("_i", "_own"))
+    at, n = F.get("_f.at", F.col("_i")), F.get("_f.n", F.col("_i"))
+    own = [F.col("_own").alias("_0"), *(F.get(of[c], F.col("_i")).alias(of[c]) for c in columns[1:])]
+    each = framed.where(n > 0).select(*own, *(F.slice(f"_k{i}", at, n).alias(f"_k{i}") for i in range(len(kept))))
+    # a step of its own takes the frames apart (coalesce changes nothing else): pairs are made a frame at a time, not all of two lists at once
+    pairs = each.coalesce(DEALT).select("*", F.posexplode_outer("_k0").alias("_j", "_other"))
+    others = [F.col("_other") if i == 0 else F.get(f"_k{i}", F.col("_j")) for i in range(len(kept))]
+    return pairs.select(*(F.col(of[c]).alias(c) for c in columns), *(x.alias(f"other_{c}") for x, c in zip(others, kept, strict=True)))
 
 
 def centered_band(events: DataFrame, t: str, w: int, kept: list[str]) -> DataFrame:
     """Each event with all events at most w before or after it, itself included; kept (with t) comes as other_*."""
-    left, right = _near(events, t, w, kept)
-    spread = right.withColumn("_b", F.explode(F.array(F.col("_b0") - 1, F.col("_b0"), F.col("_b0") + 1)))
-    return left.join(spread, "_b").where(F.abs(F.col(f"other_{t}") - F.col(t)) <= w).drop("_b", "_b0")
+    return _band(events, t, w, (-1, 1), kept)
 
 
 def forward_window(events: DataFrame, t: str, w: int, order: str, kept: list[str]) -> DataFrame:
     """Each event with itself and those after it (by t, then order) at most w later; kept (with t and order) comes as other_*."""
-    left, right = _near(events, t, w, kept)
-    spread = right.withColumn("_b", F.explode(F.array(F.col("_b0") - 1, F.col("_b0"))))
-    later = (F.col(f"other_{t}") > F.col(t)) | ((F.col(f"other_{t}") == F.col(t)) & (F.col(f"other_{order}") >= F.col(order)))
-    return left.join(spread, "_b").where(later & (F.col(f"other_{t}") - F.col(t) <= w)).drop("_b", "_b0")
+    later = (F.col(f"other_{t}") > F.col(t)) | (F.col(f"other_{order}") >= F.col(order))
+    return _band(events, t, w, (0, 1), kept).where(later)
 
 
 def needed_logs(events: DataFrame, t: str, w: int, order: str, wanted: dict[str, list[str]], log_type: str = "log_type") -> DataFrame:
