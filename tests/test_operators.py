@@ -152,6 +152,19 @@ def test_pairs_that_share_nothing_are_dealt_over_many_tasks(spark):
     assert {(r["source_uid"], r["followup_uid"]) for r in found.collect()} == {(a[0], b[0]) for a in rows[::2] for b in rows[1::2]}
 
 
+def test_pairs_that_share_nothing_stay_small_when_written(spark, tmp_path):
+    """Twelve million pairs of rows without a time and rows without a user: less than three quarters of a byte each in Parquet, and a task holds a small part of either side."""
+    made = spark.range(20_600).selectExpr("id AS event_uid", "if(id < 20000, 's', 'f') AS kind", "if(id < 20000, NULL, 'a') AS c", "if(id < 20000, id, NULL) AS t")
+    rule = {"mapping_id": "p", "semantic_correlation": {"source_event": {"conditions": {"field": "kind", "value": "s"}}, "followup_event": {"conditions": {"field": "kind", "value": "f"}}, "context_fields": ["c"], "time_window_seconds": 60}}
+    found = pairs.pair_correlation(made, rule, counted=True).select("source_uid", "followup_uid", F.spark_partition_id().alias("task"))
+    found.write.parquet(str(tmp_path / "out"))
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.count() == 12_000_000 == found.select(F.xxhash64("source_uid", "followup_uid")).distinct().count()
+    assert found.agg(F.min("source_uid"), F.max("source_uid"), F.min("followup_uid"), F.max("followup_uid")).first()[:] == (0, 19_999, 20_000, 20_599)
+    assert found.groupBy("task").agg(F.countDistinct("source_uid").alias("n")).agg(F.max("n")).first()[0] < 10_000
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.75 * 12_000_000
+
+
 def test_null_means_three_things(spark):
     df = spark.createDataFrame([(1, None), (2, 3)], "i int, v int")
     f = predicates.fields_of(df)["v"]
